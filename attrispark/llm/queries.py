@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .divergence import quality_rules
+from .mixing import mix_sources
 from .packing import pack_documents
+from .pages import extract_pages
 from .perplexity import classify_quality
 from .simhash import simhash_groups
 from .substrings import dedup_substrings
@@ -28,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -38,6 +46,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -48,17 +61,55 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     return found.withColumnRenamed("id", "doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_source_mixing": op8_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint"
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_source_mixing": f"""
+WITH d AS (
+  SELECT doc_id, source, {_SIZE} AS size, md5('mix:' || coalesce(doc_id::varchar, '')) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0::double, 2.0::double, 1.0::double][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight FROM s
+), l AS (
+  SELECT *, 2.0::double * source_size AS stop, 2.0::double * source_size / weight AS level FROM w
+), f AS (
+  SELECT *, level > (1.5::double * sum(source_size) OVER ()
+    - coalesce(sum(stop) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+    (1.5::double * sum(source_size) OVER ()
+    - coalesce(sum(stop) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS common FROM l
+), t AS (
+  SELECT source, source_size, CASE WHEN open THEN weight * (SELECT arg_min(common, level) FROM f WHERE open) ELSE stop END AS target FROM f
+), o AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    CASE WHEN t.target >= 2.0::double * t.source_size THEN 2 WHEN t.target >= t.source_size THEN 1 ELSE 0 END AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, target,
+  (whole * size + greatest(0, least(size, round(target)::bigint - whole * source_size - before)))::bigint AS taken FROM o
+""",
+}
