@@ -73,11 +73,39 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, total: int) -> DataFrame:
     )
 
 
+def squeezed(blocks: DataFrame) -> DataFrame:
+    """(_blk, blob): the rows of each block that a task reads together as one compressed Arrow stream.
+
+    Takes about half the disk of row-wise shuffle files.
+    """
+
+    def squeeze(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blk = batch.column(0).to_numpy()
+            order = np.argsort(blk, kind="stable")
+            row = batch.column(1).take(pa.array(order))
+            cuts = np.flatnonzero(np.diff(blk[order])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(blk)], strict=True):
+                part = pa.concat_arrays([row.slice(lo, hi - lo)])
+                sink = pa.BufferOutputStream()
+                table = pa.table({"_row": part.take(pa.array(range(hi - lo), pa.int64()))})
+                with pa.ipc.new_stream(sink, table.schema, options=options) as out:
+                    out.write_table(table)
+                yield pa.RecordBatch.from_arrays([pa.array([int(blk[order[lo]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["_blk", "blob"])
+
+    return blocks.mapInArrow(squeeze, "_blk int, blob binary")
+
+
 def rows_of(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list[bytes], np.ndarray]:
     """A block's rows in a fixed order (id, then text; null ids last), their texts as UTF-8 and their ids.
 
     Shuffles deliver rows in any order; this order is the same in each pass.
     """
+    if "blob" in table.column_names:
+        table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("blob")])
     row = table.column("_row").combine_chunks()
     if isinstance(row, pa.ChunkedArray):
         row = pa.concat_arrays(row.chunks) if row.num_chunks else pa.array([], row.type)

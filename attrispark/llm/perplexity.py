@@ -146,7 +146,7 @@ def score_perplexity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     slices = cl.shuffle_partitions(spark)
     blocks_n = max(1, min(slices, -(-total // (4 << 20))), -(-total // BLOCK_BYTES))
     deal = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(blocks_n)).cast("int").alias("_blk")
-    blocks = docs.select(deal(F.col(id_col)), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    blocks = cl.squeezed(docs.select(deal(F.col(id_col)), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))
     trusted = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 and t = 0 and doc_id is not null")
     trusted = trusted.select(deal(F.col("doc_id")), F.col("doc_id").cast("long").alias("trusted_id"), (F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HOLDOUT)) == 0).alias("out"))
     computed = ("perplexity", "held_out")
