@@ -10,7 +10,9 @@ than a global packing.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,11 @@ CAPACITY = 4096
 END_ID = 1
 #: Documents in a bundle; a bundle's rows fit a small part of a task's memory.
 BUNDLE = 1 << 16
+BUNDLE_WITH_IDS = 1 << 12
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 1_000_000
 
+_FAR = re.compile(rb"[\xc6-\xff]")
 _TOKENIZERS: dict = {}
 
 
@@ -39,6 +43,16 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _words(text: bytes) -> list[bytes]:
+    """Words of a text, in lower case where that can't change its ids.
+
+    The tokenizer composes characters, then folds case.  Below U+0180 nothing
+    composes, so the order doesn't matter there; the names of special tokens
+    are matched before either.
+    """
+    return text.split() if _FAR.search(text) or b"<|" in text else text.lower().split()
+
+
 def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers.
 
@@ -48,13 +62,14 @@ def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
     tokenizer, known = _tokenizer(path)
     if len(known) > CACHE:
         known.clear()
-    words = [(t or b"").split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
+    words = [_words(t) if t else [] for t in texts]
+    new = list(set().union(*words).difference(known))
     for at in range(0, len(new), 1 << 14):
         part = new[at : at + (1 << 14)]
         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in ws]) for ws in words]
+            ids = e.ids
+            known[w] = pack_ids(f"<{len(ids)}I", *ids)
+    return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -198,5 +213,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     ids stay null.  Empty tables give empty results.  Other columns of docs
     are not carried.
     """
-    bundles = max(1, -(-docs.count() // BUNDLE))
+    bundles = max(1, -(-docs.count() // (BUNDLE_WITH_IDS if with_ids else BUNDLE)))
     return pack(pieces(docs, tokenizer_path, id_col, text_col, capacity, with_ids), bundles, capacity)
