@@ -7,10 +7,8 @@ exchange that several operators use.
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +16,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
+from attrispark.functions.ship import ship  # noqa: F401
+
+
 
 #: Uncompressed text of one block; a single longer document has a block of its own size.
 BLOCK_BYTES = 8 << 20
@@ -27,22 +27,6 @@ REQUEST = "_blk int, _slc int, payload binary"
 REPLY = "_slc int, _blk int, kind int, payload binary"
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers that don't have the repository on their path."""
-    sc = spark.sparkContext
-    if getattr(sc, "_attrispark_shipped", False):
-        return
-    sc._attrispark_shipped = True
-    if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    package = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp()) / "attrispark_worker.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in package.rglob("*.py"):
-            z.write(p, p.relative_to(ROOT))
-    sc.addPyFile(str(to))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint in the folder named by spark.checkpoint.dir (a temporary one only where none is set)."""
     spark = df.sparkSession
@@ -60,13 +44,13 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0)
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, total: int) -> DataFrame:
-    """(_blk int, _row struct): rows of docs dealt by the hash of their id into blocks of about BLOCK_BYTES.
+def dealt(docs: DataFrame, id_col: str, total: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(_blk int, _row struct): rows of docs dealt by the hash of their id into blocks of about block_bytes.
 
     All columns travel inside one struct, so no name can clash.
     """
     spark = docs.sparkSession
-    blocks = max(shuffle_partitions(spark), -(-total // BLOCK_BYTES))
+    blocks = max(shuffle_partitions(spark), -(-total // block_bytes))
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int").alias("_blk"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
@@ -99,11 +83,21 @@ def squeezed(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(squeeze, "_blk int, blob binary")
 
 
+def release() -> None:
+    """Gives memory that earlier groups have freed back to the system, so that a worker's size is that of one group."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the GNU C library
+
+
 def rows_of(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list[bytes], np.ndarray]:
     """A block's rows in a fixed order (id, then text; null ids last), their texts as UTF-8 and their ids.
 
     Shuffles deliver rows in any order; this order is the same in each pass.
     """
+    release()
     if "blob" in table.column_names:
         table = pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("blob")])
     row = table.column("_row").combine_chunks()
@@ -189,6 +183,7 @@ def replies_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def requests_of(table: pa.Table) -> list[tuple[int, list[np.ndarray]]]:
     """(block, arrays) of a slice's requests in block order."""
+    release()
     rows = sorted(zip(table.column("_blk").to_pylist(), table.column("payload").to_pylist(), strict=True), key=lambda r: r[0])
     return [(b, unpack(p)) for b, p in rows]
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Texts are scanned together up to this many bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _GOLD = 0x9E3779B97F4A7C15
 _ODD1, _ODD2, _ODD3 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5, 0xB564EF22EC7AECE5

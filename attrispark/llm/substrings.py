@@ -32,16 +32,18 @@ COMPUTED = ("kept_text", "n_words", "n_removed")
 
 def _scan(texts: list[bytes], size: int):
     """Word hashes, the text of each word, the first word of each complete window and the windows' hashes."""
-    hashes, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, owner, places, windows, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     for first, _, data, offsets in w.batches(texts):
         starts, ends, doc = w.words(data, offsets)
-        hashes.append(w.word_hashes(data, starts, ends))
-        owner.append(doc + first)
-    h, doc = np.concatenate(hashes), np.concatenate(owner)
-    if len(h) < size:
-        return h, doc, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(doc[: len(h) - size + 1] == doc[size - 1 :])
-    return h, doc, at, w.window_hashes(h, size)[at]
+        h = w.word_hashes(data, starts, ends)
+        if len(h) >= size:
+            at = np.flatnonzero(doc[: len(h) - size + 1] == doc[size - 1 :])
+            places.append(at + words)
+            windows.append(w.window_hashes(h, size)[at])
+        hashes.append(h)
+        owner.append((doc + first).astype(np.int32))
+        words += len(h)
+    return tuple(np.concatenate(x) for x in (hashes, owner, places, windows))
 
 
 def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -83,7 +85,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = cl.text_bytes(docs, text_col)
     slices = cl.shuffle_partitions(spark)
     bits = min(60, max(12, total.bit_length()))
-    blocks = cl.dealt(docs, id_col, text_col, total)
+    blocks = cl.dealt(docs, id_col, total)
     out = T.StructType([f for f in docs.schema.fields if f.name not in COMPUTED] + [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def distinct(texts):
