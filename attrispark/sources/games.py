@@ -159,7 +159,8 @@ def from_facts(facts: DataFrame, group: list[str], player: str, measure: str) ->
     return per_group.groupBy("mask").agg(F.sum("w").alias("w"))
 
 
-REVENUE = F.expr("l_extendedprice * (1e0 - l_discount)")
+def revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def _numbered(values: DataFrame, name: str) -> DataFrame:
@@ -170,13 +171,13 @@ def _numbered(values: DataFrame, name: str) -> DataFrame:
 def region_revenue(spark: SparkSession, sf_dir: str) -> TermsGame:
     """5 supplier regions; a term per order."""
     supplier = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("player"))
-    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", REVENUE.alias("v")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", revenue().alias("v")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return TermsGame(5, from_facts(facts, ["l_orderkey"], "player", "v"), "region")
 
 
 def nation_revenue(spark: SparkSession, sf_dir: str) -> TermsGame:
     """25 supplier nations; a term per order."""
-    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", REVENUE.alias("v")).join(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("player")), F.col("l_suppkey") == F.col("s_suppkey"))
+    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", revenue().alias("v")).join(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("player")), F.col("l_suppkey") == F.col("s_suppkey"))
     return TermsGame(25, from_facts(facts, ["l_orderkey"], "player", "v"), "nation")
 
 
@@ -184,7 +185,7 @@ def brand_revenue(spark: SparkSession, sf_dir: str) -> TermsGame:
     """25 part brands; a term per order."""
     part = read(spark, sf_dir, "part")
     named = part.select("p_partkey", "p_brand").join(F.broadcast(_numbered(part, "p_brand").limit(62)), "p_brand")
-    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", REVENUE.alias("v")).join(named, F.col("l_partkey") == F.col("p_partkey"))
+    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", revenue().alias("v")).join(named, F.col("l_partkey") == F.col("p_partkey"))
     return TermsGame(25, from_facts(facts, ["l_orderkey"], "player", "v"), "brand")
 
 
@@ -193,7 +194,7 @@ def segment_part_year(spark: SparkSession, sf_dir: str) -> TermsGame:
     customer = read(spark, sf_dir, "customer")
     named = customer.select("c_custkey", "c_mktsegment").join(F.broadcast(_numbered(customer, "c_mktsegment").limit(62)), "c_mktsegment")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(named, F.col("o_custkey") == F.col("c_custkey"))
-    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.year("l_shipdate").alias("y"), REVENUE.alias("v")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.year("l_shipdate").alias("y"), revenue().alias("v")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return TermsGame(5, from_facts(facts, ["l_partkey", "y"], "player", "v"), "segment")
 
 
