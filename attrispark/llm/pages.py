@@ -25,6 +25,8 @@ PATHS = 5
 DEPTH = 64
 #: A container stands for its parent where it holds this share of the parent's score.
 SHARE = 0.7
+#: Text directly in a page's body below this share of it is stray.
+STRAY = 0.05
 #: A page leaves its host's path where that holds less than this share of its own choice.
 LEAST = 0.25
 
@@ -55,10 +57,10 @@ PLAIN = frozenset("html body article main".split())
 
 
 class Box:
-    __slots__ = ("depth", "parent", "path", "score", "tag")
+    __slots__ = ("depth", "own", "parent", "path", "score", "tag")
 
     def __init__(self, path, parent, tag):
-        self.path, self.parent, self.score, self.tag = path, parent, 0.0, tag
+        self.path, self.parent, self.score, self.own, self.tag = path, parent, 0.0, 0.0, tag
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -98,6 +100,7 @@ def parse(html: str) -> tuple[list[tuple[str, Box]], list[Box]]:
             if text:
                 blocks.append((text, box))
                 weight = max(0, len(text) - 2 * linked)
+                box.own += weight
                 up = box
                 while up is not None:
                     up.score += weight
@@ -169,14 +172,19 @@ def parse(html: str) -> tuple[list[tuple[str, Box]], list[Box]]:
 
 
 def best_path(boxes: list[Box]) -> tuple[str, float]:
-    """The deepest container that holds most of what its parents hold, and its score."""
+    """The deepest container that holds most of what its parents hold, and its score.
+
+    Goes no deeper than an article, nor past a container with blocks of its
+    own: a heading beside a container belongs to what it heads.
+    """
     children: dict[int, list[Box]] = {}
     for b in boxes[1:]:
         children.setdefault(id(b.parent), []).append(b)
     at = boxes[0]
     while True:
         inner = max(children.get(id(at), ()), key=lambda b: (b.score, b.tag == "article"), default=None)
-        if inner is None or inner.score < SHARE * at.score or not inner.score:
+        outer = at.tag in ("", "html", "body") and at.own < STRAY * at.score
+        if inner is None or inner.score < SHARE * at.score or not inner.score or at.tag == "article" or at.own and not outer:
             return at.path, at.score
         at = inner
 

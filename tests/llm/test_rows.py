@@ -68,6 +68,13 @@ def test_pages(spark):
     assert pages.extract_pages(table.limit(0)).collect() == []
 
 
+def test_headings_stay_with_what_they_head():
+    page = '<body>skip<div class="x1"><p>unnamed box</p></div><div class="wrap"><h1>Head</h1><div class="inner"><p>{}</p></div></div><article><p>teaser</p></article></body>'
+    assert pages.extract(page.format("text " * 60), []) == "Head\n" + ("text " * 60).strip()
+    inside = '<article><h1>Head</h1><div class="intro"><p>intro</p></div><div class="inner"><p>{}</p></div></article>'
+    assert pages.extract(inside.format("text " * 60), []) == "Head\nintro\n" + ("text " * 60).strip()
+
+
 def test_host_consensus_overrules_a_page_of_its_own_mind(spark):
     good = '<div class="main-text"><p>{}</p></div><div class="other"><p>short</p></div>'
     odd = '<div class="main-text"><p>{}</p></div><div class="other"><p>{}</p></div>'
