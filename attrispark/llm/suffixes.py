@@ -31,6 +31,8 @@ from . import _words as w
 LENGTH, GRAM = 400, 128
 #: Groups of more different contexts than this are resolved by counting strings offset by offset, not by pairs.
 PAIRWISE = 64
+#: Text of a block; its contexts are Python objects while they are sorted.
+BLOCK_BYTES = 4 << 20
 COMPUTED = ("kept_bytes", "n_bytes", "n_removed", "n_spans")
 _PLACE = (1 << 24) - 1
 
@@ -78,7 +80,8 @@ def anchors(texts: list[bytes], length: int, gram: int):
         lo = np.flatnonzero(lead)
         hi = np.append(lo[1:], len(p)) - 1
         a, o = a[lo], o[lo]
-        out.append([o + first, a - offsets[o] + begin, a - p[hi], a - p[lo], g[a]])
+        # Anchors are least hashes: mixed again they spread over all slices.
+        out.append([o + first, a - offsets[o] + begin, a - p[hi], a - p[lo], w.mix(g[a])])
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -152,6 +155,17 @@ class LoserTree:
             self.winner = i
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same whole numbers in the fewest intervals."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def repeated_offsets(group: list[tuple], prefixes: list[int], length: int) -> list[list[tuple[int, int]]]:
     """For each context of a group in suffix order, the intervals of anchor offsets whose strings occur in another context.
 
@@ -173,10 +187,11 @@ def repeated_offsets(group: list[tuple], prefixes: list[int], length: int) -> li
     if not open_kinds or len(kinds) < 2:
         return found
     if len(kinds) <= PAIRWISE:
+        gap = [min(prefixes[a + 1 : b + 1]) for a, b in zip(kinds, kinds[1:], strict=False)]
         for j, x in enumerate(kinds):
             right = length
-            for y in kinds[j + 1 :]:
-                right = min(right, min(prefixes[kinds[kinds.index(y) - 1] + 1 : y + 1]))
+            for y, step in zip(kinds[j + 1 :], gap[j:], strict=False):
+                right = min(right, step)
                 if full[x] and full[y]:
                     continue
                 least = max(length - right, own[x][0], own[y][0])
@@ -188,6 +203,8 @@ def repeated_offsets(group: list[tuple], prefixes: list[int], length: int) -> li
                     for z in (x, y):
                         if not full[z]:
                             found[z].append((least, most))
+        for x in open_kinds:
+            found[x] = united(found[x])
         return found
     context = {i: (group[i][1][::-1] + group[i][0], len(group[i][1])) for i in kinds}
     for offset in range(min(own[i][0] for i in kinds), max(own[i][1] for i in kinds) + 1):
@@ -241,7 +258,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cl.ship(spark)
     total = cl.text_bytes(docs, text_col)
     slices = cl.shuffle_partitions(spark)
-    blocks = cl.dealt(docs, id_col, total)
+    blocks = cl.squeezed(cl.dealt(docs, id_col, total, BLOCK_BYTES))
     long = T.LongType()
     out = T.StructType([f for f in docs.schema.fields if f.name not in COMPUTED] + [T.StructField("kept_bytes", T.BinaryType()), T.StructField("n_bytes", long), T.StructField("n_removed", long), T.StructField("n_spans", long)])
 
