@@ -307,6 +307,38 @@ def _standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("dataset_standardised", _standardised, "WITH s AS (SELECT avg(p_size) AS a, stddev_pop(p_size) AS b, avg(p_retailprice) AS c, stddev_pop(p_retailprice) AS d FROM part WHERE p_partkey % 5 <> 0) SELECT p_partkey, round((p_size - a) / b, 8) AS p_size, round((p_retailprice - c) / d, 8) AS p_retailprice FROM part CROSS JOIN s")
 
+# Runs by name: nested checkpoints, groups, and a black-box game.
+
+
+def _converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attrispark.plans.run import converge
+
+    return rounded(converge(games.event_user_day(spark, sf_dir), "msr", BANZHAF, 60, 20, SEED), 4).select("ckpt", "evaluations", "player", "value")
+
+
+add("run_checkpoints", _converged, " UNION ALL ".join(f"SELECT {k} AS ckpt, {b * 5} AS evaluations, * FROM ({oracle.rule('msr', 'event', BANZHAF, b * 5, SEED)})" for k, b in enumerate((20, 40, 60))))
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attrispark.plans.run import run
+
+    return rounded(run(games.event_user_day(spark, sf_dir), "arm", beta(4, 1), 60, SEED, group=[1, 2]), 4)
+
+
+add("run_group", _grouped, f"SELECT round(sum(value), 4) AS value FROM ({oracle.rule('arm', 'event', beta(4, 1), 150, SEED, digits=12)}) WHERE player IN (1, 2)")
+
+
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attrispark.sources.training import Training, training_game
+
+    rows = games.read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(48).collect()
+    x, y = [r["embedding"] for r in rows], [r["label"] % 2 for r in rows]
+    game = training_game(spark, Training(x[:8], y[:8], x[8:], y[8:], 2, "cross_entropy"))
+    return rounded(exact.enumerated(game, SHAPLEY), 8)
+
+
+add("training_shapley", _training)
+
 # Random games.
 
 add("random_terms_plain", lambda spark, d: rounded(games.random_terms(spark, 20, 500, 42).terms, 6, "w"), f"WITH {oracle.samples(est.Law({s: 1.0 for s in range(1, 20)}), 20, 500, 42)} SELECT mask, round(sum((2e0 * {draws.uniform_sql('k', repr('w'), 42)} - 1e0) * 20), 6) AS w FROM smp GROUP BY 1")

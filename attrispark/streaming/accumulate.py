@@ -19,6 +19,7 @@ def running_values(evaluated: DataFrame, n: int) -> DataFrame:
 def windowed_terms(events: DataFrame, time: str, group: list[str], player: str, measure: str, width: str, late: str) -> DataFrame:
     """Unanimity terms (window, group..., mask, w) of a stream of facts, one per group and tumbling window, closed by the watermark."""
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(player).cast("int"))
+    events = events.withColumn(time, F.col(time).cast("timestamp"))  # a watermark needs a time with a zone
     return events.withWatermark(time, late).groupBy(F.window(time, width), *group).agg(F.bit_or(one).alias("mask"), F.sum(measure).alias("w"))
 
 
