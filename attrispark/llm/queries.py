@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracle
 from .divergence import quality_rules
 from .lattice import dedup_embeddings
 from .licenses import scan_licenses, scan_sql
@@ -98,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": oracle.EMBEDDINGS.replace("WITH v AS", "WITH RECURSIVE v AS", 1),
+    "op3_substring_dedup": oracle.SUBSTRINGS,
+    "op5_quality_rules": oracle.quality_rules(),
     "op10_license_scan": scan_sql(),
     "op8_source_mixing": f"""
 WITH d AS (
