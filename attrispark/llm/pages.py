@@ -27,6 +27,8 @@ DEPTH = 64
 SHARE = 0.7
 #: Text directly in a page's body below this share of it is stray.
 STRAY = 0.05
+#: Parts that a host's pages are dealt into for re-extraction; its paths are sent to each.
+PARTS = 16
 #: A page leaves its host's path where that holds less than this share of its own choice.
 LEAST = 0.25
 
@@ -242,8 +244,10 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     votes = pages.select(host.alias("host"), F.col(f"`{html_col}`")).mapInArrow(vote, "host string, path string, counts boolean").where("counts").groupBy("host", "path").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
     winners = votes.withColumn("r", rank).where(F.col("r") <= PATHS).groupBy(F.col("host").alias("_host")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("_paths"))
-    dealt = pages.select(host.alias("_host"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
-    joined = dealt.join(winners, "_host", "left").select("_paths", "_row")
+    # In turn, so that a host or a page that many rows repeat is spread as well.
+    dealt = pages.select(host.alias("_host"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int").alias("_part"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
+    spread = winners.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    joined = dealt.join(spread, ["_host", "_part"], "left").select("_paths", "_row")
     out = T.StructType([f for f in pages.schema.fields if f.name != text_col] + [T.StructField(text_col, T.StringType())])
 
     def again(batches):
