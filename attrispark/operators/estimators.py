@@ -107,10 +107,15 @@ def population(spark, law: Law, players: int) -> DataFrame:
 
 def worth(game, samples: DataFrame, null_player: bool = False) -> DataFrame:
     """samples with u; a null player's bit is taken off before the game sees the mask."""
+    in_place = getattr(game, "attach", lambda *_: None)
     if not null_player:
-        return samples.join(game.evaluate(samples), "mask")
+        found = in_place(samples)
+        return samples.join(game.evaluate(samples), "mask") if found is None else found
     bare = samples.withColumn("bare", F.col("mask").bitwiseAND(F.lit(game.full)))
-    return bare.join(game.evaluate(bare.select(F.col("bare").alias("mask"))).withColumnRenamed("mask", "bare"), "bare").drop("bare")
+    found = in_place(bare, "bare")
+    if found is None:
+        found = bare.join(game.evaluate(bare.select(F.col("bare").alias("mask"))).withColumnRenamed("mask", "bare"), "bare")
+    return found.drop("bare")
 
 
 # ------------------------------------------------------------ mean and ratio rows

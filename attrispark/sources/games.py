@@ -13,10 +13,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from math import ceil
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from attrispark.functions import draws
+from attrispark.functions.ship import ship
 
 #: Up to so many players all coalitions are tabulated; beyond, only those asked for.
 TABLE_PLAYERS = 16
@@ -40,7 +43,7 @@ class TermsGame:
     n: int
     terms: DataFrame
     name: str = ""
-    _table: DataFrame | None = field(default=None, repr=False)
+    _known: list = field(default_factory=list, repr=False)
 
     @property
     def full(self) -> int:
@@ -62,21 +65,54 @@ class TermsGame:
             out = out.select(_with_player(i).alias("v"))
         return out.select(F.posexplode("v").alias("mask", "u")).select(F.col("mask").cast("bigint"), "u")
 
+    def _arrays(self):
+        """The terms as arrays where they are few enough to travel with every task, else None; counted once."""
+        if not self._known:
+            rows = self.terms.select("mask", "w").limit(SMALL_TERMS + 1).toPandas()
+            self._known = [(rows["mask"].to_numpy(np.int64), rows["w"].to_numpy(np.float64)) if len(rows) <= SMALL_TERMS else None]
+        return self._known[0]
+
+    def attach(self, samples: DataFrame, column: str = "mask") -> DataFrame | None:
+        """samples with u, evaluated in place, where coalitions are too many to repeat often and terms few; else None.
+
+        Blocks of masks meet blocks of terms in arrays: no shuffle and no pair of them becomes a row.
+        """
+        arrays = self._arrays() if self.n > 12 else None
+        if arrays is None:
+            return None
+        ship(self.spark)
+        masks_of, weights = arrays
+        names = samples.columns
+        at = names.index(column)
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                masks = batch.column(at).to_numpy()
+                u = np.zeros(len(masks))
+                for lo in range(0, len(masks), 1024):
+                    for t in range(0, len(masks_of), 1024):
+                        terms = masks_of[t : t + 1024]
+                        u[lo : lo + 1024] += ((masks[lo : lo + 1024, None] & terms) == terms) @ weights[t : t + 1024]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u)], names=[*names, "u"])
+
+        return samples.mapInArrow(run, T.StructType([*samples.schema.fields, T.StructField("u", T.DoubleType())]))
+
     def evaluate(self, masks: DataFrame) -> DataFrame:
         """(mask, u) of the distinct masks asked for; each is evaluated once however often it was sampled."""
         asked = masks.select("mask").distinct()
         if self.n <= 12:
             return asked.join(F.broadcast(self.table()), "mask")  # at most 4096 rows
+        if (found := self.attach(asked)) is not None:
+            return found
         inside = F.col("t_mask").bitwiseAND(F.col("mask")) == F.col("t_mask")
         terms = self.terms.select(F.col("mask").alias("t_mask"), "w")
-        count = terms.count()
-        if count <= SMALL_TERMS:
-            joined = asked.join(F.broadcast(terms), inside, "left")
-        else:  # an equi-join on the chunk keeps the nested loop inside tasks of bounded size
-            chunks = ceil(count / SMALL_TERMS)
-            dealt = terms.withColumn("chunk", F.pmod(F.xxhash64("t_mask"), F.lit(chunks)).cast("int"))
-            spread = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-            joined = spread.join(dealt, (spread["chunk"] == dealt["chunk"]) & inside, "left").drop("chunk")
+        # An equi-join on the chunk keeps the nested loop inside tasks of bounded size.
+        chunks = ceil(terms.count() / SMALL_TERMS)
+        dealt = terms.withColumn("chunk", F.pmod(F.xxhash64("t_mask"), F.lit(chunks)).cast("int"))
+        spread = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        joined = spread.join(dealt, (spread["chunk"] == dealt["chunk"]) & inside, "left").drop("chunk")
         return joined.groupBy("mask").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("u"))
 
     def bounds(self) -> tuple[float, float]:

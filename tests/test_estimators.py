@@ -146,7 +146,9 @@ def test_large_term_tables_are_met_in_chunks(spark, monkeypatch):
     masks = est.sample(spark, est.Law(coin=0.7), 20, 50, 1)
     whole = {r["mask"]: r["u"] for r in game.evaluate(masks).collect()}
     monkeypatch.setattr(games, "SMALL_TERMS", 40)
-    parts = {r["mask"]: r["u"] for r in game.evaluate(masks).collect()}
+    chunked = games.random_terms(spark, 20, 300, 9)
+    assert chunked.attach(masks) is None
+    parts = {r["mask"]: r["u"] for r in chunked.evaluate(masks).collect()}
     assert whole.keys() == parts.keys()
     assert all(parts[m] == pytest.approx(u) for m, u in whole.items())
 
