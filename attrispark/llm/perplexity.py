@@ -13,9 +13,11 @@ exceeds a quantile of its language's held-out trusted documents.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +29,11 @@ ORDER = 5
 BITS = 12
 #: One trusted document in so many is kept out of the model; thresholds come from these.
 HOLDOUT = 8
-#: Quantile of held-out perplexities, and what its logarithm is multiplied by before a document is rejected.
-QUANTILE, SLACK = 0.99, 1.2
+#: Quantile of held-out perplexities, and what its logarithm is multiplied by before a document is rejected: 1 is the quantile itself.
+QUANTILE, SLACK = 0.99, 1.0
 #: A text of n characters may exceed the threshold on log perplexity by this over the root of n: two deviations of a mean of n terms.
 SHORT = 4.0
-#: A language with fewer held-out documents takes the larger of its own and the overall quantile.
+#: Fewer held-out documents than this have no such quantile; it is then estimated from their mean and deviation.
 FEW = 50
 #: Larger blocks repeat fewer n-grams.
 BLOCK_BYTES = 24 << 20
@@ -260,23 +262,36 @@ def score_perplexity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return joined.select(*[F.col(f"`{f.name}`") for f in out.fields if f.name not in computed], "perplexity", F.col("_trusted_id").isNotNull().alias("held_out"))
 
 
+def _bound(n: Column, mean: Column, deviation: Column, quantile: float) -> Column:
+    """What a further value exceeds with chance 1 - quantile, from n normal values; null for fewer than two."""
+    z, v = NormalDist().inv_cdf(quantile), n - 1
+    t = z + (z**3 + z) / (4 * v) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * v**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * v**3)
+    return F.when(n > 1, mean + t * deviation * F.sqrt(1 + 1 / n))
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(id, perplexity, threshold, kept) per row: rejected where the perplexity exceeds the document's threshold.
 
     Log threshold: slack times the language's quantile of held-out log
     perplexities, each less SHORT / sqrt(characters), plus the document's own
     SHORT / sqrt(characters).  A language with fewer than FEW held-out
-    documents (null among them) takes the larger of its own and the overall
-    quantile; without any, everything with text is kept.  Null and empty texts
-    have no perplexity and are rejected.
+    documents (null among them) takes the bound for a further document by
+    their mean and deviation, or the overall quantile if that is less, but no
+    less than its own sample quantile; the overall quantile is such a bound
+    too where all held-out documents are fewer than FEW.  Without any,
+    everything with text is kept.  Null and empty texts have no perplexity and
+    are rejected.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.char_length(F.col(f"`{text_col}`")).alias("n"))
     scored = cl.cut(score_perplexity(slim, labels, "id", "text", order).select("id", "lang", "perplexity", "held_out", (F.lit(SHORT) / F.sqrt(F.greatest("n", F.lit(1)))).alias("short")))
     good = scored.where("held_out and perplexity is not null").withColumn("p", F.log("perplexity") - F.col("short"))
-    by_lang = good.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("p", quantile, 100_000).alias("own"), F.count("*").alias("n"))
-    overall = F.lit(good.agg(F.percentile_approx("p", quantile, 100_000).alias("q")).first()["q"]).cast("double")
+    found = [F.percentile_approx("p", quantile, 100_000).alias("own"), F.count("*").alias("n"), _bound(F.count("*"), F.avg("p"), F.stddev_samp("p"), quantile).alias("bound")]
+    by_lang = good.groupBy(F.col("lang").alias("_lang")).agg(*found)
+    overall = good.agg(*found).first()
+    overall = overall["own"] if overall["n"] >= FEW or overall["bound"] is None else max(overall["own"], overall["bound"])
     joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    threshold = F.exp(F.when(F.col("n") >= FEW, F.col("own")).otherwise(F.greatest("own", overall)) * slack + F.col("short"))
+    least = F.when(F.col("n") >= FEW, F.col("own")).otherwise(F.greatest("own", F.least("bound", F.lit(overall).cast("double"))))
+    threshold = F.exp(least * slack + F.col("short"))
     return joined.select("id", "perplexity", threshold.alias("threshold")).withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 

@@ -223,6 +223,25 @@ def test_perplexity(spark):
     assert all(r["kept"] == bool(texts[r["id"]]) for r in unlabelled)
 
 
+def test_thresholds_are_held_out_quantiles(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = perplexity.score_perplexity(docs, labels).select("doc_id", "lang", "perplexity", "held_out", F.char_length("text").alias("n")).collect()
+    short = {r["doc_id"]: perplexity.SHORT / math.sqrt(max(1, r["n"] or 0)) for r in rows}
+    lang, held = {r["doc_id"]: r["lang"] for r in rows}, collections.defaultdict(list)
+    for r in rows:
+        if r["held_out"] and r["perplexity"] is not None:
+            held[r["lang"]].append(math.log(r["perplexity"]) - short[r["doc_id"]])
+    large = {g: sorted(v)[math.ceil(perplexity.QUANTILE * len(v)) - 1] for g, v in held.items() if len(v) >= perplexity.FEW}
+    assert len(large) >= 3
+    verdict = {r["id"]: r for r in perplexity.classify_quality(docs, labels).collect()}
+    for i, r in verdict.items():
+        if lang[i] in large:
+            assert math.log(r["threshold"]) == pytest.approx(large[lang[i]] + short[i], rel=1e-6)
+    junk = [i for i, in labels.where("quality = 0").select("doc_id").collect()]
+    assert sum(not verdict[i]["kept"] for i in junk) >= 0.93 * len(junk)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
