@@ -54,9 +54,10 @@ def _pieces(texts: list[bytes], length: int):
         if len(data) <= 2 * w.CHUNK:
             yield first, 0, data, offsets
         else:
+            owner = first + int(np.diff(offsets).argmax())  # the one text of the batch that isn't empty
             for at in range(0, len(data) - length + 1, w.CHUNK):
                 part = data[at : at + w.CHUNK + length - 1]
-                yield first, at, part, np.array([0, len(part)])
+                yield owner, at, part, np.array([0, len(part)])
 
 
 def anchors(texts: list[bytes], length: int, gram: int):

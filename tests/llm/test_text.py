@@ -65,6 +65,20 @@ def test_suffixes(docs):
     assert got == want
 
 
+def test_suffixes_of_a_very_long_text_after_empty_ones(spark):
+    rng = np.random.default_rng(12)
+    passage = "".join(rng.choice(list("abcdefgh"), 500))
+    noise = lambda n: "".join(rng.choice(list("ijklmnopqrstuvwxyz"), n))
+    long = noise(300_000) + passage + noise(300_000) + passage + noise(1000)
+    rows = [(0, None), (1, ""), (2, long), (3, "short " + passage), (4, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    # One block, in the order of ids, is where the empty texts lead.
+    a = suffixes.anchors([(t or "").encode() for _, t in rows], 400, 128)
+    assert set(a[0].tolist()) == {2, 3} and a[1].max() > 1 << 19
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.dedup_suffixes(table).collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 0, 0), 2: (len(long), 1000, 2), 3: (506, 500, 1), 4: (0, 0, 0)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(max_size=12), max_size=8), max_size=7))
 def test_loser_tree_sorts_and_knows_prefixes(runs):
