@@ -106,6 +106,20 @@ def test_quality_rules(spark):
     assert divergence.quality_rules(table.limit(0)).collect() == []
 
 
+def test_quality_rules_judge_every_language(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join(rng.choice("the of and Word other thing, is été a in to that it was for on are with as be".split(), n))
+    texts = [*(prose(120) for _ in range(6)), " ".join(f"$$$ {x}###" for x in prose(110).split()), " ".join(f"longerthaneight{k}" for k in range(120))]
+    languages = divergence.LANGUAGES + 30
+    table = spark.createDataFrame([(8 * n + k, t, f"l{n}") for n in range(languages) for k, t in enumerate(texts)] + [(-1, texts[-1], "no common words")], "doc_id bigint, text string, lang string")
+    got = {r["id"]: (r["class_distance"], r["word_distance"], r["kept"]) for r in divergence.quality_rules(table).collect()}
+    assert len(got) == 8 * languages + 1 and got[-1] == (0, 0, True)
+    assert got[0][2] and not got[7][2]
+    for n in range(languages):
+        for k in range(8):
+            assert got[8 * n + k] == got[k] and None not in got[k]
+
+
 def test_jensen_shannon_distance(spark):
     row = spark.range(1).select(divergence.distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("far"), divergence.distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("near")).first()
     assert row["far"] == pytest.approx(1) and row["near"] == 0
