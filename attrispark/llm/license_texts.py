@@ -1,4 +1,6 @@
-"""The wording of well-known permissive licences, by SPDX name."""
+"""The wording of well-known licences, by SPDX name; the longer ones are in license_texts_whole."""
+
+from .license_texts_whole import WHOLE
 
 # ruff: noqa: E501
 TEXTS: dict[str, str] = {
@@ -83,6 +85,7 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
 """,
 }
+TEXTS |= WHOLE
 
 #: Lines that differ between copies of one licence: its title alone on a line.
 TITLES = ("mit license", "the mit license", "the mit license mit", "mit license mit", "isc license", "bsd zero clause license", "bsd 2 clause license", "bsd 3 clause license", "simplified bsd license", "new bsd license", "zlib license", "the unlicense")

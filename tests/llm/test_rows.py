@@ -133,6 +133,19 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
+def test_whole_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause-UC", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    rows = []
+    for file, name in names.items():
+        with open(f"/usr/share/common-licenses/{file}") as f:
+            text = f.read()
+        rows += [(name, text), (name, text.upper().replace("\n\n", "\r\n \r\n")), (None, text[: len(text) // 2])]
+        if "END OF TERMS AND CONDITIONS" in text:
+            rows.append((f"{name}-terms", text[: text.index("END OF TERMS AND CONDITIONS") + 27]))
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")).collect()
+    assert {r["id"]: r["license_id"] for r in got} == {i: name for i, (name, _) in enumerate(rows)}
+
+
 def fill(sizes, weights, total):
     """Targets by filling up one source after the other."""
     open_, target = set(sizes), {}
