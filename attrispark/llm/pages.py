@@ -23,8 +23,8 @@ from . import _cluster as cl
 PATHS = 5
 #: Containers nested deeper count as part of the one at this depth.
 DEPTH = 64
-#: A container stands for its parent where it holds this share of the parent's score.
-SHARE = 0.7
+#: A container stands for its parent where it holds this share of the parent's score; and where only the size of a page's own choice counts.
+SHARE, ROUGH = 0.9, 0.7
 #: Text directly in a page's body below this share of it is stray.
 STRAY = 0.05
 #: Parts that a host's pages are dealt into for re-extraction; its paths are sent to each.
@@ -54,6 +54,8 @@ SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "t
 BOILERPLATE = re.compile(
     r"(?:ad|ads|adv|adsense|adslot|adunit|advert\w*|sponsor\w*|promo\w*|banner\w*|side|sidebar\w*|nav|navbar\w*|navigation|menu\w*|breadcrumb\w*|footer\w*|foot|cookie\w*|consent\w*|gdpr|privacy|notice\w*|notification\w*|alert\w*|popup\w*|modal\w*|overlay\w*|newsletter\w*|subscri\w*|signup|login|comment\w*|disqus\w*|reply|replies|respond|discussion|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|pager|pagination|copyright|skip|toolbar\w*|masthead|topbar|disclaimer)"
 )
+#: Such text is what its name says, however much of the page it holds.
+DISCUSSION = re.compile(r"(?:comment\w*|disqus\w*|reply|replies|respond|discussion)")
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 PLAIN = frozenset("html body article main".split())
 
@@ -86,13 +88,31 @@ def _boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return False
 
 
+def _mixed(attrs: dict[str, str]) -> bool:
+    """Whether a name that marks boilerplate also has words that don't, and none of discussion."""
+    names = [re.findall(r"[a-z]+", x) for x in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split()]
+    marked = [n for n in names if any(BOILERPLATE.fullmatch(x) or x == "header" for x in n)]
+    return all(any(not BOILERPLATE.fullmatch(x) and x != "header" for x in n) and not any(DISCUSSION.fullmatch(x) for x in n) for n in marked)
+
+
 def parse(html: str) -> tuple[list[tuple[str, Box]], list[Box]]:
-    """(text blocks with their containers, containers) in page order, without boilerplate."""
+    """(text blocks with their containers, containers) in page order, without boilerplate.
+
+    An element that holds most of the page's text outside links isn't dropped
+    for one word of its class or id.
+    """
+    blocks, boxes, spared = _parse(html, frozenset())
+    return _parse(html, spared)[:2] if spared else (blocks, boxes)
+
+
+def _parse(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, Box]], list[Box], frozenset[int]]:
+    """Text blocks, containers, and the places of elements that would have to be spared."""
     root = Box("", None, "")
-    boxes, blocks, stack = [root], [], []  # stack: (tag, box, dropped, link)
+    boxes, blocks, stack = [root], [], []  # stack: (tag, box, dropped, link, place and text before it of a name to be judged)
     parts: list[str] = []
     linked = 0
     box, dropped, link, article = root, False, False, 0
+    total, judged = 0, []  # characters outside links; (characters, place) of elements that their name marks
 
     def flush():
         nonlocal linked
@@ -111,12 +131,16 @@ def parse(html: str) -> tuple[list[tuple[str, Box]], list[Box]]:
 
     def pop():
         nonlocal box, dropped, link, article
-        tag, box, dropped, link = stack.pop()
+        tag, box, dropped, link, name = stack.pop()
+        if name:
+            judged.append((total - name[1], name[0]))
         if tag == "article":
             article -= 1
 
     at = 0
     for m in _TOKEN.finditer(html):
+        if m.start() > at and not link:
+            total += len(html[at : m.start()].strip())
         if m.start() > at and not dropped:
             text = unescape(html[at : m.start()])
             parts.append(text)
@@ -156,10 +180,14 @@ def parse(html: str) -> tuple[list[tuple[str, Box]], list[Box]]:
                 elif open_tag in SCOPES.get(tag, ()) or open_tag not in INLINE and tag not in CLOSES:
                     break
         attrs = _attributes(m["attr"] or m["attr2"] or "")
-        stack.append((tag, box, dropped, link))
+        outer = (tag, box, dropped, link)
         if tag == "article":
             article += 1
-        if not dropped and _boilerplate(tag, attrs, article > 0):
+        marked, name = _boilerplate(tag, attrs, article > 0), None
+        if marked and not spared and not _boilerplate(tag, {k: v for k, v in attrs.items() if k not in ("class", "id")}, article > 0) and _mixed(attrs):
+            name = (m.start(), total)
+        stack.append((*outer, name))
+        if marked and m.start() not in spared:
             dropped = True
         if tag == "a":
             link = True
@@ -167,13 +195,17 @@ def parse(html: str) -> tuple[list[tuple[str, Box]], list[Box]]:
             names = ".".join(sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").lower().split()))
             box = Box(f"{box.path}/{tag}.{names}" if names else f"{box.path}/{tag}", box, tag)
             boxes.append(box)
+    if not link:
+        total += len(html[at:].strip())
     if not dropped:
         parts.append(unescape(html[at:]))
     flush()
-    return blocks, boxes
+    while stack:
+        pop()
+    return blocks, boxes, frozenset(place for n, place in judged if 2 * n > total)
 
 
-def best_path(boxes: list[Box]) -> tuple[str, float]:
+def best_path(boxes: list[Box], share: float = SHARE) -> tuple[str, float]:
     """The deepest container that holds most of what its parents hold, and its score.
 
     Goes no deeper than an article, nor past a container with blocks of its
@@ -186,7 +218,7 @@ def best_path(boxes: list[Box]) -> tuple[str, float]:
     while True:
         inner = max(children.get(id(at), ()), key=lambda b: (b.score, b.tag == "article"), default=None)
         outer = at.tag in ("", "html", "body") and at.own < STRAY * at.score
-        if inner is None or inner.score < SHARE * at.score or not inner.score or at.tag == "article" or at.own and not outer:
+        if inner is None or inner.score < share * at.score or not inner.score or at.tag == "article" or at.own and not outer:
             return at.path, at.score
         at = inner
 
@@ -209,7 +241,7 @@ def extract(html: str | None, paths: list[str]) -> str:
     if not html:
         return ""
     blocks, boxes = parse(html)
-    own, score = best_path(boxes)
+    own, score = best_path(boxes)[0], best_path(boxes, ROUGH)[1]
     held: dict[str, float] = {}
     for b in boxes:
         up = b.parent

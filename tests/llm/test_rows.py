@@ -83,6 +83,17 @@ def test_host_consensus_overrules_a_page_of_its_own_mind(spark):
     assert got[9] == ("article " * 20).strip()
 
 
+def test_names_of_wrappers_and_sibling_sections_lose_no_article():
+    text = ("text " * 60).strip()
+    for name in ("content-sidebar-wrap", "layout-with-sidebar"):
+        page = f'<body><header>Site</header><div class="{name}"><article><h1>Head</h1><p>{text}</p></article><div class="sidebar"><p>side</p></div></div></body>'
+        assert pages.extract(page, []) == "Head\n" + text
+    assert pages.extract(f'<body><article><p>article</p></article><div class="post-comments"><p>{text}</p></div></body>', []) == "article"
+    more = ("more " * 20).strip()
+    page = f'<body><main><div class="part-a"><p>{text}</p></div><div class="part-b"><p>{more}</p></div></main></body>'
+    assert pages.extract(page, []) == text + "\n" + more
+
+
 def rules_by_hand(text):
     found = WORD.findall(text or "")
     count = collections.Counter(tuple(found[k : k + 3]) for k in range(len(found) - 2))
