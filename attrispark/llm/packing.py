@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces after a Martello-Toth dominance reduction.
 
-Documents are tokenised where they are read, a word at a time through a bounded
-cache; only (id, piece, length, checksum) rows move.  Rows are dealt into
+Documents are tokenised where they are read: the different words of some MB of
+text are looked up in a bounded cache, and ids are laid out by array takes; only (id, piece, length, checksum) rows move.  Rows are dealt into
 bundles of bounded size by hash, and each bundle is packed on its own, so no
 task grows with the input; a bundle wastes at most a part of one sequence more
 than a global packing.
@@ -10,12 +10,11 @@ than a global packing.
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,52 +23,142 @@ from . import _cluster as cl
 
 CAPACITY = 4096
 END_ID = 1
-#: Documents in a bundle; a bundle's rows fit a small part of a task's memory.
+#: Pieces in a bundle at most; a bundle's rows fit a small part of a task's memory.
 BUNDLE = 1 << 16
 BUNDLE_WITH_IDS = 1 << 12
-#: Words whose ids a worker remembers.
-CACHE = 1_000_000
+#: Words whose ids a worker remembers, and bytes of text whose words are looked up together.
+CACHE, TEXT_BYTES = 1_000_000, 8 << 20
+#: Words that the tokenizer is given in one string, and what stands between them: a special token, found before anything else.
+JOINED, BETWEEN = 1000, b"<|endoftext|>"
 
-_FAR = re.compile(rb"[\xc6-\xff]")
-_TOKENIZERS: dict = {}
+_ENDS = np.isin(np.arange(256), list(b".,;:!?"))
+_PLAIN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
 
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path), {}
-    return _TOKENIZERS[path]
-
-
-def _words(text: bytes) -> list[bytes]:
-    """Words of a text, in lower case where that can't change its ids.
-
-    The tokenizer composes characters, then folds case.  Below U+0180 nothing
-    composes, so the order doesn't matter there; the names of special tokens
-    are matched before either.
-    """
-    return text.split() if _FAR.search(text) or b"<|" in text else text.lower().split()
-
-
-def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers.
+class WordIds:
+    """Ids of words, by the number of each word met: number 0 has none, 1 has the closing id.
 
     The tokenizer drops white space and never joins characters across it, so a
     text's ids are those of its words one after the other.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHE:
-        known.clear()
-    words = [_words(t) if t else [] for t in texts]
-    new = list(set().union(*words).difference(known))
-    for at in range(0, len(new), 1 << 14):
-        part = new[at : at + (1 << 14)]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            ids = e.ids
-            known[w] = pack_ids(f"<{len(ids)}I", *ids)
-    return [b"".join(map(known.__getitem__, ws)) for ws in words]
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(BETWEEN.decode())
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {b"": 0}
+        self.ids = np.array([END_ID], "<u4")
+        self.size = np.array([0, 1], np.int64)
+        self.start = np.array([0, 0], np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Gives each of the new words a number."""
+        found, sizes = [], []
+        plain = self.between is not None
+        loose = [w for w in words if not plain or b"<|" in w]
+        joined = [w for w in words if plain and b"<|" not in w]
+        parts = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([BETWEEN.join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ids == self.between)
+            found.append(np.delete(ids, ends))
+            sizes.append(np.diff(ends, prepend=-1, append=len(ids)) - 1)
+            if len(sizes[-1]) != len(part):
+                raise ValueError("the tokenizer joins words across its special token")
+        for e in self.tokenizer.encode_batch_fast([w.decode() for w in loose], add_special_tokens=False):
+            found.append(np.array(e.ids, "<u4"))
+            sizes.append(np.array([len(e.ids)]))
+        base = len(self.size)
+        self.number.update(zip(joined + loose, range(base, base + len(words)), strict=True))
+        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *found])
+
+    def of(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers of each of the different words: its ids are those of the first, then those of the second.
+
+        The tokenizer composes characters, then folds case.  Below U+0180
+        nothing composes, so the order doesn't matter there; the names of
+        special tokens are matched before either.  A mark that ends a word
+        after an ASCII letter or digit is cut from it by the tokenizer itself.
+        """
+        if len(self.number) > CACHE:
+            self.clear()
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        odd = np.zeros(len(words), bool)  # words with far characters, or that may name a special token
+        odd_at = np.flatnonzero((data >= 0xC6) | (data == ord("<")))
+        odd[np.searchsorted(offsets, odd_at, side="right") - 1] = True
+        upper = (data >= ord("A")) & (data <= ord("Z")) & ~np.repeat(odd, np.diff(offsets))
+        data = data + upper.astype(np.uint8) * np.uint8(32)
+        size = np.diff(offsets)
+        at = offsets[1:][size > 1]
+        cut = np.zeros(len(words), bool)
+        cut[size > 1] = _ENDS[data[at - 1]] & _PLAIN[data[at - 2]]
+        cut &= ~odd
+        begins, ends = offsets[:-1].tolist(), (offsets[1:] - cut).tolist()
+        raw = data.tobytes()
+        first = [raw[x:y] for x, y in zip(begins, ends, strict=True)]
+        marks = [bytes([c]) for c in np.unique(data[offsets[1:][cut] - 1]).tolist()]
+        if new := list(set(first).union(marks).difference(self.number)):
+            self.learn(new)
+        by_mark = np.zeros(256, np.int64)
+        for m in marks:
+            by_mark[m[0]] = self.number[m]
+        second = np.zeros(len(words), np.int64)
+        second[cut] = by_mark[data[offsets[1:][cut] - 1]]
+        return np.fromiter(map(self.number.__getitem__, first), np.int64, len(words)), second
+
+    def flat(self, numbers: np.ndarray) -> np.ndarray:
+        return expand(self.ids, self.start[numbers], self.size[numbers])
+
+
+def expand(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of each pair, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+_KNOWN: dict[str, WordIds] = {}
+
+
+def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the texts, each with the closing id, and where each begins (one more than there are texts)."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    known = _KNOWN[path]
+    split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    words = split.flatten().dictionary_encode()
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    first, second = known.of(words.dictionary.cast(pa.large_binary()))
+    # Of each different word: where its ids begin among those of all different words, and how many they are.
+    both = np.stack([first, second], axis=1).reshape(-1)
+    distinct, size = known.flat(both), known.size[both].reshape(-1, 2).sum(axis=1)
+    begin = np.cumsum(size) - size
+    distinct, begin, size = np.append(distinct, np.uint32(END_ID)), np.append(begin, len(distinct)), np.append(size, 1)
+    bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+    at = np.insert(words.indices.to_numpy(), bounds[1:], len(size) - 1)  # a closing id after each text
+    ends = bounds[1:] + np.arange(1, len(bounds))
+    total = np.concatenate([[0], np.cumsum(size[at])])
+    return expand(distinct, begin[at], size[at]), np.concatenate([[0], total[ends]])
+
+
+def parts_of(texts: pa.Array, most: int = TEXT_BYTES):
+    """Slices of texts of about `most` bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield at, texts.slice(at, to - at)
+        at = to
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -81,32 +170,36 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
-    step, close = 4 * capacity, np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            for at in range(0, batch.num_rows, 256):
-                rows = [[] for _ in fields]
-                for i, ids in enumerate(token_bytes(texts[at : at + 256].to_pylist(), tokenizer_path)):
-                    ids += close
-                    for piece, begin in enumerate(range(0, len(ids), step)):
-                        part = ids[begin : begin + step]
-                        for column, value in zip(rows, (at + i, piece, begin // 4, len(part) // 4, zlib.crc32(part), part), strict=False):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:5]), *([pa.array(rows[5], pa.binary())] if with_ids else [])], names=[f.name for f in fields])
+            for at, texts in parts_of(batch.column(1)):
+                ids, bounds = token_ids(texts, tokenizer_path)
+                size = np.diff(bounds)
+                pieces = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                raw, begin = memoryview(ids).cast("B"), 4 * (bounds[row] + start)
+                spans = list(zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True))
+                crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in spans), np.int64, len(row))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), *([pa.array([raw[a:b].tobytes() for a, b in spans], pa.binary())] if with_ids else [])], names=[f.name for f in fields])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, T.StructType(fields))
 
 
 def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fixes the sets that dominate every other set holding their largest length, and takes them out of counts.
-
-    counts[l]: pieces of length l.  A set with piece j dominates all others
-    with j if whatever fits beside j could be swapped for what it holds:
-    {j, k} where k fills the rest exactly; {j, k} with the largest fitting k
-    where no two pieces fit beside j; {j} where none fits.  Repeats until
-    nothing more is dominated.  Gives (lengths, times).
+    """Fixes sets of up to three pieces that dominate every other set holding their largest piece j, and takes them out of counts.
+
+    counts[l]: pieces of length l.  A set with j dominates all others with j
+    if whatever else fits beside j could be swapped, part by part, for what it
+    holds: {j, k} where k fills the rest exactly; {j} where nothing fits;
+    {j, k} with the largest fitting k where no two pieces fit beside j, or where
+    no three fit and no two hold more than k; {j, k, m} where no three fit, m is
+    the largest that fits beside j and k, and no two pieces larger than m fit.
+    Every length is tried, from the largest, until nothing more is dominated.
+    Gives (lengths, times).
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
     if counts[capacity]:
@@ -119,32 +212,69 @@ def reduce_dominated(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int,
             fixed.append(((l, k), n))
             counts[l] -= n
             counts[k] -= n
-    while True:
-        there = np.flatnonzero(counts)
-        if not len(there):
-            break
-        j = int(there[-1])
-        rest = capacity - j
-        counts[j] -= 1
-        least = np.flatnonzero(counts)
-        beside = least[least <= rest]
-        if not len(beside):
-            times = int(counts[j]) + 1 if 2 * j > capacity else 1
-            fixed.append(((j,), times))
-            counts[j] -= times - 1
-            continue
-        smallest = int(least[0])
-        second = smallest if counts[smallest] > 1 else int(least[1]) if len(least) > 1 else capacity + 1
-        if smallest + second > rest:
-            k = int(beside[-1])
-            fixed.append(((j, k), 1))
-            counts[k] -= 1
-            continue
-        counts[j] += 1
-        break
+    changed = True
+    while changed:
+        changed = False
+        least = _smallest(counts, 3)
+        # Where three pieces fit beside j nothing can be said, so only lengths beyond this are tried.
+        for j in np.flatnonzero(counts)[::-1].tolist():
+            if len(least) == 3 and j <= capacity - sum(least):
+                break
+            while counts[j]:
+                counts[j] -= 1
+                beside = _dominating(counts, capacity - j)
+                if beside is None:
+                    counts[j] += 1
+                    break
+                for k in beside:
+                    counts[k] -= 1
+                fixed.append(((j, *beside), 1))
+                changed = True
+            least = _smallest(counts, 3)
     return fixed
 
 
+def _smallest(counts: np.ndarray, most: int) -> list[int]:
+    """The lengths of the `most` smallest pieces, repeats included."""
+    found: list[int] = []
+    for l in np.flatnonzero(counts)[:most].tolist():
+        found += [l] * min(most - len(found), int(counts[l]))
+        if len(found) == most:
+            break
+    return found
+
+
+def _dominating(counts: np.ndarray, rest: int) -> tuple[int, ...] | None:
+    """What to put into `rest` beside a piece so that no other choice is better, or None where that can't be told."""
+    there = np.flatnonzero(counts[: rest + 1])
+    if not len(there):
+        return ()
+    k = int(there[-1])
+    few = _smallest(counts, 3)
+    if k == rest or len(few) < 2 or few[0] + few[1] > rest:
+        return (k,)
+    if len(few) == 3 and sum(few) <= rest:
+        return None
+    lengths = [l for l in there.tolist() for _ in range(min(2, int(counts[l])))]
+    lo, hi, best = 0, len(lengths) - 1, 0  # the most that two of them hold
+    while lo < hi:
+        if lengths[lo] + lengths[hi] > rest:
+            hi -= 1
+        else:
+            best = max(best, lengths[lo] + lengths[hi])
+            lo += 1
+    if k >= best:
+        return (k,)
+    counts[k] -= 1
+    fits = np.flatnonzero(counts[: rest - k + 1])
+    counts[k] += 1
+    if not len(fits):
+        return None
+    m = int(fits[-1])
+    larger = [l for l in lengths if l > m]
+    return (k, m) if len(larger) < 2 or larger[0] + larger[1] > rest else None
+
+
 def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
     """Best-fit decreasing: each length goes where it leaves the least room."""
     bins: list[list[int]] = []
@@ -213,5 +343,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     ids stay null.  Empty tables give empty results.  Other columns of docs
     are not carried.
     """
-    bundles = max(1, -(-docs.count() // (BUNDLE_WITH_IDS if with_ids else BUNDLE)))
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0)).alias("bytes")).first()
+    most = size["n"] + size["bytes"] // capacity  # pieces: a token takes a byte or more
+    bundles = max(1, -(-most // (BUNDLE_WITH_IDS if with_ids else BUNDLE)))
     return pack(pieces(docs, tokenizer_path, id_col, text_col, capacity, with_ids), bundles, capacity)
