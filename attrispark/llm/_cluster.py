@@ -7,7 +7,10 @@ exchange that several operators use.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
+import shutil
 import tempfile
 
 import numpy as np
@@ -22,24 +25,46 @@ from attrispark.functions.ship import ship  # noqa: F401
 
 #: Uncompressed text of one block; a single longer document has a block of its own size.
 BLOCK_BYTES = 8 << 20
+#: Text whose keys one slice of a hash space answers for.
+SLICE_BYTES = 32 << 20
 
 REQUEST = "_blk int, _slc int, payload binary"
 REPLY = "_slc int, _blk int, kind int, payload binary"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the folder named by spark.checkpoint.dir (a temporary one only where none is set)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Eager reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attrispark-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a folder of this machine only in local mode, where driver and executors are one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+    if "attrispark" not in _LOCAL:
+        _LOCAL["attrispark"] = tempfile.mkdtemp(prefix="attrispark-")
+        atexit.register(shutil.rmtree, _LOCAL["attrispark"], True)
+    return _LOCAL["attrispark"]
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices_for(spark: SparkSession, total: int) -> int:
+    """Slices of a hash space whose keys come from `total` bytes of text: as many as shuffles have partitions, and more where a slice would be too large for a task."""
+    return max(shuffle_partitions(spark), -(-total // SLICE_BYTES))
+
+
 def text_bytes(docs: DataFrame, text: str) -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0)
 

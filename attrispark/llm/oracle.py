@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import divergence as dv
+from . import mixing as mx
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,6 +41,31 @@ SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS
 """
 
 
+#: By digests of all strings of 400 bytes.
+SUFFIXES = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, encode(coalesce(text, '')) AS b FROM documents
+), win AS (
+  SELECT row, p, md5(b[p : p + 399]) AS key FROM (SELECT row, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d WHERE octet_length(b) >= 400)
+), again AS (
+  SELECT row, p FROM (SELECT row, p, count(*) OVER (PARTITION BY key) AS n FROM win) WHERE n > 1
+), edge AS (
+  SELECT row, p, p - coalesce(max(p) OVER (PARTITION BY row ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000) > 400 AS opens FROM again
+), span AS (
+  SELECT row, min(p) AS lo, max(p) + 399 AS hi FROM (SELECT row, p, sum(opens::int) OVER (PARTITION BY row ORDER BY p) AS k FROM edge) GROUP BY row, k
+), gap AS (
+  SELECT row, lo, hi, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS before FROM span
+), cut AS (
+  SELECT row, count(*) AS n_spans, sum(hi - lo + 1) AS n_removed, max(hi) AS last FROM span GROUP BY 1
+), kept AS (
+  SELECT gap.row, string_agg(hex(b[before + 1 : lo - 1]), '' ORDER BY lo) AS x FROM gap JOIN d USING (row) WHERE lo - 1 > before GROUP BY 1
+)
+SELECT doc_id, octet_length(b)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+  sha256(CASE WHEN cut.row IS NULL THEN b ELSE unhex(coalesce(kept.x, '') || CASE WHEN last < octet_length(b) THEN hex(b[last + 1 : octet_length(b)]) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (row) LEFT JOIN kept USING (row)
+"""
+
+
 def quality_rules() -> str:
     classes = list(dv.CLASSES)
     gone = ["regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')"]
@@ -98,3 +124,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND (chars < {dv.LEAST_CHARS} OR coalesce(cdist.dist <= {dv.MOST_CLASSES}, true)) AND (n_words < {dv.LEAST_WORDS} OR coalesce(wdist.dist <= {dv.MOST_WORDS}, true)) AS kept
 FROM judged LEFT JOIN cdist USING (doc_id) LEFT JOIN wdist USING (doc_id)
 """
+
+
+def source_mixing() -> str:
+    """Targets, then the dual's multipliers by recursion over Newton steps, then rounding."""
+    size = f"coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint"
+    pull = "exp(m.mu * x.c)"
+    free = f"z * {pull} < {mx.LIMIT}"
+    z = f"""list_reduce(list_transform(cells, lambda x: x.c::double), lambda z, i: z + (target - list_sum(list_transform(cells, lambda x: x.n * least({mx.LIMIT}::double, z * {pull}))))
+      / list_sum(list_transform(cells, lambda x: CASE WHEN {free} THEN x.n * {pull} ELSE 0 END)), target / list_sum(list_transform(cells, lambda x: x.n * {pull})))"""
+    solved = f"SELECT m.*, s.*, CASE WHEN target > 0 AND target < {mx.LIMIT}::double * source_size THEN {z} END AS z FROM m CROSS JOIN src s"
+    rate = f"(CASE WHEN z IS NOT NULL THEN least({mx.LIMIT}::double, z * {pull}) WHEN target > 0 AND source_size > 0 THEN {mx.LIMIT}::double ELSE 0 END)".replace("m.mu", "mu")
+    when_free = lambda f: f"coalesce(list_sum(list_transform(cells, lambda x: CASE WHEN {free} THEN {f} ELSE 0 END)), 0)".replace("m.mu", "mu")
+    d = "(x.c - mean)"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {size} AS size, md5('mix:' || coalesce(doc_id::varchar, '')) AS h FROM documents
+), dc AS (
+  SELECT *, length(bin(size)) AS c FROM d
+), w AS (
+  SELECT *, {[*map(float, mx.WEIGHTS)]}[1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mx.WEIGHTS)}]::double AS weight FROM (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source)
+), l AS (
+  SELECT *, {mx.LIMIT}::double * source_size AS stop, {mx.LIMIT}::double * source_size / weight AS level FROM w
+), f AS (
+  SELECT *, ({mx.SHARE}::double * sum(source_size) OVER ()
+    - coalesce(sum(stop) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS common FROM l
+), t AS (
+  SELECT source, source_size, CASE WHEN level > common THEN weight * (SELECT arg_min(common, level) FROM f WHERE level > common) ELSE stop END AS target FROM f
+), cell AS (
+  SELECT source, c, sum(size)::double AS n FROM dc GROUP BY 1, 2
+), src AS MATERIALIZED (
+  SELECT t.source, source_size, target, cells, (SELECT sum(n * c) / sum(n) FROM cell) AS mean
+  FROM t JOIN (SELECT source, list({{'c': c, 'n': n}} ORDER BY c) AS cells FROM cell GROUP BY 1) k ON k.source IS NOT DISTINCT FROM t.source
+), m AS (
+  SELECT 0 AS k, 0::double AS mu, {-mx.TILT}::double AS lo, {mx.TILT}::double AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN move >= lo AND move <= hi THEN move WHEN move < lo AND lo = {-mx.TILT} THEN lo WHEN move > hi AND hi = {mx.TILT} THEN hi ELSE (lo + hi) / 2 END, lo, hi FROM (
+    SELECT k, CASE WHEN g > 0 THEN lo ELSE mu END AS lo, CASE WHEN g > 0 THEN mu ELSE hi END AS hi, CASE WHEN h > 0 THEN mu - g / h ELSE mu END AS move FROM (
+      SELECT k, mu, lo, hi, sum(coalesce(list_sum(list_transform(cells, lambda x: x.n * {rate} * {d})), 0)) AS g,
+        sum(CASE WHEN {when_free(f"x.n * {rate}")} > 0 THEN {when_free(f"x.n * {rate} * {d} * {d}")} - {when_free(f"x.n * {rate} * {d}")} ** 2 / {when_free(f"x.n * {rate}")} ELSE 0 END) AS h
+      FROM ({solved} WHERE m.k < {mx.STEPS}) GROUP BY 1, 2, 3, 4
+    )
+  )
+), r AS (
+  SELECT source, source_size, target, x.c AS c, x.n::bigint AS cell, {rate} AS rate FROM (
+    SELECT mu, source, source_size, target, z, unnest(cells) AS x FROM ({solved} WHERE m.k = (SELECT max(k) FROM m))
+  )
+), e AS (
+  SELECT *, floor(rate)::bigint AS whole, round(sum((rate - floor(rate)) * cell) OVER (PARTITION BY source ORDER BY c)) AS upto FROM r
+), p AS (
+  SELECT *, (upto - coalesce(lag(upto) OVER (PARTITION BY source ORDER BY c), 0))::bigint AS extra FROM e
+), o AS (
+  SELECT dc.doc_id, dc.source, dc.size, source_size, target, whole, extra,
+    coalesce(sum(dc.size) OVER (PARTITION BY dc.source, dc.c ORDER BY h, dc.doc_id, dc.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM dc JOIN p ON dc.source IS NOT DISTINCT FROM p.source AND dc.c = p.c
+)
+SELECT doc_id, source, size, source_size, target, (whole * size + greatest(0, least(size, extra - before)))::bigint AS taken FROM o
+"""

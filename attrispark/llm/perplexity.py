@@ -145,7 +145,7 @@ def score_perplexity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     cl.ship(spark)
     total = cl.text_bytes(docs, text_col)
-    slices = cl.shuffle_partitions(spark)
+    slices = cl.slices_for(spark, total)
     blocks_n = max(1, min(slices, -(-total // (4 << 20))), -(-total // BLOCK_BYTES))
     deal = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(blocks_n)).cast("int").alias("_blk")
     blocks = cl.squeezed(docs.select(deal(F.col(id_col)), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")))

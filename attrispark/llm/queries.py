@@ -96,38 +96,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
 }
 
-_SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint"
-
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": oracle.EMBEDDINGS.replace("WITH v AS", "WITH RECURSIVE v AS", 1),
     "op3_substring_dedup": oracle.SUBSTRINGS,
+    "op4_suffix_dedup": oracle.SUFFIXES,
     "op5_quality_rules": oracle.quality_rules(),
     "op10_license_scan": scan_sql(),
-    "op8_source_mixing": f"""
-WITH d AS (
-  SELECT doc_id, source, {_SIZE} AS size, md5('mix:' || coalesce(doc_id::varchar, '')) AS h FROM documents
-), s AS (
-  SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source
-), w AS (
-  SELECT *, [5.0::double, 2.0::double, 1.0::double][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight FROM s
-), l AS (
-  SELECT *, 2.0::double * source_size AS stop, 2.0::double * source_size / weight AS level FROM w
-), f AS (
-  SELECT *, level > (1.5::double * sum(source_size) OVER ()
-    - coalesce(sum(stop) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
-    (1.5::double * sum(source_size) OVER ()
-    - coalesce(sum(stop) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (ORDER BY level, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS common FROM l
-), t AS (
-  SELECT source, source_size, CASE WHEN open THEN weight * (SELECT arg_min(common, level) FROM f WHERE open) ELSE stop END AS target FROM f
-), o AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-    CASE WHEN t.target >= 2.0::double * t.source_size THEN 2 WHEN t.target >= t.source_size THEN 1 ELSE 0 END AS whole
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, source, size, source_size, target,
-  (whole * size + greatest(0, least(size, round(target)::bigint - whole * source_size - before)))::bigint AS taken FROM o
-""",
+    "op8_source_mixing": oracle.source_mixing(),
 }

@@ -83,7 +83,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     cl.ship(spark)
     total = cl.text_bytes(docs, text_col)
-    slices = cl.shuffle_partitions(spark)
+    slices = cl.slices_for(spark, total)
     bits = min(60, max(12, total.bit_length()))
     blocks = cl.dealt(docs, id_col, total)
     out = T.StructType([f for f in docs.schema.fields if f.name not in COMPUTED] + [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])

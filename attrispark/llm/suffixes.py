@@ -258,7 +258,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     cl.ship(spark)
     total = cl.text_bytes(docs, text_col)
-    slices = cl.shuffle_partitions(spark)
+    slices = cl.slices_for(spark, total)
     blocks = cl.squeezed(cl.dealt(docs, id_col, total, BLOCK_BYTES))
     long = T.LongType()
     out = T.StructType([f for f in docs.schema.fields if f.name not in COMPUTED] + [T.StructField("kept_bytes", T.BinaryType()), T.StructField("n_bytes", long), T.StructField("n_removed", long), T.StructField("n_spans", long)])

@@ -170,6 +170,32 @@ def fill(sizes, weights, total):
     return target
 
 
+def balanced_rates(rows, target, limit, tilt):
+    """Rates by nested bisection: rows (source, size), the length multiplier outside, the source's inside."""
+    by = collections.defaultdict(list)
+    for s, n in rows:
+        if n:
+            by[s].append((n, n.bit_length()))
+    mean = sum(n * c for v in by.values() for n, c in v) / sum(n for v in by.values() for n, _ in v)
+
+    def rate(s, m):
+        v = by[s]
+        if target[s] >= limit * sum(n for n, _ in v) - 1e-9:
+            return lambda c: limit
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if sum(n * min(limit, math.exp(mid + m * c)) for n, c in v) > target[s] else (mid, hi)
+        return lambda c: min(limit, math.exp(lo + m * c))
+
+    lo, hi = -tilt, tilt
+    for _ in range(60):
+        m = (lo + hi) / 2
+        shift = sum(n * r(c) * (c - mean) for s, v in by.items() for r in [rate(s, m)] for n, c in v)
+        lo, hi = (lo, m) if shift > 0 else (m, hi)
+    return {(s, c): rate(s, lo)(c) for s, v in by.items() for _, c in v}, lo
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(6)
     names = ["b", "a", None, "ä", "Z", "solo"]
@@ -183,15 +209,23 @@ def test_mixing(spark):
     order = sorted((s for s in sizes if s is not None)) + [None]
     weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
     want = fill(sizes, weights, 1.5 * sum(sizes.values()))
-    taken = collections.Counter()
+    rates, multiplier = balanced_rates([(s, len((t or "").split())) for _, t, s in rows], want, 2, mixing.TILT)
+    assert abs(multiplier) > 0.001
+    taken, cells, words = collections.Counter(), collections.Counter(), collections.Counter()
     for r in got:
         assert r["source_size"] == sizes[r["source"]]
         assert r["target"] == pytest.approx(want[r["source"]])
         assert 0 <= r["taken"] <= 2 * r["size"]
         assert r["copies"] == (math.ceil(r["taken"] / r["size"]) if r["size"] else 0)
         if r["size"]:
-            assert r["rate"] == pytest.approx(want[r["source"]] / sizes[r["source"]])
+            cell = r["source"], r["size"].bit_length()
+            assert r["rate"] == pytest.approx(rates[cell], rel=1e-6)
+            assert math.floor(r["rate"]) * r["size"] <= r["taken"] <= math.ceil(r["rate"]) * r["size"]
+            cells[cell] += r["taken"]
+            words[cell] += r["size"]
         taken[r["source"]] += r["taken"]
+    for cell, n in words.items():  # copies follow the rates, not the source's mean
+        assert abs(cells[cell] - rates[cell] * n) <= 1
     for s in sizes:
         assert abs(taken[s] - want[s]) <= 1
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(table.repartition(7)).collect()), key=str)
