@@ -8,12 +8,12 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attrispark.llm._cluster import shared_folder
 from attrispark.llm.mixing import mix_sources
 from attrispark.llm.packing import pack_documents
 from attrispark.llm.perplexity import keep_quality
@@ -45,12 +45,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document as often as the mix takes it.
 
-    The last copy of one document per source is taken in part: its first words.
+    The last copy of one document per source and length class is taken in part: its first words.
     Copies keep the document's id and are full repeats otherwise.
     """
-    mixed = mix_sources(docs).select(F.col("id").alias("_id"), "size", "taken", "copies").where("copies > 0 or size = 0")
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"]))
-    each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "copies"))))
+    mixed = mix_sources(docs.select(*COLUMNS), carry="row").where("copies > 0 or size = 0").select("row.*", "size", "taken", "copies")
+    each = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "copies"))))
     left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), left.cast("int")), " ")
     cut = (left < F.col("size")) & (F.col("size") > 0)
@@ -76,10 +75,19 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole documents table."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attrispark-pipeline-")).rstrip("/")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = shared_folder(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for k, (_, stage) in enumerate(STAGES):
         to = f"{folder}/pipeline-{uuid.uuid4().hex}-{k}"
         stage(spark, docs, sf_dir).write.parquet(to)
         docs = spark.read.parquet(to)
+        if k:
+            _remove(spark, before)
+        before = to
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a stage's rows once those of the next one are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
