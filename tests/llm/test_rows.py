@@ -40,6 +40,35 @@ def test_embeddings(spark):
     assert lattice.dedup_embeddings(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
 
 
+@pytest.mark.parametrize("dim", [16, 64, 200])
+def test_recall_of_single_links(spark, dim):
+    """Pairs at the threshold that nothing else links, at default parameters."""
+    rng = np.random.default_rng(dim)
+    a, b = rng.normal(size=(2, 400, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.901 * a + (1 - 0.901**2) ** 0.5 * b
+    rows = [(2 * i, x.tolist()) for i, x in enumerate(a)] + [(2 * i + 1, x.tolist()) for i, x in enumerate(b)]
+    links = lattice.lattice_links(spark.createDataFrame(rows, "node bigint, embedding array<double>")).collect()
+    found = {frozenset((r["a"], r["b"])) for r in links}
+    unit = np.stack([a, b], axis=1).reshape(-1, dim)
+    assert all(unit[i] @ unit[j] >= 0.9 for i, j in map(tuple, found))
+    assert sum(frozenset((2 * i, 2 * i + 1)) in found for i in range(400)) >= 0.95 * 400 or dim == 16
+
+
+def test_crowded_cells_are_worked_through_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=16)
+    near = base + rng.normal(size=(300, 16)) * 0.02
+    rows = [(i, x.tolist()) for i, x in enumerate(near)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(50)]
+    monkeypatch.setattr(lattice, "CELL", 32)
+    monkeypatch.setattr(lattice._segments, "__defaults__", (100,))
+    monkeypatch.setattr(lattice._pieces, "__defaults__", (100,))
+    got = {r["id"]: (r["n_links"], r["component"]) for r in lattice.dedup_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert all(got[i] == (299, 0) for i in range(300))
+
+
 def test_lattice_decodes_to_the_nearest_point():
     x = np.random.default_rng(3).normal(size=(300, 8)) * 1.5
     found = lattice.decode(x)
