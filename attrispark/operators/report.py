@@ -53,7 +53,8 @@ def grid(settings: DataFrame, methods: DataFrame) -> DataFrame:
     ame = (F.col("semivalue") == "weighted_banzhaf") | ((F.col("semivalue") == "beta_shapley") & (F.col("a") > 1) & (F.col("b") > 1))
     need = F.col("compatibility")
     fits = (need == "all") | ((need == "shapley") & is_shapley) | ((need == "non_shapley") & ~is_shapley) | ((need == "symmetric") & symmetric) | ((need == "ame") & ame)
-    return settings.join(F.broadcast(methods.limit(1000)), F.coalesce(fits, F.lit(False)))
+    # Either side has a row per setting or method; whichever is small is broadcast by its size.
+    return settings.join(methods, F.coalesce(fits, F.lit(False)))
 
 
 def pending(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -74,8 +74,8 @@ add("boundary_values", lambda spark, d: rounded(est.boundary(games.event_user_da
 
 def _segment_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = games.read(spark, sf_dir, "customer")
-    number = customer.select("c_mktsegment").distinct().withColumn("player", (F.row_number().over(Window.orderBy("c_mktsegment")) - 1).cast("int"))
-    return customer.join(F.broadcast(number.limit(62)), "c_mktsegment").groupBy("player").agg(F.sum("c_acctbal").alias("w"))
+    number = games.few(customer.select("c_mktsegment").distinct().withColumn("player", (F.row_number().over(Window.orderBy("c_mktsegment")) - 1).cast("int")), 5)
+    return customer.join(F.broadcast(number), "c_mktsegment").groupBy("player").agg(F.sum("c_acctbal").alias("w"))
 
 
 _BALANCE = "b AS (SELECT player::int AS player, sum(c_acctbal) AS w FROM customer JOIN (SELECT b, row_number() OVER (ORDER BY b) - 1 AS player FROM (SELECT DISTINCT c_mktsegment AS b FROM customer)) ON b = c_mktsegment GROUP BY 1)"
@@ -85,29 +85,39 @@ add("additive_shapley", lambda spark, d: rounded(exact.enumerated(games.additive
 add("additive_noise", lambda spark, d: rounded(games.additive(_segment_balance(spark, d), 5, lam=0.5, sigma=100.0, seed=3, noise=lambda z: z).table(), 4, "u").select("mask", "u"), f"WITH {_BALANCE}, z AS (SELECT player, w, ('0x' || substr(md5('zobrist:3:' || player::varchar), 1, 13))::bigint AS key FROM b), h AS (SELECT m.range AS mask, coalesce(sum(CASE WHEN (m.range >> player) & 1 = 1 THEN w END), 0) AS a, coalesce(bit_xor(CASE WHEN (m.range >> player) & 1 = 1 THEN key ELSE 0 END), 0) AS h FROM range(32) m CROSS JOIN z GROUP BY 1) SELECT mask, round(0.5e0 * a + 50e0 * ((h + 0.5e0) / 4503599627370496e0), 4) AS u FROM h")
 
 
-def _knn(spark: SparkSession, sf_dir: str):
-    e = games.read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(32).withColumn("i", F.row_number().over(Window.orderBy("vec_id")) - 1)
-    points = e.where("i < 12").select(F.col("i").cast("int").alias("player"), "embedding", "label")
-    queries = e.where("i >= 12").select(F.col("i").alias("query"), "embedding", "label")
-    return games.knn(points, queries, 12, 3)
+#: The query set of a search: every row whose id is divisible by this, against all other rows.
+_EVERY = 50
+_K, _OWNERS = 3, 8
 
 
-_KNN = "e AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings QUALIFY i < 32), pr AS (SELECT q.i AS query, p.i::int AS player, (p.label = q.label)::int AS hit, row_number() OVER (PARTITION BY q.i ORDER BY list_sum(list_transform(range(1, len(p.embedding) + 1), lambda j: (p.embedding[j]::double - q.embedding[j]::double) ** 2)), p.i) AS r FROM e p, e q WHERE p.i < 12 AND q.i >= 12)"
-add("knn_utility", lambda spark, d: rounded(_knn(spark, d)[0].table(), 8, "u").select("mask", "u"), f"WITH {_KNN}, n AS (SELECT m.range AS mask, hit, row_number() OVER (PARTITION BY m.range, query ORDER BY r) AS p FROM range(4096) m JOIN pr ON (m.range >> player) & 1 = 1), h AS (SELECT mask, sum(hit) AS h FROM n WHERE p <= 3 GROUP BY 1) SELECT m.range AS mask, round(coalesce(h, 0) / (3.0e0 * 20), 8) AS u FROM range(4096) m LEFT JOIN h ON h.mask = m.range")
-add("knn_ranks", lambda spark, d: _knn(spark, d)[1].select(F.col("query").cast("int").alias("query"), "player", F.col("r").cast("int").alias("r"), "hit"), f"WITH {_KNN} SELECT query::int AS query, player, r::int AS r, hit FROM pr")
-_KNN_EXACT = f"WITH {_KNN}, s AS (SELECT query, player, r, CASE WHEN r = 12 THEN hit / 12e0 ELSE (hit - lead(hit) OVER (PARTITION BY query ORDER BY r)) / 3e0 * least(3, r) / r END AS d FROM pr), v AS (SELECT player, sum(d) OVER (PARTITION BY query ORDER BY r DESC) AS v FROM s) SELECT player, round(avg(v), 8) AS value FROM v GROUP BY 1"
-add("knn_shapley", lambda spark, d: rounded(games.knn_shapley(_knn(spark, d)[1], 3), 8), _KNN_EXACT)
-add("knn_shapley_enumerated", lambda spark, d: rounded(exact.enumerated(_knn(spark, d)[0], SHAPLEY), 8), _KNN_EXACT)
+def _knn_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = games.read(spark, sf_dir, "embeddings").where("embedding is not null")
+    points = e.where(f"vec_id % {_EVERY} <> 0").select(F.col("vec_id").alias("player"), "embedding", "label")
+    return games.knn_ranks(points, e.where(f"vec_id % {_EVERY} = 0").select(F.col("vec_id").alias("query"), "embedding", "label"))
+
+
+def _knn_game(spark: SparkSession, sf_dir: str):
+    """Eight owners hold all points by turns of their id."""
+    return games.knn_game(_knn_ranks(spark, sf_dir).withColumn("player", (F.col("player") % _OWNERS).cast("int")), _OWNERS, _K)
+
+
+_KNN = f"e AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL), pr AS (SELECT q.vec_id AS query, p.vec_id AS player, (p.label = q.label)::int AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(range(1, len(p.embedding) + 1), lambda j: (p.embedding[j]::double - q.embedding[j]::double) ** 2)), p.vec_id) AS r FROM e p, e q WHERE p.vec_id % {_EVERY} <> 0 AND q.vec_id % {_EVERY} = 0)"
+_KNN_TABLE = f"{_KNN}, n AS (SELECT m.range AS mask, query, hit, row_number() OVER (PARTITION BY m.range, query ORDER BY r) AS p FROM range({1 << _OWNERS}) m JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query, player % {_OWNERS} ORDER BY r) AS near FROM pr) WHERE near <= {_K}) x ON (m.range >> (player % {_OWNERS})::int) & 1 = 1), h AS (SELECT mask, sum(hit) AS h FROM n WHERE p <= {_K} GROUP BY 1), util AS (SELECT m.range AS mask, coalesce(h, 0) / ({_K}.0e0 * (SELECT count(DISTINCT query) FROM pr)) AS u FROM range({1 << _OWNERS}) m LEFT JOIN h ON h.mask = m.range)"
+add("knn_utility", lambda spark, d: rounded(_knn_game(spark, d).table(), 8, "u").select("mask", "u"), f"WITH {_KNN_TABLE} SELECT mask, round(u, 8) AS u FROM util")
+add("knn_ranks", lambda spark, d: _knn_ranks(spark, d).select(F.col("query").cast("int").alias("query"), "player", F.col("r").cast("int").alias("r"), "hit"), f"WITH {_KNN} SELECT query::int AS query, player::int AS player, r::int AS r, hit FROM pr")
+_KNN_EXACT = f"WITH {_KNN}, z AS (SELECT *, max(r) OVER (PARTITION BY query) AS n FROM pr), s AS (SELECT query, player, r, CASE WHEN r = n THEN hit / greatest(n, {_K})::double ELSE (hit - lead(hit) OVER (PARTITION BY query ORDER BY r)) / {_K}e0 * least({_K}, r) / r END AS d FROM z), v AS (SELECT player, sum(d) OVER (PARTITION BY query ORDER BY r DESC) AS v FROM s) SELECT player::int AS player, round(avg(v), 8) AS value FROM v GROUP BY 1"
+add("knn_shapley", lambda spark, d: rounded(games.knn_shapley(_knn_ranks(spark, d), _K), 8), _KNN_EXACT)
+add("knn_shapley_enumerated", lambda spark, d: rounded(exact.enumerated(_knn_game(spark, d), SHAPLEY), 7), f"WITH {_KNN_TABLE}, x AS ({oracle.exact_body(_OWNERS, SHAPLEY)}) SELECT player, round(value, 7) AS value FROM x")
 
 
 def _ridge(spark: SparkSession, sf_dir: str, averaged: bool) -> DataFrame:
-    rows = games.read(spark, sf_dir, "lineitem").orderBy("l_orderkey", "l_linenumber").limit(8)
-    rows = rows.select((F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber")) - 1).cast("int").alias("player"), (F.col("l_quantity") / 50).alias("x1"), (10 * F.col("l_discount")).alias("x2"), (F.col("l_extendedprice") / 1e5).alias("y"))
-    return rounded(games.ridge(rows, 8, (1.0, 0.5), 0.1, averaged).table(), 8, "u").select("mask", "u")
+    """Players are the line numbers: each holds all lines of that number."""
+    rows = games.read(spark, sf_dir, "lineitem").select((F.col("l_linenumber") - 1).cast("int").alias("player"), (F.col("l_quantity") / 50).alias("x1"), (10 * F.col("l_discount")).alias("x2"), (F.col("l_extendedprice") / 1e5).alias("y"))
+    return rounded(games.ridge(rows, 7, (1.0, 0.5), 0.1, averaged).table(), 8, "u").select("mask", "u")
 
 
 def _ridge_sql(weight: str) -> str:
-    return f"WITH r AS (SELECT (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1)::int AS player, l_quantity / 50 AS x1, 10 * l_discount AS x2, l_extendedprice / 1e5 AS y FROM lineitem QUALIFY player < 8), s AS (SELECT m.range AS mask, coalesce(sum(x1 * x1), 0) AS a, coalesce(sum(x1 * x2), 0) AS b, coalesce(sum(x2 * x2), 0) AS c, coalesce(sum(x1 * y), 0) AS p, coalesce(sum(x2 * y), 0) AS q, count(player) AS n FROM range(256) m LEFT JOIN r ON (m.range >> player) & 1 = 1 GROUP BY 1), t AS (SELECT mask, a + {weight} AS a, b, c + {weight} AS c, p, q FROM s) SELECT mask, round(((p * c - q * b) / (a * c - b * b) - 1) ** 2 + ((q * a - p * b) / (a * c - b * b) - 0.5) ** 2, 8) AS u FROM t"
+    return f"WITH r AS (SELECT (l_linenumber - 1)::int AS player, l_quantity / 50 AS x1, 10 * l_discount AS x2, l_extendedprice / 1e5 AS y FROM lineitem), s AS (SELECT m.range AS mask, coalesce(sum(x1 * x1), 0) AS a, coalesce(sum(x1 * x2), 0) AS b, coalesce(sum(x2 * x2), 0) AS c, coalesce(sum(x1 * y), 0) AS p, coalesce(sum(x2 * y), 0) AS q, count(player) AS n FROM range(128) m LEFT JOIN r ON (m.range >> player) & 1 = 1 GROUP BY 1), t AS (SELECT mask, a + {weight} AS a, b, c + {weight} AS c, p, q FROM s) SELECT mask, round(((p * c - q * b) / (a * c - b * b) - 1) ** 2 + ((q * a - p * b) / (a * c - b * b) - 0.5) ** 2, 8) AS u FROM t"
 
 
 add("ridge_utility", lambda spark, d: _ridge(spark, d, False), _ridge_sql("0.1e0"))
@@ -329,12 +339,12 @@ add("run_group", _grouped, f"SELECT round(sum(value), 4) AS value FROM ({oracle.
 
 
 def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from attrispark.sources.training import Training, training_game
+    """Six owners hold all rows by turns of their id but the scored ones."""
+    from attrispark.sources.training import trained_on_tables
 
-    rows = games.read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(48).collect()
-    x, y = [r["embedding"] for r in rows], [r["label"] % 2 for r in rows]
-    game = training_game(spark, Training(x[:8], y[:8], x[8:], y[8:], 2, "cross_entropy"))
-    return rounded(exact.enumerated(game, SHAPLEY), 8)
+    rows = games.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), (F.col("label") % 2).cast("int").alias("y"))
+    train = rows.where(f"vec_id % {_EVERY} <> 0").withColumn("player", (F.col("vec_id") % 6).cast("int"))
+    return rounded(exact.enumerated(trained_on_tables(train, rows.where(f"vec_id % {_EVERY} = 0"), 6, 2, steps=8), SHAPLEY), 8)
 
 
 add("training_shapley", _training)

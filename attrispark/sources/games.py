@@ -31,6 +31,16 @@ def bit(player: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), player.cast("int"))
 
 
+def contained_worth(masks: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What the terms inside each mask sum up to, by blocks of masks and terms."""
+    u = np.zeros(len(masks))
+    for lo in range(0, len(masks), 1024):
+        for t in range(0, len(terms), 1024):
+            some = terms[t : t + 1024]
+            u[lo : lo + 1024] += ((masks[lo : lo + 1024, None] & some) == some) @ weights[t : t + 1024]
+    return u
+
+
 def _with_player(i: int) -> Column:
     """The array v of worths by mask, each mask that has player i adding the one without."""
     return F.transform("v", lambda x, m: F.when(F.getbit(m, F.lit(i)) == 1, x + F.get(F.col("v"), m - (1 << i))).otherwise(x))
@@ -89,12 +99,7 @@ class TermsGame:
             import pyarrow as pa
 
             for batch in batches:
-                masks = batch.column(at).to_numpy()
-                u = np.zeros(len(masks))
-                for lo in range(0, len(masks), 1024):
-                    for t in range(0, len(masks_of), 1024):
-                        terms = masks_of[t : t + 1024]
-                        u[lo : lo + 1024] += ((masks[lo : lo + 1024, None] & terms) == terms) @ weights[t : t + 1024]
+                u = contained_worth(batch.column(at).to_numpy(), masks_of, weights)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u)], names=[*names, "u"])
 
         return samples.mapInArrow(run, T.StructType([*samples.schema.fields, T.StructField("u", T.DoubleType())]))
@@ -106,14 +111,23 @@ class TermsGame:
             return asked.join(F.broadcast(self.table()), "mask")  # at most 4096 rows
         if (found := self.attach(asked)) is not None:
             return found
-        inside = F.col("t_mask").bitwiseAND(F.col("mask")) == F.col("t_mask")
-        terms = self.terms.select(F.col("mask").alias("t_mask"), "w")
-        # An equi-join on the chunk keeps the nested loop inside tasks of bounded size.
-        chunks = ceil(terms.count() / SMALL_TERMS)
-        dealt = terms.withColumn("chunk", F.pmod(F.xxhash64("t_mask"), F.lit(chunks)).cast("int"))
-        spread = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        joined = spread.join(dealt, (spread["chunk"] == dealt["chunk"]) & inside, "left").drop("chunk")
-        return joined.groupBy("mask").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("u"))
+        chunks = ceil(self.terms.count() / SMALL_TERMS)
+        ship(self.spark)
+        blocks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        # A (block of masks, chunk of terms) pair is one piece of work of bounded size, so no chunk is a hot key.
+        block = F.pmod(F.xxhash64("mask", F.lit("block")), F.lit(blocks)).cast("int")
+        left = asked.withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        right = self.terms.select(F.pmod(F.xxhash64("mask"), F.lit(chunks)).cast("int").alias("chunk"), "mask", "w").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+        def contained(masks, terms):
+            import pyarrow as pa
+
+            if not masks.num_rows:
+                return pa.table({"mask": pa.array([], pa.int64()), "u": pa.array([], pa.float64())})
+            return pa.table({"mask": masks.column("mask"), "u": pa.array(contained_worth(masks.column("mask").to_numpy(), terms.column("mask").to_numpy(), terms.column("w").to_numpy()) if terms.num_rows else np.zeros(masks.num_rows))})
+
+        parts = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(contained, "mask bigint, u double")
+        return parts.groupBy("mask").agg(F.sum("u").alias("u"))
 
     def bounds(self) -> tuple[float, float]:
         """U of no player and of all players."""
@@ -199,9 +213,20 @@ def revenue() -> Column:
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
-def _numbered(values: DataFrame, name: str) -> DataFrame:
-    """Dense player numbers of the distinct values of a small dimension, in their order."""
-    return values.select(name).distinct().withColumn("player", F.row_number().over(Window.orderBy(name)) - 1)
+#: Players that a mask has bits for.
+MASK_PLAYERS = 62
+
+
+def few(players: DataFrame, most: int = MASK_PLAYERS) -> DataFrame:
+    """The same rows, one per player, which stop the query where they are more than a mask has bits for: none is left out."""
+    counted = players.withColumn("_players", F.count("*").over(Window.partitionBy()))  # a row per player
+    checked = F.when(F.col("_players") > most, F.raise_error(F.concat(F.lit(f"at most {most} players fit a mask; there are "), F.col("_players").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return counted.where(checked).drop("_players")
+
+
+def _numbered(values: DataFrame, name: str, most: int) -> DataFrame:
+    """Dense player numbers of the distinct values of a small dimension, in their order; more than `most` are refused."""
+    return few(values.select(name).distinct().withColumn("player", F.row_number().over(Window.orderBy(name)) - 1), most)
 
 
 def region_revenue(spark: SparkSession, sf_dir: str) -> TermsGame:
@@ -220,7 +245,7 @@ def nation_revenue(spark: SparkSession, sf_dir: str) -> TermsGame:
 def brand_revenue(spark: SparkSession, sf_dir: str) -> TermsGame:
     """25 part brands; a term per order."""
     part = read(spark, sf_dir, "part")
-    named = part.select("p_partkey", "p_brand").join(F.broadcast(_numbered(part, "p_brand").limit(62)), "p_brand")
+    named = part.select("p_partkey", "p_brand").join(F.broadcast(_numbered(part, "p_brand", 25)), "p_brand")
     facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", revenue().alias("v")).join(named, F.col("l_partkey") == F.col("p_partkey"))
     return TermsGame(25, from_facts(facts, ["l_orderkey"], "player", "v"), "brand")
 
@@ -228,7 +253,7 @@ def brand_revenue(spark: SparkSession, sf_dir: str) -> TermsGame:
 def segment_part_year(spark: SparkSession, sf_dir: str) -> TermsGame:
     """5 market segments; a term per part and ship year."""
     customer = read(spark, sf_dir, "customer")
-    named = customer.select("c_custkey", "c_mktsegment").join(F.broadcast(_numbered(customer, "c_mktsegment").limit(62)), "c_mktsegment")
+    named = customer.select("c_custkey", "c_mktsegment").join(F.broadcast(_numbered(customer, "c_mktsegment", 5)), "c_mktsegment")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(named, F.col("o_custkey") == F.col("c_custkey"))
     facts = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.year("l_shipdate").alias("y"), revenue().alias("v")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return TermsGame(5, from_facts(facts, ["l_partkey", "y"], "player", "v"), "segment")
@@ -237,7 +262,7 @@ def segment_part_year(spark: SparkSession, sf_dir: str) -> TermsGame:
 def event_user_day(spark: SparkSession, sf_dir: str) -> TermsGame:
     """5 event types; a term per user and day."""
     events = read(spark, sf_dir, "events")
-    named = events.select("user_id", F.to_date("ts").alias("day"), "event_type", "value").join(F.broadcast(_numbered(events, "event_type").limit(62)), "event_type")
+    named = events.select("user_id", F.to_date("ts").alias("day"), "event_type", "value").join(F.broadcast(_numbered(events, "event_type", 5)), "event_type")
     return TermsGame(5, from_facts(named, ["user_id", "day"], "player", "value"), "event")
 
 
@@ -252,7 +277,7 @@ def additive(weights: DataFrame, n: int, transform: Callable[[Column], Column] |
     """
     spark = weights.sparkSession
     masks = spark.range(1 << n).select(F.col("id").alias("mask"))
-    members = masks.join(F.broadcast(weights.limit(62)), F.expr("getbit(mask, player) = 1"), "left")
+    members = masks.join(F.broadcast(few(weights)), F.expr("getbit(mask, player) = 1"), "left")
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"zobrist:{seed}:"), F.col("player").cast("string")).cast("binary")), 1, 13), 16, 10).cast("bigint")
     summed = members.groupBy("mask").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("a"), F.coalesce(F.bit_xor(key), F.lit(0)).alias("h"))
     z = (F.col("h") + 0.5) / F.lit(float(1 << draws.BITS))
@@ -276,24 +301,72 @@ def inverse_normal(z: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0.0), lambda x, _: x - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (cdf(x) - clipped) * F.lit(2.5066282746310002) * F.exp(x * x / 2))))
 
 
-def knn(points: DataFrame, queries: DataFrame, n: int, k: int) -> tuple[TableGame, DataFrame]:
-    """The nearest-neighbour game and its ranks (query, player, r, hit).
+def knn_ranks(points: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
+    """(query, player, r, hit): every player's rank by distance for each query, ties to the smaller player.
+
+    points (player, embedding, label), queries (query, embedding, label).
+    Players and queries meet block by block: blocks of `block` vectors each are
+    built once, and a pair of blocks is one piece of work, so neither side is
+    broadcast whole and none is left out.
+    """
+    spark = points.sparkSession
+    ship(spark)
+
+    def blocks(side: DataFrame, ident: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-side.count() // block))
+        return side.select(F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias(f"_{ident}"), F.col(ident).cast("bigint").alias(ident), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label")), n
+
+    left, n_left = blocks(points, "player")
+    right, n_right = blocks(queries, "query")
+    left = left.withColumn("_query", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+    right = right.withColumn("_player", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+
+    def distances(a, b):
+        import pyarrow as pa
+
+        names = ["query", "player", "dist", "hit"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int32())], names=names)
+        x, y = (np.array(t.column("embedding").to_pylist(), np.float64) for t in (a, b))
+        d = np.stack([((x - q) ** 2).cumsum(axis=1)[:, -1] for q in y])  # in the order of components, as a row at a time would
+        la, lb = (np.array(t.column("label").to_pylist()) for t in (a, b))
+        return pa.table([pa.array(np.repeat(b.column("query").to_numpy(), len(x))), pa.array(np.tile(a.column("player").to_numpy(), len(y))), pa.array(d.reshape(-1)), pa.array((lb[:, None] == la[None, :]).astype(np.int32).reshape(-1))], names=names)
+
+    pairs = left.groupBy("_player", "_query").cogroup(right.groupBy("_player", "_query")).applyInArrow(distances, "query bigint, player bigint, dist double, hit int")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "player"))
+    return pairs.withColumn("r", rank).select("query", F.col("player").cast("int").alias("player"), "r", "hit")
+
+
+def knn_game(ranks: DataFrame, n: int, k: int) -> TableGame:
+    """U(S): the mean over queries of the matching labels among the k nearest points of S, over k; for n players that can be enumerated.
 
-    points (player, embedding, label), queries (query, embedding, label).  U(S)
-    is the mean over queries of the matching labels among the k nearest members
-    of S, over k.  Ties in distance go to the smaller player.
+    A player may own many points: of each only the k nearest to a query can
+    count, so a query's ranks are an array of at most n k entries.  Its worths
+    of all coalitions are built inside the row and summed over queries before
+    anything moves.
     """
-    pairs = points.select("player", F.col("embedding").alias("a"), F.col("label").alias("la")).crossJoin(F.broadcast(queries.select("query", F.col("embedding").alias("b"), F.col("label").alias("lb"))))
-    distance = F.aggregate(F.zip_with("a", "b", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    ranks = pairs.select("query", "player", distance.alias("dist"), (F.col("la") == F.col("lb")).cast("int").alias("hit"))
-    ranks = ranks.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("dist", "player"))).select("query", "player", "r", "hit")
-    masks = points.sparkSession.range(1 << n).select(F.col("id").alias("mask"))
-    members = masks.join(ranks, F.expr("getbit(mask, player) = 1"))
-    near = members.withColumn("p", F.row_number().over(Window.partitionBy("mask", "query").orderBy("r"))).where(F.col("p") <= k)
-    number = queries.select("query").distinct().groupBy().agg(F.count("*").alias("q"))
-    hits = near.groupBy("mask").agg(F.sum("hit").alias("hits"))
-    values = masks.join(hits, "mask", "left").crossJoin(number).select("mask", (F.coalesce("hits", F.lit(0)) / (k * F.col("q"))).cast("double").alias("u"))
-    return TableGame(n, values, "knn"), ranks
+    if n > TABLE_PLAYERS:
+        raise ValueError(f"{n} players have too many coalitions to tabulate")
+    ship(ranks.sparkSession)
+    nearest = F.row_number().over(Window.partitionBy("query", "player").orderBy("r"))
+    per_query = ranks.withColumn("_n", nearest).where(F.col("_n") <= k).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "player", "hit"))), lambda x: x["player"] * 2 + x["hit"]).alias("order"))
+
+    def worths(batches):
+        import pyarrow as pa
+
+        masks, total, queries = np.arange(1 << n), np.zeros(1 << n, np.int64), 0
+        for batch in batches:
+            for order in batch.column(0).to_pylist():
+                taken = np.zeros(1 << n, np.int64)
+                for x in order:
+                    inside = ((masks >> (x >> 1)) & 1) & (taken < k)
+                    taken += inside
+                    total += inside * (x & 1)
+                queries += 1
+        yield pa.RecordBatch.from_arrays([pa.array(masks), pa.array(total), pa.array(np.full(1 << n, queries))], names=["mask", "hits", "queries"])
+
+    sums = per_query.select("order").mapInArrow(worths, "mask bigint, hits bigint, queries bigint").groupBy("mask").agg(F.sum("hits").alias("h"), F.sum("queries").alias("q"))
+    return TableGame(n, sums.select("mask", (F.col("h") / (k * F.col("q"))).cast("double").alias("u")), "knn")
 
 
 def knn_shapley(ranks: DataFrame, k: int) -> DataFrame:
@@ -308,13 +381,17 @@ def knn_shapley(ranks: DataFrame, k: int) -> DataFrame:
 def ridge(rows: DataFrame, n: int, beta: tuple[float, float], penalty: float, averaged: bool = False) -> TableGame:
     """Squared coefficient error of a two-feature ridge fit on the rows (player, x1, x2, y) of a coalition, by Cramer's rule.
 
-    averaged: the penalty grows with the coalition, as for the mean loss.
+    A player holds any number of rows; they are summed per player first, so
+    all rows take part and coalitions meet one row per player.  averaged: the
+    penalty grows with the coalition's rows, as for the mean loss.
     """
     if penalty <= 0:
         raise ValueError("penalty must be positive")
     masks = rows.sparkSession.range(1 << n).select(F.col("id").alias("mask"))
-    joined = masks.join(F.broadcast(rows.limit(62)), F.expr("getbit(mask, player) = 1"), "left")
-    sums = joined.groupBy("mask").agg(*[F.coalesce(F.sum(F.expr(e)), F.lit(0.0)).alias(c) for c, e in (("a", "x1 * x1"), ("b", "x1 * x2"), ("c", "x2 * x2"), ("p", "x1 * y"), ("q", "x2 * y"))], F.count("player").alias("m"))
+    products = {"a": "x1 * x1", "b": "x1 * x2", "c": "x2 * x2", "p": "x1 * y", "q": "x2 * y"}
+    held = rows.groupBy("player").agg(*[F.sum(F.expr(e)).alias(c) for c, e in products.items()], F.count("*").alias("m"))
+    joined = masks.join(F.broadcast(few(held)), F.expr("getbit(mask, player) = 1"), "left")
+    sums = joined.groupBy("mask").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in products], F.coalesce(F.sum("m"), F.lit(0)).alias("m"))
     weight = F.lit(penalty) * (F.greatest(F.lit(1), "m") if averaged else F.lit(1))
     a, c = F.col("a") + weight, F.col("c") + weight
     det = a * c - F.col("b") * F.col("b")
@@ -351,9 +428,19 @@ def random_terms(spark: SparkSession, n: int, count: int, seed: int, kind: str =
     pairs = [1 << i for i in range(n)] + [(1 << i) | (1 << j) for i in range(n) for j in range(i + 1, n)]
     singles = spark.range(low).select("id", F.element_at(F.array(*[F.lit(m) for m in pairs]), (k + 1).cast("int")).cast("bigint").alias("mask"), (normal * (alpha * alpha * total / low) ** 0.5).alias("w"))
     size = draws.draw_size(draws.uniform(k, "size", seed), {s: 1.0 for s in range(3, n)})
-    drawn = spark.range(low, low + count * (4 if distinct else 1)).select("id", draws.bits(F.slice(draws.ranked_players(k, n, seed), F.lit(1), size)).alias("mask"), (normal * ((1 - alpha * alpha) * total / count) ** 0.5).alias("w"))
+    weight = normal * ((1 - alpha * alpha) * total / count) ** 0.5
+    draw = lambda lo, hi: spark.range(lo, hi).select("id", draws.bits(F.slice(draws.ranked_players(k, n, seed), F.lit(1), size)).alias("mask"), weight.alias("w"))
+    drawn = draw(low, low + count)
     if distinct:
-        first = drawn.groupBy("mask").agg(F.min_by("w", "id").alias("w"), F.min("id").alias("id"))
-        drawn = first.orderBy("id").limit(count).select("id", "mask", "w")
+        there = (1 << n) - 1 - low - 1  # sets of sizes 3..n-1
+        if count > there:
+            raise ValueError(f"{n} players have {there} sets of 3 to {n - 1} members, not {count}")
+        tries = count
+        while True:  # repeats are drawn again until enough different sets are met
+            first = draw(low, low + tries).groupBy("mask").agg(F.min_by("w", "id").alias("w"), F.min("id").alias("id"))
+            if first.count() >= count:
+                break
+            tries *= 2
+        drawn = first.orderBy("id").limit(count).select("id", "mask", "w")  # the first `count` that were met
     terms = singles.unionByName(drawn)
     return TermsGame(n, terms.groupBy("mask").agg(F.sum("w").alias("w")), "structured")

@@ -8,10 +8,11 @@ parallel as Arrow batches of masks.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attrispark.functions.ship import ship
-from attrispark.sources.games import CallableGame
+from attrispark.sources.games import CallableGame, TableGame
 
 
 class Training:
@@ -59,3 +60,79 @@ def training_game(spark: SparkSession, training: Training) -> CallableGame:
     """Each row of the training set is a player."""
     ship(spark)
     return CallableGame(len(training.x), spark, training, "training")
+
+
+def _design(batch, at: int) -> np.ndarray:
+    x = np.array(batch.column(at).to_pylist(), np.float64)
+    return np.hstack([x, np.ones((len(x), 1))])
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=-1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+
+
+def trained_on_tables(train: DataFrame, score: DataFrame, n: int, classes: int, steps: int = 20, rate: float = 1.0, metric: str = "cross_entropy") -> TableGame:
+    """The training game of n players who each own any number of rows of train (player, x, y), scored on the rows of score (x, y).
+
+    The softmax regressions of all coalitions are trained together by full
+    gradient steps from zero: a step is one pass over train, in which a task
+    adds every row's gradient to the coalitions that hold its player, and the
+    driver gets one gradient per coalition, 2^n (features + 1) classes numbers
+    whatever the number of rows.  Null rows and rows of null class take no part.
+    """
+    if metric not in ("accuracy", "cross_entropy"):
+        raise NotImplementedError(f"unknown metric {metric!r}")
+    if n > 10:
+        raise ValueError(f"{n} players have too many coalitions to train together")
+    spark = train.sparkSession
+    ship(spark)
+    numbers = F.col("x").cast("array<double>").alias("x")
+    train = train.where("x is not null and y is not null and player is not null").select(F.col("player").cast("int").alias("player"), numbers, F.col("y").cast("int").alias("y"))
+    score = score.where("x is not null and y is not null").select(numbers, F.col("y").cast("int").alias("y"))
+    wide = train.select(F.size("x").alias("d")).agg(F.max("d")).first()[0] or 0
+    masks = np.arange(1 << n)
+    weights = np.zeros((1 << n, wide + 1, classes))
+
+    def summed(frame: DataFrame, part, shape) -> np.ndarray:
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros(shape)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    total += part(batch.slice(lo, 512))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.reshape(-1)[at])], names=["at", "v"])
+
+        rows = frame.mapInArrow(run, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        out = np.zeros(int(np.prod(shape)))
+        out[rows["at"]] = rows["v"]
+        return out.reshape(shape)
+
+    def logits(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.moveaxis((x @ np.moveaxis(w, 0, 1).reshape(w.shape[1], -1)).reshape(len(x), len(masks), classes), 1, 0)
+
+    for _ in range(steps):
+        w = weights.copy()
+
+        def gradient(batch, w=w):
+            x, player, y = _design(batch, 1), batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            p = np.exp(_log_softmax(logits(x, w)))
+            p[:, np.arange(len(y)), y] -= 1
+            p *= ((masks[:, None] >> player[None, :]) & 1)[:, :, None]
+            # The last entry counts each coalition's rows.
+            return np.concatenate([np.einsum("bi,sbc->sic", x, p), np.broadcast_to(((masks[:, None] >> player[None, :]) & 1).sum(axis=1)[:, None, None], (len(masks), 1, classes))], axis=1)
+
+        found = summed(train, gradient, (1 << n, wide + 2, classes))
+        weights -= rate * found[:, :-1] / np.maximum(found[:, -1:], 1)
+    final = weights.copy()
+
+    def scored(batch):
+        x, y = _design(batch, 0), batch.column(1).to_numpy()
+        z = _log_softmax(logits(x, final))
+        good = (z.argmax(axis=2) == y).sum(axis=1) if metric == "accuracy" else z[:, np.arange(len(y)), y].sum(axis=1)
+        return np.stack([good, np.full(len(masks), len(y))], axis=1).astype(np.float64)
+
+    found = summed(score, scored, (1 << n, 2))
+    return TableGame(n, spark.createDataFrame([(int(m), float(a / max(c, 1))) for m, (a, c) in zip(masks, found, strict=True)], "mask bigint, u double"), "training")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attrispark.functions.spec import BANZHAF, SHAPLEY, Semivalue, banzhaf, beta
 from attrispark.operators import estimators as est
@@ -139,6 +140,32 @@ def test_structured_games(spark):
     assert {(r["mask"], r["w"]) for r in game.terms.collect()} == {(r["mask"], r["w"]) for r in again.terms.collect()}
     with pytest.raises(ValueError):
         games.random_terms(spark, 3, 5, 1, "structured")
+    # 5 players have 15 sets of 3 or 4; drawing them all meets many repeats.
+    assert games.random_terms(spark, 5, 15, 1, "structured", distinct=True).terms.count() == 15 + 15
+    with pytest.raises(ValueError):
+        games.random_terms(spark, 5, 16, 1, "structured", distinct=True)
+
+
+def test_no_player_is_left_out_silently(spark):
+    many = spark.range(63).selectExpr("cast(id AS int) AS player", "1.0 AS w", "1.0 AS x1", "1.0 AS x2", "1.0 AS y")
+    for run in (lambda: games.additive(many, 3).table(), lambda: games.ridge(many, 3, (1.0, 0.5), 0.1).table(), lambda: games._numbered(many, "player", 25)):
+        with pytest.raises(Exception, match="there are 63"):
+            run().collect()
+    assert games.few(many.where("player < 62")).count() == 62
+
+
+def test_points_of_one_owner(spark):
+    rng = np.random.default_rng(3)
+    x, q, labels = rng.normal(size=(30, 4)), rng.normal(size=(5, 4)), rng.integers(0, 2, 35)
+    points = spark.createDataFrame([(i, x[i].tolist(), int(labels[i])) for i in range(30)], "player bigint, embedding array<double>, label int")
+    queries = spark.createDataFrame([(i, q[i].tolist(), int(labels[30 + i])) for i in range(5)], "query bigint, embedding array<double>, label int")
+    ranks = games.knn_ranks(points, queries, block=7)
+    order = {i: sorted(range(30), key=lambda p: ((x[p] - q[i]) ** 2).sum()) for i in range(5)}
+    assert {(r["query"], r["player"]): (r["r"], r["hit"]) for r in ranks.collect()} == {(i, p): (k + 1, int(labels[p] == labels[30 + i])) for i in range(5) for k, p in enumerate(order[i])}
+    table = {r["mask"]: r["u"] for r in games.knn_game(ranks.withColumn("player", F.col("player") % 3), 3, 4).table().collect()}
+    for m in range(8):
+        hits = sum(labels[p] == labels[30 + i] for i in range(5) for p in [p for p in order[i] if m >> p % 3 & 1][:4])
+        assert table[m] == pytest.approx(hits / 20)
 
 
 def test_large_term_tables_are_met_in_chunks(spark, monkeypatch):

@@ -6,7 +6,7 @@ from attrispark.operators import exact, report, trajectory
 from attrispark.operators.estimators import Unsupported
 from attrispark.plans.run import REGISTRY, converge, run, samples_for, strata_group, timed
 from attrispark.sources import games
-from attrispark.sources.training import Training, training_game
+from attrispark.sources.training import Training, trained_on_tables, training_game
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,26 @@ def test_training_game(spark):
         Training(x, y, x, y, 2, "f1")
 
 
+def test_training_on_tables_equals_training_in_memory(spark):
+    rng = np.random.default_rng(4)
+    x, y, player = rng.normal(size=(60, 3)), rng.integers(0, 3, 60), rng.integers(0, 3, 60)
+    x += y[:, None]
+    rows = spark.createDataFrame([(int(p), a.tolist(), int(b)) for p, a, b in zip(player, x, y)] + [(0, None, 1), (1, [0.0] * 3, None)], "player int, x array<double>, y int")
+    for metric in ("cross_entropy", "accuracy"):
+        got = {r["mask"]: r["u"] for r in trained_on_tables(rows.repartition(5), rows.select("x", "y"), 3, 3, 6, 0.5, metric).table().collect()}
+        for m in range(8):
+            mine = (m >> player) & 1 == 1
+            a, w = np.hstack([x, np.ones((60, 1))]), np.zeros((4, 3))
+            for _ in range(6):
+                p = np.exp(a[mine] @ w)
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(mine.sum()), y[mine]] -= 1
+                w -= 0.5 * a[mine].T @ p / max(1, mine.sum())
+            z = a @ w
+            want = (z.argmax(axis=1) == y).mean() if metric == "accuracy" else (z[np.arange(60), y] - np.log(np.exp(z).sum(axis=1))).mean()
+            assert got[m] == pytest.approx(want)
+
+
 def test_reports(spark):
     truth = spark.createDataFrame([(0, 0.0), (1, 0.0)], "player int, value double")
     rows = spark.createDataFrame([(0, 0, 0, 3.0), (0, 0, 1, 4.0)], "run int, ckpt int, player int, value double")
