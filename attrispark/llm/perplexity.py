@@ -25,8 +25,8 @@ from . import _cluster as cl
 from . import _words as w
 
 ORDER = 5
-#: Bits of a symbol; code points beyond share symbols by hash.
-BITS = 12
+#: Bits of a symbol.  Code points from NEAR on take two symbols, so that no two share one: their upper bits beyond NEAR, then their lower FAR_BITS.
+BITS, NEAR, FAR_BITS = 12, 3550, 11
 #: One trusted document in so many is kept out of the model; thresholds come from these.
 HOLDOUT = 8
 #: Quantile of held-out perplexities, and what its logarithm is multiplied by before a document is rejected: 1 is the quantile itself.
@@ -41,16 +41,20 @@ _SYMBOLS = 1 << BITS
 
 
 def symbols(text: bytes) -> np.ndarray:
-    """Symbols of a text's code points, from 1; 0 pads the start."""
+    """Symbols of a text's code points, from 1; 0 pads the start.  Different texts have different symbols."""
     cp = np.frombuffer(text.decode().encode("utf-32-le"), "<u4").astype(np.uint64)
-    far = cp >= _SYMBOLS - 1
-    if far.any():
-        cp[far] = w.mix(cp[far]) % np.uint64(_SYMBOLS - 2)
-    return cp + np.uint64(1)
+    far = cp >= NEAR
+    if not far.any():
+        return cp + np.uint64(1)
+    at = np.arange(len(cp)) + np.cumsum(far) - far
+    out = np.zeros(len(cp) + int(far.sum()), np.uint64)
+    out[at] = np.where(far, NEAR + (cp >> np.uint64(FAR_BITS)), cp)
+    out[at[far] + 1] = cp[far] & np.uint64((1 << FAR_BITS) - 1)
+    return out + np.uint64(1)
 
 
 def _chunks(texts: list[bytes], order: int):
-    """(first text, n-gram at each character, characters of each text) for runs of texts."""
+    """(first text, n-gram at each symbol, symbols of each text) for runs of texts."""
     for first, _, data, offsets in w.batches(texts):
         parts = [symbols(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         pad = np.zeros(order - 1, np.uint64)
