@@ -10,6 +10,7 @@ paths; a page that doesn't have them falls back to its own container.
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -19,16 +20,14 @@ from pyspark.sql import types as T
 
 from . import _cluster as cl
 
-#: Paths of a host that re-extraction may use, by votes.
-PATHS = 5
-#: Containers nested deeper count as part of the one at this depth.
-DEPTH = 64
+#: A path counts for its host with this share of the host's votes, so it has 20 at most.
+VOTES = 0.05
 #: A container stands for its parent where it holds this share of the parent's score; and where only the size of a page's own choice counts.
 SHARE, ROUGH = 0.9, 0.7
 #: Text directly in a page's body below this share of it is stray.
 STRAY = 0.05
-#: Parts that a host's pages are dealt into for re-extraction; its paths are sent to each.
-PARTS = 16
+#: Winning paths are broadcast up to this many bytes; beyond, a host's pages meet them in parts of so many pages.
+BROADCAST_BYTES, PART = 32 << 20, 2000
 #: A page leaves its host's path where that holds less than this share of its own choice.
 LEAST = 0.25
 
@@ -61,11 +60,13 @@ PLAIN = frozenset("html body article main".split())
 
 
 class Box:
-    __slots__ = ("depth", "own", "parent", "path", "score", "tag")
+    """A container; its path, tags and classes from the root, is kept as a digest, so that depth costs nothing."""
 
-    def __init__(self, path, parent, tag):
-        self.path, self.parent, self.score, self.own, self.tag = path, parent, 0.0, 0.0, tag
-        self.depth = parent.depth + 1 if parent else 0
+    __slots__ = ("own", "parent", "path", "score", "tag")
+
+    def __init__(self, name, parent, tag):
+        self.path = blake2b(f"{parent.path}/{name}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest() if parent else ""
+        self.parent, self.score, self.own, self.tag = parent, 0.0, 0.0, tag
 
 
 def _attributes(attr: str) -> dict[str, str]:
@@ -123,10 +124,6 @@ def _parse(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, Box]], li
                 blocks.append((text, box))
                 weight = max(0, len(text) - 2 * linked)
                 box.own += weight
-                up = box
-                while up is not None:
-                    up.score += weight
-                    up = up.parent
         linked = 0
 
     def pop():
@@ -191,9 +188,9 @@ def _parse(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, Box]], li
             dropped = True
         if tag == "a":
             link = True
-        if tag in CONTAINERS and not dropped and box.depth < DEPTH:
+        if tag in CONTAINERS and not dropped:
             names = ".".join(sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").lower().split()))
-            box = Box(f"{box.path}/{tag}.{names}" if names else f"{box.path}/{tag}", box, tag)
+            box = Box(f"{tag}.{names}" if names else tag, box, tag)
             boxes.append(box)
     if not link:
         total += len(html[at:].strip())
@@ -202,6 +199,10 @@ def _parse(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, Box]], li
     flush()
     while stack:
         pop()
+    for b in reversed(boxes):  # children come after their parents
+        b.score += b.own
+        if b.parent is not None:
+            b.parent.score += b.score
     return blocks, boxes, frozenset(place for n, place in judged if 2 * n > total)
 
 
@@ -223,17 +224,13 @@ def best_path(boxes: list[Box], share: float = SHARE) -> tuple[str, float]:
         at = inner
 
 
-def text_of(blocks: list[tuple[str, Box]], path: str) -> str:
+def text_of(blocks: list[tuple[str, Box]], boxes: list[Box], path: str) -> str:
     """Blocks inside any container of the path, joined by line feeds."""
-    inside: dict[int, bool] = {}
-
-    def within(b):
-        known = inside.get(id(b))
-        if known is None:
-            known = inside[id(b)] = b.path == path or b.parent is not None and within(b.parent)
-        return known
-
-    return "\n".join(text for text, b in blocks if within(b))
+    inside: set[int] = set()
+    for b in boxes:
+        if b.path == path or id(b.parent) in inside:
+            inside.add(id(b))
+    return "\n".join(text for text, b in blocks if id(b) in inside)
 
 
 def extract(html: str | None, paths: list[str]) -> str:
@@ -243,16 +240,12 @@ def extract(html: str | None, paths: list[str]) -> str:
     blocks, boxes = parse(html)
     own, score = best_path(boxes)[0], best_path(boxes, ROUGH)[1]
     held: dict[str, float] = {}
-    for b in boxes:
-        up = b.parent
-        while up is not None and up.path != b.path:
-            up = up.parent
-        if up is None:
-            held[b.path] = held.get(b.path, 0) + b.score
+    for b in boxes:  # a path goes back to the root, so no container is inside another of its path
+        held[b.path] = held.get(b.path, 0) + b.score
     for path in paths:
         if held.get(path, 0) > 0 and held[path] >= LEAST * score:
-            return text_of(blocks, path)
-    return text_of(blocks, own)
+            return text_of(blocks, boxes, path)
+    return text_of(blocks, boxes, own)
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -274,12 +267,20 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] > 0 for f in found])], names=["host", "path", "counts"])
 
     votes = pages.select(host.alias("host"), F.col(f"`{html_col}`")).mapInArrow(vote, "host string, path string, counts boolean").where("counts").groupBy("host", "path").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))
-    winners = votes.withColumn("r", rank).where(F.col("r") <= PATHS).groupBy(F.col("host").alias("_host")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "path"))), lambda x: x["path"]).alias("_paths"))
-    # In turn, so that a host or a page that many rows repeat is spread as well.
-    dealt = pages.select(host.alias("_host"), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int").alias("_part"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
-    spread = winners.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    joined = dealt.join(spread, ["_host", "_part"], "left").select("_paths", "_row")
+    of_host = Window.partitionBy("host")
+    enough = votes.withColumn("all", F.sum("n").over(of_host)).where(F.col("n") >= VOTES * F.col("all"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda x: x["path"])
+    winners = cl.cut(enough.groupBy(F.col("host").alias("_host")).agg(listed.alias("_paths"), F.first("all").alias("_n")))
+    dealt = pages.select(host.alias("_host"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
+    size = winners.agg(F.sum(F.octet_length("_host") + 64 + 32 * F.size("_paths"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = dealt.join(F.broadcast(winners.drop("_n")), "_host", "left").select("_paths", "_row")
+    else:
+        # In turn, so that a host or a page that many rows repeat is spread as well; large hosts only, by their votes.
+        large = winners.where(F.col("_n") > PART).select("_host", F.ceil(F.col("_n") / PART).cast("int").alias("_parts"))
+        spread = dealt.join(F.broadcast(large) if large.count() * PART <= BROADCAST_BYTES else large, "_host", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int"))
+        each = winners.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_n") / PART).cast("int") - 1)))).drop("_n")
+        joined = spread.join(each, ["_host", "_part"], "left").select("_paths", "_row")
     out = T.StructType([f for f in pages.schema.fields if f.name != text_col] + [T.StructField(text_col, T.StringType())])
 
     def again(batches):

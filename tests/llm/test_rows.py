@@ -301,6 +301,26 @@ def slow_model(texts, order):
     return score
 
 
+@pytest.mark.parametrize("text", ["", "plain", "\u0dde\u0ddd\u0fff\u1000", "日本語 é\U0010ffff\U0001f600", "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000, 7)]))])
+def test_symbols_can_be_read_back(text):
+    found, out = perplexity.symbols(text.encode()).tolist(), []
+    assert all(0 < x < perplexity._SYMBOLS for x in found)
+    while found:
+        x = found.pop(0) - 1 if len(found) < 100 else None
+        if x is None:  # long: without popping
+            i = 0
+            while i < len(found):
+                y = found[i] - 1
+                if y >= perplexity.NEAR:
+                    y = (y - perplexity.NEAR) << perplexity.FAR_BITS | found[i + 1] - 1
+                    i += 1
+                out.append(chr(y))
+                i += 1
+            break
+        out.append(chr(x if x < perplexity.NEAR else (x - perplexity.NEAR) << perplexity.FAR_BITS | found.pop(0) - 1))
+    assert "".join(out) == text
+
+
 def test_perplexity(spark):
     rng = np.random.default_rng(8)
     make = lambda: " ".join(rng.choice(["ana", "bel", "été", "co", "dida", "日本"], int(rng.integers(3, 30))))
@@ -359,3 +379,47 @@ def test_pipeline(spark):
     for r in rows:
         used[r["sequence_id"]] += r["length"]
     assert max(used.values()) <= 4096
+
+
+def made_page(rng, host: int, k: int) -> tuple[str, str]:
+    """A page of the host's template and its article, from parts whose role is known."""
+    words = lambda n: " ".join(rng.choice(["reed", "lake", "stone &amp; sand", "tide", "<b>gull</b>", "caf&eacute;", "north  \n wind"], n))
+    plain = lambda t: " ".join(re.sub("</?b>", "", t).replace("&amp;", "&").replace("&eacute;", "é").split())
+    blocks = [("h1", words(4))] + [("p", words(int(n))) for n in rng.integers(12, 60, int(rng.integers(3, 9)))]
+    inner = "\n".join(f"<{t}>{x}</{t}>" for t, x in blocks)
+    junk = [f'<div class="ad-slot-{k}">{words(9)}</div>', "<form><label>Mail</label><input></form>", f"<script>var x = '<p>{k}</p>'</script>"]
+    inner = inner.replace("</p>\n<p>", f"</p>{junk[k % 3]}<p>", 1)
+    menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">{w}</a>' for i, w in enumerate("home news about".split())) + "</ul></nav>"
+    comments = f'<section class="comments"><p>{words(int(rng.integers(5, 90)))}</p></section>'
+    side = f"<aside><p>{words(30)}</p></aside>"
+    wrap = [lambda x: f'<main><article class="post id-{k}">{x}</article></main>', lambda x: f'<div id=page><div class="story body{k}">{x}</div>{side}</div>', lambda x: "<div>" * 80 + f"<div class=deep>{x}</div>" + "</div>" * 80][host]
+    html = f"<html><head><title>{k}</title></head><body><header class=top>{words(6)}</header>{menu}{wrap(inner)}{comments}<footer>{words(12)}</footer></body></html>"
+    return html, "\n".join(plain(x) for _, x in blocks)
+
+
+def test_pages_of_known_parts_and_votes_by_hand(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    made = [(h * 100 + k, f"http://h{h}.example/{k}", *made_page(rng, h, k)) for h in range(3) for k in range(40)]
+    made += [(900 + i, *made[i][1:]) for i in range(5)]  # repeated rows
+    table = spark.createDataFrame([m[:3] for m in made], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(table).collect()}
+    assert got == {m[0]: m[3] for m in made}
+    # The same by plain counting of votes.
+    votes = collections.defaultdict(collections.Counter)
+    for _, url, html, _ in made:
+        votes[url.split("/")[2]][pages.best_path(pages.parse(html)[1])[0]] += 1
+    paths = {h: [p for p, n in sorted(c.items(), key=lambda x: (-x[1], x[0])) if n >= pages.VOTES * sum(c.values())] for h, c in votes.items()}
+    assert got == {m[0]: pages.extract(m[2], paths[m[1].split("/")[2]]) for m in made}
+    # And where the paths are too many to broadcast and hosts large.
+    monkeypatch.setattr(pages, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(pages, "PART", 7)
+    assert {r["page_id"]: r["text"] for r in pages.extract_pages(table).collect()} == got
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 20000 + "<p>low down</p>" + "</div>" * 20000
+    assert pages.extract(deep, []) == "low down"
+    long = "<article>" + "".join(f"<p>part {i} of it</p>" for i in range(30000)) + "</article>"
+    assert pages.extract(long, []).count("\n") == 29999
+    tie = "<div class=a><p>one two three</p></div><div class=b><p>six five four</p></div>"
+    assert pages.extract(tie, []) == "one two three\nsix five four"
