@@ -198,7 +198,7 @@ def regression_msr(game, spec: Semivalue, count: int | None = None, seed: int =
     chance = coalition_chance(law, n)
     drawn = _samples(game, Law({s: v for s, v in law.items() if v > 0}), n, count, seed, paired)
     folds = 1 if count is None else folds
-    drawn = drawn.withColumn("fold", F.lit(0) if count is None else F.pmod(F.crc32(F.concat(F.lit(f"fold:{seed}:"), F.col("k").cast("string")).cast("binary")), F.lit(folds)).cast("int"))
+    drawn = drawn.withColumn("fold", F.lit(0) if count is None else F.floor(draws.uniform(F.col("k"), "fold", seed) * folds).cast("int"))
     kernel = kernel_sizes(n)
     fit_by_size = np.array([kernel.get(s, 0.0) / comb(n, s) for s in range(n + 1)]) if spec.is_shapley else np.ones(n + 1) * chance.mean()
     # Of the row: bits, 1, worth (fit columns, scaled by the fit weight), then coefficient / chance for the correction.
@@ -455,7 +455,7 @@ class TwoStage:
             r = (F.col("cell") % (self.g + 1)).cast("int")
             s = F.floor(F.col("cell") / (self.g + 1)).cast("int")
             mask = draws.bits(F.slice(inside, F.lit(1), r)).bitwiseOR(draws.bits(F.slice(outside, F.lit(1), s - r)))
-        fold = F.pmod(F.crc32(F.concat(F.lit(f"fold:{seed}:"), key).cast("binary")), F.lit(self.folds)).cast("int")
+        fold = F.floor(draws.uniform(key, "fold", seed) * self.folds).cast("int")
         out = drawn.select("k", mask.alias("mask"), fold.alias("fold"))
         if self.paired:
             out = out.select("k", "fold", F.explode(F.array("mask", F.lit(self.game.full).bitwiseXOR(F.col("mask")).cast("bigint"))).alias("mask"))

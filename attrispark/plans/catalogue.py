@@ -218,7 +218,7 @@ for _name, _spec in SPECS.items():
 add("group_strata_exact", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=5), 5), oracle.exact_group("event", SHAPLEY, [0, 3], 5))
 add("group_wrapper_msr", on("event", lambda g: groups.summed(est.estimate("msr", g, banzhaf(0.25), COUNT, SEED), [0, 3]), 5), f"SELECT round(sum(value), 5) AS value FROM ({oracle.rule('msr', 'event', banzhaf(0.25), COUNT, SEED, digits=12)}) WHERE player IN (0, 3)")
 
-# The sampled forms of the estimators that solve on the driver: no SQL has them; they are tested against exact values.
+# The sampled forms of the estimators that solve on the driver.  Trees and two stages have no SQL; they are tested against exact values.
 _SOLVED: dict[str, Callable] = {
     "kernel_shap": lambda g: regression.kernel_shap(g, SHAPLEY, COUNT, SEED),
     "kernel_shap_paired": lambda g: regression.kernel_shap(g, SHAPLEY, COUNT, SEED, True),
@@ -233,8 +233,17 @@ _SOLVED: dict[str, Callable] = {
     "tree_msr": lambda g: regression.tree_msr(g, SHAPLEY, COUNT, SEED),
     "two_stage": lambda g: regression.values_frame(g.spark, regression.TwoStage(g, SHAPLEY, seed=SEED).estimate(COUNT)),
 }
+_SOLVED_SQL: dict[str, str] = {
+    **{f"kernel_shap{'_paired' * p}": oracle.kernel_shap("event", COUNT, SEED, bool(p)) for p in (0, 1)},
+    **{f"leverage{'_paired' * p}": oracle.leverage("event", COUNT, SEED, bool(p)) for p in (0, 1)},
+    "ame": oracle.ame("event", beta(4, 2), COUNT, SEED, False),
+    "ame_paired": oracle.ame("event", beta(2, 2), COUNT, SEED, True),
+    **{f"poly_shap{'_paired' * p}": oracle.poly_shap("event", 2, COUNT, SEED, bool(p)) for p in (0, 1)},
+    "regression_msr": oracle.regression_msr("event", beta(4, 1), COUNT, SEED, False, False),
+    "regression_msr_unbiased": oracle.regression_msr("event", SHAPLEY, COUNT, SEED, True, True),
+}
 for _name, _run in _SOLVED.items():
-    add(f"est_{_name}", on("event", _run))
+    add(f"est_{_name}", on("event", _run, 2), _SOLVED_SQL.get(_name))
 add("est_group_two_stage", on("event", lambda g: (lambda t: t.frame(t.estimate(COUNT)))(regression.TwoStage(g, beta(4, 1), group=[0, 3], seed=SEED))))
 add("est_group_strata", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=5, per_stratum=20, seed=SEED)))
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
+from math import comb
 
 from attrispark.functions.draws import draw_size_sql, uniform_sql
 from attrispark.functions.spec import Semivalue, by_size, number
-from attrispark.operators.estimators import MARGINAL, OFA_SIZES, RULES, Law
+from attrispark.operators.estimators import MARGINAL, OFA_SIZES, RULES, Law, coin_of, even_sizes, kernel_sizes
+from attrispark.operators.regression import balanced_law, coalition_chance
 
 PLAYERS = {"region": 5, "nation": 25, "brand": 25, "segment": 5, "event": 5}
 
@@ -132,3 +135,116 @@ def one_for_all(name: str, game: str, spec: Semivalue, count: int, seed: int, pa
 def one_for_all_baseline(game: str, spec: Semivalue, count: int, seed: int, paired: bool = False, digits: int = 4) -> str:
     n = PLAYERS[game]
     return f"WITH {table(game)}, {orders(n - 1, count, seed, paired)}, l AS (SELECT k, side, (k % {n})::int AS me, pos, CASE WHEN player >= k % {n} THEN player + 1 ELSE player END AS player FROM ord), m AS (SELECT me, pos + 1 AS s, sum(1::bigint << player::int) OVER (PARTITION BY k, side ORDER BY pos)::bigint AS lo FROM l UNION ALL SELECT me, 0, 0 FROM l WHERE pos = 0), st AS (SELECT me AS player, s, avg(b.u - a.u) AS v FROM m JOIN util a ON a.mask = lo JOIN util b ON b.mask = lo | (1::bigint << me) GROUP BY 1, 2) SELECT player, round(sum(v * {by_size(spec.d(n))}), {digits}) AS value FROM st GROUP BY 1"
+
+
+# Linear systems: Gram matrices as sums, solved by unrolled elimination, a column per entry.
+
+
+def gram(rows: str, features: list[str], right: list[str], weight: str = "1e0", keys: str = "", name: str = "e0") -> str:
+    """CTE name(keys, a_i_j, b_i_r): weighted products of the features with each other and with the right-hand sides."""
+    cells = [f"sum({weight} * ({x}) * ({y})) AS a_{i}_{j}" for i, x in enumerate(features) for j, y in enumerate(features)]
+    cells += [f"sum({weight} * ({x}) * ({y})) AS b_{i}_{r}" for i, x in enumerate(features) for r, y in enumerate(right)]
+    return f"{name} AS (SELECT {keys}{', ' if keys else ''}{', '.join(cells)} FROM {rows}{f' GROUP BY {keys}' if keys else ''})"
+
+
+def solved(size: int, right: int, keys: str = "", begin: str = "e0", name: str = "e") -> str:
+    """CTEs that end in name{size}: b_i_r is then the solution; for positive definite matrices, without pivots."""
+    steps, before = [], begin
+    for p in range(size):
+        columns = [f"{k}" for k in keys.split(", ") if k]
+        for i in range(size):
+            for c in [*(f"a_{{}}_{j}" for j in range(p + 1, size)), *(f"b_{{}}_{r}" for r in range(right))]:
+                of, own = c.format(p), c.format(i)
+                columns.append(f"{of} / a_{p}_{p} AS {own}" if i == p else f"{own} - a_{i}_{p} * {of} / a_{p}_{p} AS {own}")
+        steps.append(f"{name}{p + 1} AS (SELECT {', '.join(columns)} FROM {before})")
+        before = f"{name}{p + 1}"
+    return ", ".join(steps)
+
+
+def _evaluated(game: str, law: Law, count: int, seed: int, paired: bool) -> str:
+    """CTEs that end in ev(k, mask, s, t, u, u0, u1, x0, x1, ...)."""
+    n = PLAYERS[game]
+    bits = ", ".join(f"((smp.mask >> {i}) & 1)::double AS x{i}" for i in range(n))
+    return f"{table(game)}, {samples(law, n, count, seed, paired)}, ev AS (SELECT smp.*, u, u0, u1, {bits} FROM smp JOIN util USING (mask) CROSS JOIN ends)"
+
+
+def _list(values: list[str], last: str, digits: int) -> str:
+    rows = " UNION ALL ".join(f"SELECT {i} AS player, {v} AS value FROM {last} CROSS JOIN ends" for i, v in enumerate(values))
+    return f"SELECT player::int AS player, round(value, {digits}) AS value FROM ({rows})"
+
+
+def _constrained(size: int, gain: str = "(u1 - u0)") -> list[str]:
+    """Solutions b_i_0 moved along b_i_1 so that they add up to the gain."""
+    free, slope = (" + ".join(f"b_{i}_{r}" for i in range(size)) for r in (0, 1))
+    return [f"(b_{i}_0 - b_{i}_1 * ({free} - {gain}) / ({slope}))" for i in range(size)]
+
+
+def kernel_shap(game: str, count: int, seed: int, paired: bool, digits: int = 2) -> str:
+    n = PLAYERS[game]
+    x = [f"x{i}" for i in range(n)]
+    begin = gram("ev", x, ["u - u0"])
+    ones = f"e0 AS (SELECT *, {', '.join(f'1e0 AS b_{i}_1' for i in range(n))} FROM eg)"
+    return f"WITH {_evaluated(game, Law(kernel_sizes(n)), count, seed, paired)}, {begin.replace('e0 AS', 'eg AS', 1)}, {ones}, {solved(n, 2)} {_list(_constrained(n), f'e{n}', digits)}"
+
+
+def leverage(game: str, count: int, seed: int, paired: bool, digits: int = 2) -> str:
+    n = PLAYERS[game]
+    mass = kernel_sizes(n)
+    weight = by_size([n * mass.get(s, 0.0) / sum(mass.values()) for s in range(n + 1)])
+    x = [f"x{i} - s / {n}e0" for i in range(n)]
+    begin = gram("ev", x, [f"u - u0 - (u1 - u0) * s / {n}e0"], weight).replace("e0 AS", "eg AS", 1)
+    # Centred bits add up to nothing: the solution of least norm is that of the matrix plus one.
+    cells = ", ".join([*(f"a_{i}_{j} + 1e0 AS a_{i}_{j}" for i in range(n) for j in range(n)), *(f"b_{i}_0" for i in range(n))])
+    return f"WITH {_evaluated(game, Law(even_sizes(1, n - 1)), count, seed, paired)}, {begin}, e0 AS (SELECT {cells} FROM eg), {solved(n, 1)} {_list([f'b_{i}_0 + (u1 - u0) / {n}e0' for i in range(n)], f'e{n}', digits)}"
+
+
+def ame(game: str, spec: Semivalue, count: int, seed: int, paired: bool, digits: int = 2) -> str:
+    n = PLAYERS[game]
+    a, b = spec.params
+    scale = (a + b - 1) * (a + b - 2) / ((a - 1) * (b - 1))
+    z = [f"x{i} / t - (1e0 - x{i}) / (1e0 - t)" for i in range(n)] + ["1e0"]
+    return f"WITH {_evaluated(game, coin_of(spec), count, seed, paired)}, {gram('ev', z, ['u'])}, {solved(n + 1, 1)} {_list([f'{number(scale)} * b_{i}_0' for i in range(n)], f'e{n + 1}', digits)}"
+
+
+def poly_shap(game: str, order: int, count: int, seed: int, paired: bool, digits: int = 2) -> str:
+    n = PLAYERS[game]
+    sets = [t for r in range(1, order + 1) for t in combinations(range(n), r)]
+    m = len(sets)
+    begin = gram("ev", [" * ".join(f"x{i}" for i in t) for t in sets], ["u - u0"]).replace("e0 AS", "eg AS", 1)
+    ones = f"e0 AS (SELECT *, {', '.join(f'1e0 AS b_{i}_1' for i in range(m))} FROM eg)"
+    fit = _constrained(m)
+    named = f"fit AS (SELECT {', '.join(f'{f} AS c{i}' for i, f in enumerate(fit))} FROM e{m} CROSS JOIN ends)"
+    values = [" + ".join(f"c{k} / {len(t)}e0" for k, t in enumerate(sets) if i in t) for i in range(n)]
+    return f"WITH {_evaluated(game, Law(kernel_sizes(n)), count, seed, paired)}, {begin}, {ones}, {solved(m, 2)}, {named} {_list(values, 'fit', digits)}"
+
+
+def regression_msr(game: str, spec: Semivalue, count: int, seed: int, paired: bool, unbiased: bool, folds: int = 10, digits: int = 2) -> str:
+    """Fits per fold on the other folds, then the mean of fit and correction over folds by their samples."""
+    n = PLAYERS[game]
+    law = balanced_law(spec, n)
+    chance = coalition_chance(law, n).tolist()
+    q = by_size(chance)
+    kernel = kernel_sizes(n)
+    root = by_size([(kernel.get(s, 0.0) / comb(n, s) if spec.is_shapley else sum(chance) / len(chance)) / chance[s] for s in range(n + 1)])
+    x = [f"x{i}" for i in range(n)]
+    fold = f"floor({uniform_sql('k', repr('fold'), seed)} * {folds})::int"
+    parts = [_evaluated(game, Law({s: v for s, v in law.items() if v > 0}), count, seed, paired), f"fd AS (SELECT *, {fold} AS f FROM ev), pair AS (SELECT o.f AS g, fd.* FROM fd JOIN (SELECT DISTINCT f FROM fd) o ON o.f <> fd.f)"]
+    if spec.is_shapley:
+        parts.append(gram("pair", x, ["u - u0"], root, "g").replace("e0 AS", "eg AS", 1))
+        parts.append(f"e0 AS (SELECT *, {', '.join(f'1e0 AS b_{i}_1' for i in range(n))} FROM eg)")
+        parts.append(solved(n, 2, "g"))
+        parts.append(f"fit AS (SELECT g, u0 AS c{n}, {', '.join(f'{v} AS c{i}' for i, v in enumerate(_constrained(n)))} FROM e{n} CROSS JOIN ends)")
+    else:
+        parts.append(gram("pair", [*x, "1e0"], ["u"], root, "g"))
+        parts.append(solved(n + 1, 1, "g"))
+        parts.append(f"fit AS (SELECT g, {', '.join(f'b_{i}_0 AS c{i}' for i in range(n + 1))} FROM e{n + 1})")
+    fitted = " + ".join([*(f"c{i} * x{i}" for i in range(n)), f"c{n}"])
+    parts.append(f"res AS (SELECT fd.*, u - ({fitted}) AS r, {', '.join(f'c{i}' for i in range(n))} FROM fd JOIN fit ON fit.g = fd.f)")
+    inside, outside = by_size(spec.p(n), first=1), by_size(spec.p(n))
+    pieces = []
+    p_in = sum(v * s / n for s, v in law.items()) / sum(law.values())
+    for i in range(n):
+        g = f"(x{i} * {inside} - (1e0 - x{i}) * {outside}) / {q}"
+        mean = f"avg(r * {g})" if unbiased else f"coalesce(sum(r * {g} * x{i}) / nullif(sum(x{i}), 0), 0) * {number(p_in)} + coalesce(sum(r * {g} * (1e0 - x{i})) / nullif(sum(1e0 - x{i}), 0), 0) * {number(1 - p_in)}"
+        pieces.append(f"SELECT {i} AS player, count(*) AS m, any_value(c{i}) + {mean} AS v FROM res GROUP BY f")
+    return f"WITH {', '.join(parts)} SELECT player::int AS player, round(sum(m * v) / sum(m), {digits}) AS value FROM ({' UNION ALL '.join(pieces)}) GROUP BY 1"
