@@ -37,7 +37,7 @@ def _strata(n: int, g: int, threshold: int) -> dict[tuple[int, int], float]:
                 weights[s, r] = weights.get((s, r), 0.0) + p * (r - g * s / n) * n / (s * (n - s))
             continue
         r = min(max(round(g * s / n), min(law)), max(law))
-        spread = sum(p * (x - g * s / n) ** 2 for x, p in law.items()) * n / (s * (n - s))
+        spread = g / n * (1 - g / n)  # of a member drawn with replacement; the exact spread is n / (n - 1) times that
         hi, lo = (r + 1 if r + 1 in law else r), (r - 1 if r - 1 in law else r)
         if hi == lo:
             continue  # a single overlap is possible: the size says nothing about the group

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 from attrispark.functions import draws
 from attrispark.functions.ship import ship
 from attrispark.functions.spec import Semivalue
-from attrispark.operators import exact
+from attrispark.operators import exact, subsets
 from attrispark.operators.estimators import Law, Unsupported, coin_of, even_sizes, kernel_sizes, population, sample, worth
 
 #: Doubles of all folds' matrices that the driver may hold: 2 GB.
 LARGEST = 1 << 28
+#: Rows of a matrix that are summed over tasks together.
+STRIP = 64
 
 
 def bit_matrix(masks: np.ndarray, n: int) -> np.ndarray:
@@ -55,12 +57,22 @@ def gram(samples: DataFrame, rows, width: int, folds: int = 1) -> np.ndarray:
                 for f in range(folds) if folds > 1 else (0,):
                     at = c["fold"] == f if folds > 1 else slice(None)
                     sums[f] += (r[at] * c["w"][at][:, None]).T @ r[at]
-        f, i, j = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[f, i, j])], names=["f", "i", "j", "v"])
+        # Strips of rows, each from the diagonal on: the matrix is symmetric.
+        for f in range(folds):
+            for i in range(0, width, STRIP):
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([i], pa.int32()), pa.array([np.ascontiguousarray(sums[f, i : i + STRIP, i:]).tobytes()], pa.binary())], names=["f", "i", "v"])
+
+    def add(table):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(v.as_buffer(), np.float64) for v in table.column("v"))
+        return pa.table({"f": table.column("f")[:1], "i": table.column("i")[:1], "v": pa.array([total.tobytes()], pa.binary())})
 
-    entries = slim.mapInArrow(partial, "f int, i int, j int, v double").groupBy("f", "i", "j").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros((folds, width, width))
-    out[entries["f"], entries["i"], entries["j"]] = entries["v"]
+    for x in slim.mapInArrow(partial, "f int, i int, v binary").groupBy("f", "i").applyInArrow(add, "f int, i int, v binary").collect():
+        i, strip = x["i"], np.frombuffer(x["v"], np.float64).reshape(-1, width - x["i"])
+        out[x["f"], i : i + len(strip), i:] = strip
+        out[x["f"], i:, i : i + len(strip)] = strip.T
     return out
 
 
@@ -183,9 +195,13 @@ def coefficients(spec: Semivalue, n: int, masks: np.ndarray, sizes: np.ndarray)
     return x * p[sizes][:, None] - (1 - x) * p[sizes + 1][:, None]
 
 
-def regression_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False, folds: int = 10, unbiased: bool = True) -> DataFrame:
+def regression_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False, folds: int = 10, unbiased: bool = True, replacement: bool = True, special: bool = True) -> DataFrame:
     """A linear surrogate per fold, corrected by the other folds' residuals.
 
+    replacement False: distinct coalitions, whose inclusion chances take the
+    place of draw chances.  special False: Shapley values too are fitted by
+    plain least squares, not by the kernel through both ends.
+
     unbiased: the correction is the plain mean of coefficient over chance; else
     means over the samples with and without the player, each scaled by how
     often that side is drawn.  Everything needed is in the products of (bits,
@@ -196,11 +212,20 @@ def regression_msr(game, spec: Semivalue, count: int | None = None, seed: int =
         raise Unsupported("pairs need a symmetric semivalue")
     law = balanced_law(spec, n)
     chance = coalition_chance(law, n)
-    drawn = _samples(game, Law({s: v for s, v in law.items() if v > 0}), n, count, seed, paired)
+    if count is not None and not replacement:
+        distinct = subsets.without_replacement(game.spark, {s: v for s, v in law.items() if v > 0}, n, count, seed, paired)
+        taken = {r["s"]: (r["n"], r["chance"]) for r in distinct.groupBy("s").agg(F.count("*").alias("n"), F.first("chance").alias("chance")).collect()}
+        met = sum(m for m, _ in taken.values())
+        chance = np.array([taken.get(s, (0, 0.0))[1] / max(1, met) for s in range(n + 1)])
+        law = {s: float(m) for s, (m, _) in taken.items()}
+        k = F.least("mask", F.lit(game.full).bitwiseXOR(F.col("mask"))) if paired else F.col("mask")  # a pair shares its fold
+        drawn = worth(game, distinct.select("mask", "s", k.alias("k"))).withColumn("w", F.lit(1.0 / max(1, met)))
+    else:
+        drawn = _samples(game, Law({s: v for s, v in law.items() if v > 0}), n, count, seed, paired)
     folds = 1 if count is None else folds
     drawn = drawn.withColumn("fold", F.lit(0) if count is None else F.floor(draws.uniform(F.col("k"), "fold", seed) * folds).cast("int"))
-    kernel = kernel_sizes(n)
-    fit_by_size = np.array([kernel.get(s, 0.0) / comb(n, s) for s in range(n + 1)]) if spec.is_shapley else np.ones(n + 1) * chance.mean()
+    kernel, kernelled = kernel_sizes(n), spec.is_shapley and special
+    fit_by_size = np.array([kernel.get(s, 0.0) / comb(n, s) for s in range(n + 1)]) if kernelled else np.ones(n + 1) * chance.mean()
     # Of the row: bits, 1, worth (fit columns, scaled by the fit weight), then coefficient / chance for the correction.
     sides = 2 if not unbiased else 1
     width = 2 * (n + 2) + sides * n + (2 * n if not unbiased else 0)
@@ -224,7 +249,7 @@ def regression_msr(game, spec: Semivalue, count: int | None = None, seed: int =
         if mass <= 0:
             continue
         a = train[:m, :m]
-        if spec.is_shapley:  # kernel-weighted, through both ends
+        if kernelled:  # kernel-weighted, through both ends
             b = np.linalg.pinv(a[:n, :n])
             free, slope = b @ (a[:n, n + 1] - u0 * a[:n, n]), b @ np.ones(n)
             fit = np.append(free - slope * (free.sum() - (u1 - u0)) / slope.sum(), u0)

@@ -85,6 +85,8 @@ add("additive_shapley", lambda spark, d: rounded(exact.enumerated(games.additive
 add("additive_noise", lambda spark, d: rounded(games.additive(_segment_balance(spark, d), 5, lam=0.5, sigma=100.0, seed=3, noise=lambda z: z).table(), 4, "u").select("mask", "u"), f"WITH {_BALANCE}, z AS (SELECT player, w, ('0x' || substr(md5('zobrist:3:' || player::varchar), 1, 13))::bigint AS key FROM b), h AS (SELECT m.range AS mask, coalesce(sum(CASE WHEN (m.range >> player) & 1 = 1 THEN w END), 0) AS a, coalesce(bit_xor(CASE WHEN (m.range >> player) & 1 = 1 THEN key ELSE 0 END), 0) AS h FROM range(32) m CROSS JOIN z GROUP BY 1) SELECT mask, round(0.5e0 * a + 50e0 * ((h + 0.5e0) / 4503599627370496e0), 4) AS u FROM h")
 
 
+add("additive_noise_normal", lambda spark, d: rounded(games.additive(_segment_balance(spark, d), 5, lam=0.5, sigma=100.0, seed=3).table(), 4, "u").select("mask", "u"), f"WITH {_BALANCE}, z AS (SELECT player, w, ('0x' || substr(md5('zobrist:3:' || player::varchar), 1, 13))::bigint AS key FROM b), h AS (SELECT m.range AS mask, coalesce(sum(CASE WHEN (m.range >> player) & 1 = 1 THEN w END), 0) AS a, (coalesce(bit_xor(CASE WHEN (m.range >> player) & 1 = 1 THEN key ELSE 0 END), 0) + 0.5e0) / 4503599627370496e0 AS z FROM range(32) m CROSS JOIN z GROUP BY 1) SELECT mask, round(0.5e0 * a + 50e0 * {oracle.inverse_normal('z')}, 4) AS u FROM h")
+
 #: The query set of a search: every row whose id is divisible by this, against all other rows.
 _EVERY = 50
 _K, _OWNERS = 3, 8
@@ -143,19 +145,7 @@ _sampler("paired", est.Law(est.kernel_sizes(25)), 25, True)
 for _paired in (False, True):
     add(f"sample_permutation{'_paired' if _paired else ''}", lambda spark, d, p=_paired: est.permutations(spark, 12, COUNT, SEED, p).select("k", F.col("side").cast("int").alias("side"), F.posexplode("o").alias("pos", "player")).select("k", "side", "pos", F.col("player").cast("int").alias("player")), f"WITH {oracle.orders(12, COUNT, SEED, _paired)} SELECT k, side::int AS side, pos, player FROM ord")
 _WITHOUT = {s: 1.0 / (s * (10 - s)) for s in range(1, 10)}
-_CHANCE = subsets.inclusion(_WITHOUT, 10, 300)
-
-
-def _without_sql() -> str:
-    from math import comb
-
-    take = {s: min(comb(10, s), round(p * comb(10, s))) for s, p in _CHANCE.items()}
-    need = "CASE s " + " ".join(f"WHEN {s} THEN {m}" for s, m in take.items()) + " ELSE 0 END"
-    share = "CASE s " + " ".join(f"WHEN {s} THEN {m}/{comb(10, s)}e0" for s, m in take.items()) + " END"
-    return f"WITH m AS (SELECT range AS mask, bit_count(range)::int AS s, row_number() OVER (PARTITION BY bit_count(range) ORDER BY md5(range::varchar || ':pick:{SEED}'), range) AS r FROM range(1024)) SELECT mask, s, round({share}, 8) AS chance FROM m WHERE r <= {need}"
-
-
-add("sample_without_replacement", lambda spark, d: rounded(subsets.without_replacement(spark, _WITHOUT, 10, 300, SEED), 8, "chance"), _without_sql())
+add("sample_without_replacement", lambda spark, d: rounded(subsets.without_replacement(spark, _WITHOUT, 10, 300, SEED), 8, "chance"), oracle.without_replacement(_WITHOUT, 10, 300, SEED))
 add("unrank_subsets", lambda spark, d: spark.range(220).select(F.col("id").alias("rank"), subsets.unrank(F.col("id"), 12, 3).alias("mask")), "SELECT row_number() OVER (ORDER BY a.range, b.range, c.range) - 1 AS rank, (1::bigint << a.range::int) | (1::bigint << b.range::int) | (1::bigint << c.range::int) AS mask FROM range(12) a, range(12) b, range(12) c WHERE a.range < b.range AND b.range < c.range")
 add("law_kernel", lambda spark, d: spark.createDataFrame([(s, v / sum(est.kernel_sizes(40).values())) for s, v in est.kernel_sizes(40).items()], "s int, share double").withColumn("share", F.round("share", 10)), "WITH k AS (SELECT range::int AS s, 1e0 / (range * (40 - range)) AS v FROM range(1, 40)) SELECT s, round(v / sum(v) OVER (), 10) AS share FROM k")
 
@@ -216,6 +206,7 @@ def _two_stage_group(game, spec: Semivalue, basis) -> DataFrame:
 for _name, _spec in SPECS.items():
     add(f"pop_group_two_stage_{_name}", on("event", lambda g, s=_spec: _two_stage_group(g, s, 1), 5), oracle.exact_group("event", _spec, [0, 3], 5))
 add("group_strata_exact", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=5), 5), oracle.exact_group("event", SHAPLEY, [0, 3], 5))
+add("group_strata_quotient", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=2), 4), oracle.group_strata("event", [0, 3], 2))
 add("group_wrapper_msr", on("event", lambda g: groups.summed(est.estimate("msr", g, banzhaf(0.25), COUNT, SEED), [0, 3]), 5), f"SELECT round(sum(value), 5) AS value FROM ({oracle.rule('msr', 'event', banzhaf(0.25), COUNT, SEED, digits=12)}) WHERE player IN (0, 3)")
 
 # The sampled forms of the estimators that solve on the driver.  Trees and two stages have no SQL; they are tested against exact values.
@@ -230,6 +221,7 @@ _SOLVED: dict[str, Callable] = {
     "poly_shap_paired": lambda g: regression.poly_shap(g, SHAPLEY, 2, COUNT, SEED, True),
     "regression_msr": lambda g: regression.regression_msr(g, beta(4, 1), COUNT, SEED, unbiased=False),
     "regression_msr_unbiased": lambda g: regression.regression_msr(g, SHAPLEY, COUNT, SEED, True),
+    "regression_msr_plain": lambda g: regression.regression_msr(g, SHAPLEY, COUNT, SEED, special=False),
     "tree_msr": lambda g: regression.tree_msr(g, SHAPLEY, COUNT, SEED),
     "two_stage": lambda g: regression.values_frame(g.spark, regression.TwoStage(g, SHAPLEY, seed=SEED).estimate(COUNT)),
 }
@@ -241,6 +233,7 @@ _SOLVED_SQL: dict[str, str] = {
     **{f"poly_shap{'_paired' * p}": oracle.poly_shap("event", 2, COUNT, SEED, bool(p)) for p in (0, 1)},
     "regression_msr": oracle.regression_msr("event", beta(4, 1), COUNT, SEED, False, False),
     "regression_msr_unbiased": oracle.regression_msr("event", SHAPLEY, COUNT, SEED, True, True),
+    "regression_msr_plain": oracle.regression_msr("event", SHAPLEY, COUNT, SEED, False, True, special=False),
 }
 for _name, _run in _SOLVED.items():
     add(f"est_{_name}", on("event", _run, 2), _SOLVED_SQL.get(_name))

@@ -218,18 +218,18 @@ def poly_shap(game: str, order: int, count: int, seed: int, paired: bool, digits
     return f"WITH {_evaluated(game, Law(kernel_sizes(n)), count, seed, paired)}, {begin}, {ones}, {solved(m, 2)}, {named} {_list(values, 'fit', digits)}"
 
 
-def regression_msr(game: str, spec: Semivalue, count: int, seed: int, paired: bool, unbiased: bool, folds: int = 10, digits: int = 2) -> str:
+def regression_msr(game: str, spec: Semivalue, count: int, seed: int, paired: bool, unbiased: bool, folds: int = 10, digits: int = 2, special: bool = True) -> str:
     """Fits per fold on the other folds, then the mean of fit and correction over folds by their samples."""
     n = PLAYERS[game]
     law = balanced_law(spec, n)
     chance = coalition_chance(law, n).tolist()
     q = by_size(chance)
-    kernel = kernel_sizes(n)
-    root = by_size([(kernel.get(s, 0.0) / comb(n, s) if spec.is_shapley else sum(chance) / len(chance)) / chance[s] for s in range(n + 1)])
+    kernel, kernelled = kernel_sizes(n), spec.is_shapley and special
+    root = by_size([(kernel.get(s, 0.0) / comb(n, s) if kernelled else sum(chance) / len(chance)) / chance[s] for s in range(n + 1)])
     x = [f"x{i}" for i in range(n)]
     fold = f"floor({uniform_sql('k', repr('fold'), seed)} * {folds})::int"
     parts = [_evaluated(game, Law({s: v for s, v in law.items() if v > 0}), count, seed, paired), f"fd AS (SELECT *, {fold} AS f FROM ev), pair AS (SELECT o.f AS g, fd.* FROM fd JOIN (SELECT DISTINCT f FROM fd) o ON o.f <> fd.f)"]
-    if spec.is_shapley:
+    if kernelled:
         parts.append(gram("pair", x, ["u - u0"], root, "g").replace("e0 AS", "eg AS", 1))
         parts.append(f"e0 AS (SELECT *, {', '.join(f'1e0 AS b_{i}_1' for i in range(n))} FROM eg)")
         parts.append(solved(n, 2, "g"))
@@ -248,3 +248,46 @@ def regression_msr(game: str, spec: Semivalue, count: int, seed: int, paired: bo
         mean = f"avg(r * {g})" if unbiased else f"coalesce(sum(r * {g} * x{i}) / nullif(sum(x{i}), 0), 0) * {number(p_in)} + coalesce(sum(r * {g} * (1e0 - x{i})) / nullif(sum(1e0 - x{i}), 0), 0) * {number(1 - p_in)}"
         pieces.append(f"SELECT {i} AS player, count(*) AS m, any_value(c{i}) + {mean} AS v FROM res GROUP BY f")
     return f"WITH {', '.join(parts)} SELECT player::int AS player, round(sum(m * v) / sum(m), {digits}) AS value FROM ({' UNION ALL '.join(pieces)}) GROUP BY 1"
+
+
+def inverse_normal(z: str) -> str:
+    """The standard normal quantile by Newton steps on the series of the distribution function."""
+    odd, factors = 1, []
+    for k in range(61):
+        odd = odd * (2 * k + 1) if k else 1
+        factors.append(float(odd))
+    cdf = f"(0.5e0 + list_sum(list_transform(range(61), lambda k: x ** (2 * k + 1) / {factors}[k + 1])) * exp(-x * x / 2) / 2.5066282746310002e0)"
+    step = f"x - greatest(-1e0, least(1e0, ({cdf} - {z}) * 2.5066282746310002e0 * exp(x * x / 2)))"
+    return f"list_reduce(list_transform(range(12), lambda i: i::double), lambda x, i: {step}, 0e0)"
+
+
+def group_strata(game: str, group: list[int], threshold: int, digits: int = 4) -> str:
+    """A group's Shapley value from stratum means: the covariance of overlap and worth below the threshold, a difference quotient from there on."""
+    n, g = PLAYERS[game], len(group)
+    mask = sum(1 << i for i in group)
+    cells = ", ".join(f"({s}, {r}, {float(comb(g, r) * comb(n - g, s - r) / comb(n, s))!r}::double)" for s in range(1, n) for r in range(max(0, s - n + g), min(g, s) + 1))
+    lo, hi = f"greatest(0, s - {n - g})", f"least({g}, s)"
+    middle = f"round_even({g}e0 * s / {n}, 0)::int"
+    return f"""WITH {table(game)}, law(s, r, p) AS (VALUES {cells}), m AS (SELECT bit_count(mask)::int AS s, bit_count(mask & {mask})::int AS r, avg(u) AS m FROM util GROUP BY 1, 2),
+below AS (SELECT sum(p * (law.r - {g}e0 * law.s / {n}) * m * {n}e0 / (law.s * ({n} - law.s))) AS v FROM law JOIN m USING (s, r) WHERE s < {threshold}),
+q AS (SELECT s, least({hi}, {middle} + 1) AS up, greatest({lo}, {middle} - 1) AS down FROM (SELECT DISTINCT s FROM law WHERE s >= {threshold})),
+above AS (SELECT sum((a.m - b.m) / (up - down)) * {g / n * (1 - g / n)!r}::double AS v FROM q JOIN m a ON a.s = q.s AND a.r = up JOIN m b ON b.s = q.s AND b.r = down WHERE up > down)
+SELECT round({g}e0 / {n} * (u1 - u0) + coalesce(below.v, 0) + coalesce(above.v, 0), {digits}) AS value FROM ends CROSS JOIN below CROSS JOIN above"""
+
+
+def without_replacement(law: dict[int, float], n: int, count: int, seed: int) -> str:
+    """Ranks of each size: all of them by digest where few, else the first that differ among draws; then the sets in lexicographic order."""
+    from attrispark.operators.subsets import ENUMERATED, taken
+
+    picks, shares = [], {}
+    for s, m in taken(law, n, count).items():
+        total = comb(n, s)
+        shares[s] = m / total
+        if total <= ENUMERATED * m:
+            picks.append(f"SELECT {s} AS s, rank FROM (SELECT range AS rank, row_number() OVER (ORDER BY md5(range::varchar || ':pick{s}:{seed}'), range) AS o FROM range({total})) WHERE o <= {m}")
+        elif m:
+            tried = 64 * (m + 16)
+            picks.append(f"SELECT {s} AS s, rank FROM (SELECT rank, row_number() OVER (ORDER BY min(id)) AS o FROM (SELECT range AS id, ('0x' || substr(md5(range::varchar || ':pick{s}:{seed}'), 1, 15))::bigint % {total} AS rank FROM range({tried})) GROUP BY rank) WHERE o <= {m}")
+    order = ", ".join(f"(m.range >> {i}) & 1 DESC" for i in range(n))
+    share = "CASE s " + " ".join(f"WHEN {s} THEN {v!r}::double" for s, v in shares.items()) + " END"
+    return f"WITH m AS (SELECT range AS mask, bit_count(range)::int AS s, row_number() OVER (PARTITION BY bit_count(range) ORDER BY {order}) - 1 AS rank FROM range({1 << n}) m), p AS ({' UNION ALL '.join(picks)}) SELECT mask, s, round({share}, 8) AS chance FROM m JOIN p USING (s, rank)"

@@ -121,6 +121,24 @@ def test_without_replacement_draws_distinct_coalitions(spark):
     assert len({r["mask"] for r in rows}) == len(rows)
     assert abs(len(rows) - 60) <= 4
     assert all(0 < r["chance"] <= 1 for r in rows)
+    pairs = subsets.without_replacement(spark, law, 8, 60, 3, paired=True).collect()
+    masks = {r["mask"] for r in pairs}
+    assert len(masks) == len(pairs) and all(255 ^ m in masks for m in masks)
+    # Many players: no 2^n anywhere, and nothing twice.
+    wide = subsets.without_replacement(spark, {s: 1.0 for s in range(1, 50)}, 50, 500, 3).collect()
+    assert len({r["mask"] for r in wide}) == len(wide) and abs(len(wide) - 500) <= 50
+    with pytest.raises(ValueError):
+        subsets.distinct_ranks(spark, {1: (5, 6)}, 1)
+
+
+def test_regression_without_replacement(game):
+    """All coalitions, drawn once each, leave nothing to chance; the surrogate makes no difference then."""
+    for spec in (SHAPLEY, beta(4, 1)):
+        for special in (True, False):
+            got = vector(regression.regression_msr(game, spec, 32, 1, replacement=False, special=special, folds=4))
+            assert np.abs(got - brute(spec, 5, VALUES)).max() < 1.0
+    near = vector(regression.regression_msr(game, SHAPLEY, 24, 1, True, replacement=False))
+    assert np.abs(near - brute(SHAPLEY, 5, VALUES)).max() < 1.0
 
 
 def test_unanimity_terms_match_the_definition(spark):
