@@ -233,3 +233,23 @@ def test_dominance_reduction_keeps_the_optimum(lengths):
     used = np.bincount([x for s, t in fixed for _ in range(t) for x in s], minlength=capacity + 1) if fixed else np.zeros(capacity + 1, int)
     assert (used + left == counts).all()
     assert sum(t for _, t in fixed) + fewest([x for x in range(capacity + 1) for _ in range(left[x])]) == fewest(lengths)
+
+
+def test_suffixes_of_a_text_beyond_one_piece(spark):
+    """A text scanned in pieces, with repeats across their borders and an empty text before it."""
+    rng = np.random.default_rng(9)
+    text = "".join(map(chr, rng.integers(97, 123, 620_000)))
+    passage = text[262_000:262_900]  # over the border of the first piece
+    text = text[:500_000] + passage + text[500_000:]
+    rows = [(1, None), (2, ""), (3, text), (4, "x" + passage[:450])]
+    got = {r["doc_id"]: r for r in suffixes.dedup_suffixes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    seen = collections.Counter(hash(t[i : i + 400]) for _, t in rows if t for i in range(len(t) - 399))
+    for i, t in rows:
+        t = t or ""
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                gone[k : k + 400] = True
+        assert got[i]["n_removed"] == gone.sum()
+        assert bytes(got[i]["kept_bytes"]).decode() == "".join(np.array(list(t), dtype=str)[~gone]) if t else not got[i]["kept_bytes"]
+    assert got[3]["n_removed"] >= 1800
