@@ -2,9 +2,11 @@
 
 Each page is parsed where it is read.  Its containers are scored by the text
 they hold outside links and boilerplate, and the page votes for the
-generalised tag-class path of its best container.  Votes are summed per host
-and path in Spark, and every page is parsed again with its host's winning
-paths; a page that doesn't have them falls back to its own container.
+generalised tag-class path of its best container, and names the containers
+beside it.  Votes are summed per host and path in Spark, and every page is
+parsed again with its host's winning paths; a page that doesn't have them, or
+whose text goes beyond them in containers that its host doesn't know, falls
+back to its own container.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from . import _cluster as cl
 
 #: A path counts for its host with this share of the host's votes, so it has 20 at most.
 VOTES = 0.05
-#: A container stands for its parent where it holds this share of the parent's score; and where only the size of a page's own choice counts.
-SHARE, ROUGH = 0.9, 0.7
+#: A container stands for its parent where it holds this share of the parent's score.
+SHARE = 0.9
 #: Text directly in a page's body below this share of it is stray.
 STRAY = 0.05
 #: Winning paths are broadcast up to this many bytes; beyond, a host's pages meet them in parts of so many pages.
 BROADCAST_BYTES, PART = 32 << 20, 2000
-#: A page leaves its host's path where that holds less than this share of its own choice.
-LEAST = 0.25
+#: A page leaves its host's path where that loses more than this share of its own choice, beside what its host knows as no main text.
+LOST = 0.1
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -206,8 +208,8 @@ def _parse(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, Box]], li
     return blocks, boxes, frozenset(place for n, place in judged if 2 * n > total)
 
 
-def best_path(boxes: list[Box], share: float = SHARE) -> tuple[str, float]:
-    """The deepest container that holds most of what its parents hold, and its score.
+def choice(boxes: list[Box]) -> Box:
+    """The deepest container that holds most of what its parents hold.
 
     Goes no deeper than an article, nor past a container with blocks of its
     own: a heading beside a container belongs to what it heads.
@@ -219,11 +221,40 @@ def best_path(boxes: list[Box], share: float = SHARE) -> tuple[str, float]:
     while True:
         inner = max(children.get(id(at), ()), key=lambda b: (b.score, b.tag == "article"), default=None)
         outer = at.tag in ("", "html", "body") and at.own < STRAY * at.score
-        if inner is None or inner.score < share * at.score or not inner.score or at.tag == "article" or at.own and not outer:
-            return at.path, at.score
+        if inner is None or inner.score < SHARE * at.score or not inner.score or at.tag == "article" or at.own and not outer:
+            return at
         at = inner
 
 
+def best_path(boxes: list[Box]) -> tuple[str, float]:
+    """The path and score of a page's own choice."""
+    chosen = choice(boxes)
+    return chosen.path, chosen.score
+
+
+def beside(boxes: list[Box], chosen: Box) -> set[str]:
+    """Paths of the containers with text beside the chosen one and its parents."""
+    within, line, at = set(), {id(chosen)}, chosen.parent
+    while at is not None:
+        within.add(id(at))
+        line.add(id(at))
+        at = at.parent
+    return {b.path for b in boxes if id(b.parent) in within and id(b) not in line and b.score > 0} - {chosen.path}
+
+
+def loses(boxes: list[Box], chosen: Box, path: str, asides: frozenset[str]) -> float:
+    """How much of a page's own choice is neither in containers of the path nor in asides."""
+    own, spoken, lost = set(), set(), 0.0
+    for b in boxes:  # parents come before their children
+        if b is chosen or id(b.parent) in own:
+            own.add(id(b))
+        if b.path == path or b.path in asides or id(b.parent) in spoken:
+            spoken.add(id(b))
+        elif id(b) in own:
+            lost += b.own
+    return lost
+
+
 def text_of(blocks: list[tuple[str, Box]], boxes: list[Box], path: str) -> str:
     """Blocks inside any container of the path, joined by line feeds."""
     inside: set[int] = set()
@@ -233,19 +264,20 @@ def text_of(blocks: list[tuple[str, Box]], boxes: list[Box], path: str) -> str:
     return "\n".join(text for text, b in blocks if id(b) in inside)
 
 
-def extract(html: str | None, paths: list[str]) -> str:
-    """A page's main text by the first of its host's paths that holds enough, else by its own."""
+def extract(html: str | None, paths: list[str], asides: list[str] = ()) -> str:
+    """A page's main text by the first of its host's paths that loses nearly nothing, else by its own.
+
+    Text in asides, which the host's pages have beside their main text, is no loss.
+    """
     if not html:
         return ""
     blocks, boxes = parse(html)
-    own, score = best_path(boxes)[0], best_path(boxes, ROUGH)[1]
-    held: dict[str, float] = {}
-    for b in boxes:  # a path goes back to the root, so no container is inside another of its path
-        held[b.path] = held.get(b.path, 0) + b.score
+    chosen, known = choice(boxes), frozenset(asides)
+    held = {b.path for b in boxes if b.score > 0}
     for path in paths:
-        if held.get(path, 0) > 0 and held[path] >= LEAST * score:
+        if path in held and loses(boxes, chosen, path, known) <= LOST * chosen.score:
             return text_of(blocks, boxes, path)
-    return text_of(blocks, boxes, own)
+    return text_of(blocks, boxes, chosen.path)
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -261,33 +293,38 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     def vote(batches):
         for batch in batches:
-            hosts, found = batch.column(0).to_pylist(), []
-            for html in batch.column(1).to_pylist():
-                found.append(best_path(parse(html)[1]) if html else ("", 0.0))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] > 0 for f in found])], names=["host", "path", "counts"])
-
-    votes = pages.select(host.alias("host"), F.col(f"`{html_col}`")).mapInArrow(vote, "host string, path string, counts boolean").where("counts").groupBy("host", "path").agg(F.count("*").alias("n"))
+            found = []  # (host, path, 1 for a vote, 1 for a container beside it)
+            for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                boxes = parse(html)[1] if html else []
+                chosen = choice(boxes) if boxes else None
+                if chosen is not None and chosen.score > 0:
+                    found.append((name, chosen.path, 1, 0))
+                    found.extend((name, path, 0, 1) for path in beside(boxes, chosen))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "path", "n", "aside"])
+
+    votes = pages.select(host.alias("host"), F.col(f"`{html_col}`")).mapInArrow(vote, "host string, path string, n bigint, aside bigint").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside"))
     of_host = Window.partitionBy("host")
-    enough = votes.withColumn("all", F.sum("n").over(of_host)).where(F.col("n") >= VOTES * F.col("all"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda x: x["path"])
-    winners = cl.cut(enough.groupBy(F.col("host").alias("_host")).agg(listed.alias("_paths"), F.first("all").alias("_n")))
+    wins = F.col("n") >= VOTES * F.col("all")
+    enough = votes.withColumn("all", F.sum("n").over(of_host)).where(wins | (F.col("aside") >= VOTES * F.col("all")))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(wins, F.struct((-F.col("n")).alias("n"), "path")))), lambda x: x["path"])
+    winners = cl.cut(enough.groupBy(F.col("host").alias("_host")).agg(listed.alias("_paths"), F.collect_list(F.when(~wins, F.col("path"))).alias("_asides"), F.first("all").alias("_n")))
     dealt = pages.select(host.alias("_host"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
-    size = winners.agg(F.sum(F.octet_length("_host") + 64 + 32 * F.size("_paths"))).first()[0] or 0
+    size = winners.agg(F.sum(F.octet_length("_host") + 64 + 32 * (F.size("_paths") + F.size("_asides")))).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        joined = dealt.join(F.broadcast(winners.drop("_n")), "_host", "left").select("_paths", "_row")
+        joined = dealt.join(F.broadcast(winners.drop("_n")), "_host", "left").select("_paths", "_asides", "_row")
     else:
         # In turn, so that a host or a page that many rows repeat is spread as well; large hosts only, by their votes.
         large = winners.where(F.col("_n") > PART).select("_host", F.ceil(F.col("_n") / PART).cast("int").alias("_parts"))
         spread = dealt.join(F.broadcast(large) if large.count() * PART <= BROADCAST_BYTES else large, "_host", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int"))
         each = winners.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_n") / PART).cast("int") - 1)))).drop("_n")
-        joined = spread.join(each, ["_host", "_part"], "left").select("_paths", "_row")
+        joined = spread.join(each, ["_host", "_part"], "left").select("_paths", "_asides", "_row")
     out = T.StructType([f for f in pages.schema.fields if f.name != text_col] + [T.StructField(text_col, T.StringType())])
 
     def again(batches):
         for batch in batches:
-            row = batch.column(1)
+            row = batch.column(2)
             columns = dict(zip([f.name for f in row.type], row.flatten(), strict=True))
-            texts = [extract(html, paths or []) for paths, html in zip(batch.column(0).to_pylist(), columns[html_col].to_pylist(), strict=True)]
+            texts = [extract(html, paths or [], asides or []) for paths, asides, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), columns[html_col].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == text_col else columns[f.name] for f in out.fields], names=[f.name for f in out.fields])
 
     return joined.mapInArrow(again, out)

@@ -112,6 +112,20 @@ def test_host_consensus_overrules_a_page_of_its_own_mind(spark):
     assert got[9] == ("article " * 20).strip()
 
 
+def test_text_beyond_the_path_of_a_host_is_kept_unless_the_host_knows_it_as_an_aside(spark):
+    """By hand: five pages know main/lead; on one more, main also has a section that no other page has."""
+    lead = '<main><div class="lead"><p>{}</p></div></main>'
+    more = '<main><div class="lead"><p>{}</p></div><div class="rest"><p>{}</p></div></main>'
+    rows = [(i, "http://b.example/", lead.format("words " * 30)) for i in range(5)] + [(9, "http://b.example/9", more.format("lead " * 30, "rest " * 70))]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(table).collect()}
+    assert got[0] == ("words " * 30).strip()
+    assert got[9] == ("lead " * 30).strip() + "\n" + ("rest " * 70).strip()
+    known = [(20 + i, "http://b.example/k", more.format("words " * 90, "rest " * 2)) for i in range(5)]
+    again = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows + known, table.schema)).collect()}
+    assert again[9] == ("lead " * 30).strip()
+
+
 def test_names_of_wrappers_and_sibling_sections_lose_no_article():
     text = ("text " * 60).strip()
     for name in ("content-sidebar-wrap", "layout-with-sidebar"):
