@@ -59,9 +59,7 @@ def coin_of(spec: Semivalue) -> Law:
     if spec.kind == "shapley":
         return Law(coin="uniform")
     a, b = spec.params
-    if a != int(a) or b != int(b):
-        raise Unsupported("random probabilities are drawn for whole Beta parameters only")
-    return Law(coin=("beta", int(b), int(a)))
+    return Law(coin=("beta", b, a))
 
 
 def sample(spark, law: Law, players: int, count: int, seed: int, paired: bool = False, salt: str = "") -> DataFrame:
@@ -76,7 +74,10 @@ def sample(spark, law: Law, players: int, count: int, seed: int, paired: bool =
             t = draws.uniform(k, "t", seed)
         elif isinstance(law.coin, tuple):
             _, a, b = law.coin
-            t = F.element_at(F.array_sort(F.array(*[draws.uniform(k, f"t{j}", seed) for j in range(a + b - 1)])), a)
+            if a == int(a) and b == int(b):  # an order statistic
+                t = F.element_at(F.array_sort(F.array(*[draws.uniform(k, f"t{j}", seed) for j in range(int(a + b) - 1)])), int(a))
+            else:
+                t = draws.beta_variate(k, a, b, seed)
         else:
             t = F.lit(float(law.coin))
         flips = F.aggregate(

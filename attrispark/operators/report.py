@@ -57,6 +57,26 @@ def grid(settings: DataFrame, methods: DataFrame) -> DataFrame:
     return settings.join(methods, F.coalesce(fits, F.lit(False)))
 
 
+def method_order(summary: DataFrame, seen: str, order: list[str] = (), hidden: list[str] = (), requested: list[str] = ()) -> DataFrame:
+    """(method, place): which methods a report shows and in which order.
+
+    Requested methods come as requested, and one that the summary lacks stops
+    the query.  Else hidden ones are left out, those of `order` come first and
+    the others follow as they were first seen, ties by name.
+    """
+    spark = summary.sparkSession
+    found = summary.groupBy("method").agg(F.min(seen).alias("_seen"))
+    listed = [(m, i) for i, m in enumerate(dict.fromkeys(requested or order))]
+    places = spark.createDataFrame(listed, "method string, _place int")
+    if requested:
+        known = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no such method in the summary: "), "method")).cast("int")).otherwise(F.col("_place"))
+        return places.join(found.select("method", F.lit(True).alias("_known")), "method", "left").select("method", known.alias("place"))
+    shown = found.where(~F.col("method").isin(list(hidden))) if hidden else found
+    ranked = shown.join(places, "method", "left")
+    by = Window.orderBy(F.col("_place").asc_nulls_last(), "_seen", "method")  # a row per method
+    return ranked.select("method", (F.row_number().over(by) - 1).alias("place"))
+
+
 def pending(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks without a finished run."""
     return tasks.join(done.select(*keys), keys, "left_anti")

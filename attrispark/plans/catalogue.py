@@ -16,7 +16,7 @@ from attrispark.functions.spec import BANZHAF, SHAPLEY, Semivalue, banzhaf, beta
 from attrispark.operators import estimators as est
 from attrispark.operators import exact, groups, regression, report, subsets, trajectory
 from attrispark.plans import oracle
-from attrispark.sources import games
+from attrispark.sources import games, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -139,6 +139,7 @@ def _sampler(name: str, law: est.Law, players: int, paired: bool = False) -> Non
 _sampler("bernoulli_half", est.Law(coin=0.5), 25)
 _sampler("bernoulli_uniform", est.Law(coin="uniform"), 25)
 _sampler("bernoulli_beta", est.Law(coin=("beta", 1, 4)), 25)
+_sampler("bernoulli_beta_real", est.Law(coin=("beta", 1.5, 0.25)), 25)
 _sampler("size_law_kernel", est.Law(est.kernel_sizes(25)), 25)
 _sampler("size_law_even", est.Law(est.even_sizes(1, 24)), 25)
 _sampler("paired", est.Law(est.kernel_sizes(25)), 25, True)
@@ -159,6 +160,8 @@ for _name, _rule in est.RULES.items():
     if _rule.outside_law is None:
         _spec = _PAIR_SPECS.get(_name, SHAPLEY)
         add(f"est_{_name}_paired", on("event", lambda g, n=_name, s=_spec: est.estimate(n, g, s, COUNT, SEED, True)), oracle.rule(_name, "event", _spec, COUNT, SEED, True))
+add("est_improved_ame_real_beta", on("event", lambda g: est.estimate("improved_ame", g, beta(3.5, 2.25), COUNT, SEED)), oracle.rule("improved_ame", "event", beta(3.5, 2.25), COUNT, SEED))
+add("est_sampling_lift_real_beta", on("event", lambda g: est.estimate_marginal("sampling_lift", g, beta(2.5, 2.5), COUNT, SEED, True)), oracle.marginal("sampling_lift", "event", beta(2.5, 2.5), COUNT, SEED, True))
 for _name in est.MARGINAL:
     _spec = SHAPLEY if _name == "sampling_lift" else beta(4, 1)
     for _paired in (False, True):
@@ -309,6 +312,34 @@ def _grid_sql() -> str:
 
 add("compatibility_grid", lambda spark, d: _grid(spark), f"WITH {_grid_sql()} SELECT * FROM g")
 add("resume_anti_join", lambda spark, d: report.pending(_grid(spark), _grid(spark).where("method = 'msr' or setting like 'eta25%'"), ["setting", "method"]), f"WITH {_grid_sql()} SELECT * FROM g WHERE NOT (method = 'msr' OR setting LIKE 'eta25%')")
+_ORDER, _HIDDEN = ["wsl", "absent", "ame"], ["paired"]
+add("method_order", lambda spark, d: report.method_order(_grid(spark), "setting", _ORDER, _HIDDEN), f"WITH {_grid_sql()}, o(method, p) AS (VALUES ('wsl', 0), ('absent', 1), ('ame', 2)) SELECT method, (row_number() OVER (ORDER BY p NULLS LAST, s, method) - 1)::int AS place FROM (SELECT method, min(setting) AS s FROM g WHERE method <> 'paired' GROUP BY 1) LEFT JOIN o USING (method)")
+add("method_order_requested", lambda spark, d: report.method_order(_grid(spark), "setting", requested=["paired", "msr"]), f"WITH {_grid_sql()} SELECT DISTINCT method, CASE method WHEN 'paired' THEN 0 ELSE 1 END AS place FROM g WHERE method IN ('paired', 'msr')")
+
+
+def _stored(form: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        table = games.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("double")).alias("balance"))
+        path = f"{store.shared(spark)}/stored-{spark.sparkContext.applicationId}-{form}"
+        store.save(table, path, form)
+        return store.load(spark, path, form, table.schema)
+
+    return query
+
+
+for _form in store.FORMS:
+    add(f"sink_{_form}", _stored(_form), "SELECT c_custkey, c_name, c_mktsegment, CASE WHEN c_acctbal > 0 THEN c_acctbal::double END AS balance FROM customer")
+
+
+def _kept_game(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact values of a game whose table is computed at the first use and read at the second."""
+    names = {"game": "segment_part_year", "data": sf_dir, "run": spark.sparkContext.applicationId}
+    for _ in range(2):
+        table = store.kept(spark, store.shared(spark), lambda: games.segment_part_year(spark, sf_dir).table(), **names)
+    return rounded(exact.enumerated(games.TableGame(oracle.PLAYERS["segment"], table), BANZHAF), 2)
+
+
+add("game_cache", _kept_game, oracle.exact("segment", BANZHAF))
 add("dataset_balanced_pick", lambda spark, d: report.balanced_pick(games.read(spark, d, "embeddings").select("vec_id", "label"), "label", "vec_id", 57), "WITH t AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) SELECT vec_id, label FROM t ORDER BY r, label LIMIT 57")
 
 

@@ -6,7 +6,7 @@ import re
 from itertools import combinations
 from math import comb
 
-from attrispark.functions.draws import draw_size_sql, uniform_sql
+from attrispark.functions.draws import beta_variate_sql, draw_size_sql, uniform_sql
 from attrispark.functions.spec import Semivalue, by_size, number
 from attrispark.operators.estimators import MARGINAL, OFA_SIZES, RULES, Law, coin_of, even_sizes, kernel_sizes
 from attrispark.operators.regression import balanced_law, coalition_chance
@@ -64,7 +64,10 @@ def samples(law: Law, players: int, count: int, seed: int, paired: bool = False,
             t = uniform_sql(k, "'t'", seed)
         elif isinstance(law.coin, tuple):
             _, a, b = law.coin
-            t = f"list_sort([{', '.join(uniform_sql(k, repr(f't{j}'), seed) for j in range(a + b - 1))}])[{a}]"
+            if a == int(a) and b == int(b):
+                t = f"list_sort([{', '.join(uniform_sql(k, repr(f't{j}'), seed) for j in range(int(a + b) - 1))}])[{int(a)}]"
+            else:
+                t = beta_variate_sql(k, a, b, seed)
         else:
             t = number(float(law.coin))
         slot = "i.range::varchar"

@@ -2,10 +2,10 @@ import numpy as np
 import pytest
 
 from attrispark.functions.spec import BANZHAF, SHAPLEY, banzhaf
-from attrispark.operators import exact, report, trajectory
+from attrispark.operators import estimators, exact, report, trajectory
 from attrispark.operators.estimators import Unsupported
 from attrispark.plans.run import REGISTRY, converge, run, samples_for, strata_group, timed
-from attrispark.sources import games
+from attrispark.sources import games, store
 from attrispark.sources.training import Training, trained_on_tables, training_game
 
 
@@ -29,6 +29,47 @@ def test_every_name_runs_or_refuses(game, name):
     assert done
 
 
+def test_random_probabilities_of_real_parameters(spark):
+    for a, b in ((0.5, 0.5), (2.5, 0.75), (3.25, 4.0)):
+        t = np.array([r["t"] for r in estimators.sample(spark, estimators.Law(coin=("beta", a, b)), 3, 4000, 5).select("t").collect()])
+        mean, var = a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1))
+        assert ((t >= 0) & (t <= 1)).all()
+        assert t.mean() == pytest.approx(mean, abs=4 * (var / 4000) ** 0.5)
+        assert t.var() == pytest.approx(var, rel=0.15)
+
+
+def test_stored_tables_and_kept_games(spark, tmp_path):
+    rows = [(1, "a", None, 0.1), (2, None, "x,y\n\"q\"", None), (3, "", " pad ", -1e300), (3, "", " pad ", -1e300)]
+    table = spark.createDataFrame(rows, "k bigint, a string, b string, v double")
+    for form in store.FORMS:
+        for part in (table, table.limit(0)):
+            store.save(part, f"{tmp_path}/{form}", form)
+            back = store.load(spark, f"{tmp_path}/{form}", form, table.schema)
+            assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, part.collect()), key=str)
+    with pytest.raises(ValueError):
+        store.save(table, f"{tmp_path}/x", "pickle")
+    built = []
+
+    def build():
+        built.append(1)
+        return table
+
+    for players in (3, 3, 4):
+        assert store.kept(spark, f"{tmp_path}/games", build, players=players, seed=1).count() == 4
+    assert len(built) == 2
+
+
+def test_method_order(spark):
+    summary = spark.createDataFrame([("b", 3), ("a", 5), ("c", 1), ("b", 9), ("z", 2)], "method string, line int")
+    order = lambda **options: [r["method"] for r in report.method_order(summary, "line", **options).orderBy("place").collect()]
+    assert order() == ["c", "z", "b", "a"]
+    assert order(order=["a", "none", "z"], hidden=["b"]) == ["a", "z", "c"]
+    assert order(requested=["b", "c"], hidden=["b"]) == ["b", "c"]
+    with pytest.raises(Exception, match="no such method"):
+        order(requested=["b", "none"])
+    assert report.method_order(summary.limit(0), "line").collect() == []
+
+
 def test_budgets_and_names(game):
     assert samples_for("permutation", 5, 100) == 100
     assert samples_for("arm", 5, 100) == 250
