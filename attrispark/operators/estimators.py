@@ -251,9 +251,71 @@ def aggregate_rule(rule: Rule, spec: Semivalue, game, left: DataFrame, right: Da
     if outside is not None and outside != "0e0":
         second = (right if right is not None else left).withColumns(bounds).agg(F.array(*[mean(outside, i, 0) for i in range(slots)]).alias("b"))
         first = first.crossJoin(second).select(F.zip_with("a", "b", lambda x, y: x - y).alias("a"))
-    raw = first.select(F.slice("a", 1, n).alias("a"), *([F.element_at("a", slots).alias("v_null")] if rule.null_player else []))
+    return _read_out(rule, spec, n, first, bounds)
+
+
+def _read_out(rule: Rule, spec: Semivalue, n: int, means: DataFrame, bounds: dict[str, Column], *keys: str) -> DataFrame:
+    """(keys, player, value) from rows of keys and an array a of means per slot."""
+    null = [F.element_at("a", n + 1).alias("v_null")] if rule.null_player else []
+    raw = means.select(*keys, F.slice("a", 1, n).alias("a"), *null)
     raw = raw.withColumn("total", F.aggregate("a", F.lit(0.0), lambda s, x: s + x)).withColumns(bounds)
-    return raw.select(F.posexplode("a").alias("player", "v"), *[c for c in raw.columns if c != "a"]).select("player", F.expr(rule.readout(spec, n)).alias("value"))
+    return raw.select(F.posexplode("a").alias("player", "v"), *[c for c in raw.columns if c != "a"]).select(*keys, "player", F.expr(rule.readout(spec, n)).alias("value"))
+
+
+def _ckpt(counts: list[int], paired: bool) -> Column:
+    """The first checkpoint that holds sample k."""
+    return F.size(F.filter(F.array(*[F.lit(-(-c // 2) if paired else c).cast("bigint") for c in counts]), lambda b: b <= F.col("k"))).alias("ckpt")
+
+
+def _running(parts: DataFrame, slots: int, checkpoints: int) -> DataFrame:
+    """(ckpt, slot, m): running means at every checkpoint from sums s and counts c by checkpoint; 0 before there is a sample."""
+    grid = parts.sparkSession.range(checkpoints).select(F.col("id").cast("int").alias("ckpt"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    run = Window.partitionBy("slot").orderBy("ckpt").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(parts, ["ckpt", "slot"], "left").select("ckpt", "slot", F.coalesce(F.try_divide(F.sum("s").over(run), F.sum("c").over(run)), F.lit(0.0)).alias("m"))
+
+
+def converged(name: str, game, spec: Semivalue, counts: list[int], seed: int = 0, paired: bool = False) -> DataFrame:
+    """(ckpt, player, value): what `estimate` or `estimate_marginal` gives for each of the rising counts, from one pass.
+
+    Samples are drawn and evaluated once; each checkpoint has partial sums of
+    its own, and a running sum over them is all that follows.
+    """
+    n = game.n
+    if name in MARGINAL:
+        law, weight, supports = MARGINAL[name]
+        if not supports(spec) or paired and name == "sampling_lift" and not spec.symmetric:
+            raise Unsupported(f"{name} doesn't estimate {spec}" + " from pairs" * paired)
+        drawn = marginals(game, sample(game.spark, law(spec), n, counts[-1], seed, paired)).withColumn("_v", F.col("delta") * F.expr(weight(spec, n)))
+        parts = drawn.groupBy(_ckpt(counts, paired), F.col("player").alias("slot")).agg(F.sum("_v").alias("s"), F.count("*").alias("c"))
+        return _running(parts, n, len(counts)).select("ckpt", F.col("slot").alias("player"), F.col("m").alias("value"))
+    rule = RULES[name]
+    if not rule.supports(spec) or paired and not rule.pairable(spec):
+        raise Unsupported(f"{name} doesn't estimate {spec}" + " from pairs" * paired)
+    slots = n + rule.null_player
+    null = n if rule.null_player else None
+    u0, u1 = game.bounds()
+    bounds = {"u0": F.lit(u0), "u1": F.lit(u1)}
+
+    def drawn(law: Law, salt: str = "") -> DataFrame:
+        return worth(game, sample(game.spark, law, slots, counts[-1], seed, paired, salt), rule.null_player).withColumns(bounds)
+
+    def means(rows: DataFrame, stat: str, side: int | None) -> DataFrame:
+        def part(i: int) -> Column:
+            value = F.expr(_column(stat, i, null))
+            value = value if side is None else F.when(F.getbit("mask", F.lit(i)) == side, value)
+            return F.struct(F.sum(value).alias("s"), F.count(value).alias("c"))
+
+        sums = rows.groupBy(_ckpt(counts, paired)).agg(F.array(*[part(i) for i in range(slots)]).alias("a"))
+        return _running(sums.select("ckpt", F.posexplode("a").alias("slot", "x")).select("ckpt", "slot", "x.*"), slots, len(counts))
+
+    outside = rule.outside(spec, n) if rule.outside else None
+    left = drawn(rule.law(spec, n), "L" if rule.outside_law else "")
+    value = means(left, rule.inside(spec, n), None if outside is None else 1)
+    if outside is not None and outside != "0e0":
+        right = drawn(rule.outside_law(spec, n), "R") if rule.outside_law else left
+        value = value.join(means(right, outside, 0).withColumnRenamed("m", "m0"), ["ckpt", "slot"]).select("ckpt", "slot", (F.col("m") - F.col("m0")).alias("m"))
+    listed = value.groupBy("ckpt").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "m"))), lambda x: x["m"]).alias("a"))
+    return _read_out(rule, spec, n, listed, bounds, "ckpt")
 
 
 def estimate(name: str, game, spec: Semivalue, count: int, seed: int = 0, paired: bool = False) -> DataFrame:

@@ -86,13 +86,21 @@ def run(game, name: str, spec: Semivalue, per_player: int, seed: int = 0, paired
 def converge(game, name: str, spec: Semivalue, per_player: int, every: int, seed: int = 0, paired: bool = False, group: list[int] | None = None) -> DataFrame:
     """(ckpt, evaluations[, player], value): the estimate after each `every` evaluations per player.
 
-    Samples are nested: a checkpoint's are the first of the next one's.
+    Samples are nested: a checkpoint's are the first of the next one's.  Rules
+    and marginal estimators take one pass over them; others, whose solves or
+    strata depend on the budget, run once per checkpoint.
     """
     from functools import reduce
 
     steps = range(every, per_player + 1, every)
     if not steps:
         raise ValueError("no checkpoint within the budget")
+    if name in est.RULES or name in est.MARGINAL:
+        found = est.converged(name, game, spec, [samples_for(name, game.n, b) for b in steps], seed, paired)
+        if group is not None:
+            exact.group_mask(group, game.n)
+            found = found.where(F.col("player").isin(group)).groupBy("ckpt").agg(F.sum("value").alias("value"))
+        return found.withColumn("evaluations", (F.col("ckpt") + 1) * (every * game.n))
     return reduce(DataFrame.unionByName, [run(game, name, spec, b, seed, paired, group).withColumn("ckpt", F.lit(k)).withColumn("evaluations", F.lit(b * game.n)) for k, b in enumerate(steps)])
 
 

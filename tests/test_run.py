@@ -59,6 +59,22 @@ def test_stored_tables_and_kept_games(spark, tmp_path):
     assert len(built) == 2
 
 
+@pytest.mark.parametrize("name", [*estimators.RULES, *estimators.MARGINAL])
+def test_one_pass_gives_what_each_checkpoint_alone_gives(game, name):
+    done = 0
+    for spec, paired in ((SHAPLEY, False), (SHAPLEY, True), (banzhaf(0.3), False)):
+        try:
+            rows = converge(game, name, spec, 24, 8, seed=4, paired=paired).collect()
+        except Unsupported:
+            continue
+        done += 1
+        for k in range(3):
+            want = {r["player"]: r["value"] for r in run(game, name, spec, 8 * (k + 1), seed=4, paired=paired).collect()}
+            assert {r["player"]: r["value"] for r in rows if r["ckpt"] == k} == pytest.approx(want)
+            assert {r["evaluations"] for r in rows if r["ckpt"] == k} == {40 * (k + 1)}
+    assert done
+
+
 def test_method_order(spark):
     summary = spark.createDataFrame([("b", 3), ("a", 5), ("c", 1), ("b", 9), ("z", 2)], "method string, line int")
     order = lambda **options: [r["method"] for r in report.method_order(summary, "line", **options).orderBy("place").collect()]
