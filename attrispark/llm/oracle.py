@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import divergence as dv
 from . import mixing as mx
+from . import source_audit as sa
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -182,3 +183,73 @@ WITH RECURSIVE d AS (
 )
 SELECT doc_id, source, size, source_size, target, (whole * size + greatest(0, least(size, extra - before)))::bigint AS taken FROM o
 """
+
+
+def source_divergence() -> str:
+    """Every source and language by every kept term, then all two sources of a language."""
+    share = f"(1 + {sa.WHOLE}::HUGEINT * (n + {sa.ADDED}) // (total + {sa.ADDED}::HUGEINT * terms))::BIGINT"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), term AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT row) AS docs FROM term GROUP BY ALL
+), keep AS MATERIALIZED (
+  SELECT lang, term, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= {sa.LEAST_DOCS}
+), v AS (
+  SELECT lang, count(*) AS terms FROM keep GROUP BY 1
+), grp AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), own AS MATERIALIZED (
+  SELECT g.lang, g.source, keep.term, coalesce(c.n, 0)::BIGINT AS n FROM grp g JOIN keep USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = keep.term
+), p AS MATERIALIZED (
+  SELECT lang, source, term, n, {share} AS p FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM own) JOIN v USING (lang)
+), q AS (
+  SELECT lang, term, {share} AS q FROM (SELECT *, sum(n) OVER (PARTITION BY lang) AS total FROM keep) JOIN v USING (lang)
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), lead AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::int AS rank FROM (FROM pair UNION ALL FROM lead)
+)
+SELECT * FROM r WHERE part = 'pair' OR rank <= {sa.TOP}
+"""
+
+
+def filter_interaction() -> str:
+    """Every order by five lists of the letters, every step by the filters before it."""
+    letters = "(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x)"
+    apart = " AND ".join(f"{a}.x <> {b}.x" for i, a in enumerate("abcde") for b in "abcde"[:i])
+    bit = lambda k: f"(1 << (ascii(o[{k}]) - 65))"
+    steps = " UNION ALL ".join(f"SELECT o, {k} AS step, {bit(k)} AS bit, {' + '.join(bit(j) for j in range(1, k)) or 0} AS before FROM orders" for k in range(1, 6))
+    return f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents
+), l AS (
+  SELECT doc_id, bool_or(quality = 1)::int AS good, bool_or(toxic = 1)::int AS toxic FROM labels GROUP BY 1
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+    + 16 * coalesce(first < d.doc_id, false)::int AS mask
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first FROM d) d LEFT JOIN l USING (doc_id)
+), cell AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM {letters} a, {letters} b, {letters} c, {letters} d, {letters} e WHERE {apart}
+), s AS ({steps}), r AS (
+  SELECT part, o, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM s, cell GROUP BY ALL
+)
+SELECT part, o AS filter_order, step::int AS step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant, unique_fails::bigint AS unique_fails,
+  good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::bigint AS shapley
+FROM r
+"""

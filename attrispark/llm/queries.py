@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .divergence import quality_rules
+from .interactions import audit_filters
+from .language import identify_language
 from .lattice import dedup_embeddings
 from .licenses import scan_licenses, scan_sql
 from .mixing import mix_sources
@@ -16,6 +18,7 @@ from .packing import pack_documents
 from .pages import extract_pages
 from .perplexity import classify_quality
 from .simhash import simhash_groups
+from .source_audit import audit_sources
 from .substrings import dedup_substrings
 from .suffixes import dedup_suffixes
 
@@ -83,6 +86,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).withColumnRenamed("id", "doc_id")
+
+
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -94,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scan": op10_license_scan,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_language_id": op12_language_id,
+    "op13_filter_interaction": op13_filter_interaction,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +121,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": oracle.quality_rules(),
     "op10_license_scan": scan_sql(),
     "op8_source_mixing": oracle.source_mixing(),
+    "op11_source_divergence": oracle.source_divergence(),
+    "op13_filter_interaction": oracle.filter_interaction(),
 }
