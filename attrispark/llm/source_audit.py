@@ -22,7 +22,9 @@ LEAST_DOCS, ADDED, WHOLE = 30, 5, 1_000_000_000
 #: Terms listed per group.
 TOP = 50
 #: Different (group, term) counts that a task holds before it passes them on.
-HELD = 400_000
+HELD = 300_000
+#: Shares of a shard in the comparison, every group by every kept term; at least LEAST_SHARDS shards.
+SHARES, LEAST_SHARDS = 500_000, 4
 #: Memory of DuckDB in a task; a shard's rows take a fraction of it.
 MEMORY = "400MB"
 
@@ -128,7 +130,10 @@ def audit_sources(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     of_lang = Window.partitionBy("lang")  # a row per source
     own = cl.cut(own.withColumn("all", F.sum("total").over(of_lang)).withColumn("terms", F.sum("terms").over(of_lang)))
     groups = own.select("lang", "source", "total", "terms").unionByName(own.groupBy("lang").agg(F.first("all").alias("total"), F.first("terms").alias("terms")).withColumn("source", F.lit(None).cast("string")))
-    told = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("terms > 0")
+    # A shard gives a partial sum for every two sources, so there are no more shards than the shares need.
+    dealt = max(LEAST_SHARDS, -(-int(own.agg(F.sum("terms")).first()[0] or 0) // SHARES))
+    told = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1)))).where("terms > 0")
+    shard = F.pmod(F.xxhash64("lang", "term"), F.lit(dealt)).cast("int").alias("shard")
 
     def compare(kept_rows: pa.Table, group_rows: pa.Table) -> pa.Table:
         if not kept_rows.num_rows:
