@@ -11,6 +11,8 @@ from itertools import accumulate
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attrispark.functions.spec import number
+
 BITS = 52
 
 
@@ -35,15 +37,28 @@ def bits(players: Column) -> Column:
     return F.aggregate(players, F.lit(0).cast("bigint"), lambda m, i: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
 
 
+#: Beyond so many sizes (or cells) a law is searched in an array, not spelled out as cases.
+CASES = 16
+
+
 def draw_size(u: Column, law: dict[int, float]) -> Column:
     """The size whose share of [0, 1) holds u."""
     sizes = sorted(law)
     total = sum(law.values())
     steps = list(accumulate(law[s] / total for s in sizes))
-    out = F.when(u < F.lit(steps[0]), F.lit(sizes[0]))
-    for s, at in zip(sizes[1:-1], steps[1:-1], strict=True):
-        out = out.when(u < F.lit(at), F.lit(s))
-    return out.otherwise(F.lit(sizes[-1])).cast("int") if len(sizes) > 1 else F.lit(sizes[0]).cast("int")
+    if len(sizes) == 1:
+        return F.lit(sizes[0]).cast("int")
+    if len(sizes) <= CASES:
+        out = F.when(u < F.lit(steps[0]), F.lit(sizes[0]))
+        for s, at in zip(sizes[1:-1], steps[1:-1], strict=True):
+            out = out.when(u < F.lit(at), F.lit(s))
+        return out.otherwise(F.lit(sizes[-1])).cast("int")
+    # Halving steps: the place is the number of steps that u has reached, at most all but the last.
+    ends = F.expr(f"array({', '.join(number(x) for x in steps[:-1])})")
+    halves = [1 << k for k in reversed(range(len(sizes).bit_length()))]
+    reached = lambda x, at, by: F.when((at + by < len(sizes)) & (F.get(ends, at + by - 1) <= x), at + by).otherwise(at)
+    place = F.transform(F.array(u), lambda x: F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda at, by: reached(x, at, by)))
+    return F.get(F.expr(f"array({', '.join(map(str, sizes))})"), F.get(place, F.lit(0))).cast("int")
 
 
 #: Attempts at a fractional shape; each fails with probability below 0.22, so all do in less than one of 10^15 samples.

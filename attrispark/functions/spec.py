@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import comb, exp, lgamma
+from math import comb, exp, lgamma, log, log1p
 
 
 def _log_beta(a: float, b: float) -> float:
     return lgamma(a) + lgamma(b) - lgamma(a + b)
 
 
+def _log_comb(n: int, k: int) -> float:
+    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+
+#: Players from which binomials are taken as logarithms: they don't fit a double.
+BINOMIAL_PLAYERS = 500
+
+
 @dataclass(frozen=True)
 class Semivalue:
     """Shapley, weighted Banzhaf(p) or Beta-Shapley(alpha, beta).
@@ -38,11 +46,17 @@ class Semivalue:
             return [1.0 / n] * n
         if self.kind == "weighted_banzhaf":
             q = self.params[0]
+            if n >= BINOMIAL_PLAYERS:
+                return [exp(_log_comb(n - 1, s) + s * log(q) + (n - 1 - s) * log1p(-q)) for s in range(n)]
             return [comb(n - 1, s) * q**s * (1 - q) ** (n - 1 - s) for s in range(n)]
         a, b = self.params
+        if n >= BINOMIAL_PLAYERS:
+            return [exp(_log_comb(n - 1, s) + _log_beta(b + s, a + n - 1 - s) - _log_beta(b, a)) for s in range(n)]
         return [comb(n - 1, s) * exp(_log_beta(b + s, a + n - 1 - s) - _log_beta(b, a)) for s in range(n)]
 
     def p(self, n: int) -> list[float]:
+        if n >= BINOMIAL_PLAYERS:  # may come out as 0, where a single coalition weighs less than a double tells
+            return [x * exp(-_log_comb(n - 1, s)) for s, x in enumerate(self.d(n))]
         return [x / comb(n - 1, s) for s, x in enumerate(self.d(n))]
 
     def unanimity(self, size: int) -> float:

@@ -37,7 +37,8 @@ class Law:
 
     sizes: a law over sizes, then a uniform set of that size.
     coin: each player joins with probability t; t is a number, "uniform", or
-    ("beta", a, b) with whole a and b: the a-th smallest of a + b - 1 uniforms.
+    ("beta", a, b): whole a and b take the a-th smallest of a + b - 1 uniforms,
+    real ones a ratio of gamma variates.
     """
 
     sizes: dict[int, float] | None = None
@@ -262,9 +263,10 @@ def _read_out(rule: Rule, spec: Semivalue, n: int, means: DataFrame, bounds: dic
     return raw.select(F.posexplode("a").alias("player", "v"), *[c for c in raw.columns if c != "a"]).select(*keys, "player", F.expr(rule.readout(spec, n)).alias("value"))
 
 
-def _ckpt(counts: list[int], paired: bool) -> Column:
-    """The first checkpoint that holds sample k."""
-    return F.size(F.filter(F.array(*[F.lit(-(-c // 2) if paired else c).cast("bigint") for c in counts]), lambda b: b <= F.col("k"))).alias("ckpt")
+def checkpoint(counts: list[int], paired: bool = False) -> Column:
+    """The first checkpoint that holds sample k, of rising counts of samples."""
+    ends = ", ".join(f"{-(-c // 2) if paired else c}L" for c in counts)
+    return F.size(F.filter(F.expr(f"array({ends})"), lambda b: b <= F.col("k"))).alias("ckpt")
 
 
 def _running(parts: DataFrame, slots: int, checkpoints: int) -> DataFrame:
@@ -275,18 +277,25 @@ def _running(parts: DataFrame, slots: int, checkpoints: int) -> DataFrame:
 
 
 def converged(name: str, game, spec: Semivalue, counts: list[int], seed: int = 0, paired: bool = False) -> DataFrame:
-    """(ckpt, player, value): what `estimate` or `estimate_marginal` gives for each of the rising counts, from one pass.
+    """(ckpt, player, value): what the named estimator gives for each of the rising counts, from one pass.
 
     Samples are drawn and evaluated once; each checkpoint has partial sums of
     its own, and a running sum over them is all that follows.
     """
     n = game.n
+    if name in STRATA:
+        strata = STRATA[name](game, spec, counts[-1], seed, paired)
+        return _strata_running(strata, n, counts, paired)
+    if name == "permutation":
+        drawn = prefix_marginals(game, permutations(game.spark, n, counts[-1], seed, paired)).withColumn("_v", F.col("delta") * F.expr(_by_place(spec, n)))
+        parts = drawn.groupBy(checkpoint(counts, paired), F.col("player").alias("slot")).agg(F.sum("_v").alias("s"), F.count("*").alias("c"))
+        return _running(parts, n, len(counts)).select("ckpt", F.col("slot").alias("player"), F.col("m").alias("value"))
     if name in MARGINAL:
         law, weight, supports = MARGINAL[name]
         if not supports(spec) or paired and name == "sampling_lift" and not spec.symmetric:
             raise Unsupported(f"{name} doesn't estimate {spec}" + " from pairs" * paired)
         drawn = marginals(game, sample(game.spark, law(spec), n, counts[-1], seed, paired)).withColumn("_v", F.col("delta") * F.expr(weight(spec, n)))
-        parts = drawn.groupBy(_ckpt(counts, paired), F.col("player").alias("slot")).agg(F.sum("_v").alias("s"), F.count("*").alias("c"))
+        parts = drawn.groupBy(checkpoint(counts, paired), F.col("player").alias("slot")).agg(F.sum("_v").alias("s"), F.count("*").alias("c"))
         return _running(parts, n, len(counts)).select("ckpt", F.col("slot").alias("player"), F.col("m").alias("value"))
     rule = RULES[name]
     if not rule.supports(spec) or paired and not rule.pairable(spec):
@@ -305,7 +314,7 @@ def converged(name: str, game, spec: Semivalue, counts: list[int], seed: int = 0
             value = value if side is None else F.when(F.getbit("mask", F.lit(i)) == side, value)
             return F.struct(F.sum(value).alias("s"), F.count(value).alias("c"))
 
-        sums = rows.groupBy(_ckpt(counts, paired)).agg(F.array(*[part(i) for i in range(slots)]).alias("a"))
+        sums = rows.groupBy(checkpoint(counts, paired)).agg(F.array(*[part(i) for i in range(slots)]).alias("a"))
         return _running(sums.select("ckpt", F.posexplode("a").alias("slot", "x")).select("ckpt", "slot", "x.*"), slots, len(counts))
 
     outside = rule.outside(spec, n) if rule.outside else None
@@ -393,32 +402,65 @@ def prefix_marginals(game, orders: DataFrame) -> DataFrame:
     return joined.select("k", "side", "player", "pos", (F.col("b") - F.col("a")).alias("delta"))
 
 
+def _by_place(spec: Semivalue, n: int) -> str:
+    """Weight of a marginal by its position; 1 for Shapley."""
+    return "1e0" if spec.is_shapley else by_size([v * n for v in spec.d(n)], column="pos")
+
+
 def permutation(game, spec: Semivalue, count: int, seed: int = 0, paired: bool = False) -> DataFrame:
     """Prefix marginals, weighted by position where the semivalue isn't Shapley's."""
     drawn = prefix_marginals(game, permutations(game.spark, game.n, count, seed, paired))
-    weight = "1e0" if spec.is_shapley else by_size([v * game.n for v in spec.d(game.n)], column="pos")
-    return drawn.groupBy("player").agg(F.avg(F.col("delta") * F.expr(weight)).alias("value"))
+    return drawn.groupBy("player").agg(F.avg(F.col("delta") * F.expr(_by_place(spec, game.n))).alias("value"))
 
 
 # -------------------------------------------------------------------- strata rows
 
 
-def _strata_value(strata: DataFrame, weights: str) -> DataFrame:
-    return strata.groupBy("player").agg(F.sum(F.col("m") * F.expr(weights)).alias("value"))
+@dataclass
+class Strata:
+    """Sampled rows (k, player, s, inside, v); the value of a player is the weighted sum of its strata's means.
 
+    weights is SQL over s and inside; fixed: strata (player, s, inside, m) that are known.
+    """
 
-def complement_contributions(game, count: int, seed: int = 0) -> DataFrame:
-    """Shapley from worths of coalitions less those of their complements, averaged by player and size, then over sizes."""
+    rows: DataFrame
+    weights: str
+    fixed: DataFrame | None = None
+
+
+def _strata_value(strata: Strata) -> DataFrame:
+    means = strata.rows.groupBy("player", "s", "inside").agg(F.avg("v").alias("m"))
+    means = means if strata.fixed is None else means.unionByName(strata.fixed)
+    return means.groupBy("player").agg(F.sum(F.col("m") * F.expr(strata.weights)).alias("value"))
+
+
+def _strata_running(strata: Strata, n: int, counts: list[int], paired: bool) -> DataFrame:
+    """(ckpt, player, value): the same at every checkpoint, by running sums and counts of each stratum; one without a sample counts 0."""
+    parts = strata.rows.groupBy(checkpoint(counts, paired), "player", "s", "inside").agg(F.sum("v").alias("a"), F.count("*").alias("c"))
+    key = ["player", "s", "inside"]
+    grid = parts.select(*key).distinct().withColumn("ckpt", F.explode(F.sequence(F.lit(0), F.lit(len(counts) - 1))))
+    run = Window.partitionBy(*key).orderBy("ckpt").rowsBetween(Window.unboundedPreceding, 0)
+    means = grid.join(parts, [*key, "ckpt"], "left").select(*key, "ckpt", F.coalesce(F.try_divide(F.sum("a").over(run), F.sum("c").over(run)), F.lit(0.0)).alias("m"))
+    if strata.fixed is not None:
+        means = means.unionByName(strata.fixed.withColumn("ckpt", F.explode(F.sequence(F.lit(0), F.lit(len(counts) - 1)))))
+    return means.groupBy("ckpt", "player").agg(F.sum(F.col("m") * F.expr(strata.weights)).alias("value"))
+
+
+def complement_strata(game, count: int, seed: int = 0) -> Strata:
     n = game.n
     drawn = sample(game.spark, Law(even_sizes(1, n)), n, count, seed)
     other = F.lit(game.full).bitwiseXOR(F.col("mask")).cast("bigint")
     drawn = drawn.select("k", "mask", other.alias("rest"))
     worths = game.evaluate(drawn.select(F.explode(F.array("mask", "rest")).alias("mask")))
     both = drawn.join(worths, "mask").join(worths.select(F.col("mask").alias("rest"), F.col("u").alias("u_rest")), "rest")
-    each = both.select(F.explode(F.array(F.struct(F.col("mask").alias("m"), (F.col("u") - F.col("u_rest")).alias("g")), F.struct(F.col("rest").alias("m"), (F.col("u_rest") - F.col("u")).alias("g")))).alias("e")).select("e.*")
-    members = each.select(F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(F.col("m"), i) == 1)).alias("player"), F.bit_count("m").alias("s"), "g")
-    strata = members.groupBy("player", "s").agg(F.avg("g").alias("m"))
-    return _strata_value(strata, number(1 / n))
+    each = both.select("k", F.explode(F.array(F.struct(F.col("mask").alias("m"), (F.col("u") - F.col("u_rest")).alias("g")), F.struct(F.col("rest").alias("m"), (F.col("u_rest") - F.col("u")).alias("g")))).alias("e")).select("k", "e.*")
+    members = each.select("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.getbit(F.col("m"), i) == 1)).alias("player"), F.bit_count("m").alias("s"), F.lit(1).alias("inside"), F.col("g").alias("v"))
+    return Strata(members, number(1 / n))
+
+
+def complement_contributions(game, count: int, seed: int = 0) -> DataFrame:
+    """Shapley from worths of coalitions less those of their complements, averaged by player and size, then over sizes."""
+    return _strata_value(complement_strata(game, count, seed))
 
 
 def boundary(game) -> DataFrame:
@@ -438,27 +480,47 @@ OFA_SIZES: dict[str, tuple[Callable, Callable]] = {
 }
 
 
-def one_for_all(name: str, game, spec: Semivalue, count: int, seed: int = 0, paired: bool = False) -> DataFrame:
-    """Strata means by player, size and side, interior sizes sampled and the outer ones exact."""
+def one_for_all_strata(name: str, game, spec: Semivalue, count: int, seed: int = 0, paired: bool = False) -> Strata:
     law, supports = OFA_SIZES[name]
     n = game.n
     if not supports(spec) or n < 4 or paired and name == "ofa_fixed" and not spec.symmetric:
         raise Unsupported(f"{name} doesn't estimate {spec} of {n} players" + " from pairs" * paired)
     drawn = worth(game, sample(game.spark, Law({s: law(spec, n, s) for s in range(2, n - 1)}), n, count, seed, paired))
-    inner = drawn.select("s", "u", "mask", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("player")).groupBy("player", "s", F.expr("getbit(mask, player)").cast("int").alias("inside")).agg(F.avg("u").alias("m"))
-    weights = f"(CASE WHEN inside = 1 THEN {_before(spec.d(n))} ELSE -{_at(spec.d(n))} END)"
-    return _strata_value(inner.unionByName(boundary(game)), weights)
+    rows = drawn.select("k", "s", F.col("u").alias("v"), "mask", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("player")).select("k", "player", "s", F.expr("getbit(mask, player)").cast("int").alias("inside"), "v")
+    return Strata(rows, f"(CASE WHEN inside = 1 THEN {_before(spec.d(n))} ELSE -{_at(spec.d(n))} END)", boundary(game))
 
 
-def one_for_all_baseline(game, spec: Semivalue, count: int, seed: int = 0, paired: bool = False) -> DataFrame:
-    """Sample k belongs to player k mod n, which joins a random order of the others at every place."""
+def one_for_all(name: str, game, spec: Semivalue, count: int, seed: int = 0, paired: bool = False) -> DataFrame:
+    """Strata means by player, size and side, interior sizes sampled and the outer ones exact."""
+    return _strata_value(one_for_all_strata(name, game, spec, count, seed, paired))
+
+
+def baseline_strata(game, spec: Semivalue, count: int, seed: int = 0, paired: bool = False) -> Strata:
     n = game.n
     others = permutations(game.spark, n - 1, count, seed, paired).withColumn("player", (F.col("k") % n).cast("int"))
     lifted = others.withColumn("o", F.transform("o", lambda x: F.when(x >= F.col("player"), x + 1).otherwise(x)))
     steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("pos"), draws.bits(F.slice(F.col("o"), F.lit(1), i)).alias("before")))
-    spread = lifted.select("player", F.explode(steps).alias("e")).select("player", "e.pos", "e.before")
+    spread = lifted.select("k", "player", F.explode(steps).alias("e")).select("k", "player", "e.pos", "e.before")
     spread = spread.withColumn("after", F.col("before").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("player"))))
     worths = game.evaluate(spread.select(F.explode(F.array("before", "after")).alias("mask")))
     joined = spread.join(worths.select(F.col("mask").alias("before"), F.col("u").alias("a")), "before").join(worths.select(F.col("mask").alias("after"), F.col("u").alias("b")), "after")
-    strata = joined.groupBy("player", F.col("pos").alias("s")).agg(F.avg(F.col("b") - F.col("a")).alias("m"))
-    return _strata_value(strata, _at(spec.d(n)))
+    return Strata(joined.select("k", "player", F.col("pos").alias("s"), F.lit(1).alias("inside"), (F.col("b") - F.col("a")).alias("v")), _at(spec.d(n)))
+
+
+def one_for_all_baseline(game, spec: Semivalue, count: int, seed: int = 0, paired: bool = False) -> DataFrame:
+    """Sample k belongs to player k mod n, which joins a random order of the others at every place."""
+    return _strata_value(baseline_strata(game, spec, count, seed, paired))
+
+
+def _complement_by_name(game, spec: Semivalue, count: int, seed: int, paired: bool) -> Strata:
+    if not spec.is_shapley or paired:
+        raise Unsupported("complement estimates Shapley values, from coalitions with their complements")
+    return complement_strata(game, count, seed)
+
+
+#: Estimators by name whose state is a sum and a count per stratum: (game, spec, count, seed, paired).
+STRATA: dict[str, Callable[..., Strata]] = {
+    **{name: lambda *given, name=name: one_for_all_strata(name, *given) for name in OFA_SIZES},
+    "ofa_baseline": baseline_strata,
+    "complement": _complement_by_name,
+}

@@ -1,13 +1,15 @@
 """Estimators that fit a surrogate: distributed Gram matrices, small dense solves on the driver.
 
-Samples stay distributed.  Each Arrow batch adds its rows' products to one
-Gram matrix per fold; partial matrices are summed entry by entry in Spark, so
-what reaches the driver is one matrix per fold whatever the number of samples.
-Its size depends on the surrogate alone and is checked against LARGEST.
+Samples stay distributed.  Each task adds its rows' products to the matrices of
+one fold at a time; the tasks' partial matrices are cut into strips and summed
+as a tree, so neither a worker nor a group holds more with more tasks, and what
+reaches the driver is one matrix per fold whatever the number of samples.  Its
+size depends on the surrogate alone and is checked against LARGEST.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -18,14 +20,16 @@ from pyspark.sql import functions as F
 
 from attrispark.functions import draws
 from attrispark.functions.ship import ship
-from attrispark.functions.spec import Semivalue
+from attrispark.functions.spec import Semivalue, number
 from attrispark.operators import exact, subsets
-from attrispark.operators.estimators import Law, Unsupported, coin_of, even_sizes, kernel_sizes, population, sample, worth
+from attrispark.operators.estimators import Law, Unsupported, checkpoint, coin_of, even_sizes, kernel_sizes, population, sample, worth
 
-#: Doubles of all folds' matrices that the driver may hold: 2 GB.
-LARGEST = 1 << 28
-#: Rows of a matrix that are summed over tasks together.
-STRIP = 64
+#: Doubles of all folds' matrices that the driver may hold: 512 MB.
+LARGEST = 1 << 26
+#: Doubles of a strip of a matrix, and partial strips that are added in one group.
+STRIP, FAN = 1 << 16, 16
+#: Doubles of the rows that a task multiplies at a time.
+ROWS = 1 << 20
 
 
 def bit_matrix(masks: np.ndarray, n: int) -> np.ndarray:
@@ -36,44 +40,110 @@ def values_frame(spark, values) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "player int, value double")
 
 
-def gram(samples: DataFrame, rows, width: int, folds: int = 1) -> np.ndarray:
-    """Sum over samples (mask, s, u, w[, q, t, fold]) of w * r r^T per fold; rows(columns) gives the matrix of rows r of a batch."""
-    if folds * width * width > LARGEST:
-        raise MemoryError(f"{folds} matrices of width {width} don't fit the driver")
-    ship(samples.sparkSession)
+def products(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]], folds: int = 1) -> list[np.ndarray]:
+    """Sums over samples (mask, s, u[, w, q, t, fold]) of w * l^T r per fold, a stack of matrices for each (l, r) of blocks(columns); r None is l.
+
+    A partition's rows are sorted by fold, so a task holds the matrices of one
+    fold.  Their strips are added FAN at a time, level by level, for as many
+    tasks as the session runs a stage in.
+    """
+    sizes = [a * b for a, b in shapes]
+    total, widest = sum(sizes), max(max(x) for x in shapes)
+    if folds * total > LARGEST:
+        raise MemoryError(f"{folds} times {total} doubles don't fit the driver")
+    spark = samples.sparkSession
+    ship(spark)
     columns = ["mask", "s", "u", "w", "q", "t", "fold"]
     have = set(samples.columns)
     cast = {"mask": "bigint", "s": "int", "fold": "int"}
     slim = samples.select(*[(F.col(c) if c in have else F.lit(1.0 if c in ("w", "q") else 0.0)).cast(cast.get(c, "double")).alias(c) for c in columns])
+    if folds > 1:
+        slim = slim.sortWithinPartitions("fold")
+    step = max(256, min(4096, ROWS // widest))
+    strip = STRIP
 
     def partial(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, now, flat, views = TaskContext.get().partitionId(), None, None, []
+
+        def strips():
+            for i in range(0, total, strip):
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([i // strip], pa.int32()), pa.array([task], pa.int32()), pa.array([flat[i : i + strip].tobytes()], pa.binary())], names=["f", "i", "task", "v"])
 
-        sums = np.zeros((folds, width, width))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                c = {name: batch.column(k).slice(lo, 4096).to_numpy(zero_copy_only=False) for k, name in enumerate(columns)}
-                r = rows(c)
-                for f in range(folds) if folds > 1 else (0,):
-                    at = c["fold"] == f if folds > 1 else slice(None)
-                    sums[f] += (r[at] * c["w"][at][:, None]).T @ r[at]
-        # Strips of rows, each from the diagonal on: the matrix is symmetric.
-        for f in range(folds):
-            for i in range(0, width, STRIP):
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([i], pa.int32()), pa.array([np.ascontiguousarray(sums[f, i : i + STRIP, i:]).tobytes()], pa.binary())], names=["f", "i", "v"])
+            for lo in range(0, batch.num_rows, step):
+                c = {name: batch.column(k).slice(lo, step).to_numpy(zero_copy_only=False) for k, name in enumerate(columns)}
+                for f in np.unique(c["fold"]).tolist():
+                    if f != now:
+                        if now is not None:
+                            yield from strips()
+                        now, flat = f, np.zeros(total)
+                        ends = np.cumsum([0, *sizes])
+                        views = [flat[a:b].reshape(shape) for a, b, shape in zip(ends[:-1], ends[1:], shapes, strict=True)]
+                    some = c if folds == 1 else {name: x[c["fold"] == f] for name, x in c.items()}
+                    for view, (left, right) in zip(views, blocks(some), strict=True):
+                        view += (left * some["w"][:, None]).T @ (left if right is None else right)
+        if now is not None:
+            yield from strips()
 
     def add(table):
         import pyarrow as pa
 
-        total = sum(np.frombuffer(v.as_buffer(), np.float64) for v in table.column("v"))
-        return pa.table({"f": table.column("f")[:1], "i": table.column("i")[:1], "v": pa.array([total.tobytes()], pa.binary())})
+        rows = table.column("v")
+        whole = np.frombuffer(rows[0].as_buffer(), np.float64).copy()
+        for v in rows[1:]:
+            whole += np.frombuffer(v.as_buffer(), np.float64)
+        return pa.table({"f": table.column("f")[:1], "i": table.column("i")[:1], "task": table.column("task")[:1], "v": pa.array([whole.tobytes()], pa.binary())})
+
+    kind = "f int, i int, task int, v binary"
+    found, tasks, group = slim.mapInArrow(partial, kind), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), FAN
+    while tasks > FAN:
+        found = found.groupBy("f", "i", F.floor(F.col("task") / group).alias("g")).applyInArrow(add, kind)
+        tasks, group = -(-tasks // FAN), group * FAN
+    flat = np.zeros((folds, total))
+    for x in found.groupBy("f", "i").applyInArrow(add, kind).collect():
+        strip_of = np.frombuffer(x["v"], np.float64)
+        flat[x["f"], x["i"] * strip : x["i"] * strip + len(strip_of)] = strip_of
+    ends = np.cumsum([0, *sizes])
+    return [flat[:, a:b].reshape(folds, *shape) for a, b, shape in zip(ends[:-1], ends[1:], shapes, strict=True)]
+
+
+def running(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]], folds: int, steps: int) -> Iterator[list[np.ndarray]]:
+    """The products of the samples of the checkpoints 0..k (column ckpt) for each k below `steps`.
+
+    Every sample enters one partial sum; checkpoints are prefix sums of those.
+    A job takes as many checkpoints as the driver has room for, which is all of
+    them unless the surrogate is wide.
+    """
+    at_once = max(1, LARGEST // (folds * sum(a * b for a, b in shapes)))
+    fold = F.col("fold") if "fold" in samples.columns else F.lit(0)
+    total: list[np.ndarray] | None = None
+    for lo in range(0, steps, at_once):
+        hi = min(steps, lo + at_once)
+        some = samples if hi - lo == steps else samples.where(F.col("ckpt").between(lo, hi - 1))
+        found = products(some.withColumn("fold", (F.col("ckpt") - lo) * folds + fold), blocks, shapes, (hi - lo) * folds)
+        for k in range(hi - lo):
+            part = [x[k * folds : (k + 1) * folds] for x in found]
+            total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+            yield total
 
-    out = np.zeros((folds, width, width))
-    for x in slim.mapInArrow(partial, "f int, i int, v binary").groupBy("f", "i").applyInArrow(add, "f int, i int, v binary").collect():
-        i, strip = x["i"], np.frombuffer(x["v"], np.float64).reshape(-1, width - x["i"])
-        out[x["f"], i : i + len(strip), i:] = strip
-        out[x["f"], i:, i : i + len(strip)] = strip.T
-    return out
+
+def gram(samples: DataFrame, rows: Callable, width: int, folds: int = 1) -> np.ndarray:
+    """Sum over samples of w * r r^T per fold; rows(columns) gives the matrix of rows r of a batch."""
+    return products(samples, lambda c: [(rows(c), None)], [(width, width)], folds)[0]
+
+
+@dataclass(frozen=True)
+class Fit:
+    """An estimator with a solve: its law, the rows whose Gram matrix it needs, and the values of players from that matrix, one per fold."""
+
+    law: Law
+    rows: Callable
+    width: int
+    solve: Callable[[np.ndarray], np.ndarray]
+    folds: int = 1
 
 
 def _samples(game, law: Law, players: int, count: int | None, seed: int, paired: bool) -> DataFrame:
@@ -88,36 +158,50 @@ def _only_shapley(spec: Semivalue, name: str) -> None:
         raise Unsupported(f"{name} estimates Shapley values only")
 
 
-def kernel_shap(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False) -> DataFrame:
-    """Efficiency-constrained least squares on membership bits; count None: over the whole population."""
+def _estimate(game, fit: Fit, count: int | None, seed: int, paired: bool, drawn: DataFrame | None = None) -> DataFrame:
+    drawn = _samples(game, fit.law, game.n, count, seed, paired) if drawn is None else drawn
+    return values_frame(game.spark, fit.solve(gram(drawn, fit.rows, fit.width, fit.folds)))
+
+
+def kernel_fit(game, spec: Semivalue) -> Fit:
     _only_shapley(spec, "kernel_shap")
     n = game.n
     u0, u1 = game.bounds()
-    g = gram(_samples(game, Law(kernel_sizes(n)), n, count, seed, paired), lambda c: np.hstack([bit_matrix(c["mask"], n), (c["u"] - u0)[:, None]]), n + 1)[0]
-    inverse = np.linalg.pinv(g[:n, :n])
-    free, slope = inverse @ g[:n, n], inverse @ np.ones(n)
-    return values_frame(game.spark, free - slope * (free.sum() - (u1 - u0)) / slope.sum())
 
+    def solve(g: np.ndarray) -> np.ndarray:
+        inverse = np.linalg.pinv(g[0, :n, :n])
+        free, slope = inverse @ g[0, :n, n], inverse @ np.ones(n)
+        return free - slope * (free.sum() - (u1 - u0)) / slope.sum()
 
-def leverage(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False) -> DataFrame:
-    """Least squares on centred bits with sizes drawn evenly and weighed by the kernel."""
+    return Fit(Law(kernel_sizes(n)), lambda c: np.hstack([bit_matrix(c["mask"], n), (c["u"] - u0)[:, None]]), n + 1, solve)
+
+
+def kernel_shap(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False) -> DataFrame:
+    """Efficiency-constrained least squares on membership bits; count None: over the whole population."""
+    return _estimate(game, kernel_fit(game, spec), count, seed, paired)
+
+
+def leverage_fit(game, spec: Semivalue) -> Fit:
     _only_shapley(spec, "leverage")
     n = game.n
     u0, u1 = game.bounds()
     mass = kernel_sizes(n)
     norm = sum(mass.values())
+    root_of = np.sqrt(np.array([n * mass.get(s, 0.0) / norm for s in range(n + 1)]))
 
     def rows(c):
-        root = np.sqrt(np.array([n * mass.get(int(s), 0.0) / norm for s in range(n + 1)]))[c["s"]]
         share = c["s"] / n
-        return np.hstack([bit_matrix(c["mask"], n) - share[:, None], (c["u"] - u0 - (u1 - u0) * share)[:, None]]) * root[:, None]
+        return np.hstack([bit_matrix(c["mask"], n) - share[:, None], (c["u"] - u0 - (u1 - u0) * share)[:, None]]) * root_of[c["s"]][:, None]
 
-    g = gram(_samples(game, Law(even_sizes(1, n - 1)), n, count, seed, paired), rows, n + 1)[0]
-    return values_frame(game.spark, np.linalg.lstsq(g[:n, :n], g[:n, n], rcond=1e-10)[0] + (u1 - u0) / n)
+    return Fit(Law(even_sizes(1, n - 1)), rows, n + 1, lambda g: np.linalg.lstsq(g[0, :n, :n], g[0, :n, n], rcond=1e-10)[0] + (u1 - u0) / n)
 
 
-def ame(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False) -> DataFrame:
-    """Regression of worth on inverse-probability contrasts of the bits, scaled by their variance."""
+def leverage(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False) -> DataFrame:
+    """Least squares on centred bits with sizes drawn evenly and weighed by the kernel."""
+    return _estimate(game, leverage_fit(game, spec), count, seed, paired)
+
+
+def ame_fit(game, spec: Semivalue, paired: bool = False) -> Fit:
     n = game.n
     if spec.kind == "weighted_banzhaf":
         scale = 1 / (spec.params[0] * (1 - spec.params[0]))
@@ -128,43 +212,67 @@ def ame(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired:
         raise Unsupported(f"ame needs contrasts of finite variance, not {spec}")
     if paired and not spec.symmetric:
         raise Unsupported("pairs need a symmetric semivalue")
-    law = coin_of(spec)
-    drawn = _samples(game, law, n, count, seed, paired)
-    if count is None:
-        drawn = drawn.withColumn("t", F.lit(float(law.coin)))
 
     def rows(c):
         x, t = bit_matrix(c["mask"], n), c["t"][:, None]
         return np.hstack([x / t - (1 - x) / (1 - t), np.ones((len(x), 1)), c["u"][:, None]])
 
-    g = gram(drawn, rows, n + 2)[0]
-    return values_frame(game.spark, scale * np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=1e-12)[0][:n])
+    return Fit(coin_of(spec), rows, n + 2, lambda g: scale * np.linalg.lstsq(g[0, :-1, :-1], g[0, :-1, -1], rcond=1e-12)[0][:n])
 
 
-def poly_shap(game, spec: Semivalue, order: int = 2, count: int | None = None, seed: int = 0, paired: bool = False) -> DataFrame:
-    """Constrained least squares on the products of up to `order` bits; each coefficient is shared by its members."""
+def ame(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False) -> DataFrame:
+    """Regression of worth on inverse-probability contrasts of the bits, scaled by their variance."""
+    fit = ame_fit(game, spec, paired)
+    drawn = None
+    if count is None:
+        drawn = _samples(game, fit.law, game.n, None, seed, paired).withColumn("t", F.lit(float(fit.law.coin)))
+    return _estimate(game, fit, count, seed, paired, drawn)
+
+
+def subsets_up_to(n: int, order: int) -> list[np.ndarray]:
+    """The subsets of 1, 2, ... order players, a matrix of members for each size."""
+    return [np.array(list(combinations(range(n), r)), np.intp).reshape(-1, r) for r in range(1, order + 1)]
+
+
+def monomials(x: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The products of bits over each of the sets."""
+    out = []
+    for members in sets:
+        column = x[:, members[:, 0]]
+        for k in range(1, members.shape[1]):
+            column *= x[:, members[:, k]]
+        out.append(column)
+    return out
+
+
+def poly_fit(game, spec: Semivalue, order: int = 2) -> Fit:
     _only_shapley(spec, "poly_shap")
     n = game.n
     u0, u1 = game.bounds()
-    sets = [t for r in range(1, order + 1) for t in combinations(range(n), r)]
-    width = len(sets)
+    sets = subsets_up_to(n, order)
+    width = sum(len(x) for x in sets)
+
+    def solve(stack: np.ndarray) -> np.ndarray:
+        g = stack[0]
+        inverse = np.linalg.pinv(g[:width, :width], rcond=1e-10, hermitian=True)
+        # Directions that no sample determines are free to meet the constraint with the least coefficients.
+        ones = np.ones(width)
+        free = inverse @ g[:width, width]
+        null = ones - inverse @ (g[:width, :width] @ ones)
+        slope = null / max(null @ ones, 1e-300) if null @ ones > 1e-6 else inverse @ ones / (ones @ inverse @ ones)
+        fit = free - slope * (free.sum() - (u1 - u0))
+        values, at = np.zeros(n), 0
+        for members in sets:
+            np.add.at(values, members, (fit[at : at + len(members)] / members.shape[1])[:, None])
+            at += len(members)
+        return values
+
+    return Fit(Law(kernel_sizes(n)), lambda c: np.hstack([*monomials(bit_matrix(c["mask"], n), sets), (c["u"] - u0)[:, None]]), width + 1, solve)
 
-    def rows(c):
-        x = bit_matrix(c["mask"], n)
-        return np.hstack([np.stack([x[:, list(t)].prod(axis=1) for t in sets], axis=1), (c["u"] - u0)[:, None]])
-
-    g = gram(_samples(game, Law(kernel_sizes(n)), n, count, seed, paired), rows, width + 1)[0]
-    inverse = np.linalg.pinv(g[:width, :width], rcond=1e-10, hermitian=True)
-    # Directions that no sample determines are free to meet the constraint with the least coefficients.
-    ones = np.ones(width)
-    free = inverse @ g[:width, width]
-    null = ones - inverse @ (g[:width, :width] @ ones)
-    slope = null / max(null @ ones, 1e-300) if null @ ones > 1e-6 else inverse @ ones / (ones @ inverse @ ones)
-    fit = free - slope * (free.sum() - (u1 - u0))
-    values = np.zeros(n)
-    for t, coefficient in zip(sets, fit, strict=True):
-        values[list(t)] += coefficient / len(t)
-    return values_frame(game.spark, values)
+
+def poly_shap(game, spec: Semivalue, order: int = 2, count: int | None = None, seed: int = 0, paired: bool = False) -> DataFrame:
+    """Constrained least squares on the products of up to `order` bits; each coefficient is shared by its members."""
+    return _estimate(game, poly_fit(game, spec, order), count, seed, paired)
 
 
 # ------------------------------------------------- surrogate plus residual correction
@@ -195,40 +303,19 @@ def coefficients(spec: Semivalue, n: int, masks: np.ndarray, sizes: np.ndarray)
     return x * p[sizes][:, None] - (1 - x) * p[sizes + 1][:, None]
 
 
-def regression_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False, folds: int = 10, unbiased: bool = True, replacement: bool = True, special: bool = True) -> DataFrame:
-    """A linear surrogate per fold, corrected by the other folds' residuals.
-
-    replacement False: distinct coalitions, whose inclusion chances take the
-    place of draw chances.  special False: Shapley values too are fitted by
-    plain least squares, not by the kernel through both ends.
-
-    unbiased: the correction is the plain mean of coefficient over chance; else
-    means over the samples with and without the player, each scaled by how
-    often that side is drawn.  Everything needed is in the products of (bits,
-    1, worth, correction terms), so one pass over the samples suffices.
-    """
-    n = game.n
+def msr_fit(game, spec: Semivalue, folds: int = 10, unbiased: bool = True, special: bool = True, law: dict[int, float] | None = None, chance: np.ndarray | None = None, paired: bool = False) -> Fit:
+    """law, chance: sizes and the chance of a coalition by size where they aren't those of draws by the balanced law."""
     if paired and not spec.symmetric:
         raise Unsupported("pairs need a symmetric semivalue")
-    law = balanced_law(spec, n)
-    chance = coalition_chance(law, n)
-    if count is not None and not replacement:
-        distinct = subsets.without_replacement(game.spark, {s: v for s, v in law.items() if v > 0}, n, count, seed, paired)
-        taken = {r["s"]: (r["n"], r["chance"]) for r in distinct.groupBy("s").agg(F.count("*").alias("n"), F.first("chance").alias("chance")).collect()}
-        met = sum(m for m, _ in taken.values())
-        chance = np.array([taken.get(s, (0, 0.0))[1] / max(1, met) for s in range(n + 1)])
-        law = {s: float(m) for s, (m, _) in taken.items()}
-        k = F.least("mask", F.lit(game.full).bitwiseXOR(F.col("mask"))) if paired else F.col("mask")  # a pair shares its fold
-        drawn = worth(game, distinct.select("mask", "s", k.alias("k"))).withColumn("w", F.lit(1.0 / max(1, met)))
-    else:
-        drawn = _samples(game, Law({s: v for s, v in law.items() if v > 0}), n, count, seed, paired)
-    folds = 1 if count is None else folds
-    drawn = drawn.withColumn("fold", F.lit(0) if count is None else F.floor(draws.uniform(F.col("k"), "fold", seed) * folds).cast("int"))
+    n = game.n
+    law = balanced_law(spec, n) if law is None else law
+    chance = coalition_chance(law, n) if chance is None else chance
     kernel, kernelled = kernel_sizes(n), spec.is_shapley and special
     fit_by_size = np.array([kernel.get(s, 0.0) / comb(n, s) for s in range(n + 1)]) if kernelled else np.ones(n + 1) * chance.mean()
     # Of the row: bits, 1, worth (fit columns, scaled by the fit weight), then coefficient / chance for the correction.
     sides = 2 if not unbiased else 1
     width = 2 * (n + 2) + sides * n + (2 * n if not unbiased else 0)
+    u0, u1 = game.bounds()
 
     def rows(c):
         x = bit_matrix(c["mask"], n)
@@ -239,35 +326,102 @@ def regression_msr(game, spec: Semivalue, count: int | None = None, seed: int =
         parts += [g] if unbiased else [g * x, g * (1 - x), x, 1 - x]
         return np.hstack(parts)
 
-    stats = gram(drawn, rows, width, folds)
-    u0, u1 = game.bounds()
-    m, total = n + 2, stats.sum(axis=0)
-    value, weight = np.zeros(n), 0.0
-    for f in range(folds):
-        train, test = (total - stats[f] if folds > 1 else total), (stats[f] if folds > 1 else total)
-        mass = test[m + n, m + n]
-        if mass <= 0:
-            continue
-        a = train[:m, :m]
-        if kernelled:  # kernel-weighted, through both ends
-            b = np.linalg.pinv(a[:n, :n])
-            free, slope = b @ (a[:n, n + 1] - u0 * a[:n, n]), b @ np.ones(n)
-            fit = np.append(free - slope * (free.sum() - (u1 - u0)) / slope.sum(), u0)
-        else:
-            fit = np.linalg.lstsq(a[: n + 1, : n + 1], a[: n + 1, n + 1], rcond=1e-12)[0]
-        residual = np.append(-fit, 1.0)  # row (bits, 1, worth) . residual = worth - fit
-        block = test[m : 2 * m]
-        if unbiased:
-            correction = residual @ block[:, 2 * m : 2 * m + n] / mass
-        else:
-            inside, outside = block[:, 2 * m : 2 * m + n], block[:, 2 * m + n : 2 * m + 2 * n]
-            drawn_in = test[m + n, 2 * m + 2 * n : 2 * m + 3 * n]
-            drawn_out = test[m + n, 2 * m + 3 * n : 2 * m + 4 * n]
-            p_in = sum(v * s / n for s, v in law.items()) / sum(law.values())
-            correction = np.divide(residual @ inside, drawn_in, out=np.zeros(n), where=drawn_in > 0) * p_in + np.divide(residual @ outside, drawn_out, out=np.zeros(n), where=drawn_out > 0) * (1 - p_in)
-        value += mass * (fit[:n] + correction)
-        weight += mass
-    return values_frame(game.spark, value / weight)
+    def solve(stats: np.ndarray) -> np.ndarray:
+        m, total = n + 2, stats.sum(axis=0)
+        value, weight = np.zeros(n), 0.0
+        for f in range(len(stats)):
+            train, test = (total - stats[f] if len(stats) > 1 else total), (stats[f] if len(stats) > 1 else total)
+            mass = test[m + n, m + n]
+            if mass <= 0:
+                continue
+            a = train[:m, :m]
+            if kernelled:  # kernel-weighted, through both ends
+                b = np.linalg.pinv(a[:n, :n])
+                free, slope = b @ (a[:n, n + 1] - u0 * a[:n, n]), b @ np.ones(n)
+                fit = np.append(free - slope * (free.sum() - (u1 - u0)) / slope.sum(), u0)
+            else:
+                fit = np.linalg.lstsq(a[: n + 1, : n + 1], a[: n + 1, n + 1], rcond=1e-12)[0]
+            residual = np.append(-fit, 1.0)  # row (bits, 1, worth) . residual = worth - fit
+            block = test[m : 2 * m]
+            if unbiased:
+                correction = residual @ block[:, 2 * m : 2 * m + n] / mass
+            else:
+                inside, outside = block[:, 2 * m : 2 * m + n], block[:, 2 * m + n : 2 * m + 2 * n]
+                drawn_in = test[m + n, 2 * m + 2 * n : 2 * m + 3 * n]
+                drawn_out = test[m + n, 2 * m + 3 * n : 2 * m + 4 * n]
+                p_in = sum(v * s / n for s, v in law.items()) / sum(law.values())
+                correction = np.divide(residual @ inside, drawn_in, out=np.zeros(n), where=drawn_in > 0) * p_in + np.divide(residual @ outside, drawn_out, out=np.zeros(n), where=drawn_out > 0) * (1 - p_in)
+            value += mass * (fit[:n] + correction)
+            weight += mass
+        return value / weight
+
+    return Fit(Law({s: v for s, v in law.items() if v > 0}), rows, width, solve, folds)
+
+
+def in_fold(samples: DataFrame, folds: int, seed: int, k=None) -> DataFrame:
+    """samples with fold: that of their number k."""
+    return samples.withColumn("fold", F.floor(draws.uniform(F.col("k") if k is None else k, "fold", seed) * folds).cast("int"))
+
+
+#: From so many players on coalitions are drawn with replacement unless that is said: equal ones are then rare.
+MANY_PLAYERS = 50
+
+
+def regression_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, paired: bool = False, folds: int = 10, unbiased: bool = True, replacement: bool | None = True, special: bool = True) -> DataFrame:
+    """A linear surrogate per fold, corrected by the other folds' residuals.
+
+    replacement False: distinct coalitions, whose inclusion chances take the
+    place of draw chances; None: from MANY_PLAYERS on with replacement, below
+    without.  special False: Shapley values too are fitted by plain least
+    squares, not by the kernel through both ends.
+
+    unbiased: the correction is the plain mean of coefficient over chance; else
+    means over the samples with and without the player, each scaled by how
+    often that side is drawn.  Everything needed is in the products of (bits,
+    1, worth, correction terms), so one pass over the samples suffices.
+    """
+    n = game.n
+    replacement = n >= MANY_PLAYERS if replacement is None else replacement
+    if count is None:
+        fit = msr_fit(game, spec, 1, unbiased, special, paired=paired)
+        return _estimate(game, fit, None, seed, paired, _samples(game, fit.law, n, None, seed, paired).withColumn("fold", F.lit(0)))
+    if replacement:
+        fit = msr_fit(game, spec, folds, unbiased, special, paired=paired)
+        return _estimate(game, fit, count, seed, paired, in_fold(_samples(game, fit.law, n, count, seed, paired), folds, seed))
+    if paired and not spec.symmetric:
+        raise Unsupported("pairs need a symmetric semivalue")
+    law = balanced_law(spec, n)
+    distinct = subsets.without_replacement(game.spark, {s: v for s, v in law.items() if v > 0}, n, count, seed, paired)
+    taken = {r["s"]: (r["n"], r["chance"]) for r in distinct.groupBy("s").agg(F.count("*").alias("n"), F.first("chance").alias("chance")).collect()}
+    met = sum(m for m, _ in taken.values())
+    chance = np.array([taken.get(s, (0, 0.0))[1] / max(1, met) for s in range(n + 1)])
+    k = F.least("mask", F.lit(game.full).bitwiseXOR(F.col("mask"))) if paired else F.col("mask")  # a pair shares its fold
+    drawn = worth(game, distinct.select("mask", "s", k.alias("k"))).withColumn("w", F.lit(1.0 / max(1, met)))
+    fit = msr_fit(game, spec, folds, unbiased, special, {s: float(m) for s, (m, _) in taken.items()}, chance, paired)
+    return _estimate(game, fit, count, seed, paired, in_fold(drawn, folds, seed))
+
+
+#: Estimators by name whose trajectory is a prefix sum of Gram matrices.
+FITS: dict[str, Callable[..., Fit]] = {
+    "kernel_shap": lambda game, spec, paired: kernel_fit(game, spec),
+    "leverage": lambda game, spec, paired: leverage_fit(game, spec),
+    "ame": ame_fit,
+    "poly_shap": lambda game, spec, paired: poly_fit(game, spec),
+    "regression_msr": lambda game, spec, paired: msr_fit(game, spec, unbiased=False, paired=paired),
+    "regression_msr_unbiased": lambda game, spec, paired: msr_fit(game, spec, paired=paired),
+}
+
+
+def converged(name: str, game, spec: Semivalue, counts: list[int], seed: int = 0, paired: bool = False) -> DataFrame:
+    """(ckpt, player, value): what the named estimator gives for each of the rising counts, from samples drawn, evaluated and multiplied once."""
+    fit = FITS[name](game, spec, paired)
+    drawn = worth(game, sample(game.spark, fit.law, game.n, counts[-1], seed, paired)).withColumn("ckpt", checkpoint(counts, paired))
+    if fit.folds > 1:
+        drawn = in_fold(drawn, fit.folds, seed)
+    rows = fit.rows
+    found = running(drawn, lambda c: [(rows(c), None)], [(fit.width, fit.width)], fit.folds, len(counts))
+    values = [(k, i, float(v)) for k, (g,) in enumerate(found) for i, v in enumerate(fit.solve(g / counts[k]))]
+    return game.spark.createDataFrame(values, "ckpt int, player int, value double")
 
 
 # ------------------------------------------------------------------ tree surrogate
@@ -313,15 +467,11 @@ def tree_semivalue(leaves, spec: Semivalue, n: int) -> np.ndarray:
     return out
 
 
-def tree_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, trees: int = 10, depth: int = 3) -> DataFrame:
-    """Boosted-tree surrogate with exact leaf semivalues, corrected by the mean residual over chance."""
+def _tree_values(game, spec: Semivalue, drawn: DataFrame, chance: np.ndarray, seed: int, trees: int, depth: int) -> np.ndarray:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     n = game.n
-    law = balanced_law(spec, n)
-    chance = coalition_chance(law, n)
-    drawn = _samples(game, Law({s: v for s, v in law.items() if v > 0}), n, count, seed, False)
     bits = drawn.select("mask", "s", "u", "w", *[F.expr(f"cast(getbit(mask, {i}) AS double)").alias(f"x{i}") for i in range(n)])
     data = VectorAssembler(inputCols=[f"x{i}" for i in range(n)], outputCol="features").transform(bits).cache()
     try:
@@ -331,7 +481,27 @@ def tree_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, tre
         g = gram(residual, lambda c: np.hstack([np.ones((len(c["u"]), 1)), c["u"][:, None] * coefficients(spec, n, c["mask"], c["s"]) / chance[c["s"]][:, None]]), n + 1)[0]
     finally:
         data.unpersist()
-    return values_frame(game.spark, tree_semivalue(leaves, spec, n) + g[0, 1:] / g[0, 0])
+    return tree_semivalue(leaves, spec, n) + g[0, 1:] / g[0, 0]
+
+
+def tree_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, trees: int = 10, depth: int = 3) -> DataFrame:
+    """Boosted-tree surrogate with exact leaf semivalues, corrected by the mean residual over chance."""
+    law = balanced_law(spec, game.n)
+    drawn = _samples(game, Law({s: v for s, v in law.items() if v > 0}), game.n, count, seed, False)
+    return values_frame(game.spark, _tree_values(game, spec, drawn, coalition_chance(law, game.n), seed, trees, depth))
+
+
+def trees_converged(game, spec: Semivalue, counts: list[int], seed: int = 0, paired: bool = False, trees: int = 10, depth: int = 3) -> DataFrame:
+    """(ckpt, player, value): what tree_msr gives for each of the rising counts; samples are drawn and evaluated once, trees grown for each."""
+    if paired:
+        raise Unsupported("tree_msr draws no pairs")
+    law = balanced_law(spec, game.n)
+    drawn = worth(game, sample(game.spark, Law({s: v for s, v in law.items() if v > 0}), game.n, counts[-1], seed)).withColumn("w", F.lit(1.0)).cache()
+    try:
+        values = [_tree_values(game, spec, drawn.where(F.col("k") < c), coalition_chance(law, game.n), seed, trees, depth) for c in counts]
+    finally:
+        drawn.unpersist()
+    return game.spark.createDataFrame([(k, i, float(v)) for k, row in enumerate(values) for i, v in enumerate(row)], "ckpt int, player int, value double")
 
 
 # ------------------------------------------------------------- two-stage, cross-fitted
@@ -369,16 +539,17 @@ class TwoStage:
             raise Unsupported("two stages need four players or more")
         if not 0 < self.pilot_fraction < 1 or self.folds < 2 or self.ridge < 0 or self.ridge_schedule not in ("fixed", "times_m"):
             raise ValueError("bad two-stage parameters")
+        # The accepted names of the two bases that aren't an order.
         names = {"none": 0, "constant": 0, "intercept": 0, "size_by_player": "size_player", "player_size": "size_player", "i_s": "size_player", "is": "size_player"}
         self.basis = names.get(self.basis, self.basis)
         self.n, self.gmask = n, exact.group_mask(self.group, n) if self.group is not None else 0
         self.g = len(self.group) if self.group else 0
         self.sizes = range(2, n - 1)
-        self.sets = [t for r in range(1, self.basis + 1) for t in combinations(range(n), r)] if isinstance(self.basis, int) else []
+        self.sets = subsets_up_to(n, self.basis) if isinstance(self.basis, int) else []
         self.width = self.features(np.zeros(1, np.int64)).shape[1]
         self.targets = 1 if self.group is not None else n
-        pairable = self.pairs and self.group is None and self.spec.symmetric
-        self.paired = pairable
+        self.paired = self.pairs and self.group is None and self.spec.symmetric
+        self.cells = self._cells()
 
     def __getstate__(self):  # workers get the numbers, not the game
         return {k: v for k, v in self.__dict__.items() if k != "game"}
@@ -386,17 +557,20 @@ class TwoStage:
     def features(self, masks: np.ndarray) -> np.ndarray:
         x = bit_matrix(masks, self.n)
         s = x.sum(axis=1)
-        cols = [np.ones(len(x))]
+        cols = [np.ones((len(x), 1))]
         if self.nonlinear:
-            cols += [np.log1p(s), (s / self.n) ** 2]
+            cols += [np.log1p(s)[:, None], ((s / self.n) ** 2)[:, None]]
         if self.group is not None and self.overlap_ratio:
             r = x[:, self.group].sum(axis=1)
-            cols.append(np.divide(r, s, out=np.zeros(len(x)), where=s > 0))
+            cols.append(np.divide(r, s, out=np.zeros(len(x)), where=s > 0)[:, None])
         if self.basis == "size_player":
-            cols += [x[:, i] * (s == k) for k in self.sizes for i in range(self.n)]
+            by_size = np.zeros((len(x), len(self.sizes), self.n))
+            inner = np.flatnonzero((s >= 2) & (s <= self.n - 2))
+            by_size[inner, s[inner].astype(np.intp) - 2] = x[inner]
+            cols.append(by_size.reshape(len(x), -1))
         else:
-            cols += [x[:, list(t)].prod(axis=1) for t in self.sets]
-        return np.stack(cols, axis=1)
+            cols += monomials(x, self.sets)
+        return np.hstack(cols)
 
     def gamma(self, masks: np.ndarray) -> np.ndarray:
         """Coefficient of each coalition in each target."""
@@ -417,23 +591,24 @@ class TwoStage:
             out[:, at] = by_size(f)
             at += 1
         if self.group is not None and self.overlap_ratio:
-            total = sum(comb(self.g, r) * comb(n - self.g, s - r) * exact.group_weight(self.spec, n, s, r, self.g) * r / s for s in self.sizes for r in range(max(0, s - n + self.g), min(self.g, s) + 1))
+            total = sum(comb(self.g, r) * comb(n - self.g, s - r) * (r * p[s] - (self.g - r) * p[s + 1]) * r / s for s in self.sizes for r in range(max(0, s - n + self.g), min(self.g, s) + 1))
             out[self.group, at] = total / self.g  # only the sum over the group is used
             at += 1
         if self.basis == "size_player":
             for s in self.sizes:
-                for i in range(n):
-                    out[:, at] = comb(n - 2, s - 2) * p[s] - comb(n - 2, s - 1) * p[s + 1]
-                    out[i, at] = comb(n - 1, s - 1) * p[s]
-                    at += 1
-        for t in self.sets:
-            r = len(t)
-            for i in range(n):
-                if i in t:
-                    out[i, at] = sum(comb(n - r, s - r) * p[s] for s in self.sizes if s >= r)
-                else:
-                    out[i, at] = sum((comb(n - r - 1, s - r - 1) if s > r else 0) * p[s] - comb(n - r - 1, s - r) * p[s + 1] for s in self.sizes if s >= r)
-            at += 1
+                block = out[:, at : at + n]
+                block[:] = comb(n - 2, s - 2) * p[s] - comb(n - 2, s - 1) * p[s + 1]
+                np.fill_diagonal(block, comb(n - 1, s - 1) * p[s])
+                at += n
+        for members in self.sets:
+            r = members.shape[1]
+            inside = sum(comb(n - r, s - r) * p[s] for s in self.sizes if s >= r)
+            outside = sum((comb(n - r - 1, s - r - 1) if s > r else 0) * p[s] - comb(n - r - 1, s - r) * p[s + 1] for s in self.sizes if s >= r)
+            columns = np.arange(at, at + len(members))
+            out[:, columns] = outside
+            for k in range(r):
+                out[members[:, k], columns] = inside
+            at += len(members)
         return out if self.group is None else out[self.group].sum(axis=0, keepdims=True)
 
     def boundary_value(self) -> np.ndarray:
@@ -446,27 +621,28 @@ class TwoStage:
 
     # Laws are over cells: (size,) for individuals, (size, overlap) for a group.
 
-    def cells(self) -> dict[int, tuple[int, float]]:
+    def _cells(self) -> dict[int, tuple[int, float]]:
         """cell code -> (number of coalitions, root of the squared coefficients)."""
-        n = self.n
+        n, g = self.n, self.g
         if self.group is None:
             a = size_weight(self.spec, n)
             return {s: (comb(n, s), a[s] ** 0.5) for s in self.sizes}
-        return {s * (self.g + 1) + r: (comb(self.g, r) * comb(n - self.g, s - r), abs(exact.group_weight(self.spec, n, s, r, self.g))) for s in self.sizes for r in range(max(0, s - n + self.g), min(self.g, s) + 1)}
+        p = [*self.spec.p(n), 0.0]
+        return {s * (g + 1) + r: (comb(g, r) * comb(n - g, s - r), abs(r * p[s - 1] - (g - r) * p[s])) for s in self.sizes for r in range(max(0, s - n + g), min(g, s) + 1)}
 
     def law(self, scale: dict[int, float] | None = None) -> dict[int, float]:
         """Chance of one coalition by cell."""
-        raw = {c: root * ((scale or {}).get(c, 1.0)) for c, (_, root) in self.cells().items()}
+        raw = {c: root * ((scale or {}).get(c, 1.0)) for c, (_, root) in self.cells.items()}
         if self.paired:
             raw = {s: (raw[s] + raw[self.n - s]) / 2 for s in raw}
         raw = {c: v for c, v in raw.items() if v > 0}
-        total = sum(v * self.cells()[c][0] for c, v in raw.items())
+        total = sum(v * self.cells[c][0] for c, v in raw.items())
         return {c: v / total for c, v in raw.items()}
 
     def draw(self, law: dict[int, float], count: int, salt: str) -> DataFrame:
         """(k, mask, s, q, fold) drawn by cell; a pair shares its fold."""
         spark, n, seed = self.game.spark, self.n, self.seed
-        mass = {c: q * self.cells()[c][0] for c, q in law.items()}
+        mass = {c: q * self.cells[c][0] for c, q in law.items()}
         base = spark.range(-(-count // 2) if self.paired else count).withColumnRenamed("id", "k")
         key = F.concat(F.col("k").cast("string"), F.lit(salt))
         order = draws.ranked_players(key, n, seed)
@@ -491,31 +667,33 @@ class TwoStage:
         return s if self.group is None else s * (self.g + 1) + F.bit_count(mask.bitwiseAND(F.lit(self.gmask).cast("bigint"))).cast("int")
 
     def with_chance(self, masks: DataFrame, law: dict[int, float]) -> DataFrame:
-        q = F.lit(None).cast("double")
-        for c, v in law.items():
-            q = F.when(self.code(F.col("mask")) == c, F.lit(v)).otherwise(q)
-        return masks.withColumn("s", F.bit_count("mask").cast("int")).withColumn("q", q)
-
-    def statistics(self, evaluated: DataFrame) -> np.ndarray:
-        """Per fold the products of (targets / q, features * weight, worth * weight) needed by fit and correction."""
-        width, targets = self.width, self.targets
-
-        def rows(c):
-            z = np.hstack([self.features(c["mask"]), c["u"][:, None]])
-            gamma = self.gamma(c["mask"]) / c["q"][:, None]
+        """masks with s and q, looked up by cell in one array; null where the law has no such cell."""
+        by_cell = ", ".join(number(law[c]) if c in law else "cast(null AS double)" for c in range(max(law) + 1))
+        return masks.withColumn("s", F.bit_count("mask").cast("int")).withColumn("q", F.get(F.expr(f"array({by_cell})"), self.code(F.col("mask"))))
+
+    def blocks(self):
+        """Left and right factors, and their shapes, of what fit and correction need: the weighted fit, targets by features, the number of samples."""
+        features, gamma_of, d, t = self.features, self.gamma, self.width, self.targets
+
+        def factors(c):
+            z = np.hstack([features(c["mask"]), c["u"][:, None], np.ones((len(c["u"]), 1))])
+            gamma = gamma_of(c["mask"]) / c["q"][:, None]
             weight = np.sqrt((gamma**2).sum(axis=1))
-            return np.hstack([z * weight[:, None], gamma, z, np.ones((len(z), 1))])
+            return [(z[:, :-1] * weight[:, None], None), (gamma, z), (z[:, -1:], None)]
 
-        return gram(evaluated, rows, 2 * (width + 1) + targets + 1, self.folds)
+        return factors, [(d + 1, d + 1), (t, d + 2), (1, 1)]
 
-    def parts(self, stats: np.ndarray):
-        """A, c (weighted fit), B, b (targets) and the number of samples."""
-        d, t = self.width, self.targets
-        z = slice(d + 1 + t, 2 * d + 1 + t)
-        gamma = slice(d + 1, d + 1 + t)
-        return stats[:d, :d], stats[:d, d], stats[gamma, z], stats[gamma, 2 * d + 1 + t], stats[-1, -1]
+    def statistics(self, evaluated: DataFrame) -> list[np.ndarray]:
+        """Per fold the products that fit and correction need."""
+        return products(evaluated, *self.blocks(), self.folds)
 
-    def fit(self, stats: np.ndarray) -> np.ndarray:
+    def parts(self, stats: list[np.ndarray]):
+        """A, c (weighted fit), B, b (targets) and the number of samples, of one fold or of sums over folds."""
+        fit, cross, count = stats
+        d = self.width
+        return fit[:d, :d], fit[:d, d], cross[:, :d], cross[:, d], count[0, 0]
+
+    def fit(self, stats: list[np.ndarray]) -> np.ndarray:
         """Ridge whose objective is the variance left once the mean of the targets' residuals is profiled out."""
         a, c, bz, by, m = self.parts(stats)
         lam = self.ridge * (m if self.ridge_schedule == "times_m" else 1.0)
@@ -525,14 +703,15 @@ class TwoStage:
         except np.linalg.LinAlgError:
             return np.linalg.lstsq(left, right, rcond=None)[0]
 
-    def combine(self, stats: np.ndarray, boundary: np.ndarray) -> np.ndarray:
-        total, zeta = stats.sum(axis=0), self.readout()
+    def combine(self, stats: list[np.ndarray], boundary: np.ndarray, zeta: np.ndarray | None = None) -> np.ndarray:
+        total, zeta = [x.sum(axis=0) for x in stats], self.readout() if zeta is None else zeta
         value, weight = np.zeros(self.targets), 0.0
         for f in range(self.folds):
-            _, _, bz, by, m = self.parts(stats[f])
+            _, _, bz, by, m = self.parts([x[f] for x in stats])
             if m <= 0:
                 continue
-            beta = self.fit(total - stats[f] if (total - stats[f])[-1, -1] > 0 else total)
+            others = [x - y[f] for x, y in zip(total, stats, strict=True)]
+            beta = self.fit(others if others[2][0, 0] > 0 else total)
             value += m * (zeta @ beta) + by - bz @ beta
             weight += m
         return boundary + (value / weight if weight else 0.0)
@@ -557,32 +736,45 @@ class TwoStage:
         moments = seen.groupBy(self.code(F.col("mask")).alias("cell")).agg(F.avg(F.col("r") * F.col("r")).alias("v"), F.count("*").alias("n")).collect()
         overall = sum(r["v"] * r["n"] for r in moments) / max(1, sum(r["n"] for r in moments))
         by_cell = {r["cell"]: max(1e-12, r["v"]) for r in moments if r["n"] >= self.min_count}
-        moved = self.law({c: by_cell.get(c, max(1e-12, overall)) ** 0.5 for c in self.cells()})
+        moved = self.law({c: by_cell.get(c, max(1e-12, overall)) ** 0.5 for c in self.cells})
         pilot = self.law()
         return {c: (1 - self.size_floor) * moved.get(c, 0.0) + self.size_floor * pilot.get(c, 0.0) for c in pilot}
 
-    def estimate(self, count: int) -> np.ndarray:
-        """From `count` evaluations, those of the boundary included; no more interior ones than are left."""
-        left = max(2, count - 2 * self.n - 2)
-        pilot = max(2, int(left * self.pilot_fraction))
-        law = self.law()
-        first = worth(self.game, self.draw(law, pilot, "a")).cache()
+    def estimate(self, count: int, pilot: int | None = None) -> np.ndarray:
+        """From `count` evaluations, those of the boundary included; no more interior ones than are left.  pilot: how many of these stage 1 takes."""
+        return self.trajectory([count], pilot)[0]
+
+    def trajectory(self, counts: list[int], pilot: int | None = None) -> np.ndarray:
+        """The estimates after each of the rising counts of evaluations, a row each, from one run of both stages.
+
+        Stage 1 is sized by the last count, unless `pilot` says how many it
+        takes; a checkpoint sees the samples drawn so far, those of the boundary
+        first.  Sums per checkpoint and fold are added up in turn.
+        """
+        left = [max(2, c - 2 * self.n - 2) for c in counts]
+        pilot = max(2, int(left[-1] * self.pilot_fraction)) if pilot is None else min(pilot, left[-1])
+        factors, shapes = self.blocks()
+        steps, boundary, zeta = len(counts), self.boundary_value(), self.readout()
+        in_first, in_second = [min(pilot, x) for x in left], [max(0, x - pilot) for x in left]
+        first = worth(self.game, self.draw(self.law(), pilot, "a").withColumn("ckpt", checkpoint(in_first, self.paired))).cache()
         try:
-            stats = self.statistics(first)
-            second_law = self.residual_law(first, self.fit(stats.sum(axis=0)))
+            seen = list(running(first, factors, shapes, self.folds, steps)) if steps > 1 else [self.statistics(first)]
+            if left[-1] > pilot:
+                second_law = self.residual_law(first, self.fit([x.sum(axis=0) for x in seen[-1]]))
         finally:
             first.unpersist()
-        if left > pilot:
-            stats = stats + self.statistics(worth(self.game, self.draw(second_law, left - pilot, "b")))
-        return self.combine(stats, self.boundary_value())
+        if left[-1] <= pilot:
+            return np.stack([self.combine(x, boundary, zeta) for x in seen])
+        second = worth(self.game, self.draw(second_law, left[-1] - pilot, "b").withColumn("ckpt", checkpoint(in_second, self.paired)))
+        later = running(second, factors, shapes, self.folds, steps) if steps > 1 else [self.statistics(second)]
+        return np.stack([self.combine([a + b for a, b in zip(x, y, strict=True)], boundary, zeta) for x, y in zip(seen, later, strict=True)])
 
     def exact(self) -> np.ndarray:
         """The estimate over the whole population of stage 1: the exact values."""
         law = self.law()
         masks = self.game.spark.range(1 << self.n).select(F.col("id").alias("mask")).where(F.bit_count("mask").between(2, self.n - 2))
         masks = self.with_chance(masks, law).where("q is not null").withColumn("fold", F.pmod(F.crc32(F.col("mask").cast("string").cast("binary")), F.lit(self.folds)).cast("int"))
-        stats = self.statistics(worth(self.game, masks).withColumn("w", F.col("q")))
-        total = stats.sum(axis=0)
+        total = [x.sum(axis=0) for x in self.statistics(worth(self.game, masks).withColumn("w", F.col("q")))]
         _, _, bz, by, m = self.parts(total)
         beta = self.fit(total)
         return self.boundary_value() + self.readout() @ beta + (by - bz @ beta) / m

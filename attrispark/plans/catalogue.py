@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from attrispark.functions import draws
 from attrispark.functions.spec import BANZHAF, SHAPLEY, Semivalue, banzhaf, beta
 from attrispark.operators import estimators as est
-from attrispark.operators import exact, groups, regression, report, subsets, trajectory
+from attrispark.operators import exact, groups, regression, report, subsets, trajectory, transform
+from attrispark.operators import wide as many
 from attrispark.plans import oracle
-from attrispark.sources import games, store
+from attrispark.sources import games, store, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,6 +59,30 @@ add("exact_coefficient_form", on("region", lambda g: exact.coefficients(g, beta(
 for _name, _spec in SPECS.items():
     add(f"exact_group_{_name}", on("segment", lambda g, s=_spec: exact.group_sum(g, s, [0, 2, 4]), 2), oracle.exact_group("segment", _spec, [0, 2, 4]))
 
+# All coalitions of 25 players; the closed form must give the same.
+
+for _name, _spec, _game in (("shapley", SHAPLEY, "nation"), ("banzhaf_p25", banzhaf(0.25), "nation"), ("beta_4_1", beta(4, 1), "brand")):
+    add(f"transform_{_name}_{_game}", on(_game, lambda g, s=_spec: transform.exact(g, s), 2), oracle.closed_form(_game, _spec))
+add("transform_group_nation", on("nation", lambda g: transform.exact_group(g, beta(4, 1), [1, 3, 17, 24]), 2), f"SELECT round(sum(value), 2) AS value FROM ({oracle.closed_form('nation', beta(4, 1), 12)}) WHERE player IN (1, 3, 17, 24)")
+add("transform_by_size_segment", lambda spark, d: rounded(transform.by_size(games.segment_part_year(spark, d)), 2, "mean", "least", "most"), f"WITH {oracle.table('segment')} SELECT bit_count(mask)::int AS s, count(*) AS coalitions, round(avg(u), 2) AS mean, round(min(u), 2) AS least, round(max(u), 2) AS most FROM util GROUP BY 1")
+add("transform_table_event", lambda spark, d: rounded(transform.table(games.event_user_day(spark, d)), 2, "u"), f"WITH {oracle.table('event')} SELECT mask, round(u, 2) AS u FROM util")
+
+# As many players as there are suppliers.
+
+add("wide_shapley", lambda spark, d: rounded(many.closed_form(wide.supplier_revenue(spark, d), SHAPLEY), 2), oracle.wide_closed_form("1e0 / size"))
+add("wide_banzhaf_p25", lambda spark, d: rounded(many.closed_form(wide.supplier_revenue(spark, d), banzhaf(0.25)), 2), oracle.wide_closed_form("0.25e0 ** (size - 1)"))
+add("wide_beta_4_1", lambda spark, d: rounded(many.closed_form(wide.supplier_revenue(spark, d), beta(4, 1)), 2), oracle.wide_closed_form("24e0 / (size * (size + 1) * (size + 2) * (size + 3))"))
+_HARMONIC = "(SELECT sum(1e0 / range) FROM range(1, (SELECT n FROM nn)))"
+_KERNEL = "1e0 / (s.range * (n - s.range))"
+for _name, _spec, _paired, _sql in (
+    ("msr", BANZHAF, False, oracle.wide_estimate("u", "u", "v", COUNT, SEED, coin="0.5e0")),
+    ("msr", BANZHAF, True, oracle.wide_estimate("u", "u", "v", COUNT, SEED, coin="0.5e0", paired=True)),
+    ("improved_ame", SHAPLEY, False, oracle.wide_estimate("u * (x / t - (1e0 - x) / (1e0 - t))", None, "v", COUNT, SEED, coin=draws.uniform_sql("k.range", "'t'", SEED))),
+    ("unbiased_kernel_shap", SHAPLEY, False, oracle.wide_estimate("(x - s / n::double) * (u - u0)", None, f"(u1 - u0) / n + 2 * {_HARMONIC} * v", COUNT, SEED, sizes=_KERNEL)),
+    ("gels_shapley", SHAPLEY, True, oracle.wide_estimate("u", "0e0", f"{_HARMONIC} * v + (u1 - u0 - {_HARMONIC} * total) / n", COUNT, SEED, sizes=_KERNEL, paired=True)),
+):
+    add(f"wide_est_{_name}{'_paired' * _paired}", lambda spark, d, n=_name, c=_spec, p=_paired: rounded(many.estimate(n, wide.supplier_revenue(spark, d), c, COUNT, SEED, p), 2), _sql)
+
 # Utilities.
 
 add("utility_table_region", lambda spark, d: rounded(games.region_revenue(spark, d).table(), 2, "u").select("mask", "u"), f"WITH {oracle.table('region')} SELECT mask, round(u, 2) AS u FROM util")
@@ -212,7 +237,7 @@ add("group_strata_exact", on("event", lambda g: groups.strata_shapley(g, SHAPLEY
 add("group_strata_quotient", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=2), 4), oracle.group_strata("event", [0, 3], 2))
 add("group_wrapper_msr", on("event", lambda g: groups.summed(est.estimate("msr", g, banzhaf(0.25), COUNT, SEED), [0, 3]), 5), f"SELECT round(sum(value), 5) AS value FROM ({oracle.rule('msr', 'event', banzhaf(0.25), COUNT, SEED, digits=12)}) WHERE player IN (0, 3)")
 
-# The sampled forms of the estimators that solve on the driver.  Trees and two stages have no SQL; they are tested against exact values.
+# The sampled forms of the estimators that solve on the driver.  Trees have no SQL; they are tested against exact values.
 _SOLVED: dict[str, Callable] = {
     "kernel_shap": lambda g: regression.kernel_shap(g, SHAPLEY, COUNT, SEED),
     "kernel_shap_paired": lambda g: regression.kernel_shap(g, SHAPLEY, COUNT, SEED, True),
@@ -227,6 +252,7 @@ _SOLVED: dict[str, Callable] = {
     "regression_msr_plain": lambda g: regression.regression_msr(g, SHAPLEY, COUNT, SEED, special=False),
     "tree_msr": lambda g: regression.tree_msr(g, SHAPLEY, COUNT, SEED),
     "two_stage": lambda g: regression.values_frame(g.spark, regression.TwoStage(g, SHAPLEY, seed=SEED).estimate(COUNT)),
+    "two_stage_unpaired": lambda g: regression.values_frame(g.spark, regression.TwoStage(g, beta(4, 1), seed=SEED).estimate(COUNT)),
 }
 _SOLVED_SQL: dict[str, str] = {
     **{f"kernel_shap{'_paired' * p}": oracle.kernel_shap("event", COUNT, SEED, bool(p)) for p in (0, 1)},
@@ -237,10 +263,12 @@ _SOLVED_SQL: dict[str, str] = {
     "regression_msr": oracle.regression_msr("event", beta(4, 1), COUNT, SEED, False, False),
     "regression_msr_unbiased": oracle.regression_msr("event", SHAPLEY, COUNT, SEED, True, True),
     "regression_msr_plain": oracle.regression_msr("event", SHAPLEY, COUNT, SEED, False, True, special=False),
+    "two_stage": oracle.two_stage("event", SHAPLEY, COUNT, SEED),
+    "two_stage_unpaired": oracle.two_stage("event", beta(4, 1), COUNT, SEED),
 }
 for _name, _run in _SOLVED.items():
     add(f"est_{_name}", on("event", _run, 2), _SOLVED_SQL.get(_name))
-add("est_group_two_stage", on("event", lambda g: (lambda t: t.frame(t.estimate(COUNT)))(regression.TwoStage(g, beta(4, 1), group=[0, 3], seed=SEED))))
+add("est_group_two_stage", on("event", lambda g: (lambda t: t.frame(t.estimate(COUNT)))(regression.TwoStage(g, beta(4, 1), group=[0, 3], seed=SEED)), 2), oracle.two_stage("event", beta(4, 1), COUNT, SEED, [0, 3]))
 add("est_group_strata", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=5, per_stratum=20, seed=SEED)))
 
 

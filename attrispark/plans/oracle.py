@@ -253,6 +253,71 @@ def regression_msr(game: str, spec: Semivalue, count: int, seed: int, paired: bo
     return f"WITH {', '.join(parts)} SELECT player::int AS player, round(sum(m * v) / sum(m), {digits}) AS value FROM ({' UNION ALL '.join(pieces)}) GROUP BY 1"
 
 
+def two_stage(game: str, spec: Semivalue, count: int, seed: int, group: list[int] | None = None, folds: int = 10, fraction: float = 0.2, floor: float = 1e-8, least: int = 2, ridge: float = 1.0, digits: int = 2) -> str:
+    """Both stages: a pilot by the first law, the ridge fit, the second law from its residuals, then the fits across folds.
+
+    What the surrogate stands for is summed over all coalitions here, not read off formulas.
+    """
+    n, g = PLAYERS[game], len(group or [])
+    mask, w = sum(1 << i for i in group or []), g + 1
+    paired = group is None and spec.symmetric
+    left = max(2, count - 2 * n - 2)
+    pilot = max(2, int(left * fraction))
+    p = spec.p(n)
+    cells = {}
+    for s in range(2, n - 1):
+        for r in range(max(0, s - n + g), min(g, s) + 1):
+            root = (s * p[s - 1] ** 2 + (n - s) * p[s] ** 2) ** 0.5 if group is None else abs(r * p[s - 1] - (g - r) * p[s])
+            if root:
+                cells[s * w + r] = (comb(g, r) * comb(n - g, s - r), root)
+    raw = {c: (root + cells[n - c][1]) / 2 if paired else root for c, (_, root) in cells.items()}
+    total = sum(v * cells[c][0] for c, v in raw.items())
+    values = ", ".join(f"({c}, {m}, {root!r}::double, {raw[c] / total!r}::double)" for c, (m, root) in cells.items())
+
+    bits = ", ".join(f"((mask >> {i}) & 1)::double AS x{i}" for i in range(n))
+    z = ["1e0", "ln(1e0 + s)", f"(s / {n}e0) ** 2", *([f"r / s::double"] if group else []), *(f"x{i}" for i in range(n))]
+    inside, outside = by_size(p, first=1), by_size(p)
+    gamma = [f"(r * {inside} - ({g} - r) * {outside})"] if group else [f"(x{i} * {inside} - (1e0 - x{i}) * {outside})" for i in range(n)]
+    d, t = len(z), len(gamma)
+    shaped = f"bit_count(mask)::int AS s, bit_count(mask & {mask})::int AS r, {bits}"
+
+    def draw(name: str, salt: str, wanted: int, law: str) -> str:
+        """CTEs that end in name(k, mask, f, code, u, z_j, h_t, w2): law has (cell, q, upto)."""
+        key = f"(k.range::varchar || '{salt}')"
+        bases = -(-wanted // 2) if paired else wanted
+        want = f"CASE WHEN mine = 1 THEN cell % {w} ELSE cell // {w} - cell % {w} END"
+        both = f" UNION ALL SELECT k, xor({(1 << n) - 1}::bigint, mask), f FROM {name}_m" if paired else ""
+        return f"""{name}_c AS (SELECT k.range AS k, coalesce(min(CASE WHEN {uniform_sql(key, "'cell'", seed)} < upto THEN cell END), max(cell)) AS cell, any_value(floor({uniform_sql(key, "'fold'", seed)} * {folds})::int) AS f FROM range({bases}) k CROSS JOIN {law} GROUP BY 1),
+{name}_r AS (SELECT k.range AS k, i.range::int AS i, ({mask} >> i.range::int) & 1 AS mine, row_number() OVER (PARTITION BY k.range, ({mask} >> i.range::int) & 1 ORDER BY md5({key} || ':' || i.range::varchar || ':{seed}'), i.range) AS o FROM range({bases}) k CROSS JOIN range({n}) i),
+{name}_m AS (SELECT k, sum(CASE WHEN o <= {want} THEN 1::bigint << i ELSE 0 END)::bigint AS mask, any_value(f) AS f FROM {name}_r JOIN {name}_c USING (k) GROUP BY 1),
+{name}_x AS (SELECT k, mask, f, u, {shaped} FROM (SELECT * FROM {name}_m{both}) JOIN util USING (mask)),
+{name} AS (SELECT k, mask, f, cell AS code, u, {", ".join(f"{e} AS z_{j}" for j, e in enumerate(z))}, {", ".join(f"{e} / q AS h_{j}" for j, e in enumerate(gamma))}, ({" + ".join(f"{e} ** 2" for e in gamma)}) / q ** 2 AS w2 FROM {name}_x JOIN {law} ON cell = s * {w} + r)"""
+
+    sums = [*(f"sum(w2 * z_{i} * z_{j}) AS s_{i}_{j}" for i in range(d) for j in range(d)), *(f"sum(w2 * z_{i} * u) AS s_{i}_u" for i in range(d))]
+    sums += [*(f"sum(h_{k} * z_{i}) AS b_{k}_{i}" for k in range(t) for i in range(d)), *(f"sum(h_{k} * u) AS b_{k}_u" for k in range(t)), "count(*)::double AS m"]
+    names = [x.rsplit(" AS ", 1)[1] for x in sums]
+    cell_of = lambda i, j: f"s_{i}_{j} - ({' + '.join(f'b_{k}_{i} * b_{k}_{j}' for k in range(t))}) / m"
+    system = ", ".join([*(f"{cell_of(i, j)}{f' + {number(ridge)}' if i == j else ''} AS a_{i}_{j}" for i in range(d) for j in range(d)), *(f"{cell_of(i, 'u')} AS b_{i}_0" for i in range(d))])
+    fitted = " + ".join(f"b_{i}_0 * z_{i}" for i in range(d))
+    law = lambda name, of, q: f"{name} AS (SELECT cell, cnt, root, q, sum(q * cnt / whole) OVER (ORDER BY cell) AS upto FROM (SELECT *, {q} AS q FROM {of}), (SELECT sum({q} * cnt) AS whole FROM {of}))"
+    seen = "SELECT mask, x.d AS r FROM one JOIN (SELECT k, max_by(r, mask) - min_by(r, mask) AS d FROM one GROUP BY 1) x USING (k)" if paired else "SELECT mask, r FROM one"
+    mirror = f"(own + (SELECT own FROM scaled o WHERE o.cell = {n} - scaled.cell)) / 2" if paired else "own"
+    ends = f"bit_count(mask) IN (0, 1, {n - 1}, {n})"
+    whole = f"""every AS (SELECT u, {ends} AS edge, {", ".join(f"{e} AS z_{j}" for j, e in enumerate(z)).replace("r / s::double", "coalesce(r / nullif(s, 0)::double, 0)")}, {", ".join(f"{e} AS g_{k}" for k, e in enumerate(gamma))} FROM (SELECT mask, u, {shaped} FROM util)),
+zeta AS (SELECT {", ".join(f"sum(CASE WHEN NOT edge THEN g_{k} * z_{i} END) AS y_{k}_{i}" for k in range(t) for i in range(d))}, {", ".join(f"sum(CASE WHEN edge THEN g_{k} * u END) AS e_{k}" for k in range(t))} FROM every)"""
+    values_of = [f"sum(st.m * ({' + '.join(f'y_{k}_{i} * b.b_{i}_0' for i in range(d))}) + st.b_{k}_u - ({' + '.join(f'st.b_{k}_{i} * b.b_{i}_0' for i in range(d))})) / sum(st.m) + any_value(e_{k})" for k in range(t)]
+    rows = " UNION ALL ".join(f"SELECT {f'{k}::int AS player, ' if group is None else ''}round({v}, {digits}) AS value FROM st JOIN b USING (f) CROSS JOIN zeta" for k, v in enumerate(values_of))
+    return f"""WITH {table(game)}, cells(cell, cnt, root, q1) AS (VALUES {values}), {law("law1", "cells", "q1")}, {draw("one_", "a", pilot, "law1")},
+p0 AS (SELECT {system} FROM (SELECT {", ".join(sums)} FROM one_)), {solved(d, 1, begin="p0", name="p")},
+one AS (SELECT k, mask, code, u - ({fitted}) AS r FROM one_ CROSS JOIN p{d}), seen AS ({seen}),
+moment AS (SELECT bit_count(mask) * {w} + bit_count(mask & {mask}) AS cell, avg(r * r) AS v, count(*) AS c FROM seen GROUP BY 1),
+scaled AS (SELECT cells.*, root * sqrt(greatest(1e-12, CASE WHEN c >= {least} THEN v ELSE (SELECT sum(v * c) / sum(c) FROM moment) END)) AS own FROM cells LEFT JOIN moment USING (cell)),
+moved AS (SELECT cell, cnt, root, q1, {mirror} AS raw FROM scaled), settled AS (SELECT *, {1 - floor!r} * raw / (SELECT sum(raw * cnt) FROM moved) + {floor!r} * q1 AS q2 FROM moved), {law("law2", "settled", "q2")},
+{draw("two_", "b", left - pilot, "law2")}, al AS (SELECT * FROM one_ UNION ALL SELECT * FROM two_), st AS (SELECT f, {", ".join(sums)} FROM al GROUP BY f), tot AS (SELECT {", ".join(f"sum({c}) AS {c}" for c in names)} FROM st),
+rest AS (SELECT st.f, {", ".join(f"tot.{c} - st.{c} AS {c}" for c in names)} FROM st CROSS JOIN tot), q0 AS (SELECT f, {system} FROM rest), {solved(d, 1, "f", "q0", "q")}, b AS (SELECT * FROM q{d}), {whole}
+{rows}"""
+
+
 def inverse_normal(z: str) -> str:
     """The standard normal quantile by Newton steps on the series of the distribution function."""
     odd, factors = 1, []
@@ -294,3 +359,35 @@ def without_replacement(law: dict[int, float], n: int, count: int, seed: int) ->
     order = ", ".join(f"(m.range >> {i}) & 1 DESC" for i in range(n))
     share = "CASE s " + " ".join(f"WHEN {s} THEN {v!r}::double" for s, v in shares.items()) + " END"
     return f"WITH m AS (SELECT range AS mask, bit_count(range)::int AS s, row_number() OVER (PARTITION BY bit_count(range) ORDER BY {order}) - 1 AS rank FROM range({1 << n}) m), p AS ({' UNION ALL '.join(picks)}) SELECT mask, s, round({share}, 8) AS chance FROM m JOIN p USING (s, rank)"
+
+
+# All suppliers as players, by membership rows instead of masks.
+
+_SUPPLIERS = """sup AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS player FROM supplier), nn AS (SELECT count(*)::int AS n FROM sup),
+tm AS MATERIALIZED (SELECT DISTINCT l_orderkey AS g, player FROM lineitem JOIN sup ON l_suppkey = s_suppkey),
+tw AS MATERIALIZED (SELECT g, count(*) AS size, any_value(w) AS w FROM tm JOIN (SELECT l_orderkey AS g, sum(l_extendedprice * (1 - l_discount)) AS w FROM lineitem GROUP BY 1) USING (g) GROUP BY 1)"""
+
+
+def wide_closed_form(share: str, digits: int = 2) -> str:
+    """share: SQL over the term's size."""
+    return f"WITH {_SUPPLIERS} SELECT player::int AS player, round(coalesce(sum(w * {share}), 0), {digits}) AS value FROM sup LEFT JOIN tm USING (player) LEFT JOIN tw USING (g) GROUP BY 1"
+
+
+def wide_estimate(inside: str, outside: str | None, value: str, count: int, seed: int, coin: str | None = None, sizes: str | None = None, paired: bool = False, digits: int = 2) -> str:
+    """coin: SQL of the probability t of a sample k; sizes: SQL of a size's mass over s and n.  inside, outside and value as in estimators.RULES."""
+    bases = -(-count // 2) if paired else count
+    slot = "player::varchar"
+    if coin is not None:
+        drawn = f"smp0 AS (SELECT k.range AS k, player, {uniform_sql('k.range', slot, seed)} < t AS x, t FROM range({bases}) k JOIN (SELECT range AS kk, {coin} AS t FROM range({bases}) k) ON kk = k.range CROSS JOIN sup)"
+    else:
+        drawn = f"""law AS (SELECT s, sum(v / (SELECT sum(v) FROM mass)) OVER (ORDER BY s) AS upto FROM mass), size AS (SELECT k.range AS k, coalesce(min(CASE WHEN {uniform_sql('k.range', "'size'", seed)} < upto THEN s END), max(s)) AS want FROM range({bases}) k CROSS JOIN law GROUP BY 1),
+smp0 AS (SELECT k, player, row_number() OVER (PARTITION BY k ORDER BY md5(k::varchar || ':' || player::varchar || ':{seed}'), player) <= want AS x, NULL::double AS t FROM size CROSS JOIN sup)"""
+        drawn = f"mass AS (SELECT s.range AS s, {sizes} AS v FROM nn, range(1, (SELECT n FROM nn)) s), {drawn}"
+    side = " UNION ALL SELECT k, 1 AS side, player, NOT x, 1 - t FROM smp0" if paired else ""
+    mean = f"avg({inside})" if outside is None else f"coalesce(avg(CASE WHEN x = 1 THEN {inside} END), 0) - coalesce(avg(CASE WHEN x = 0 THEN {outside} END), 0)"
+    return f"""WITH {_SUPPLIERS}, {drawn}, smp AS MATERIALIZED (SELECT k, 0 AS side, player, x, t FROM smp0{side}),
+u AS (SELECT k, side, sum(w) AS u FROM (SELECT k, side, g, count(*) AS held FROM smp JOIN tm USING (player) WHERE x GROUP BY ALL) JOIN tw USING (g) WHERE held = size GROUP BY ALL),
+ends AS (SELECT 0e0 AS u0, sum(w) AS u1 FROM tw), sz AS (SELECT k, side, sum(x::int) AS s FROM smp GROUP BY ALL),
+row AS (SELECT player, smp.x::int::double AS x, t, s, n, u0, u1, coalesce(u.u, 0) AS u FROM smp JOIN sz USING (k, side) LEFT JOIN u USING (k, side) CROSS JOIN ends CROSS JOIN nn),
+raw AS (SELECT player, {mean} AS v, any_value(u0) AS u0, any_value(u1) AS u1, any_value(n) AS n FROM row GROUP BY 1), own AS (SELECT *, sum(v) OVER () AS total FROM raw)
+SELECT player::int AS player, round({value}, {digits}) AS value FROM own"""

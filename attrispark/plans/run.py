@@ -37,10 +37,8 @@ def _tree(game, spec, samples, seed, paired) -> DataFrame:
     return regression.tree_msr(game, spec, samples, seed)
 
 
-def _complement(game, spec, samples, seed, paired) -> DataFrame:
-    if not spec.is_shapley or paired:
-        raise est.Unsupported("complement estimates Shapley values, from coalitions with their complements")
-    return est.complement_contributions(game, samples, seed)
+def _strata(name: str) -> Callable:
+    return lambda game, spec, samples, seed, paired: est._strata_value(est.STRATA[name](game, spec, samples, seed, paired))
 
 
 REGISTRY: dict[str, Entry] = {
@@ -50,7 +48,7 @@ REGISTRY: dict[str, Entry] = {
     **{name: Entry(lambda g, c, m, seed, paired, name=name: est.one_for_all(name, g, c, m, seed, paired)) for name in est.OFA_SIZES},
     "ofa_baseline": Entry(lambda g, c, m, seed, paired: est.one_for_all_baseline(g, c, m, seed, paired), lambda n: 2 * n),
     "permutation": Entry(lambda g, c, m, seed, paired: est.permutation(g, c, m, seed, paired), lambda n: n),
-    "complement": Entry(_complement, lambda n: 2),
+    "complement": Entry(_strata("complement"), lambda n: 2),
     "kernel_shap": _solved(regression.kernel_shap),
     "leverage": _solved(regression.leverage),
     "ame": _solved(regression.ame),
@@ -86,22 +84,38 @@ def run(game, name: str, spec: Semivalue, per_player: int, seed: int = 0, paired
 def converge(game, name: str, spec: Semivalue, per_player: int, every: int, seed: int = 0, paired: bool = False, group: list[int] | None = None) -> DataFrame:
     """(ckpt, evaluations[, player], value): the estimate after each `every` evaluations per player.
 
-    Samples are nested: a checkpoint's are the first of the next one's.  Rules
-    and marginal estimators take one pass over them; others, whose solves or
-    strata depend on the budget, run once per checkpoint.
+    Samples are nested: a checkpoint's are the first of the next one's.  They
+    are drawn and evaluated once.  Means, strata and Gram matrices have partial
+    sums per checkpoint, and what follows adds those up; two_stage is one run
+    whose pilot is sized by the whole budget; trees are grown anew from the
+    samples kept, as nothing of them can be added up.
     """
-    from functools import reduce
-
     steps = range(every, per_player + 1, every)
     if not steps:
         raise ValueError("no checkpoint within the budget")
-    if name in est.RULES or name in est.MARGINAL:
-        found = est.converged(name, game, spec, [samples_for(name, game.n, b) for b in steps], seed, paired)
+    if name not in REGISTRY:
+        raise KeyError(f"no estimator {name!r}; there are {', '.join(sorted(REGISTRY))}")
+    counts = [samples_for(name, game.n, b) for b in steps]
+    spark = game.spark
+    if name == "two_stage":
+        stage = regression.TwoStage(game, spec, group=group, seed=seed, pairs=paired or spec.symmetric)
+        found = stage.trajectory(counts)
+        rows = [(k, i, float(v)) for k, row in enumerate(found) for i, v in enumerate(row)]
+        frame = spark.createDataFrame(rows, "ckpt int, player int, value double")
+        frame = frame if group is None else frame.select("ckpt", "value")
+    else:
+        if name == "exact":
+            frame = exact.enumerated(game, spec).withColumn("ckpt", F.explode(F.sequence(F.lit(0), F.lit(len(counts) - 1)))).select("ckpt", "player", "value")
+        elif name == "tree_msr":
+            frame = regression.trees_converged(game, spec, counts, seed, paired)
+        elif name in regression.FITS:
+            frame = regression.converged(name, game, spec, counts, seed, paired)
+        else:
+            frame = est.converged(name, game, spec, counts, seed, paired)
         if group is not None:
             exact.group_mask(group, game.n)
-            found = found.where(F.col("player").isin(group)).groupBy("ckpt").agg(F.sum("value").alias("value"))
-        return found.withColumn("evaluations", (F.col("ckpt") + 1) * (every * game.n))
-    return reduce(DataFrame.unionByName, [run(game, name, spec, b, seed, paired, group).withColumn("ckpt", F.lit(k)).withColumn("evaluations", F.lit(b * game.n)) for k, b in enumerate(steps)])
+            frame = groups.summed(frame, group)
+    return frame.withColumn("evaluations", (F.col("ckpt") + 1) * (every * game.n))
 
 
 def timed(game, name: str, spec: Semivalue, per_player: int, seed: int = 0, paired: bool = False) -> tuple[list, float]:

@@ -23,6 +23,8 @@ from attrispark.functions.ship import ship
 
 #: Up to so many players all coalitions are tabulated; beyond, only those asked for.
 TABLE_PLAYERS = 16
+#: Up to so many players that is done inside one row: each player's step names the array before it twice.
+ROW_PLAYERS = 6
 #: Terms up to this number are sent to every task; more are met chunk by chunk.
 SMALL_TERMS = 200_000
 
@@ -64,9 +66,13 @@ class TermsGame:
         return self.terms.sparkSession
 
     def table(self) -> DataFrame:
-        """(mask, u) of all coalitions, by a superset-sum transform over players: n steps inside one array."""
+        """(mask, u) of all coalitions, by a superset-sum transform over players: n steps inside one array, or over arrays where there are more."""
         if self.n > TABLE_PLAYERS:
             raise ValueError(f"{self.n} players have too many coalitions to tabulate")
+        if self.n > ROW_PLAYERS:
+            from attrispark.operators import transform
+
+            return transform.table(self)
         size = 1 << self.n
         start = self.terms.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("mask", "w"))).alias("t"))
         values = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint")), lambda m: F.coalesce(F.try_element_at(F.col("t"), m), F.lit(0.0)))
