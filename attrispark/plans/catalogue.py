@@ -150,30 +150,57 @@ def _ridge_sql(weight: str) -> str:
 add("ridge_utility", lambda spark, d: _ridge(spark, d, False), _ridge_sql("0.1e0"))
 add("ridge_utility_mean_loss", lambda spark, d: _ridge(spark, d, True), _ridge_sql("0.1e0 * greatest(1, n)"))
 
-# Samplers.
+# Samplers: a coalition of the 25 nations for each customer.
 
+_EACH = "(SELECT count(*) FROM customer)"
 
-def _sampler(name: str, law: est.Law, players: int, paired: bool = False) -> None:
-    add(
-        f"sample_{name}",
-        lambda spark, d: est.sample(spark, law, players, COUNT, SEED, paired).select("k", F.col("side").cast("int").alias("side"), "mask", F.col("s").cast("int").alias("s"), F.round("t", 10).alias("t")),
-        f"WITH {oracle.samples(law, players, COUNT, SEED, paired)} SELECT k, side::int AS side, mask, s::int AS s, round(t, 10) AS t FROM smp",
-    )
 
+def _customers(spark: SparkSession, sf_dir: str) -> int:
+    return games.read(spark, sf_dir, "customer").count()
 
-_sampler("bernoulli_half", est.Law(coin=0.5), 25)
-_sampler("bernoulli_uniform", est.Law(coin="uniform"), 25)
-_sampler("bernoulli_beta", est.Law(coin=("beta", 1, 4)), 25)
-_sampler("bernoulli_beta_real", est.Law(coin=("beta", 1.5, 0.25)), 25)
-_sampler("size_law_kernel", est.Law(est.kernel_sizes(25)), 25)
-_sampler("size_law_even", est.Law(est.even_sizes(1, 24)), 25)
-_sampler("paired", est.Law(est.kernel_sizes(25)), 25, True)
+
+def _sampler(name: str, law: Callable[[int], est.Law], paired: bool = False) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        players = games.read(spark, sf_dir, "nation").count()
+        drawn = est.sample(spark, law(players), players, _customers(spark, sf_dir), SEED, paired)
+        return drawn.select("k", F.col("side").cast("int").alias("side"), "mask", F.col("s").cast("int").alias("s"), F.round("t", 10).alias("t"))
+
+    add(f"sample_{name}", query, f"WITH {oracle.samples(law(25), 25, _EACH, SEED, paired)} SELECT k, side::int AS side, mask, s::int AS s, round(t, 10) AS t FROM smp")
+
+
+_sampler("bernoulli_half", lambda n: est.Law(coin=0.5))
+_sampler("bernoulli_uniform", lambda n: est.Law(coin="uniform"))
+_sampler("bernoulli_beta", lambda n: est.Law(coin=("beta", 1, 4)))
+_sampler("bernoulli_beta_real", lambda n: est.Law(coin=("beta", 1.5, 0.25)))
+_sampler("size_law_kernel", lambda n: est.Law(est.kernel_sizes(n)))
+_sampler("size_law_even", lambda n: est.Law(est.even_sizes(1, n - 1)))
+_sampler("paired", lambda n: est.Law(est.kernel_sizes(n)), True)
 for _paired in (False, True):
-    add(f"sample_permutation{'_paired' if _paired else ''}", lambda spark, d, p=_paired: est.permutations(spark, 12, COUNT, SEED, p).select("k", F.col("side").cast("int").alias("side"), F.posexplode("o").alias("pos", "player")).select("k", "side", "pos", F.col("player").cast("int").alias("player")), f"WITH {oracle.orders(12, COUNT, SEED, _paired)} SELECT k, side::int AS side, pos, player FROM ord")
+    add(f"sample_permutation{'_paired' if _paired else ''}", lambda spark, d, p=_paired: est.permutations(spark, 12, _customers(spark, d), SEED, p).select("k", F.col("side").cast("int").alias("side"), F.posexplode("o").alias("pos", "player")).select("k", "side", "pos", F.col("player").cast("int").alias("player")), f"WITH {oracle.orders(12, _EACH, SEED, _paired)} SELECT k, side::int AS side, pos, player FROM ord")
+
+# Coalitions without replacement and by rank, and the kernel law, with the worths of the game of supplier shares.
+
 _WITHOUT = {s: 1.0 / (s * (10 - s)) for s in range(1, 10)}
-add("sample_without_replacement", lambda spark, d: rounded(subsets.without_replacement(spark, _WITHOUT, 10, 300, SEED), 8, "chance"), oracle.without_replacement(_WITHOUT, 10, 300, SEED))
-add("unrank_subsets", lambda spark, d: spark.range(220).select(F.col("id").alias("rank"), subsets.unrank(F.col("id"), 12, 3).alias("mask")), "SELECT row_number() OVER (ORDER BY a.range, b.range, c.range) - 1 AS rank, (1::bigint << a.range::int) | (1::bigint << b.range::int) | (1::bigint << c.range::int) AS mask FROM range(12) a, range(12) b, range(12) c WHERE a.range < b.range AND b.range < c.range")
-add("law_kernel", lambda spark, d: spark.createDataFrame([(s, v / sum(est.kernel_sizes(40).values())) for s, v in est.kernel_sizes(40).items()], "s int, share double").withColumn("share", F.round("share", 10)), "WITH k AS (SELECT range::int AS s, 1e0 / (range * (40 - range)) AS v FROM range(1, 40)) SELECT s, round(v / sum(v) OVER (), 10) AS share FROM k")
+
+
+def _with_worth(masks: Callable[[SparkSession], DataFrame]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(est.worth(games.supplier_shares(spark, sf_dir), masks(spark)), 4, "u")
+
+    return query
+
+
+add("sample_without_replacement", _with_worth(lambda spark: rounded(subsets.without_replacement(spark, _WITHOUT, 10, 300, SEED), 8, "chance").select("mask", "s", "chance")), f"WITH {oracle.table('share')}, d AS ({oracle.without_replacement(_WITHOUT, 10, 300, SEED)}) SELECT d.mask, s, chance, round(u, 4) AS u FROM d JOIN util USING (mask)")
+add("unrank_subsets", _with_worth(lambda spark: spark.range(120).select(F.col("id").alias("rank"), subsets.unrank(F.col("id"), 10, 3).alias("mask"))), f"WITH {oracle.table('share')}, d AS (SELECT row_number() OVER (ORDER BY a.range, b.range, c.range) - 1 AS rank, (1::bigint << a.range::int) | (1::bigint << b.range::int) | (1::bigint << c.range::int) AS mask FROM range(10) a, range(10) b, range(10) c WHERE a.range < b.range AND b.range < c.range) SELECT rank, mask, round(u, 4) AS u FROM d JOIN util USING (mask)")
+
+
+def _law_of_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    law = est.kernel_sizes(10)
+    shares = spark.createDataFrame([(s, v / sum(law.values())) for s, v in law.items()], "s int, share double")
+    return rounded(transform.by_size(games.supplier_shares(spark, sf_dir)).join(shares, "s").select("s", "share", (F.col("share") * F.col("mean")).alias("part")), 10, "share").withColumn("part", F.round("part", 2))
+
+
+add("law_kernel", _law_of_sizes, f"WITH {oracle.table('share')}, k AS (SELECT range::int AS s, 1e0 / (range * (10 - range)) AS v FROM range(1, 10)), m AS (SELECT bit_count(mask)::int AS s, avg(u) AS u FROM util GROUP BY 1), p AS (SELECT s, v / sum(v) OVER () AS share FROM k) SELECT s, round(share, 10) AS share, round(share * u, 2) AS part FROM p JOIN m USING (s)")
 
 # Aggregate estimators, by sampling, on the event game.
 
@@ -269,7 +296,8 @@ _SOLVED_SQL: dict[str, str] = {
 for _name, _run in _SOLVED.items():
     add(f"est_{_name}", on("event", _run, 2), _SOLVED_SQL.get(_name))
 add("est_group_two_stage", on("event", lambda g: (lambda t: t.frame(t.estimate(COUNT)))(regression.TwoStage(g, beta(4, 1), group=[0, 3], seed=SEED)), 2), oracle.two_stage("event", beta(4, 1), COUNT, SEED, [0, 3]))
-add("est_group_strata", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=5, per_stratum=20, seed=SEED)))
+add("est_group_strata", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=5, per_stratum=20, seed=SEED), 2), oracle.group_strata_sampled("event", [0, 3], 20, SEED))
+add("est_regression_msr_distinct", on("event", lambda g: regression.regression_msr(g, beta(4, 1), 20, SEED, replacement=None), 2), oracle.regression_msr("event", beta(4, 1), 20, SEED, False, True, distinct=True))
 
 
 # Trajectories and reports.
@@ -322,27 +350,31 @@ add("aucc_pivot", lambda spark, d: rounded(report.aucc_matrix(report.aucc(_summa
 add("aucc_trapz", lambda spark, d: rounded(report.trapezoid(_summary(spark, d), ["run_idx"], "ckpt", "rel_l2_error"), 8, "aucc"), f"{_summary_sql()}, t AS (SELECT run_idx, ckpt, (ckpt - lag(ckpt) OVER w) * (rel_l2_error + lag(rel_l2_error) OVER w) / 2 AS a FROM er WINDOW w AS (PARTITION BY run_idx ORDER BY ckpt)) SELECT run_idx, round(sum(a) / (max(ckpt) - min(ckpt)), 8) AS aucc FROM t GROUP BY 1")
 add("curve_mean_std", lambda spark, d: rounded(report.curves(_summary(spark, d), ["ckpt"], "rel_l2_error"), 8, "mean", "std"), f"{_summary_sql()} SELECT ckpt, round(avg(rel_l2_error), 8) AS mean, round(stddev_pop(rel_l2_error), 8) AS std, count(*) AS runs FROM er GROUP BY 1")
 
-_SETTINGS = [(f"{a}_{k}_{p}_{q}", k, p, q) for a in ("eta25", "eta50", "eta75") for k, p, q in (("shapley", None, None), ("weighted_banzhaf", 0.5, None), ("weighted_banzhaf", 0.25, None), ("beta_shapley", 4.0, 1.0), ("beta_shapley", 1.0, 4.0), ("beta_shapley", 2.0, 2.0))]
+# A setting is a market segment's game with a semivalue.
+_SEMIVALUES = [("shapley", None, None), ("weighted_banzhaf", 0.5, None), ("weighted_banzhaf", 0.25, None), ("beta_shapley", 4.0, 1.0), ("beta_shapley", 1.0, 4.0), ("beta_shapley", 2.0, 2.0)]
 _METHODS = [("msr", "all"), ("kernel_shap", "shapley"), ("wsl", "non_shapley"), ("paired", "symmetric"), ("ame", "ame")]
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    return report.grid(spark.createDataFrame(_SETTINGS, "setting string, semivalue string, a double, b double"), spark.createDataFrame(_METHODS, "method string, compatibility string")).select("setting", "method")
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = games.read(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(f"_{k}_{a}_{b}").alias("end"), F.lit(k).alias("semivalue"), F.lit(a).cast("double").alias("a"), F.lit(b).cast("double").alias("b")) for k, a, b in _SEMIVALUES]))
+    settings = segments.select("c_mktsegment", each.alias("x")).select(F.concat("c_mktsegment", "x.end").alias("setting"), "x.semivalue", "x.a", "x.b")
+    return report.grid(settings, spark.createDataFrame(_METHODS, "method string, compatibility string")).select("setting", "method")
 
 
 def _grid_sql() -> str:
     def lit(v):
         return "NULL" if v is None else repr(v)
 
-    settings = ", ".join(f"({', '.join(map(lit, s))})" for s in _SETTINGS)
-    return f"s(setting, semivalue, a, b) AS (VALUES {settings}), m(method, need) AS (VALUES {', '.join(map(str, _METHODS))}), g AS (SELECT setting, method FROM s, m WHERE need = 'all' OR (need = 'shapley' AND semivalue = 'shapley') OR (need = 'non_shapley' AND semivalue <> 'shapley') OR (need = 'symmetric' AND (semivalue = 'shapley' OR (semivalue = 'weighted_banzhaf' AND a = 0.5) OR (semivalue = 'beta_shapley' AND a = b))) OR (need = 'ame' AND (semivalue = 'weighted_banzhaf' OR (semivalue = 'beta_shapley' AND a > 1 AND b > 1))))"
+    specs = ", ".join(f"('_{k}_{a}_{b}', {lit(k)}, {lit(a)}, {lit(b)})" for k, a, b in _SEMIVALUES)
+    return f"v(e, semivalue, a, b) AS (VALUES {specs}), s AS (SELECT c_mktsegment || e AS setting, semivalue, a, b FROM (SELECT DISTINCT c_mktsegment FROM customer), v), m(method, need) AS (VALUES {', '.join(map(str, _METHODS))}), g AS (SELECT setting, method FROM s, m WHERE need = 'all' OR (need = 'shapley' AND semivalue = 'shapley') OR (need = 'non_shapley' AND semivalue <> 'shapley') OR (need = 'symmetric' AND (semivalue = 'shapley' OR (semivalue = 'weighted_banzhaf' AND a = 0.5) OR (semivalue = 'beta_shapley' AND a = b))) OR (need = 'ame' AND (semivalue = 'weighted_banzhaf' OR (semivalue = 'beta_shapley' AND a > 1 AND b > 1))))"
 
 
-add("compatibility_grid", lambda spark, d: _grid(spark), f"WITH {_grid_sql()} SELECT * FROM g")
-add("resume_anti_join", lambda spark, d: report.pending(_grid(spark), _grid(spark).where("method = 'msr' or setting like 'eta25%'"), ["setting", "method"]), f"WITH {_grid_sql()} SELECT * FROM g WHERE NOT (method = 'msr' OR setting LIKE 'eta25%')")
+add("compatibility_grid", lambda spark, d: _grid(spark, d), f"WITH {_grid_sql()} SELECT * FROM g")
+add("resume_anti_join", lambda spark, d: report.pending(_grid(spark, d), _grid(spark, d).where("method = 'msr' or setting like 'BUILDING%'"), ["setting", "method"]), f"WITH {_grid_sql()} SELECT * FROM g WHERE NOT (method = 'msr' OR setting LIKE 'BUILDING%')")
 _ORDER, _HIDDEN = ["wsl", "absent", "ame"], ["paired"]
-add("method_order", lambda spark, d: report.method_order(_grid(spark), "setting", _ORDER, _HIDDEN), f"WITH {_grid_sql()}, o(method, p) AS (VALUES ('wsl', 0), ('absent', 1), ('ame', 2)) SELECT method, (row_number() OVER (ORDER BY p NULLS LAST, s, method) - 1)::int AS place FROM (SELECT method, min(setting) AS s FROM g WHERE method <> 'paired' GROUP BY 1) LEFT JOIN o USING (method)")
-add("method_order_requested", lambda spark, d: report.method_order(_grid(spark), "setting", requested=["paired", "msr"]), f"WITH {_grid_sql()} SELECT DISTINCT method, CASE method WHEN 'paired' THEN 0 ELSE 1 END AS place FROM g WHERE method IN ('paired', 'msr')")
+add("method_order", lambda spark, d: report.method_order(_grid(spark, d), "setting", _ORDER, _HIDDEN), f"WITH {_grid_sql()}, o(method, p) AS (VALUES ('wsl', 0), ('absent', 1), ('ame', 2)) SELECT method, (row_number() OVER (ORDER BY p NULLS LAST, s, method) - 1)::int AS place FROM (SELECT method, min(setting) AS s FROM g WHERE method <> 'paired' GROUP BY 1) LEFT JOIN o USING (method)")
+add("method_order_requested", lambda spark, d: report.method_order(_grid(spark, d), "setting", requested=["paired", "msr"]), f"WITH {_grid_sql()} SELECT DISTINCT method, CASE method WHEN 'paired' THEN 0 ELSE 1 END AS place FROM g WHERE method IN ('paired', 'msr')")
 
 
 def _stored(form: str) -> Query:
@@ -390,6 +422,25 @@ def _converged(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("run_checkpoints", _converged, " UNION ALL ".join(f"SELECT {k} AS ckpt, {b * 5} AS evaluations, * FROM ({oracle.rule('msr', 'event', BANZHAF, b * 5, SEED)})" for k, b in enumerate((20, 40, 60))))
 
 
+def _checkpointed(name: str, spec: Semivalue, sql: Callable[[int], str], digits: int = 4) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from attrispark.plans.run import converge
+
+        return rounded(converge(games.event_user_day(spark, sf_dir), name, spec, 90, 30, SEED), digits).select("ckpt", "evaluations", "player", "value")
+
+    from attrispark.plans.run import samples_for
+
+    add(f"run_checkpoints_{name}", query, " UNION ALL ".join(f"SELECT {k} AS ckpt, {b * 5} AS evaluations, * FROM ({sql(samples_for(name, 5, b))})" for k, b in enumerate((30, 60, 90))))
+
+
+_checkpointed("permutation", SHAPLEY, lambda m: oracle.permutation("event", SHAPLEY, m, SEED))
+_checkpointed("complement", SHAPLEY, lambda m: oracle.complement("event", m, SEED))
+_checkpointed("ofa_fixed", beta(4, 1), lambda m: oracle.one_for_all("ofa_fixed", "event", beta(4, 1), m, SEED))
+_checkpointed("kernel_shap", SHAPLEY, lambda m: oracle.kernel_shap("event", m, SEED, False), 2)
+_checkpointed("ame", beta(4, 2), lambda m: oracle.ame("event", beta(4, 2), m, SEED, False), 2)
+_checkpointed("regression_msr_unbiased", SHAPLEY, lambda m: oracle.regression_msr("event", SHAPLEY, m, SEED, False, True), 2)
+
+
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attrispark.plans.run import run
 
@@ -410,8 +461,8 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("training_shapley", _training)
 
-# Random games.
+# Random games: as many terms as there are customers.
 
-add("random_terms_plain", lambda spark, d: rounded(games.random_terms(spark, 20, 500, 42).terms, 6, "w"), f"WITH {oracle.samples(est.Law({s: 1.0 for s in range(1, 20)}), 20, 500, 42)} SELECT mask, round(sum((2e0 * {draws.uniform_sql('k', repr('w'), 42)} - 1e0) * 20), 6) AS w FROM smp GROUP BY 1")
-add("random_terms_paper", lambda spark, d: rounded(games.random_terms(spark, 8, 64, 42, "paper").terms, 8, "w"), f"WITH {oracle.samples(est.Law({s: 1.0 for s in range(1, 8)}), 8, 64, 42)}, m AS (SELECT k, mask, avg(p.range % 4) AS a FROM smp JOIN range(8) p ON (mask >> p.range::int) & 1 = 1 GROUP BY 1, 2) SELECT mask, round(sum(a / 64), 8) AS w FROM m GROUP BY 1")
-add("random_terms_structured", lambda spark, d: rounded(games.random_terms(spark, 7, 19, 123, "structured", 0.4).terms, 8, "w"))
+add("random_terms_plain", lambda spark, d: rounded(games.random_terms(spark, 20, _customers(spark, d), 42).terms, 6, "w"), f"WITH {oracle.samples(est.Law({s: 1.0 for s in range(1, 20)}), 20, _EACH, 42)} SELECT mask, round(sum((2e0 * {draws.uniform_sql('k', repr('w'), 42)} - 1e0) * 20), 6) AS w FROM smp GROUP BY 1")
+add("random_terms_paper", lambda spark, d: rounded(games.random_terms(spark, 8, _customers(spark, d), 42, "paper").terms, 8, "w"), f"WITH {oracle.samples(est.Law({s: 1.0 for s in range(1, 8)}), 8, _EACH, 42)}, m AS (SELECT k, mask, avg(p.range % 4) AS a FROM smp JOIN range(8) p ON (mask >> p.range::int) & 1 = 1 GROUP BY 1, 2) SELECT mask, round(sum(a / {_EACH}), 8) AS w FROM m GROUP BY 1")
+add("random_terms_structured", lambda spark, d: rounded(games.random_terms(spark, 7, _customers(spark, d), 123, "structured", 0.4).terms, 6, "w"), oracle.structured_terms(7, _EACH, 123, 0.4))

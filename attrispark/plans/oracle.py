@@ -11,13 +11,14 @@ from attrispark.functions.spec import Semivalue, by_size, number
 from attrispark.operators.estimators import MARGINAL, OFA_SIZES, RULES, Law, coin_of, even_sizes, kernel_sizes
 from attrispark.operators.regression import balanced_law, coalition_chance
 
-PLAYERS = {"region": 5, "nation": 25, "brand": 25, "segment": 5, "event": 5}
+PLAYERS = {"region": 5, "nation": 25, "brand": 25, "segment": 5, "event": 5, "share": 10}
 
 _FACTS = {
     "region": "SELECT l_orderkey AS g, n_regionkey AS player, l_extendedprice * (1 - l_discount) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey",
     "nation": "SELECT l_orderkey AS g, s_nationkey AS player, l_extendedprice * (1 - l_discount) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "brand": "SELECT l_orderkey AS g, player, l_extendedprice * (1 - l_discount) AS v FROM lineitem JOIN part ON l_partkey = p_partkey JOIN (SELECT b, row_number() OVER (ORDER BY b) - 1 AS player FROM (SELECT DISTINCT p_brand AS b FROM part)) ON b = p_brand",
     "segment": "SELECT l_partkey::varchar || ':' || year(l_shipdate)::varchar AS g, player, l_extendedprice * (1 - l_discount) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN (SELECT b, row_number() OVER (ORDER BY b) - 1 AS player FROM (SELECT DISTINCT c_mktsegment AS b FROM customer)) ON b = c_mktsegment",
+    "share": "SELECT l_orderkey AS g, l_suppkey % 10 AS player, l_extendedprice * (1 - l_discount) AS v FROM lineitem",
     "event": "SELECT user_id::varchar || ':' || cast(ts AS date)::varchar AS g, player, value AS v FROM events JOIN (SELECT b, row_number() OVER (ORDER BY b) - 1 AS player FROM (SELECT DISTINCT event_type AS b FROM events)) ON b = event_type",
 }
 
@@ -51,9 +52,13 @@ def exact_group(game: str, spec: Semivalue, group: list[int], digits: int = 2) -
     return f"WITH {table(game)}, x AS ({exact_body(PLAYERS[game], spec)}) SELECT round(sum(value), {digits}) AS value FROM x WHERE player IN ({', '.join(map(str, group))})"
 
 
-def samples(law: Law, players: int, count: int, seed: int, paired: bool = False, salt: str = "", name: str = "smp") -> str:
-    """CTEs that end in name(k, side, mask, s, t)."""
-    bases = -(-count // 2) if paired else count
+def _bases(count: int | str, paired: bool) -> str:
+    return f"{f'({count} + 1) // 2' if paired else count}"
+
+
+def samples(law: Law, players: int, count: int | str, seed: int, paired: bool = False, salt: str = "", name: str = "smp") -> str:
+    """CTEs that end in name(k, side, mask, s, t).  count may be SQL."""
+    bases = _bases(count, paired)
     k = f"(k.range::varchar || '{salt}')" if salt else "k.range"
     full = (1 << players) - 1
     if law.sizes is not None:
@@ -108,9 +113,9 @@ def marginal(name: str, game: str, spec: Semivalue, count: int, seed: int, paire
     return f"WITH {table(game)}, {samples(law(spec), n, count, seed, paired)}, m AS (SELECT p.range::int AS player, mask & ~(1::bigint << p.range::int) AS lo, mask | (1::bigint << p.range::int) AS hi FROM smp CROSS JOIN range({n}) p) SELECT player, round(avg((b.u - a.u) * {w}), {digits}) AS value FROM m JOIN util a ON a.mask = lo JOIN util b ON b.mask = hi GROUP BY 1"
 
 
-def orders(players: int, count: int, seed: int, paired: bool) -> str:
-    """CTE ord(k, side, pos, player)."""
-    bases = -(-count // 2) if paired else count
+def orders(players: int, count: int | str, seed: int, paired: bool) -> str:
+    """CTE ord(k, side, pos, player).  count may be SQL."""
+    bases = _bases(count, paired)
     base = f"ord0 AS (SELECT k.range AS k, (row_number() OVER (PARTITION BY k.range ORDER BY md5(k.range::varchar || ':' || i.range::varchar || ':{seed}'), i.range) - 1)::int AS pos, i.range::int AS player FROM range({bases}) k CROSS JOIN range({players}) i)"
     return f"{base}, ord AS (SELECT k, 0 AS side, pos, player FROM ord0{' UNION ALL SELECT k, 1, player, pos FROM ord0' if paired else ''})"
 
@@ -221,17 +226,30 @@ def poly_shap(game: str, order: int, count: int, seed: int, paired: bool, digits
     return f"WITH {_evaluated(game, Law(kernel_sizes(n)), count, seed, paired)}, {begin}, {ones}, {solved(m, 2)}, {named} {_list(values, 'fit', digits)}"
 
 
-def regression_msr(game: str, spec: Semivalue, count: int, seed: int, paired: bool, unbiased: bool, folds: int = 10, digits: int = 2, special: bool = True) -> str:
-    """Fits per fold on the other folds, then the mean of fit and correction over folds by their samples."""
+def regression_msr(game: str, spec: Semivalue, count: int, seed: int, paired: bool, unbiased: bool, folds: int = 10, digits: int = 2, special: bool = True, distinct: bool = False) -> str:
+    """Fits per fold on the other folds, then the mean of fit and correction over folds by their samples.
+
+    distinct: different coalitions, of each size as many as are expected; a coalition's chance is its share of those.
+    """
     n = PLAYERS[game]
     law = balanced_law(spec, n)
     chance = coalition_chance(law, n).tolist()
+    if distinct:
+        from attrispark.operators.subsets import taken
+
+        drawn = {s: v for s, v in law.items() if v > 0}
+        law = {s: float(m) for s, m in taken(drawn, n, count).items()}
+        chance = [law.get(s, 0.0) / comb(n, s) / sum(law.values()) for s in range(n + 1)]
+        bits = ", ".join(f"((d.mask >> {i}) & 1)::double AS x{i}" for i in range(n))
+        evaluated = f"{table(game)}, d AS ({without_replacement(drawn, n, count, seed)}), ev AS (SELECT d.mask AS k, d.mask, d.s, u, u0, u1, {bits} FROM d JOIN util USING (mask) CROSS JOIN ends)"
+    else:
+        evaluated = _evaluated(game, Law({s: v for s, v in law.items() if v > 0}), count, seed, paired)
     q = by_size(chance)
     kernel, kernelled = kernel_sizes(n), spec.is_shapley and special
-    root = by_size([(kernel.get(s, 0.0) / comb(n, s) if kernelled else sum(chance) / len(chance)) / chance[s] for s in range(n + 1)])
+    root = by_size([(kernel.get(s, 0.0) / comb(n, s) if kernelled else sum(chance) / len(chance)) / chance[s] if chance[s] else 0.0 for s in range(n + 1)])
     x = [f"x{i}" for i in range(n)]
     fold = f"floor({uniform_sql('k', repr('fold'), seed)} * {folds})::int"
-    parts = [_evaluated(game, Law({s: v for s, v in law.items() if v > 0}), count, seed, paired), f"fd AS (SELECT *, {fold} AS f FROM ev), pair AS (SELECT o.f AS g, fd.* FROM fd JOIN (SELECT DISTINCT f FROM fd) o ON o.f <> fd.f)"]
+    parts = [evaluated, f"fd AS (SELECT *, {fold} AS f FROM ev), pair AS (SELECT o.f AS g, fd.* FROM fd JOIN (SELECT DISTINCT f FROM fd) o ON o.f <> fd.f)"]
     if kernelled:
         parts.append(gram("pair", x, ["u - u0"], root, "g").replace("e0 AS", "eg AS", 1))
         parts.append(f"e0 AS (SELECT *, {', '.join(f'1e0 AS b_{i}_1' for i in range(n))} FROM eg)")
@@ -329,6 +347,31 @@ def inverse_normal(z: str) -> str:
     return f"list_reduce(list_transform(range(12), lambda i: i::double), lambda x, i: {step}, 0e0)"
 
 
+def structured_terms(n: int, count: str, seed: int, alpha: float, digits: int = 6) -> str:
+    """Single players and pairs by id, then larger sets; variances shared out as the number of terms says."""
+    low = n + n * (n - 1) // 2
+    pairs = [1 << i for i in range(n)] + [(1 << i) | (1 << j) for i in range(n) for j in range(i + 1, n)]
+    size = draw_size_sql(uniform_sql("k", "'size'", seed), {s: 1.0 for s in range(3, n)})
+    z = uniform_sql("k", "'w'", seed)
+    return f"""WITH c AS (SELECT {count} AS n), ids AS (SELECT r.range AS k FROM range({low}, {low} + {count}) r), r AS (SELECT k, i.range AS i, row_number() OVER (PARTITION BY k ORDER BY md5(k::varchar || ':' || i.range::varchar || ':{seed}'), i.range) AS o FROM ids CROSS JOIN range({n}) i),
+t AS (SELECT k, sum(CASE WHEN o <= s THEN 1::bigint << i::int ELSE 0 END)::bigint AS mask FROM (SELECT k, {size} AS s FROM ids) JOIN r USING (k) GROUP BY 1 UNION ALL SELECT range, {pairs}[range + 1]::bigint FROM range({low})),
+u AS (SELECT k, mask, greatest(1e-12, least(1 - 1e-12, {z})) AS z, CASE WHEN k < {low} THEN sqrt({alpha * alpha!r}::double * ({low} + n) / {low}) ELSE sqrt({1 - alpha * alpha!r}::double * ({low} + n) / n) END AS scale FROM t CROSS JOIN c)
+SELECT mask, round(sum(scale * {inverse_normal("z")}), {digits}) AS w FROM u GROUP BY 1"""
+
+
+def group_strata_sampled(game: str, group: list[int], per_stratum: int, seed: int, digits: int = 2) -> str:
+    """Sample k is of stratum k mod their number; a stratum's mean worth weighs as the covariance of overlap and worth says (all sizes below the threshold)."""
+    n, g = PLAYERS[game], len(group)
+    mask = sum(1 << i for i in group)
+    cells = [(s, r, comb(g, r) * comb(n - g, s - r) / comb(n, s) * (r - g * s / n) * n / (s * (n - s))) for s in range(1, n) for r in range(max(0, s - n + g), min(g, s) + 1)]
+    cells = sorted(c for c in cells if c[2])
+    values = ", ".join(f"({i}, {s}, {r}, {w!r}::double)" for i, (s, r, w) in enumerate(cells))
+    return f"""WITH {table(game)}, cell(c, s, r, w) AS (VALUES {values}), o AS (SELECT k.range AS k, i.range::int AS i, ({mask} >> i.range::int) & 1 AS mine, row_number() OVER (PARTITION BY k.range, ({mask} >> i.range::int) & 1 ORDER BY md5(k.range::varchar || ':' || i.range::varchar || ':{seed}'), i.range) AS o FROM range({per_stratum * len(cells)}) k CROSS JOIN range({n}) i),
+m AS (SELECT k, sum(CASE WHEN o <= CASE WHEN mine = 1 THEN r ELSE s - r END THEN 1::bigint << i ELSE 0 END)::bigint AS mask, any_value(c) AS c FROM o JOIN cell ON c = k % {len(cells)} GROUP BY 1),
+v AS (SELECT w * avg(u) AS v FROM m JOIN util USING (mask) JOIN cell USING (c) GROUP BY c, w)
+SELECT round({g}e0 / {n} * any_value(u1 - u0) + sum(v), {digits}) AS value FROM v CROSS JOIN ends"""
+
+
 def group_strata(game: str, group: list[int], threshold: int, digits: int = 4) -> str:
     """A group's Shapley value from stratum means: the covariance of overlap and worth below the threshold, a difference quotient from there on."""
     n, g = PLAYERS[game], len(group)

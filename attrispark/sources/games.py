@@ -265,6 +265,12 @@ def segment_part_year(spark: SparkSession, sf_dir: str) -> TermsGame:
     return TermsGame(5, from_facts(facts, ["l_partkey", "y"], "player", "v"), "segment")
 
 
+def supplier_shares(spark: SparkSession, sf_dir: str) -> TermsGame:
+    """10 players that share the suppliers by turns of their key; a term per order."""
+    facts = read(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 10).alias("player"), revenue().alias("v"))
+    return TermsGame(10, from_facts(facts, ["l_orderkey"], "player", "v"), "share")
+
+
 def event_user_day(spark: SparkSession, sf_dir: str) -> TermsGame:
     """5 event types; a term per user and day."""
     events = read(spark, sf_dir, "events")
@@ -272,7 +278,7 @@ def event_user_day(spark: SparkSession, sf_dir: str) -> TermsGame:
     return TermsGame(5, from_facts(named, ["user_id", "day"], "player", "value"), "event")
 
 
-GAMES = {"region": region_revenue, "nation": nation_revenue, "brand": brand_revenue, "segment": segment_part_year, "event": event_user_day}
+GAMES = {"region": region_revenue, "nation": nation_revenue, "brand": brand_revenue, "segment": segment_part_year, "event": event_user_day, "share": supplier_shares}
 
 
 def additive(weights: DataFrame, n: int, transform: Callable[[Column], Column] | None = None, lam: float = 0.0, sigma: float = 1.0, seed: int = 0, noise: Callable[[Column], Column] | None = None) -> TableGame:
