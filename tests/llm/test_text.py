@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from attrispark.llm import packing, simhash, suffixes
 from attrispark.llm.components import components
@@ -253,3 +254,18 @@ def test_suffixes_of_a_text_beyond_one_piece(spark):
         assert got[i]["n_removed"] == gone.sum()
         assert bytes(got[i]["kept_bytes"]).decode() == "".join(np.array(list(t), dtype=str)[~gone]) if t else not got[i]["kept_bytes"]
     assert got[3]["n_removed"] >= 1800
+
+
+@pytest.mark.parametrize("bits", [60, 62, 12])
+def test_windows_of_one_cut_digest_hide_nothing(spark, bits):
+    """Digests of 4, 2 and 52 bits: all windows that the text holds twice are found, whatever shares their digest."""
+    from attrispark.llm import divergence
+
+    rng = np.random.default_rng(bits)
+    texts = [[f"w{int(x)}" for x in rng.integers(0, int(rng.integers(2, 12)), int(rng.integers(4, 120)))] for _ in range(40)] + [["a"] * 400, list("abcabc"), list("abxbcyabx")]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, w array<string>").withColumn("b", F.lit(bits))
+    frame = frame.withColumn("k", divergence.window_keys(F.col("w"), F.col("b")))
+    for r in frame.select("i", divergence.repeated_places(F.col("k"), F.col("w"), F.col("b")).alias("p")).collect():
+        words = texts[r["i"]]
+        seen = collections.Counter(tuple(words[j : j + 3]) for j in range(len(words) - 2))
+        assert r["p"] == [j for j in range(len(words) - 2) if seen[tuple(words[j : j + 3])] > 1]
