@@ -24,7 +24,7 @@ TOP = 50
 #: Different (group, term) counts that a task holds before it passes them on.
 HELD = 300_000
 #: Shares of a shard in the comparison, every group by every kept term; at least LEAST_SHARDS shards.
-SHARES, LEAST_SHARDS = 500_000, 4
+SHARES, LEAST_SHARDS = 500_000, 16
 #: Memory of DuckDB in a task; a shard's rows take a fraction of it.
 MEMORY = "400MB"
 
