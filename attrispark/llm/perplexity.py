@@ -299,7 +299,19 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return joined.select("id", "perplexity", threshold.alias("threshold")).withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the classifier keeps; rows that share an id share the verdict of the best of them, null ids are scored alike but can't be joined back and are dropped."""
-    kept = classify_quality(docs, labels, id_col, **options).where("kept").select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs that the classifier keeps.
+
+    Rows that share an id share the verdict of the best of them; rows with a
+    null id are judged each by its own text and language.
+    """
+    unnamed = F.col(f"`{id_col}`").isNull()
+    if not docs.where(unnamed).limit(1).count():
+        kept = classify_quality(docs, labels, id_col, text_col, lang_col, **options).where("kept").select(F.col("id").alias("_kept_id")).distinct()
+        return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    # A text without an id goes by a digest of what it is judged by; labels know no such id.
+    key = F.sha2(F.to_json(F.struct(F.col(f"`{id_col}`").alias("i"), F.when(unnamed, F.col(f"`{text_col}`")).alias("t"), F.when(unnamed, F.col(f"`{lang_col}`")).alias("l"))), 256)
+    number = F.when(unnamed, F.xxhash64(key)).otherwise(F.col(f"`{id_col}`").cast("long"))
+    slim = docs.select(number.alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    kept = classify_quality(slim, labels, "id", "text", "lang", **options).where("kept").select(F.col("id").alias("_kept_id")).distinct()
+    return docs.withColumn("_kept_key", number).join(kept, F.col("_kept_key") == kept["_kept_id"], "left_semi").drop("_kept_key")

@@ -188,11 +188,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are lower-cased in A-Z and cut into words and 3-word shingles.  Null
     and empty texts have fingerprint zero and link like any other.  component is
-    the smallest id reachable, its own included.  Rows with a null id are
-    left out; rows that share an id keep a row each.  Empty tables give empty
-    results.
+    the smallest id reachable, its own included.  Rows with a null id keep a
+    row and are in no group: their component is null, and they link nothing.
+    Rows that share an id keep a row each.  Empty tables give empty results.
     """
-    prints = cl.cut(fingerprints(docs, id_col, text_col).where("id is not null"))
+    every = cl.cut(fingerprints(docs, id_col, text_col))
+    unnamed = every.where("id is null").select("id", "fp", F.lit(None).cast("long").alias("component"))
+    prints = every.where("id is not null")
     points = prints.groupBy("fp").agg(F.min("id").alias("node"))
     points = cl.cut(points)
     # A node stands for one fingerprint: an id met under two texts gets a number of its own per fingerprint.
@@ -207,12 +209,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         same = prints.join(found.select("fp", "component"), "fp").select("id", F.col("component").alias("c"))
         ties = components(same.groupBy("c").agg(F.min("id").alias("m")).join(same, "c").select(F.col("m").alias("a"), F.col("id").alias("b")))
         whole = prints.join(ties.select(F.col("node").alias("id"), F.col("component").alias("tie")), "id", "left")
-        return whole.select("id", "fp", F.coalesce("tie", "id").alias("component"))
-    return prints.join(found.select("fp", "component"), "fp").select("id", "fp", "component")
+        return whole.select("id", "fp", F.coalesce("tie", "id").alias("component")).unionByName(unnamed)
+    return prints.join(found.select("fp", "component"), "fp").select("id", "fp", "component").unionByName(unnamed)
 
 
 def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, one per group; rows with a null id stay."""
-    groups = simhash_groups(docs, id_col, text_col, threshold)
+    """One row of docs per group, of the smallest id; of rows that repeat this id the one that sorts first.  Rows with a null id all stay."""
+    groups = cl.cut(simhash_groups(docs, id_col, text_col, threshold))
     gone = groups.where("id != component").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    repeated = groups.where("id = component").groupBy(F.col("id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    if not repeated.limit(1).count():
+        return kept
+    repeated = cl.cut(repeated)
+    one = kept.join(repeated, kept[id_col] == repeated["_again"], "left_semi").groupBy(F.col(f"`{id_col}`").alias("_again")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return kept.join(repeated, kept[id_col] == repeated["_again"], "left_anti").unionByName(one.select("_row.*"))

@@ -395,6 +395,98 @@ def test_pipeline(spark):
     assert max(used.values()) <= 4096
 
 
+def test_documents_without_an_id_are_judged_by_their_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = {r["doc_id"] for r in perplexity.keep_quality(docs, labels).select("doc_id").collect()}
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    known = {r["doc_id"] for r in labels.collect()}
+    free = sorted(i for i in texts if i not in known and texts[i]["text"])[:40]
+    bare = docs.withColumn("doc_id", F.when(F.col("doc_id").isin(free), F.lit(None)).otherwise(F.col("doc_id")))
+    bare = bare.unionByName(bare.limit(0).unionByName(spark.createDataFrame([(None, None, "en", "s", 0), (None, "", None, "s", 0)], bare.schema)))
+    got = perplexity.keep_quality(bare, labels).collect()
+    assert {r["doc_id"] for r in got} - {None} == kept - set(free)
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted(texts[i]["text"] for i in free if i in kept)
+
+
+def test_pipeline_stages_one_by_one(spark, tmp_path):
+    """Every stage's rows from what the one before it kept, by plain means."""
+    import corpus_pipeline
+    import duckdb
+    from tokenizers import Tokenizer
+
+    from attrispark.llm import oracle
+    from attrispark.llm.queries import tokenizer_path
+
+    from .test_text import slow_fingerprint
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    odd = [(100_001, None, "en", "src1", 0), (100_002, "", None, None, 0), (100_003, rows[0]["text"], "xx", None, 5), (100_004, "word " * 30_000, "en", "src2", 5), (rows[1]["doc_id"], rows[1]["text"], rows[1]["lang"], rows[1]["source"], 1), (None, rows[2]["text"], "en", "src3", 1), (None, None, None, None, None)]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    spark.createDataFrame([tuple(r) for r in rows] + odd, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        stages.append(docs.collect())
+    quality, near, passages, mixed, packed = stages
+    verdict = {r["id"] for r in perplexity.classify_quality(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")).where("kept").collect()}
+    assert {r["doc_id"] for r in quality} - {None} == verdict - {None}
+
+    named = [r for r in quality if r["doc_id"] is not None]
+    prints = {r["doc_id"]: slow_fingerprint(r["text"]) for r in named}
+    group = {i: i for i in prints}
+    for _ in range(8):
+        for i in prints:
+            for j in prints:
+                if (prints[i] ^ prints[j]).bit_count() <= 3:
+                    group[i] = group[j] = min(group[i], group[j])
+    assert sorted(r["doc_id"] for r in near if r["doc_id"] is not None) == sorted(set(group.values()))
+    assert sum(r["doc_id"] is None for r in near) == sum(r["doc_id"] is None for r in quality)
+
+    seen, want = set(), []
+    for r in sorted(near, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "")):
+        words = WORD.findall(r["text"] or "")
+        gone = [False] * len(words)
+        for k in range(len(words) - 19):
+            if (key := tuple(words[k : k + 20])) in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(key)
+        if not any(gone):
+            want.append((r["doc_id"], r["text"]))
+        elif not all(gone):
+            want.append((r["doc_id"], " ".join(w for w, g in zip(words, gone, strict=True) if not g)))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in passages) == collections.Counter(want)
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/stage2/*.parquet'")
+    taken = {i: n for i, n in duck.sql(f"SELECT doc_id, sum(taken) FROM ({oracle.source_mixing()}) GROUP BY 1").fetchall()}
+    words_of = collections.Counter()
+    for r in mixed:
+        words_of[r["doc_id"]] += len(WORD.findall(r["text"] or ""))
+    assert {i: n for i, n in words_of.items() if n} == {i: n for i, n in taken.items() if n}
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    lengths, used = collections.Counter(), collections.Counter()
+    for r in packed:
+        lengths[r["doc_id"]] += r["length"]
+        used[r["sequence_id"]] += r["length"]
+    wanted = collections.Counter()
+    for r in mixed:
+        wanted[r["doc_id"]] += len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    assert lengths == wanted and max(used.values()) <= 4096
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def made_page(rng, host: int, k: int) -> tuple[str, str]:
     """A page of the host's template and its article, from parts whose role is known."""
     words = lambda n: " ".join(rng.choice(["reed", "lake", "stone &amp; sand", "tide", "<b>gull</b>", "caf&eacute;", "north  \n wind"], n))

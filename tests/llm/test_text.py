@@ -156,7 +156,10 @@ def test_anchor_covering_loses_no_link(spark):
 def test_rows_that_share_an_id_or_have_none(spark):
     rows = [(1, "a b c d"), (1, "e f g h i"), (None, "a b c d"), (7, "e f g h i"), (9, "something else here")]
     got = collections.Counter((r["id"], r["component"]) for r in simhash.simhash_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
-    assert got == {(1, 1): 2, (7, 1): 1, (9, 9): 1}
+    assert got == {(1, 1): 2, (7, 1): 1, (9, 9): 1, (None, None): 1}
+    every = spark.createDataFrame([*rows, (None, None), (1, "a b c d"), (9, "something else here")], "doc_id bigint, text string")
+    kept = collections.Counter(map(tuple, simhash.dedup_simhash(every).collect()))
+    assert kept == {(1, "a b c d"): 1, (9, "something else here"): 1, (None, "a b c d"): 1, (None, None): 1}
 
 
 @pytest.mark.parametrize("run", [dedup_substrings, suffixes.dedup_suffixes, simhash.simhash_groups, lambda d: packing.pack_documents(d, tokenizer_path())])
