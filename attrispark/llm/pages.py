@@ -6,7 +6,8 @@ generalised tag-class path of its best container, and names the containers
 beside it.  Votes are summed per host and path in Spark, and every page is
 parsed again with its host's winning paths; a page that doesn't have them, or
 whose text goes beyond them in containers that its host doesn't know, falls
-back to its own container.
+back to its own container.  Sections beside the chosen container in one wrapper
+stay with it, unless the host repeats their text from page to page.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHARE = 0.9
 STRAY = 0.05
 #: Winning paths are broadcast up to this many bytes; beyond, a host's pages meet them in parts of so many pages.
 BROADCAST_BYTES, PART = 32 << 20, 2000
+#: A container beside the main text is fixed where the host's pages show at most this share of different texts in it.
+VARIED = 0.5
 #: A page leaves its host's path where that loses more than this share of its own choice, beside what its host knows as no main text.
 LOST = 0.1
 
@@ -102,7 +105,8 @@ def parse(html: str) -> tuple[list[tuple[str, Box]], list[Box]]:
     """(text blocks with their containers, containers) in page order, without boilerplate.
 
     An element that holds most of the page's text outside links isn't dropped
-    for one word of its class or id.
+    for one word of its class or id, nor for being a form: pages of some
+    frameworks are one form.
     """
     blocks, boxes, spared = _parse(html, frozenset())
     return _parse(html, spared)[:2] if spared else (blocks, boxes)
@@ -183,7 +187,8 @@ def _parse(html: str, spared: frozenset[int]) -> tuple[list[tuple[str, Box]], li
         if tag == "article":
             article += 1
         marked, name = _boilerplate(tag, attrs, article > 0), None
-        if marked and not spared and not _boilerplate(tag, {k: v for k, v in attrs.items() if k not in ("class", "id")}, article > 0) and _mixed(attrs):
+        # A form is judged by what it holds, as an element is that one word of its name marks.
+        if marked and not spared and not _boilerplate("div" if tag == "form" else tag, {k: v for k, v in attrs.items() if k not in ("class", "id")}, article > 0) and _mixed(attrs):
             name = (m.start(), total)
         stack.append((*outer, name))
         if marked and m.start() not in spared:
@@ -232,14 +237,27 @@ def best_path(boxes: list[Box]) -> tuple[str, float]:
     return chosen.path, chosen.score
 
 
-def beside(boxes: list[Box], chosen: Box) -> set[str]:
-    """Paths of the containers with text beside the chosen one and its parents."""
+def beside(boxes: list[Box], chosen: Box) -> list[Box]:
+    """The containers with text beside the chosen one and its parents."""
     within, line, at = set(), {id(chosen)}, chosen.parent
     while at is not None:
         within.add(id(at))
         line.add(id(at))
         at = at.parent
-    return {b.path for b in boxes if id(b.parent) in within and id(b) not in line and b.score > 0} - {chosen.path}
+    return [b for b in boxes if id(b.parent) in within and id(b) not in line and b.score > 0 and b.path != chosen.path]
+
+
+def texts_in(blocks: list[tuple[str, Box]], boxes: list[Box], wanted: list[Box]) -> dict[int, str]:
+    """A digest of the text inside each of some containers that don't hold each other, by id."""
+    owner = {id(b): id(b) for b in wanted}
+    for b in boxes:  # parents come before their children
+        if id(b.parent) in owner:
+            owner.setdefault(id(b), owner[id(b.parent)])
+    digests = {id(b): blake2b(digest_size=8) for b in wanted}
+    for text, b in blocks:
+        if id(b) in owner:
+            digests[owner[id(b)]].update(text.encode("utf-8", "surrogatepass") + b"\n")
+    return {k: d.hexdigest() for k, d in digests.items()}
 
 
 def loses(boxes: list[Box], chosen: Box, path: str, asides: frozenset[str]) -> float:
@@ -255,19 +273,43 @@ def loses(boxes: list[Box], chosen: Box, path: str, asides: frozenset[str]) -> f
     return lost
 
 
-def text_of(blocks: list[tuple[str, Box]], boxes: list[Box], path: str) -> str:
-    """Blocks inside any container of the path, joined by line feeds."""
-    inside: set[int] = set()
+def widened(boxes: list[Box], path: str, fixed: frozenset[str]) -> tuple[set[int], set[int]]:
+    """Containers of the path, or those around them that hold further sections beside them; and fixed ones among these, to be left out.
+
+    What stands beside a container in the page's body itself belongs to the page.
+    """
+    children: dict[int, list[Box]] = {}
+    for b in boxes[1:]:
+        children.setdefault(id(b.parent), []).append(b)
+    tops, line = set(), set()
     for b in boxes:
-        if b.path == path or id(b.parent) in inside:
+        if b.path != path:
+            continue
+        top, below, at = b, b, b.parent
+        line.add(id(b))
+        while at is not None and at.tag not in ("", "html", "body"):
+            line.add(id(at))
+            if any(c is not below and c.score > 0 and c.path != path and c.path not in fixed for c in children[id(at)]):
+                top = at
+            below, at = at, at.parent
+        tops.add(id(top))
+    return tops, {id(b) for b in boxes if b.path in fixed and id(b) not in line}
+
+
+def text_of(blocks: list[tuple[str, Box]], boxes: list[Box], path: str, fixed: frozenset[str] = frozenset()) -> str:
+    """Blocks inside the containers of the path and the sections beside them, joined by line feeds."""
+    inside, out = widened(boxes, path, fixed)
+    for b in boxes:
+        if id(b.parent) in inside and id(b) not in out:
             inside.add(id(b))
     return "\n".join(text for text, b in blocks if id(b) in inside)
 
 
-def extract(html: str | None, paths: list[str], asides: list[str] = ()) -> str:
+def extract(html: str | None, paths: list[str], asides: list[str] = (), fixed: list[str] = ()) -> str:
     """A page's main text by the first of its host's paths that loses nearly nothing, else by its own.
 
-    Text in asides, which the host's pages have beside their main text, is no loss.
+    Text in asides, which the host's pages have beside their main text, is no
+    loss; fixed are those whose text the host repeats.
     """
     if not html:
         return ""
@@ -276,8 +318,8 @@ def extract(html: str | None, paths: list[str], asides: list[str] = ()) -> str:
     held = {b.path for b in boxes if b.score > 0}
     for path in paths:
         if path in held and loses(boxes, chosen, path, known) <= LOST * chosen.score:
-            return text_of(blocks, boxes, path)
-    return text_of(blocks, boxes, chosen.path)
+            return text_of(blocks, boxes, path, frozenset(fixed))
+    return text_of(blocks, boxes, chosen.path, frozenset(fixed))
 
 
 def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -285,7 +327,8 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     Null and empty pages give an empty text.  Pages without a host agree among
     themselves like those of a host.  A column of pages named text_col gives
-    way.  Empty tables give empty results; repeated rows vote once each.
+    way.  Empty tables give empty results; repeated rows vote once each.  Of
+    paths of equally many votes the one of the smaller digest is tried first.
     """
     cl.ship(pages.sparkSession)
     others = [c for c in pages.columns if c != text_col]
@@ -293,38 +336,41 @@ def extract_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
     def vote(batches):
         for batch in batches:
-            found = []  # (host, path, 1 for a vote, 1 for a container beside it)
+            found = []  # (host, path, 1 for a vote, 1 for a container beside it, digest of that one's text)
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                boxes = parse(html)[1] if html else []
+                blocks, boxes = parse(html) if html else ([], [])
                 chosen = choice(boxes) if boxes else None
                 if chosen is not None and chosen.score > 0:
-                    found.append((name, chosen.path, 1, 0))
-                    found.extend((name, path, 0, 1) for path in beside(boxes, chosen))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "path", "n", "aside"])
-
-    votes = pages.select(host.alias("host"), F.col(f"`{html_col}`")).mapInArrow(vote, "host string, path string, n bigint, aside bigint").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside"))
+                    found.append((name, chosen.path, 1, 0, None))
+                    others = beside(boxes, chosen)
+                    said = texts_in(blocks, boxes, others)
+                    found.extend((name, path, 0, 1, text) for path, text in {b.path: said[id(b)] for b in others}.items())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["host", "path", "n", "aside", "said"])
+
+    cast = pages.select(host.alias("host"), F.col(f"`{html_col}`")).mapInArrow(vote, "host string, path string, n bigint, aside bigint, said string")
+    votes = cast.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("aside").alias("aside"), F.approx_count_distinct("said", 0.02).alias("texts"))
     of_host = Window.partitionBy("host")
     wins = F.col("n") >= VOTES * F.col("all")
     enough = votes.withColumn("all", F.sum("n").over(of_host)).where(wins | (F.col("aside") >= VOTES * F.col("all")))
     listed = F.transform(F.array_sort(F.collect_list(F.when(wins, F.struct((-F.col("n")).alias("n"), "path")))), lambda x: x["path"])
-    winners = cl.cut(enough.groupBy(F.col("host").alias("_host")).agg(listed.alias("_paths"), F.collect_list(F.when(~wins, F.col("path"))).alias("_asides"), F.first("all").alias("_n")))
+    winners = cl.cut(enough.groupBy(F.col("host").alias("_host")).agg(listed.alias("_paths"), F.collect_list(F.when(~wins, F.col("path"))).alias("_asides"), F.collect_list(F.when((F.col("aside") > 1) & (F.col("texts") <= VARIED * F.col("aside")), F.col("path"))).alias("_fixed"), F.first("all").alias("_n")))
     dealt = pages.select(host.alias("_host"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
-    size = winners.agg(F.sum(F.octet_length("_host") + 64 + 32 * (F.size("_paths") + F.size("_asides")))).first()[0] or 0
+    size = winners.agg(F.sum(F.octet_length("_host") + 64 + 32 * (F.size("_paths") + F.size("_asides") + F.size("_fixed")))).first()[0] or 0
     if size <= BROADCAST_BYTES:
-        joined = dealt.join(F.broadcast(winners.drop("_n")), "_host", "left").select("_paths", "_asides", "_row")
+        joined = dealt.join(F.broadcast(winners.drop("_n")), "_host", "left").select("_paths", "_asides", "_fixed", "_row")
     else:
         # In turn, so that a host or a page that many rows repeat is spread as well; large hosts only, by their votes.
         large = winners.where(F.col("_n") > PART).select("_host", F.ceil(F.col("_n") / PART).cast("int").alias("_parts"))
         spread = dealt.join(F.broadcast(large) if large.count() * PART <= BROADCAST_BYTES else large, "_host", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int"))
         each = winners.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_n") / PART).cast("int") - 1)))).drop("_n")
-        joined = spread.join(each, ["_host", "_part"], "left").select("_paths", "_asides", "_row")
+        joined = spread.join(each, ["_host", "_part"], "left").select("_paths", "_asides", "_fixed", "_row")
     out = T.StructType([f for f in pages.schema.fields if f.name != text_col] + [T.StructField(text_col, T.StringType())])
 
     def again(batches):
         for batch in batches:
-            row = batch.column(2)
+            row = batch.column(3)
             columns = dict(zip([f.name for f in row.type], row.flatten(), strict=True))
-            texts = [extract(html, paths or [], asides or []) for paths, asides, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), columns[html_col].to_pylist(), strict=True)]
+            texts = [extract(html, paths or [], asides or [], fixed or []) for paths, asides, fixed, html in zip(*[batch.column(k).to_pylist() for k in range(3)], columns[html_col].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if f.name == text_col else columns[f.name] for f in out.fields], names=[f.name for f in out.fields])
 
     return joined.mapInArrow(again, out)

@@ -529,3 +529,23 @@ def test_deep_and_long_pages():
     assert pages.extract(long, []).count("\n") == 29999
     tie = "<div class=a><p>one two three</p></div><div class=b><p>six five four</p></div>"
     assert pages.extract(tie, []) == "one two three\nsix five four"
+
+
+def test_a_form_is_judged_by_what_it_holds():
+    story = " ".join(f"word{i}" for i in range(80))
+    page = f'<html><body><form id="aspnetForm" action="x"><input type=hidden><nav>menu here</nav><div class=main><h1>Head</h1><p>{story}</p></div><label>Mail</label><button>Send</button></form><form class=search><p>Find things</p></form></body></html>'
+    assert pages.extract(page, []) == f"Head\n{story}"
+    assert pages.extract(f"<body><article><p>{story}</p><form><p>Your vote</p></form></article></body>", []) == story
+    comment = f"<body><article><p>short text</p></article><form class=comment-form><p>{story}</p></form></body>"
+    assert story not in pages.extract(comment, [])
+
+
+def test_sections_of_one_wrapper_stay_together(spark):
+    long = lambda k: " ".join(f"w{k}n{i}" for i in range(90))
+    two = "<body><div class=wrap><div class=a><p>{a}</p></div><div class=b><p>{b}</p></div></div><div class=tail><p>{c}</p></div></body>"
+    assert pages.extract(two.format(a=long(0), b="last section", c="c"), []) == f"{long(0)}\nlast section"
+    # A section with a text of its own on every page stays; one that the host repeats goes.
+    rows = [(k, "http://own.example/", two.format(a=long(k), b=f"closing words {k}", c="c")) for k in range(30)]
+    rows += [(100 + k, "http://same.example/", two.format(a=long(k), b="subscribe today", c="c")) for k in range(30)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == f"{long(k)}\nclosing words {k}" and got[100 + k] == long(k) for k in range(30))
