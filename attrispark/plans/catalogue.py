@@ -17,7 +17,7 @@ from attrispark.operators import estimators as est
 from attrispark.operators import exact, groups, regression, report, subsets, trajectory, transform
 from attrispark.operators import wide as many
 from attrispark.plans import oracle
-from attrispark.sources import games, store, wide
+from attrispark.sources import games, lazy, store, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,15 +117,21 @@ _EVERY = 50
 _K, _OWNERS = 3, 8
 
 
-def _knn_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _knn_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = games.read(spark, sf_dir, "embeddings").where("embedding is not null")
     points = e.where(f"vec_id % {_EVERY} <> 0").select(F.col("vec_id").alias("player"), "embedding", "label")
-    return games.knn_ranks(points, e.where(f"vec_id % {_EVERY} = 0").select(F.col("vec_id").alias("query"), "embedding", "label"))
+    return points, e.where(f"vec_id % {_EVERY} = 0").select(F.col("vec_id").alias("query"), "embedding", "label")
+
+
+def _knn_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return games.knn_ranks(*_knn_sides(spark, sf_dir))
 
 
 def _knn_game(spark: SparkSession, sf_dir: str):
     """Eight owners hold all points by turns of their id."""
-    return games.knn_game(_knn_ranks(spark, sf_dir).withColumn("player", (F.col("player") % _OWNERS).cast("int")), _OWNERS, _K)
+    points, queries = _knn_sides(spark, sf_dir)
+    owned = points.select((F.col("player") % _OWNERS).alias("player"), F.col("player").alias("id"), "embedding", "label")
+    return games.knn_game(games.knn_nearest(owned, queries, _K), _OWNERS, _K)
 
 
 _KNN = f"e AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL), pr AS (SELECT q.vec_id AS query, p.vec_id AS player, (p.label = q.label)::int AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_sum(list_transform(range(1, len(p.embedding) + 1), lambda j: (p.embedding[j]::double - q.embedding[j]::double) ** 2)), p.vec_id) AS r FROM e p, e q WHERE p.vec_id % {_EVERY} <> 0 AND q.vec_id % {_EVERY} = 0)"
@@ -133,7 +139,7 @@ _KNN_TABLE = f"{_KNN}, n AS (SELECT m.range AS mask, query, hit, row_number() OV
 add("knn_utility", lambda spark, d: rounded(_knn_game(spark, d).table(), 8, "u").select("mask", "u"), f"WITH {_KNN_TABLE} SELECT mask, round(u, 8) AS u FROM util")
 add("knn_ranks", lambda spark, d: _knn_ranks(spark, d).select(F.col("query").cast("int").alias("query"), "player", F.col("r").cast("int").alias("r"), "hit"), f"WITH {_KNN} SELECT query::int AS query, player::int AS player, r::int AS r, hit FROM pr")
 _KNN_EXACT = f"WITH {_KNN}, z AS (SELECT *, max(r) OVER (PARTITION BY query) AS n FROM pr), s AS (SELECT query, player, r, CASE WHEN r = n THEN hit / greatest(n, {_K})::double ELSE (hit - lead(hit) OVER (PARTITION BY query ORDER BY r)) / {_K}e0 * least({_K}, r) / r END AS d FROM z), v AS (SELECT player, sum(d) OVER (PARTITION BY query ORDER BY r DESC) AS v FROM s) SELECT player::int AS player, round(avg(v), 8) AS value FROM v GROUP BY 1"
-add("knn_shapley", lambda spark, d: rounded(games.knn_shapley(_knn_ranks(spark, d), _K), 8), _KNN_EXACT)
+add("knn_shapley", lambda spark, d: rounded(games.knn_shapley(*_knn_sides(spark, d), _K), 8).select("player", "value"), _KNN_EXACT)
 add("knn_shapley_enumerated", lambda spark, d: rounded(exact.enumerated(_knn_game(spark, d), SHAPLEY), 7), f"WITH {_KNN_TABLE}, x AS ({oracle.exact_body(_OWNERS, SHAPLEY)}) SELECT player, round(value, 7) AS value FROM x")
 
 
@@ -150,6 +156,44 @@ def _ridge_sql(weight: str) -> str:
 add("ridge_utility", lambda spark, d: _ridge(spark, d, False), _ridge_sql("0.1e0"))
 add("ridge_utility_mean_loss", lambda spark, d: _ridge(spark, d, True), _ridge_sql("0.1e0 * greatest(1, n)"))
 
+# Forty players: additive and ridge games whose coalitions are evaluated where they are drawn.
+
+_FORTY, _HALF = 40, est.Law(coin=0.5)
+
+
+def _balance_shares(spark: SparkSession, sf_dir: str, **options) -> lazy.AdditiveGame:
+    """Customers share forty players by turns of their key; a player weighs its balances."""
+    weights = games.read(spark, sf_dir, "customer").select((F.col("c_custkey") % _FORTY).cast("int").alias("player"), F.col("c_acctbal").alias("w"))
+    return lazy.AdditiveGame(_FORTY, weights, **options)
+
+
+_SHARES = f"b AS (SELECT c_custkey % {_FORTY} AS player, sum(c_acctbal) AS w FROM customer GROUP BY 1), {oracle.samples(_HALF, _FORTY, COUNT, SEED)}"
+add("additive_40_sampled", lambda spark, d: rounded(est.worth(_balance_shares(spark, d), est.sample(spark, _HALF, _FORTY, COUNT, SEED)), 2, "u").select("k", "mask", "u"), f"WITH {_SHARES} SELECT k, mask, round(coalesce(sum(w), 0), 2) AS u FROM smp LEFT JOIN b ON (mask >> player::int) & 1 = 1 GROUP BY 1, 2")
+add("additive_40_noise", lambda spark, d: rounded(est.worth(_balance_shares(spark, d, lam=0.5, sigma=100.0, seed=3), est.sample(spark, _HALF, _FORTY, COUNT, SEED)), 4, "u").select("k", "mask", "u"), f"WITH {_SHARES}, z AS (SELECT range AS player, ('0x' || substr(md5('zobrist:3:' || range::varchar), 1, 13))::bigint AS key FROM range({_FORTY})), h AS (SELECT k, mask, coalesce(sum(w), 0) AS a, (coalesce(bit_xor(key), 0) + 0.5e0) / 4503599627370496e0 AS z FROM smp JOIN z ON (mask >> player::int) & 1 = 1 LEFT JOIN b USING (player) GROUP BY 1, 2) SELECT k, mask, round(0.5e0 * a + 50e0 * {oracle.inverse_normal('z')}, 4) AS u FROM h")
+add("additive_40_msr", lambda spark, d: rounded(est.estimate("msr", _balance_shares(spark, d, transform=lambda x: F.sqrt(F.abs(x))), BANZHAF, COUNT, SEED), 6), f"WITH {_SHARES}, u AS (SELECT k, mask, sqrt(abs(coalesce(sum(w), 0))) AS u FROM smp LEFT JOIN b ON (mask >> player::int) & 1 = 1 GROUP BY 1, 2) SELECT p.range::int AS player, round(avg(CASE WHEN (mask >> p.range::int) & 1 = 1 THEN u END) - avg(CASE WHEN (mask >> p.range::int) & 1 = 0 THEN u END), 6) AS value FROM u CROSS JOIN range({_FORTY}) p GROUP BY 1")
+_BETA = [1.0, 0.5, -0.25, 0.0, 0.75, 0.1]
+_FEATURES = ["l_quantity / 50", "10 * l_discount", "10 * l_tax", "l_extendedprice / 100000.0e0", "l_linenumber / 7.0e0", "1.0e0"]
+
+
+def _line_shares(spark: SparkSession, sf_dir: str, averaged: bool = False) -> lazy.RidgeGame:
+    """Lines share forty players by turns of their supplier; whether a line came back is fitted from six numbers of it."""
+    rows = games.read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % _FORTY).cast("int").alias("player"), F.array(*[F.expr(f).cast("double") for f in _FEATURES]).alias("x"), F.expr("cast(l_returnflag = 'R' AS double)").alias("y"))
+    return lazy.RidgeGame(_FORTY, rows, _BETA, 0.1, averaged)
+
+
+def _line_shares_sql(weight: str) -> str:
+    d = len(_BETA)
+    names = [*(f"a_{i}_{j}" for i in range(d) for j in range(d)), *(f"b_{i}_0" for i in range(d))]
+    own = oracle.gram(f"(SELECT l_suppkey % {_FORTY} AS player, * FROM lineitem)", [f"({f})::double" for f in _FEATURES], ["(l_returnflag = 'R')::int::double"], keys="player", name="own").replace("SELECT player, ", "SELECT player, count(*) AS m, ")
+    sums = f"held AS (SELECT k, mask, coalesce(sum(m), 0) AS m, {', '.join(f'coalesce(sum({c}), 0) AS {c}' for c in names)} FROM smp LEFT JOIN own ON (mask >> player::int) & 1 = 1 GROUP BY 1, 2)"
+    begin = f"e0 AS (SELECT k, mask, {', '.join(f'{c} + {weight} AS {c}' if c.startswith('a_') and c.split('_')[1] == c.split('_')[2] else c for c in names)} FROM held)"
+    error = " + ".join(f"(b_{i}_0 - {b!r}) ** 2" for i, b in enumerate(_BETA))
+    return f"WITH {oracle.samples(_HALF, _FORTY, COUNT, SEED)}, {own}, {sums}, {begin}, {oracle.solved(d, 1, 'k, mask')} SELECT k, mask, round({error}, 8) AS u FROM e{d}"
+
+
+add("ridge_40_sampled", lambda spark, d: rounded(est.worth(_line_shares(spark, d), est.sample(spark, _HALF, _FORTY, COUNT, SEED)), 8, "u").select("k", "mask", "u"), _line_shares_sql("0.1e0"))
+add("ridge_40_mean_loss", lambda spark, d: rounded(est.worth(_line_shares(spark, d, True), est.sample(spark, _HALF, _FORTY, COUNT, SEED)), 8, "u").select("k", "mask", "u"), _line_shares_sql("0.1e0 * greatest(1, m)"))
+
 # Samplers: a coalition of the 25 nations for each customer.
 
 _EACH = "(SELECT count(*) FROM customer)"

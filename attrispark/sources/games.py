@@ -287,6 +287,8 @@ def additive(weights: DataFrame, n: int, transform: Callable[[Column], Column] |
     Z hashes the coalition: per-player 64-bit keys are XORed and read as a
     uniform number; `noise` maps it on (by default the inverse normal).
     """
+    if n > TABLE_PLAYERS:
+        raise ValueError(f"{n} players have too many coalitions to tabulate; lazy.AdditiveGame evaluates those asked for")
     spark = weights.sparkSession
     masks = spark.range(1 << n).select(F.col("id").alias("mask"))
     members = masks.join(F.broadcast(few(weights)), F.expr("getbit(mask, player) = 1"), "left")
@@ -313,49 +315,92 @@ def inverse_normal(z: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0.0), lambda x, _: x - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (cdf(x) - clipped) * F.lit(2.5066282746310002) * F.exp(x * x / 2))))
 
 
-def knn_ranks(points: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
-    """(query, player, r, hit): every player's rank by distance for each query, ties to the smaller player.
+def _meet(points: DataFrame, queries: DataFrame, block: int, keep: int | None = None) -> DataFrame:
+    """(query, player, id, dist, hit): distances of queries to points (player, id, embedding, label), of each player's only the `keep` nearest of a block.
 
-    points (player, embedding, label), queries (query, embedding, label).
-    Players and queries meet block by block: blocks of `block` vectors each are
+    Points and queries meet block by block: blocks of `block` vectors each are
     built once, and a pair of blocks is one piece of work, so neither side is
     broadcast whole and none is left out.
     """
-    spark = points.sparkSession
-    ship(spark)
+    ship(points.sparkSession)
 
-    def blocks(side: DataFrame, ident: str) -> tuple[DataFrame, int]:
+    def blocks(side: DataFrame, ident: str, *more: str) -> tuple[DataFrame, int]:
         n = max(1, -(-side.count() // block))
-        return side.select(F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias(f"_{ident}"), F.col(ident).cast("bigint").alias(ident), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label")), n
+        return side.select(F.pmod(F.xxhash64(ident), F.lit(n)).cast("int").alias(f"_{ident}"), F.col(ident).cast("bigint").alias(ident), *[F.col(c).cast("bigint").alias(c) for c in more], F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label")), n
 
-    left, n_left = blocks(points, "player")
+    left, n_left = blocks(points, "id", "player")
     right, n_right = blocks(queries, "query")
     left = left.withColumn("_query", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    right = right.withColumn("_player", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    right = right.withColumn("_id", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
 
     def distances(a, b):
         import pyarrow as pa
 
-        names = ["query", "player", "dist", "hit"]
+        names = ["query", "player", "id", "dist", "hit"]
         if not a.num_rows or not b.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.int32())], names=names)
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())], names=names)
         x, y = (np.array(t.column("embedding").to_pylist(), np.float64) for t in (a, b))
         d = np.stack([((x - q) ** 2).cumsum(axis=1)[:, -1] for q in y])  # in the order of components, as a row at a time would
         la, lb = (np.array(t.column("label").to_pylist()) for t in (a, b))
-        return pa.table([pa.array(np.repeat(b.column("query").to_numpy(), len(x))), pa.array(np.tile(a.column("player").to_numpy(), len(y))), pa.array(d.reshape(-1)), pa.array((lb[:, None] == la[None, :]).astype(np.int32).reshape(-1))], names=names)
+        owner, ident = a.column("player").to_numpy(), a.column("id").to_numpy()
+        if keep is None:
+            q, p = (i.reshape(-1) for i in np.indices(d.shape))
+        else:
+            picked = []
+            for row in d:
+                order = np.lexsort((ident, row, owner))
+                first = np.flatnonzero(np.concatenate([[True], owner[order][1:] != owner[order][:-1]]))
+                place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                picked.append(order[place < keep])
+            q, p = np.repeat(np.arange(len(d)), [len(x) for x in picked]), np.concatenate(picked)
+        return pa.table([pa.array(b.column("query").to_numpy()[q]), pa.array(owner[p]), pa.array(ident[p]), pa.array(d[q, p]), pa.array((lb[q] == la[p]).astype(np.int32))], names=names)
+
+    return left.groupBy("_id", "_query").cogroup(right.groupBy("_id", "_query")).applyInArrow(distances, "query bigint, player bigint, id bigint, dist double, hit int")
+
 
-    pairs = left.groupBy("_player", "_query").cogroup(right.groupBy("_player", "_query")).applyInArrow(distances, "query bigint, player bigint, dist double, hit int")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("dist", "player"))
-    return pairs.withColumn("r", rank).select("query", F.col("player").cast("int").alias("player"), "r", "hit")
+#: Ranges of distance that a query's points are ordered in.
+RANGES = 32
+
+
+def knn_ranks(points: DataFrame, queries: DataFrame, block: int = 256) -> DataFrame:
+    """(query, player, r, hit): every player's rank by distance for each query, ties to the smaller player.
+
+    points (player, embedding, label), queries (query, embedding, label).  A
+    query's points are dealt into RANGES ranges of distance, each ordered by
+    itself; the ranks before a range are those ranges' counts.
+    """
+    return _ranked(_meet(points.withColumn("id", F.col("player")), queries, block)).select("query", F.col("player").cast("int").alias("player"), (F.col("before") + F.col("place")).cast("int").alias("r"), "hit")
+
+
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """pairs with the range of their distance, their place in it, and the points of the ranges before it."""
+    steps = [i / RANGES for i in range(1, RANGES)]
+    cuts = pairs.groupBy("query").agg(F.percentile_approx("dist", steps, 1000).alias("cuts"))
+    ranged = pairs.join(cuts, "query").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("dist")))).drop("cuts")
+    held = ranged.groupBy("query", "range").agg(F.count("*").alias("points"))
+    before = held.select("query", "range", (F.sum("points").over(Window.partitionBy("query").orderBy("range")) - F.col("points")).alias("before"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("query", "range").orderBy("dist", "player"))
+    return ranged.withColumn("place", place).join(before, ["query", "range"])
+
+
+def knn_nearest(points: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """(query, player, r, hit): of each player's points (player, id, embedding, label) the k nearest to each query, in the order of the query's distances.
+
+    Only those can count among the k nearest of a coalition.  A pair of blocks
+    keeps k a player, and those are merged; nothing orders all points.
+    """
+    some = _meet(points, queries, block, k)
+    near = some.withColumn("_n", F.row_number().over(Window.partitionBy("query", "player").orderBy("dist", "id"))).where(F.col("_n") <= k)
+    return near.select("query", "player", F.row_number().over(Window.partitionBy("query").orderBy("dist", "id")).alias("r"), "hit")
 
 
 def knn_game(ranks: DataFrame, n: int, k: int) -> TableGame:
     """U(S): the mean over queries of the matching labels among the k nearest points of S, over k; for n players that can be enumerated.
 
     A player may own many points: of each only the k nearest to a query can
-    count, so a query's ranks are an array of at most n k entries.  Its worths
-    of all coalitions are built inside the row and summed over queries before
-    anything moves.
+    count, so a query's ranks (all, or those of knn_nearest) are an array of at
+    most n k entries.  Its worths of all coalitions are built inside the row
+    and summed over queries before anything moves.
     """
     if n > TABLE_PLAYERS:
         raise ValueError(f"{n} players have too many coalitions to tabulate")
@@ -381,13 +426,26 @@ def knn_game(ranks: DataFrame, n: int, k: int) -> TableGame:
     return TableGame(n, sums.select("mask", (F.col("h") / (k * F.col("q"))).cast("double").alias("u")), "knn")
 
 
-def knn_shapley(ranks: DataFrame, k: int) -> DataFrame:
-    """(player, value): the exact recursion over ranks as a reverse running sum per query."""
-    by_rank = Window.partitionBy("query").orderBy("r")
-    last = F.max("r").over(Window.partitionBy("query"))
-    step = F.when(F.col("r") == last, F.col("hit") / F.greatest(last, F.lit(k)).cast("double")).otherwise((F.col("hit") - F.lead("hit").over(by_rank)) / F.lit(float(k)) * F.least(F.lit(k), F.col("r")) / F.col("r"))
-    back = Window.partitionBy("query").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranks.withColumn("step", step).withColumn("v", F.sum("step").over(back)).groupBy("player").agg(F.avg("v").alias("value"))
+def knn_shapley(points: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
+    """(player, value): the exact recursion over a query's points from the farthest, averaged over queries.
+
+    points (player, embedding, label), each a player.  Running sums have two
+    levels: inside a range of distance, and over the sums of the farther ranges.
+    """
+    ranked = _ranked(_meet(points.withColumn("id", F.col("player")), queries, block)).withColumn("r", F.col("before") + F.col("place"))
+    in_range = Window.partitionBy("query", "range")
+    farther = Window.partitionBy("query").orderBy(F.desc("range"))
+    # Of each range: its first hit, which the point before it needs, and its size.
+    edge = ranked.groupBy("query", "range").agg(F.min_by("hit", "place").alias("first"), F.count("*").alias("size"))
+    edge = edge.select("query", "range", F.lag("first").over(farther).alias("next"), F.sum("size").over(Window.partitionBy("query")).alias("last"))
+    joined = ranked.join(edge, ["query", "range"]).withColumn("after", F.coalesce(F.lead("hit").over(in_range.orderBy("place")), F.col("next")))
+    step = F.when(F.col("r") == F.col("last"), F.col("hit") / F.greatest(F.col("last"), F.lit(k)).cast("double")).otherwise((F.col("hit") - F.col("after")) / F.lit(float(k)) * F.least(F.lit(k), F.col("r")) / F.col("r"))
+    stepped = joined.select("query", "range", "player", "place", step.alias("step"))
+    sums = stepped.groupBy("query", "range").agg(F.sum("step").alias("s"))
+    beyond = sums.select("query", "range", (F.sum("s").over(farther) - F.col("s")).alias("beyond"))  # a row per range
+    back = in_range.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    values = stepped.join(beyond, ["query", "range"]).withColumn("v", F.col("beyond") + F.sum("step").over(back))
+    return values.groupBy("player").agg(F.avg("v").alias("value"))
 
 
 def ridge(rows: DataFrame, n: int, beta: tuple[float, float], penalty: float, averaged: bool = False) -> TableGame:
@@ -399,6 +457,8 @@ def ridge(rows: DataFrame, n: int, beta: tuple[float, float], penalty: float, av
     """
     if penalty <= 0:
         raise ValueError("penalty must be positive")
+    if n > TABLE_PLAYERS:
+        raise ValueError(f"{n} players have too many coalitions to tabulate; lazy.RidgeGame evaluates those asked for")
     masks = rows.sparkSession.range(1 << n).select(F.col("id").alias("mask"))
     products = {"a": "x1 * x1", "b": "x1 * x2", "c": "x2 * x2", "p": "x1 * y", "q": "x2 * y"}
     held = rows.groupBy("player").agg(*[F.sum(F.expr(e)).alias(c) for c, e in products.items()], F.count("*").alias("m"))

@@ -180,10 +180,23 @@ def test_points_of_one_owner(spark):
     ranks = games.knn_ranks(points, queries, block=7)
     order = {i: sorted(range(30), key=lambda p: ((x[p] - q[i]) ** 2).sum()) for i in range(5)}
     assert {(r["query"], r["player"]): (r["r"], r["hit"]) for r in ranks.collect()} == {(i, p): (k + 1, int(labels[p] == labels[30 + i])) for i in range(5) for k, p in enumerate(order[i])}
+    values = {r["player"]: r["value"] for r in games.knn_shapley(points, queries, 4, block=7).collect()}
+    want = np.zeros(30)
+    for i in range(5):
+        hit = [int(labels[p] == labels[30 + i]) for p in order[i]]
+        v = hit[-1] / 30
+        want[order[i][-1]] += v / 5
+        for j in range(28, -1, -1):
+            v += (hit[j] - hit[j + 1]) / 4 * min(4, j + 1) / (j + 1)
+            want[order[i][j]] += v / 5
+    assert [values[p] for p in range(30)] == pytest.approx(want)
+    near = games.knn_nearest(points.withColumn("id", F.col("player")).withColumn("player", F.col("player") % 3), queries, 4, block=7)
+    assert near.count() == 5 * 3 * 4
+    fewer = {r["mask"]: r["u"] for r in games.knn_game(near, 3, 4).table().collect()}
     table = {r["mask"]: r["u"] for r in games.knn_game(ranks.withColumn("player", F.col("player") % 3), 3, 4).table().collect()}
     for m in range(8):
         hits = sum(labels[p] == labels[30 + i] for i in range(5) for p in [p for p in order[i] if m >> p % 3 & 1][:4])
-        assert table[m] == pytest.approx(hits / 20)
+        assert table[m] == fewer[m] == pytest.approx(hits / 20)
 
 
 def test_large_term_tables_are_met_in_chunks(spark, monkeypatch):
@@ -201,3 +214,29 @@ def test_large_term_tables_are_met_in_chunks(spark, monkeypatch):
 def test_black_box_utilities(spark):
     game = games.CallableGame(4, spark, lambda masks: [float(m.bit_count() ** 2) for m in masks])
     assert vector(exact.enumerated(game, SHAPLEY)) == pytest.approx([4.0] * 4)
+
+
+def test_games_evaluated_where_they_are_asked(spark):
+    from attrispark.sources import lazy
+
+    rng = np.random.default_rng(8)
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(rng.normal(size=6))], "player int, w double")
+    for options in ({}, {"lam": 0.3, "sigma": 2.0, "seed": 5}, {"transform": lambda x: x * x}):
+        want = {r["mask"]: r["u"] for r in games.additive(weights, 6, **options).table().collect()}
+        assert {r["mask"]: r["u"] for r in lazy.AdditiveGame(6, weights, **options).table().collect()} == pytest.approx(want)
+    game = lazy.AdditiveGame(6, weights)
+    assert vector(exact.enumerated(game, SHAPLEY)) == pytest.approx([r["w"] for r in weights.orderBy("player").collect()])
+    x, y, player = rng.normal(size=(50, 3)), rng.normal(size=50), rng.integers(0, 5, 50)
+    rows = spark.createDataFrame([(int(p), a.tolist(), float(b)) for p, a, b in zip(player, x, y, strict=True)] + [(1, [1.0, None, 2.0], 1.0), (None, [1.0] * 3, 1.0), (2, [1.0] * 3, None)], "player int, x array<double>, y double").repartition(4)
+    for averaged in (False, True):
+        ridge = lazy.RidgeGame(5, rows, [0.5, -1.0, 2.0], 0.7, averaged)
+        for r in ridge.table().collect():
+            mine = (r["mask"] >> player) & 1 == 1
+            a = x[mine].T @ x[mine] + 0.7 * (max(1, mine.sum()) if averaged else 1) * np.eye(3)
+            assert r["u"] == pytest.approx(((np.linalg.solve(a, x[mine].T @ y[mine]) - [0.5, -1.0, 2.0]) ** 2).sum())
+    assert ridge.bounds()[0] == pytest.approx(5.25)
+    near = vector(regression.kernel_shap(lazy.AdditiveGame(40, spark.range(40).selectExpr("cast(id AS int) AS player", "cast(id AS double) AS w")), SHAPLEY, 300, 1))
+    assert near == pytest.approx(np.arange(40.0), abs=1e-6)
+    for bad in (lambda: lazy.AdditiveGame(63, weights).bounds(), lambda: lazy.RidgeGame(5, rows, [1.0], 0.0).bounds(), lambda: game.__class__(17, weights).table(), lambda: games.additive(weights, 17)):
+        with pytest.raises(ValueError):
+            bad()
