@@ -505,6 +505,23 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("training_shapley", _training)
 
+
+def _one_pass(extra: str) -> Query:
+    """The same owners, by one pass of single-row steps; rows that `extra` tells train every coalition."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from attrispark.sources.training import trained_in_order
+
+        rows = games.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), (F.col("label") % 2).cast("int").alias("y"))
+        train = rows.where(f"id % {_EVERY} <> 0").withColumn("player", F.expr(f"CASE WHEN {extra} THEN null ELSE cast(id % 6 AS int) END"))
+        return rounded(exact.enumerated(trained_in_order(train, rows.where(f"id % {_EVERY} = 0"), 6, 2, 0.1, seed=SEED, spread=0.0), SHAPLEY), 8)
+
+    return query
+
+
+add("training_one_pass_shapley", _one_pass("false"), oracle.training(6, _EVERY, 0.1, SEED))
+add("training_one_pass_extra_rows", _one_pass("id % 7 = 3"), oracle.training(6, _EVERY, 0.1, SEED, "vec_id % 7 = 3"))
+
 # Random games: as many terms as there are customers.
 
 add("random_terms_plain", lambda spark, d: rounded(games.random_terms(spark, 20, _customers(spark, d), 42).terms, 6, "w"), f"WITH {oracle.samples(est.Law({s: 1.0 for s in range(1, 20)}), 20, _EACH, 42)} SELECT mask, round(sum((2e0 * {draws.uniform_sql('k', repr('w'), 42)} - 1e0) * 20), 6) AS w FROM smp GROUP BY 1")

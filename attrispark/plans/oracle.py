@@ -434,3 +434,15 @@ ends AS (SELECT 0e0 AS u0, sum(w) AS u1 FROM tw), sz AS (SELECT k, side, sum(x::
 row AS (SELECT player, smp.x::int::double AS x, t, s, n, u0, u1, coalesce(u.u, 0) AS u FROM smp JOIN sz USING (k, side) LEFT JOIN u USING (k, side) CROSS JOIN ends CROSS JOIN nn),
 raw AS (SELECT player, {mean} AS v, any_value(u0) AS u0, any_value(u1) AS u1, any_value(n) AS n FROM row GROUP BY 1), own AS (SELECT *, sum(v) OVER () AS total FROM raw)
 SELECT player::int AS player, round({value}, {digits}) AS value FROM own"""
+
+
+def training(n: int, every: int, rate: float, seed: int, extra: str = "false", digits: int = 8) -> str:
+    """One pass of single-row steps of a two-class softmax regression, a step of the recursion per row; `extra` tells rows that train every coalition."""
+    dot = lambda w: f"list_dot_product({w}, x)"
+    p0, p1 = f"1e0 / (1e0 + exp({dot('w1')} - {dot('w0')}))", f"1e0 / (1e0 + exp({dot('w0')} - {dot('w1')}))"
+    moved = lambda w, p, c: f"CASE WHEN mine THEN list_transform(list_zip({w}, x), lambda a: a[1] - {rate!r}::double * ({p} - (y = {c})::int) * a[2]) ELSE {w} END"
+    zero = "list_transform(range((SELECT max(len(x)) FROM e)), lambda i: 0e0)"
+    own = f"WITH RECURSIVE e AS (SELECT vec_id, list_append(list_transform(embedding, lambda v: v::double), 1e0) AS x, label % 2 AS y FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), t AS MATERIALIZED (SELECT *, {extra} AS everyone, row_number() OVER (ORDER BY md5(vec_id::varchar || ':order:{seed}'), vec_id) AS o FROM e WHERE vec_id % {every} <> 0)"
+    steps = f"s(k, mask, w0, w1) AS (SELECT 0::bigint, m.range, {zero}, {zero} FROM range({1 << n}) m UNION ALL SELECT o, mask, {moved('w0', p0, 0)}, {moved('w1', p1, 1)} FROM (SELECT s.*, t.*, everyone OR (mask >> (vec_id % {n})::int) & 1 = 1 AS mine FROM s JOIN t ON t.o = s.k + 1))"
+    scored = f"util AS (SELECT mask, avg(CASE WHEN y = 0 THEN ln({p0}) ELSE ln({p1}) END) AS u FROM (SELECT * FROM s WHERE k = (SELECT max(o) FROM t)) CROSS JOIN (SELECT * FROM e WHERE vec_id % {every} = 0) GROUP BY 1)"
+    return f"{own}, {steps}, {scored}, x AS ({exact_body(n, Semivalue('shapley'))}) SELECT player, round(value, {digits}) AS value FROM x"

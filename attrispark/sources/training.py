@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attrispark.functions import draws
 from attrispark.functions.ship import ship
 from attrispark.sources.games import CallableGame, TableGame
 
@@ -18,24 +19,28 @@ from attrispark.sources.games import CallableGame, TableGame
 class Training:
     """metric: accuracy, or the mean log-likelihood (cross_entropy, higher is better).
 
-    extra: rows that every coalition trains on besides its own.
+    extra: rows that every coalition trains on besides its own.  order: the
+    places of all rows, the extra ones last, in the one pass; else a coalition
+    shuffles its rows by the seed.  spread: deviation of the first weights.
     """
 
-    def __init__(self, x, y, x_score, y_score, classes: int, metric: str = "accuracy", rate: float = 0.1, seed: int = 0, extra: tuple | None = None):
+    def __init__(self, x, y, x_score, y_score, classes: int, metric: str = "accuracy", rate: float = 0.1, seed: int = 0, extra: tuple | None = None, order=None, spread: float = 0.01):
         if metric not in ("accuracy", "cross_entropy"):
             raise NotImplementedError(f"unknown metric {metric!r}")
         self.x, self.y = np.asarray(x, float), np.asarray(y, int)
         self.x_score, self.y_score = np.asarray(x_score, float), np.asarray(y_score, int)
         self.classes, self.metric, self.rate, self.seed = classes, metric, rate, seed
         self.extra = None if extra is None else (np.asarray(extra[0], float), np.asarray(extra[1], int))
+        self.order, self.spread = order, spread
 
     def fit(self, rows: np.ndarray) -> np.ndarray:
         x, y = self.x[rows], self.y[rows]
         if self.extra is not None:
             x, y = np.vstack([x, self.extra[0]]), np.concatenate([y, self.extra[1]])
         rng = np.random.default_rng(self.seed)
-        w = rng.normal(0, 0.01, (self.x.shape[1] + 1, self.classes))
-        for i in rng.permutation(len(x)):
+        w = rng.normal(0, self.spread, (self.x.shape[1] + 1, self.classes))
+        turns = rng.permutation(len(x)) if self.order is None else np.argsort(np.append(np.asarray(self.order)[rows], np.asarray(self.order)[len(self.x) :]))
+        for i in turns:
             row = np.append(x[i], 1.0)
             z = row @ w
             p = np.exp(z - z.max())
@@ -136,3 +141,75 @@ def trained_on_tables(train: DataFrame, score: DataFrame, n: int, classes: int,
 
     found = summed(score, scored, (1 << n, 2))
     return TableGame(n, spark.createDataFrame([(int(m), float(a / max(c, 1))) for m, (a, c) in zip(masks, found, strict=True)], "mask bigint, u double"), "training")
+
+
+def trained_in_order(train: DataFrame, score: DataFrame, n: int, classes: int, rate: float = 0.1, metric: str = "cross_entropy", seed: int = 0, spread: float = 0.01) -> TableGame:
+    """The training game by one pass of single-row gradient steps, n players each owning any number of rows of train (id, player, x, y).
+
+    Rows come in one order for all coalitions, that of their ids' digests, which
+    any engine can make.  A row without a player trains every coalition.  Single
+    steps follow one another, so a model reads all rows in turn; the 2^n models
+    are dealt into groups, each fed by a sorted stream of the rows in one task
+    that holds its models and a batch of rows, however long the table is.  Rows
+    of null x or y take no part, nor do null ids.
+    """
+    if metric not in ("accuracy", "cross_entropy"):
+        raise NotImplementedError(f"unknown metric {metric!r}")
+    if n > 10:
+        raise ValueError(f"{n} players have too many coalitions to train together")
+    spark = train.sparkSession
+    ship(spark)
+    numbers = F.col("x").cast("array<double>").alias("x")
+    rows = train.where("x is not null and y is not null and id is not null").select(F.col("id"), F.coalesce(F.col("player").cast("int"), F.lit(-1)).alias("player"), numbers, F.col("y").cast("int").alias("y"), draws.digest(F.col("id"), "order", seed).alias("turn"))
+    score = score.where("x is not null and y is not null").select(numbers, F.col("y").cast("int").alias("y"))
+    wide = train.select(F.size("x").alias("d")).agg(F.max("d")).first()[0] or 0
+    first = np.random.default_rng(seed).normal(0, spread, (wide + 1, classes))
+    groups = min(1 << n, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    fed = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups, "g").sortWithinPartitions("g", "turn", "id").select("g", "player", "x", "y")
+
+    def stream(batches):
+        import pyarrow as pa
+
+        now, masks, w = None, None, None
+
+        def trained():
+            return pa.RecordBatch.from_arrays([pa.array(masks), pa.array([x.tobytes() for x in w], pa.binary())], names=["mask", "w"])
+
+        for batch in batches:
+            group, player, y = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            for lo in range(0, batch.num_rows, 2048):
+                x = _design(batch.slice(lo, 2048), 2)
+                for j, row in enumerate(x, start=lo):
+                    if group[j] != now:
+                        if now is not None:
+                            yield trained()
+                        now, masks = group[j], np.arange(group[j], 1 << n, groups)
+                        w = np.repeat(first[None], len(masks), axis=0)
+                    mine = np.arange(len(masks)) if player[j] < 0 else np.flatnonzero(masks >> player[j] & 1)
+                    z = np.einsum("kdc,d->kc", w[mine], row)
+                    p = np.exp(z - z.max(axis=1, keepdims=True))
+                    p /= p.sum(axis=1, keepdims=True)
+                    p[:, y[j]] -= 1
+                    w[mine] -= rate * row[None, :, None] * p[:, None, :]
+        if now is not None:
+            yield trained()
+
+    weights = np.repeat(first[None], 1 << n, axis=0)
+    for r in fed.mapInArrow(stream, "mask bigint, w binary").collect():  # 2^n times (features + 1) classes numbers
+        weights[r["mask"]] = np.frombuffer(r["w"], np.float64).reshape(first.shape)
+
+    def scored(batches):
+        import pyarrow as pa
+
+        total, seen = np.zeros(1 << n), 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                some = batch.slice(lo, 512)
+                x, y = _design(some, 0), some.column(1).to_numpy()
+                z = _log_softmax(np.einsum("bd,sdc->sbc", x, weights))
+                total += (z.argmax(axis=2) == y).sum(axis=1) if metric == "accuracy" else z[:, np.arange(len(y)), y].sum(axis=1)
+                seen += len(y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << n)), pa.array(total), pa.array(np.full(1 << n, seen))], names=["mask", "total", "seen"])
+
+    found = score.mapInArrow(scored, "mask bigint, total double, seen bigint").groupBy("mask").agg((F.sum("total") / F.greatest(F.sum("seen"), F.lit(1))).alias("u"))
+    return TableGame(n, found, "training")

@@ -6,7 +6,7 @@ from attrispark.operators import estimators, exact, report, trajectory
 from attrispark.operators.estimators import Unsupported
 from attrispark.plans.run import REGISTRY, converge, run, samples_for, strata_group, timed
 from attrispark.sources import games, store
-from attrispark.sources.training import Training, trained_on_tables, training_game
+from attrispark.sources.training import Training, trained_in_order, trained_on_tables, training_game
 
 
 @pytest.fixture(scope="module")
@@ -146,6 +146,26 @@ def test_training_on_tables_equals_training_in_memory(spark):
             assert got[m] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("metric", ["cross_entropy", "accuracy"])
+def test_one_pass_over_tables_equals_training_in_memory(spark, metric):
+    """All embeddings, some of which train every coalition, and one start of the weights."""
+    from hashlib import md5
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("embedding is not null and label is not null").select("vec_id", "embedding", "label").collect()
+    x, y = np.array([r["embedding"] for r in rows], float), np.array([r["label"] for r in rows]) % 3
+    ids = [r["vec_id"] for r in rows]
+    order = np.argsort(np.argsort([md5(f"{i}:order:5".encode()).hexdigest() for i in ids]))
+    extra = np.array([i % 5 == 0 for i in ids])
+    table = spark.createDataFrame([(i, None if e else i % 3, a.tolist(), int(b)) for i, e, a, b in zip(ids, extra, x, y, strict=True)] + [(None, 0, x[0].tolist(), 1), (10**9, 0, None, 1)], "id bigint, player int, x array<double>, y int").repartition(7)
+    score = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x[:40], y[:40], strict=True)], "x array<double>, y int")
+    got = {r["mask"]: r["u"] for r in trained_in_order(table, score, 3, 3, 0.05, metric, 5).table().collect()}
+    own = ~extra
+    for m in range(8):
+        mine = own & (((m >> (np.array(ids) % 3)) & 1) == 1)
+        training = Training(x[mine], y[mine], x[:40], y[:40], 3, metric, 0.05, 5, (x[extra], y[extra]), np.append(order[mine], order[extra]))
+        assert got[m] == pytest.approx(training.score(training.fit(np.arange(mine.sum()))))
+
+
 def test_reports(spark):
     truth = spark.createDataFrame([(0, 0.0), (1, 0.0)], "player int, value double")
     rows = spark.createDataFrame([(0, 0, 0, 3.0), (0, 0, 1, 4.0)], "run int, ckpt int, player int, value double")
