@@ -22,11 +22,13 @@ LEAST_DOCS, ADDED, WHOLE = 30, 5, 1_000_000_000
 #: Terms listed per group.
 TOP = 50
 #: Different (group, term) counts that a task holds before it passes them on.
-HELD = 300_000
+HELD = 200_000
+#: Text whose term counts one shard adds up.
+SHARD_BYTES = 8 << 20
 #: Shares of a shard in the comparison, every group by every kept term; at least LEAST_SHARDS shards.
 SHARES, LEAST_SHARDS = 500_000, 16
 #: Memory of DuckDB in a task; a shard's rows take a fraction of it.
-MEMORY = "400MB"
+MEMORY = "300MB"
 
 #: Letters, A-Z lowered, and every byte of other code points stay; the rest is space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -77,6 +79,7 @@ def count_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 yield pa.RecordBatch.from_arrays([pa.array([of] * len(some), pa.string()), pa.array([by] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([d[t] for t in some], pa.int64())], names=["lang", "source", "term", "n", "docs"])
 
     def run(batches):
+        cl.release()
         counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         have = 0
         for batch in batches:
@@ -92,6 +95,8 @@ def count_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                     yield from flush(counts)
                     counts, have = {}, 0
         yield from flush(counts)
+        counts.clear()
+        cl.release()
 
     filled = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     return filled.mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -113,13 +118,14 @@ def audit_sources(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     alone; an empty table gives no row.
     """
     spark = docs.sparkSession
-    shards = cl.slices_for(spark, cl.text_bytes(docs, f"`{text}`"))
+    shards = max(cl.shuffle_partitions(spark), -(-cl.text_bytes(docs, f"`{text}`") // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int").alias("shard")
 
     def add(table: pa.Table) -> pa.Table:
-        con = _duck()
-        con.register("counted", table)
-        return con.sql(_SUMS).to_arrow_table().cast(kept_schema)
+        cl.release()
+        with _duck() as con:
+            con.register("counted", table)
+            return con.sql(_SUMS).to_arrow_table().cast(kept_schema)
 
     kept_schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("opens", pa.bool_())])
     kept = cl.cut(count_terms(docs, text, lang, source).select(shard, "*").groupBy("shard").applyInArrow(add, "lang string, source string, term string, n long, opens boolean"))
@@ -138,11 +144,12 @@ def audit_sources(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     def compare(kept_rows: pa.Table, group_rows: pa.Table) -> pa.Table:
         if not kept_rows.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in found_schema}, schema=found_schema)
-        con = _duck()
-        con.register("kept", kept_rows.select(["lang", "source", "term", "n"]))
-        con.register("groups", group_rows)
-        con.execute(_SHARES)
-        return pa.concat_tables([con.sql(q).to_arrow_table().cast(found_schema) for q in (_PAIRS, _LEADS)])
+        cl.release()
+        with _duck() as con:
+            con.register("kept", kept_rows.select(["lang", "source", "term", "n"]))
+            con.register("groups", group_rows)
+            con.execute(_SHARES)
+            return pa.concat_tables([con.sql(q).to_arrow_table().cast(found_schema) for q in (_PAIRS, _LEADS)])
 
     found_schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
     found = kept.select(shard, "*").groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(compare, "lang string, source string, part string, item string, value long")
