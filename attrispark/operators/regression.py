@@ -40,19 +40,14 @@ def values_frame(spark, values) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "player int, value double")
 
 
-def products(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]], folds: int = 1) -> list[np.ndarray]:
-    """Sums over samples (mask, s, u[, w, q, t, fold]) of w * l^T r per fold, a stack of matrices for each (l, r) of blocks(columns); r None is l.
+def partial_products(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]], folds: int = 1) -> DataFrame:
+    """(f, i, task, v binary): the strips of each task's sums of w * l^T r per fold, for each (l, r) of blocks(columns); r None is l.
 
-    A partition's rows are sorted by fold, so a task holds the matrices of one
-    fold.  Their strips are added FAN at a time, level by level, for as many
-    tasks as the session runs a stage in.
+    A partition's rows are sorted by fold, so a task holds the matrices of one.
     """
     sizes = [a * b for a, b in shapes]
     total, widest = sum(sizes), max(max(x) for x in shapes)
-    if folds * total > LARGEST:
-        raise MemoryError(f"{folds} times {total} doubles don't fit the driver")
-    spark = samples.sparkSession
-    ship(spark)
+    ship(samples.sparkSession)
     columns = ["mask", "s", "u", "w", "q", "t", "fold"]
     have = set(samples.columns)
     cast = {"mask": "bigint", "s": "int", "fold": "int"}
@@ -88,6 +83,31 @@ def products(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]]
         if now is not None:
             yield from strips()
 
+    return slim.mapInArrow(partial, "f int, i int, task int, v binary")
+
+
+def matrices(strips, shapes: list[tuple[int, int]], folds: int, strip: int) -> list[np.ndarray]:
+    """A stack of matrices per shape from whole strips (f, i, v)."""
+    sizes = [a * b for a, b in shapes]
+    flat = np.zeros((folds, sum(sizes)))
+    for x in strips:
+        part = np.frombuffer(x["v"], np.float64)
+        flat[x["f"], x["i"] * strip : x["i"] * strip + len(part)] = part
+    ends = np.cumsum([0, *sizes])
+    return [flat[:, a:b].reshape(folds, *shape) for a, b, shape in zip(ends[:-1], ends[1:], shapes, strict=True)]
+
+
+def products(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]], folds: int = 1) -> list[np.ndarray]:
+    """Sums over samples (mask, s, u[, w, q, t, fold]) of w * l^T r per fold, a stack of matrices for each (l, r) of blocks(columns).
+
+    Tasks' strips are added FAN at a time, level by level, for as many tasks
+    as the session runs a stage in.
+    """
+    total = sum(a * b for a, b in shapes)
+    if folds * total > LARGEST:
+        raise MemoryError(f"{folds} times {total} doubles don't fit the driver")
+    spark, strip = samples.sparkSession, STRIP
+
     def add(table):
         import pyarrow as pa
 
@@ -98,16 +118,11 @@ def products(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]]
         return pa.table({"f": table.column("f")[:1], "i": table.column("i")[:1], "task": table.column("task")[:1], "v": pa.array([whole.tobytes()], pa.binary())})
 
     kind = "f int, i int, task int, v binary"
-    found, tasks, group = slim.mapInArrow(partial, kind), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), FAN
+    found, tasks, group = partial_products(samples, blocks, shapes, folds), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), FAN
     while tasks > FAN:
         found = found.groupBy("f", "i", F.floor(F.col("task") / group).alias("g")).applyInArrow(add, kind)
         tasks, group = -(-tasks // FAN), group * FAN
-    flat = np.zeros((folds, total))
-    for x in found.groupBy("f", "i").applyInArrow(add, kind).collect():
-        strip_of = np.frombuffer(x["v"], np.float64)
-        flat[x["f"], x["i"] * strip : x["i"] * strip + len(strip_of)] = strip_of
-    ends = np.cumsum([0, *sizes])
-    return [flat[:, a:b].reshape(folds, *shape) for a, b, shape in zip(ends[:-1], ends[1:], shapes, strict=True)]
+    return matrices(found.groupBy("f", "i").applyInArrow(add, kind).collect(), shapes, folds, strip)
 
 
 def running(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]], folds: int, steps: int) -> Iterator[list[np.ndarray]]:

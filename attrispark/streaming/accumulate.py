@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from attrispark.functions.spec import Semivalue, by_size
+from attrispark.operators import regression
 
 
 def running_values(evaluated: DataFrame, n: int) -> DataFrame:
@@ -39,3 +43,48 @@ def store_values(stream: DataFrame, path: str, checkpoint: str, keys: list[str])
         batch.groupBy(*keys, "player").agg(F.sum("value").alias("value")).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+class SummedStrips(StatefulProcessor):
+    """The running sum of one strip of a matrix, over all batches so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "v binary")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        whole = np.frombuffer(self.total.get()[0], np.float64).copy() if self.total.exists() else None
+        for part in rows:
+            for v in part["v"]:
+                x = np.frombuffer(v, np.float64)
+                whole = x.copy() if whole is None else whole + x
+        self.total.update((whole.tobytes(),))
+        yield pd.DataFrame({"f": [key[0]], "i": [key[1]], "v": [whole.tobytes()]})
+
+    def close(self) -> None:
+        pass
+
+
+def fitted_values(evaluated: DataFrame, fit: regression.Fit, path: str, checkpoint: str):
+    """Starts a query that keeps the Gram matrix of a stream of evaluated samples (mask, s, u, and k where the fit has folds) and solves it after every batch.
+
+    Tasks add their rows up; the strips of the matrix are keyed state, so a
+    batch moves one partial matrix per task, and a restart goes on from the
+    checkpoint.  The values after batch b, of all samples until then, are a
+    Parquet folder batch=b, which a batch that is run again overwrites.  State
+    needs the RocksDB store.
+    """
+    spark = evaluated.sparkSession
+    width, strip, rows = fit.width, regression.STRIP, fit.rows
+    shapes = [(width, width)]
+    parts = regression.partial_products(evaluated, lambda c: [(rows(c), None)], shapes) if fit.folds == 1 else None
+    if parts is None:
+        raise ValueError("a stream's samples can't be sorted by fold; use an estimator of one matrix")
+    state = parts.groupBy("f", "i").transformWithStateInPandas(SummedStrips(), outputStructType="f int, i int, v binary", outputMode="Update", timeMode="None")
+
+    def solve(batch: DataFrame, number: int) -> None:
+        strips = batch.collect()  # one matrix
+        if strips:
+            (gram,) = regression.matrices(strips, shapes, 1, strip)
+            regression.values_frame(spark, fit.solve(gram)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(solve).trigger(availableNow=True).start()

@@ -37,3 +37,27 @@ def test_windowed_terms_are_attributed_and_stored(spark, tmp_path):
     batch = games.TermsGame(5, games.from_facts(events.withColumn("day", F.to_date("ts")), ["user_id", "day"], "player", "value"))
     want = {r["player"]: r["value"] for r in exact.closed_form(batch, SHAPLEY).collect() if r["value"]}
     assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("name", ["kernel_shap", "leverage"])
+def test_a_gram_matrix_kept_over_batches_and_a_restart(spark, tmp_path, name):
+    from attrispark.operators import regression
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        game = games.region_revenue(spark, SMALL)
+        fit = regression.FITS[name](game, SHAPLEY, False)
+        drawn = est.worth(game, est.sample(spark, fit.law, 5, 240, 3)).select("k", "mask", "s", "u").cache()
+        source, out = str(tmp_path / "in"), str(tmp_path / "out")
+        for lo in (0, 80, 160):  # the query ends after what is there and is started again for the rest
+            drawn.where(f"k >= {lo} and k < {lo + 80}").repartition(2).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(drawn.schema).option("maxFilesPerTrigger", 1).parquet(source)
+            accumulate.fitted_values(stream, fit, out, str(tmp_path / "c")).awaitTermination()
+            last = max(spark.read.parquet(out).select("batch").distinct().collect())[0]
+            got = {r["player"]: r["value"] for r in spark.read.parquet(out).where(f"batch = {last}").collect()}
+            want = getattr(regression, name)(game, SHAPLEY, lo + 80, 3).collect()
+            assert got == pytest.approx({r["player"]: r["value"] for r in want}, rel=1e-6)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    with pytest.raises(ValueError):
+        accumulate.fitted_values(drawn, regression.FITS["regression_msr_unbiased"](game, SHAPLEY, False), out, "x")
