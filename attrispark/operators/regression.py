@@ -41,9 +41,12 @@ def values_frame(spark, values) -> DataFrame:
 
 
 def partial_products(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]], folds: int = 1) -> DataFrame:
-    """(f, i, task, v binary): the strips of each task's sums of w * l^T r per fold, for each (l, r) of blocks(columns); r None is l.
+    """(f, i, task, at binary, v binary): the strips of each task's sums of w * l^T r per fold, for each (l, r) of blocks(columns); r None is l.
 
-    A partition's rows are sorted by fold, so a task holds the matrices of one.
+    Instead of (l, r) a block may be a list of (l, r, rows, columns of l,
+    columns of r): products of some rows that touch some columns.  A
+    partition's rows are sorted by fold, so a task holds the matrices of one.
+    A strip is its values v, or those at the places `at` where most are 0.
     """
     sizes = [a * b for a, b in shapes]
     total, widest = sum(sizes), max(max(x) for x in shapes)
@@ -65,7 +68,8 @@ def partial_products(samples: DataFrame, blocks: Callable, shapes: list[tuple[in
 
         def strips():
             for i in range(0, total, strip):
-                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([i // strip], pa.int32()), pa.array([task], pa.int32()), pa.array([flat[i : i + strip].tobytes()], pa.binary())], names=["f", "i", "task", "v"])
+                at, v = _thin(flat[i : i + strip])
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([i // strip], pa.int32()), pa.array([task], pa.int32()), pa.array([at], pa.binary()), pa.array([v], pa.binary())], names=["f", "i", "task", "at", "v"])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
@@ -78,21 +82,47 @@ def partial_products(samples: DataFrame, blocks: Callable, shapes: list[tuple[in
                         ends = np.cumsum([0, *sizes])
                         views = [flat[a:b].reshape(shape) for a, b, shape in zip(ends[:-1], ends[1:], shapes, strict=True)]
                     some = c if folds == 1 else {name: x[c["fold"] == f] for name, x in c.items()}
-                    for view, (left, right) in zip(views, blocks(some), strict=True):
-                        view += (left * some["w"][:, None]).T @ (left if right is None else right)
+                    for view, block in zip(views, blocks(some), strict=True):
+                        for left, right, at, of_left, of_right in block if isinstance(block, list) else [(*block, slice(None), None, None)]:
+                            sums = (left * some["w"][at][:, None]).T @ (left if right is None else right)
+                            if of_left is None:
+                                view += sums
+                            else:
+                                view[np.ix_(of_left, of_right)] += sums
         if now is not None:
             yield from strips()
 
-    return slim.mapInArrow(partial, "f int, i int, task int, v binary")
+    return slim.mapInArrow(partial, STRIPS)
+
+
+#: A strip of a task's partial matrix.
+STRIPS = "f int, i int, task int, at binary, v binary"
+
+
+def _thin(strip: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and values of the entries that aren't 0, where these are few; else no places and all values."""
+    at = np.flatnonzero(strip)
+    if 2 * len(at) < len(strip):
+        return at.astype(np.int32).tobytes() or b"-", strip[at].tobytes()
+    return b"", strip.tobytes()
+
+
+def thicken(at: bytes, v: bytes, onto: np.ndarray) -> None:
+    """Adds a strip to an array of its length."""
+    if at == b"-":
+        return
+    if at:
+        onto[np.frombuffer(at, np.int32)] += np.frombuffer(v, np.float64)
+    else:
+        onto += np.frombuffer(v, np.float64)
 
 
 def matrices(strips, shapes: list[tuple[int, int]], folds: int, strip: int) -> list[np.ndarray]:
-    """A stack of matrices per shape from whole strips (f, i, v)."""
+    """A stack of matrices per shape from whole strips (f, i, at, v)."""
     sizes = [a * b for a, b in shapes]
     flat = np.zeros((folds, sum(sizes)))
     for x in strips:
-        part = np.frombuffer(x["v"], np.float64)
-        flat[x["f"], x["i"] * strip : x["i"] * strip + len(part)] = part
+        thicken(bytes(x["at"]), x["v"], flat[x["f"], x["i"] * strip : (x["i"] + 1) * strip])
     ends = np.cumsum([0, *sizes])
     return [flat[:, a:b].reshape(folds, *shape) for a, b, shape in zip(ends[:-1], ends[1:], shapes, strict=True)]
 
@@ -111,18 +141,18 @@ def products(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]]
     def add(table):
         import pyarrow as pa
 
-        rows = table.column("v")
-        whole = np.frombuffer(rows[0].as_buffer(), np.float64).copy()
-        for v in rows[1:]:
-            whole += np.frombuffer(v.as_buffer(), np.float64)
-        return pa.table({"f": table.column("f")[:1], "i": table.column("i")[:1], "task": table.column("task")[:1], "v": pa.array([whole.tobytes()], pa.binary())})
+        i = table.column("i")[0].as_py()
+        whole = np.zeros(min(strip, total - i * strip))
+        for at, v in zip(table.column("at"), table.column("v"), strict=True):
+            thicken(at.as_py(), v.as_buffer(), whole)
+        at, v = _thin(whole)
+        return pa.table({"f": table.column("f")[:1], "i": table.column("i")[:1], "task": table.column("task")[:1], "at": pa.array([at], pa.binary()), "v": pa.array([v], pa.binary())})
 
-    kind = "f int, i int, task int, v binary"
     found, tasks, group = partial_products(samples, blocks, shapes, folds), max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), FAN
     while tasks > FAN:
-        found = found.groupBy("f", "i", F.floor(F.col("task") / group).alias("g")).applyInArrow(add, kind)
+        found = found.groupBy("f", "i", F.floor(F.col("task") / group).alias("g")).applyInArrow(add, STRIPS)
         tasks, group = -(-tasks // FAN), group * FAN
-    return matrices(found.groupBy("f", "i").applyInArrow(add, kind).collect(), shapes, folds, strip)
+    return matrices(found.groupBy("f", "i").applyInArrow(add, STRIPS).collect(), shapes, folds, strip)
 
 
 def running(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]], folds: int, steps: int) -> Iterator[list[np.ndarray]]:
@@ -134,15 +164,21 @@ def running(samples: DataFrame, blocks: Callable, shapes: list[tuple[int, int]],
     """
     at_once = max(1, LARGEST // (folds * sum(a * b for a, b in shapes)))
     fold = F.col("fold") if "fold" in samples.columns else F.lit(0)
+    kept = at_once < steps and not samples.is_cached  # so that no job evaluates them again
+    samples = samples.cache() if kept else samples
     total: list[np.ndarray] | None = None
-    for lo in range(0, steps, at_once):
-        hi = min(steps, lo + at_once)
-        some = samples if hi - lo == steps else samples.where(F.col("ckpt").between(lo, hi - 1))
-        found = products(some.withColumn("fold", (F.col("ckpt") - lo) * folds + fold), blocks, shapes, (hi - lo) * folds)
-        for k in range(hi - lo):
-            part = [x[k * folds : (k + 1) * folds] for x in found]
-            total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
-            yield total
+    try:
+        for lo in range(0, steps, at_once):
+            hi = min(steps, lo + at_once)
+            some = samples if hi - lo == steps else samples.where(F.col("ckpt").between(lo, hi - 1))
+            found = products(some.withColumn("fold", (F.col("ckpt") - lo) * folds + fold), blocks, shapes, (hi - lo) * folds)
+            for k in range(hi - lo):
+                part = [x[k * folds : (k + 1) * folds] for x in found]
+                total = part if total is None else [a + b for a, b in zip(total, part, strict=True)]
+                yield total
+    finally:
+        if kept:
+            samples.unpersist()
 
 
 def gram(samples: DataFrame, rows: Callable, width: int, folds: int = 1) -> np.ndarray:
@@ -689,6 +725,8 @@ class TwoStage:
     def blocks(self):
         """Left and right factors, and their shapes, of what fit and correction need: the weighted fit, targets by features, the number of samples."""
         features, gamma_of, d, t = self.features, self.gamma, self.width, self.targets
+        if self.basis == "size_player":
+            return self._blocks_by_size, [(d + 1, d + 1), (t, d + 2), (1, 1)]
 
         def factors(c):
             z = np.hstack([features(c["mask"]), c["u"][:, None], np.ones((len(c["u"]), 1))])
@@ -698,6 +736,22 @@ class TwoStage:
 
         return factors, [(d + 1, d + 1), (t, d + 2), (1, 1)]
 
+    def _blocks_by_size(self, c):
+        """The same for players by size: rows of one size touch the columns of that size alone, so they are multiplied by themselves."""
+        n, d, x, s = self.n, self.width, bit_matrix(c["mask"], self.n), np.bitwise_count(c["mask"]).astype(np.intp)
+        before = d - n * len(self.sizes)  # features of the size and of the overlap
+        plain = np.hstack([np.ones((len(s), 1)), *([np.log1p(s)[:, None], ((s / n) ** 2)[:, None]] if self.nonlinear else []), *([x[:, self.group].sum(axis=1, keepdims=True) / s[:, None]] if self.group is not None and self.overlap_ratio else [])])
+        z = np.hstack([plain, x, c["u"][:, None], np.ones((len(s), 1))])
+        gamma = self.gamma(c["mask"]) / c["q"][:, None]
+        weighted = z[:, :-1] * np.sqrt((gamma**2).sum(axis=1))[:, None]
+        fit, cross, targets = [], [], np.arange(self.targets)
+        for size in np.unique(s).tolist():
+            at = np.flatnonzero(s == size)
+            columns = np.concatenate([np.arange(before), before + (size - 2) * n + np.arange(n), [d, d + 1]])
+            fit.append((weighted[at], None, at, columns[:-1], columns[:-1]))
+            cross.append((gamma[at], z[at], at, targets, columns))
+        return [fit, cross, (z[:, -1:], None)]
+
     def statistics(self, evaluated: DataFrame) -> list[np.ndarray]:
         """Per fold the products that fit and correction need."""
         return products(evaluated, *self.blocks(), self.folds)

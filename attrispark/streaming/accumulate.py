@@ -46,19 +46,21 @@ def store_values(stream: DataFrame, path: str, checkpoint: str, keys: list[str])
 
 
 class SummedStrips(StatefulProcessor):
-    """The running sum of one strip of a matrix, over all batches so far."""
+    """The running sum of one strip of a matrix of `size` numbers, over all batches so far."""
+
+    def __init__(self, size: int, strip: int):
+        self.size, self.strip = size, strip
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.total = handle.getValueState("total", "v binary")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        whole = np.frombuffer(self.total.get()[0], np.float64).copy() if self.total.exists() else None
+        whole = np.frombuffer(self.total.get()[0], np.float64).copy() if self.total.exists() else np.zeros(min(self.strip, self.size - key[1] * self.strip))
         for part in rows:
-            for v in part["v"]:
-                x = np.frombuffer(v, np.float64)
-                whole = x.copy() if whole is None else whole + x
+            for at, v in zip(part["at"], part["v"], strict=True):
+                regression.thicken(bytes(at), v, whole)
         self.total.update((whole.tobytes(),))
-        yield pd.DataFrame({"f": [key[0]], "i": [key[1]], "v": [whole.tobytes()]})
+        yield pd.DataFrame({"f": [key[0]], "i": [key[1]], "at": [b""], "v": [whole.tobytes()]})
 
     def close(self) -> None:
         pass
@@ -79,7 +81,7 @@ def fitted_values(evaluated: DataFrame, fit: regression.Fit, path: str, checkpoi
     parts = regression.partial_products(evaluated, lambda c: [(rows(c), None)], shapes) if fit.folds == 1 else None
     if parts is None:
         raise ValueError("a stream's samples can't be sorted by fold; use an estimator of one matrix")
-    state = parts.groupBy("f", "i").transformWithStateInPandas(SummedStrips(), outputStructType="f int, i int, v binary", outputMode="Update", timeMode="None")
+    state = parts.groupBy("f", "i").transformWithStateInPandas(SummedStrips(width * width, strip), outputStructType="f int, i int, at binary, v binary", outputMode="Update", timeMode="None")
 
     def solve(batch: DataFrame, number: int) -> None:
         strips = batch.collect()  # one matrix

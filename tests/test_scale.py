@@ -123,6 +123,26 @@ def test_two_stage_of_a_group_of_forty_players(forty, size):
     assert abs(got - truth[group].sum()) < 0.05 * np.abs(truth).sum()
 
 
+@pytest.mark.parametrize("group", [None, [0, 2, 3, 7]])
+def test_players_by_size_are_multiplied_by_themselves(spark, group):
+    """Products of the rows of each size equal those of whole rows."""
+    game = games.random_terms(spark, 9, 40, 5)
+    stage = regression.TwoStage(game, SHAPLEY, group=group, basis="size_player", folds=3)
+    drawn = est.worth(game, stage.draw(stage.law(), 150, "a")).cache()
+    got = stage.statistics(drawn)
+
+    def whole(c):
+        z = np.hstack([stage.features(c["mask"]), c["u"][:, None], np.ones((len(c["u"]), 1))])
+        gamma = stage.gamma(c["mask"]) / c["q"][:, None]
+        return [(z[:, :-1] * np.sqrt((gamma**2).sum(axis=1))[:, None], None), (gamma, z), (z[:, -1:], None)]
+
+    c = {k: np.array([r[k] for r in drawn.collect()]) for k in ("mask", "u", "q", "fold")}
+    for f in range(3):
+        mine = {k: v[c["fold"] == f] for k, v in c.items()}
+        for a, (left, right) in zip(got, whole(mine), strict=True):
+            assert a[f] == pytest.approx(left.T @ (left if right is None else right))
+
+
 def test_laws_of_many_cells(spark):
     from attrispark.functions import draws
 
