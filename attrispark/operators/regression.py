@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attrispark.functions import draws
+from attrispark.functions import clock, draws
 from attrispark.functions.ship import ship
 from attrispark.functions.spec import Semivalue, number
 from attrispark.operators import exact, subsets
@@ -211,7 +211,10 @@ def _only_shapley(spec: Semivalue, name: str) -> None:
 
 def _estimate(game, fit: Fit, count: int | None, seed: int, paired: bool, drawn: DataFrame | None = None) -> DataFrame:
     drawn = _samples(game, fit.law, game.n, count, seed, paired) if drawn is None else drawn
-    return values_frame(game.spark, fit.solve(gram(drawn, fit.rows, fit.width, fit.folds)))
+    sums = gram(drawn, fit.rows, fit.width, fit.folds)
+    with clock.readout():
+        values = fit.solve(sums)
+    return values_frame(game.spark, values)
 
 
 def kernel_fit(game, spec: Semivalue) -> Fit:
@@ -471,7 +474,10 @@ def converged(name: str, game, spec: Semivalue, counts: list[int], seed: int = 0
         drawn = in_fold(drawn, fit.folds, seed)
     rows = fit.rows
     found = running(drawn, lambda c: [(rows(c), None)], [(fit.width, fit.width)], fit.folds, len(counts))
-    values = [(k, i, float(v)) for k, (g,) in enumerate(found) for i, v in enumerate(fit.solve(g / counts[k]))]
+    values = []
+    for k, (g,) in enumerate(found):
+        with clock.readout():
+            values += [(k, i, float(v)) for i, v in enumerate(fit.solve(g / counts[k]))]
     return game.spark.createDataFrame(values, "ckpt int, player int, value double")
 
 
@@ -773,17 +779,18 @@ class TwoStage:
             return np.linalg.lstsq(left, right, rcond=None)[0]
 
     def combine(self, stats: list[np.ndarray], boundary: np.ndarray, zeta: np.ndarray | None = None) -> np.ndarray:
-        total, zeta = [x.sum(axis=0) for x in stats], self.readout() if zeta is None else zeta
-        value, weight = np.zeros(self.targets), 0.0
-        for f in range(self.folds):
-            _, _, bz, by, m = self.parts([x[f] for x in stats])
-            if m <= 0:
-                continue
-            others = [x - y[f] for x, y in zip(total, stats, strict=True)]
-            beta = self.fit(others if others[2][0, 0] > 0 else total)
-            value += m * (zeta @ beta) + by - bz @ beta
-            weight += m
-        return boundary + (value / weight if weight else 0.0)
+        with clock.readout():
+            total, zeta = [x.sum(axis=0) for x in stats], self.readout() if zeta is None else zeta
+            value, weight = np.zeros(self.targets), 0.0
+            for f in range(self.folds):
+                _, _, bz, by, m = self.parts([x[f] for x in stats])
+                if m <= 0:
+                    continue
+                others = [x - y[f] for x, y in zip(total, stats, strict=True)]
+                beta = self.fit(others if others[2][0, 0] > 0 else total)
+                value += m * (zeta @ beta) + by - bz @ beta
+                weight += m
+            return boundary + (value / weight if weight else 0.0)
 
     def residual_law(self, evaluated: DataFrame, beta: np.ndarray) -> dict[int, float]:
         """Stage 2: chances by the root of squared coefficients times the mean squared residual of the cell."""

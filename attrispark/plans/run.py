@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attrispark.functions import clock
 from attrispark.functions.spec import Semivalue
 from attrispark.operators import estimators as est
 from attrispark.operators import exact, groups, regression
@@ -125,6 +126,35 @@ def timed(game, name: str, spec: Semivalue, per_player: int, seed: int = 0, pair
     return rows, time.monotonic() - began
 
 
+@dataclass(frozen=True)
+class Phases:
+    """Seconds of a run: all of it, drawing, evaluating and summing (regular), and the solves (readout); and the evaluations it was given."""
+
+    elapsed: float
+    regular: float
+    readout: float
+    evaluations: int
+
+
+def phases(game, name: str, spec: Semivalue, per_player: int, seed: int = 0, paired: bool = False, group: list[int] | None = None, every: int | None = None) -> tuple[list, Phases]:
+    """The rows of `run`, or of `converge` where `every` is given, and the seconds of its phases.
+
+    The run's jobs carry its name as their group, so the listeners and pages of
+    a session tell them apart.  Estimators without a solve read their values
+    out in the query itself, which counts as regular.
+    """
+    sc = game.spark.sparkContext
+    sc.setJobGroup(f"attrispark {name}", f"{name}, {spec}, {per_player} evaluations a player")
+    try:
+        with clock.watch() as took:
+            made = run(game, name, spec, per_player, seed, paired, group) if every is None else converge(game, name, spec, per_player, every, seed, paired, group)
+            rows = made.collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    return rows, Phases(**took, evaluations=per_player * game.n)
+
+
 def strata_group(game, spec: Semivalue, group: list[int], per_player: int, threshold: int = 5, seed: int = 0) -> DataFrame:
     """(value) by strata of size and overlap, the budget dealt evenly over them."""
     cells = max(1, len(groups._strata(game.n, len(group), threshold)))

@@ -4,7 +4,7 @@ import pytest
 from attrispark.functions.spec import BANZHAF, SHAPLEY, banzhaf
 from attrispark.operators import estimators, exact, report, trajectory
 from attrispark.operators.estimators import Unsupported
-from attrispark.plans.run import REGISTRY, converge, run, samples_for, strata_group, timed
+from attrispark.plans.run import REGISTRY, converge, phases, run, samples_for, strata_group, timed
 from attrispark.sources import games, store
 from attrispark.sources.training import Training, trained_in_order, trained_on_tables, training_game
 
@@ -96,6 +96,15 @@ def test_budgets_and_names(game):
     assert len(rows) == 5 and seconds > 0
 
 
+def test_phases_of_a_run(game):
+    for name, options in (("two_stage", {}), ("kernel_shap", {"every": 10}), ("msr", {})):
+        spec = BANZHAF if name == "msr" else SHAPLEY
+        rows, took = phases(game, name, spec, 30, seed=2, **options)
+        assert len(rows) == (15 if options else 5) and took.evaluations == 150
+        assert took.elapsed == pytest.approx(took.regular + took.readout) and took.regular > 0
+        assert (took.readout > 0) == (name != "msr")
+
+
 def test_groups_by_name(game):
     want = exact.group_sum(game, SHAPLEY, [0, 3]).first()["value"]
     assert run(game, "exact", SHAPLEY, 1, group=[3, 0]).first()["value"] == pytest.approx(want)
