@@ -484,23 +484,78 @@ def converged(name: str, game, spec: Semivalue, counts: list[int], seed: int = 0
 # ------------------------------------------------------------------ tree surrogate
 
 
-def _leaves(text: str) -> list[tuple[float, int, int, float]]:
-    """(tree weight, bits required, bits excluded, prediction) of each leaf in a printed ensemble of trees over 0/1 features."""
-    import re
-
-    found, weight, path = [], 1.0, []
-    for line in text.splitlines():
-        depth = len(line) - len(line.lstrip())
-        body = line.strip()
-        if m := re.match(r"Tree \d+ \(weight ([^)]+)\)", body):
-            weight, path = float(m[1]), []
-            continue
-        path = [p for p in path if p[0] < depth]
-        if m := re.match(r"(?:If|Else) \(feature (\d+) (<=|>) ([-\d.E]+)\)", body):
-            path.append((depth, int(m[1]), m[2] == ">"))
-        elif m := re.match(r"Predict: ([-\d.E]+)", body):
-            found.append((weight, sum({1 << i for _, i, on in path if on}), sum({1 << i for _, i, on in path if not on}), float(m[1])))
-    return found
+@dataclass
+class Trees:
+    """A sum of trees over players' bits.  Node 1 is a root, and the children of k are 2k without and 2k + 1 with the player it asks for."""
+
+    base: float
+    asked: list[np.ndarray]  # of each tree: the player by node, -1 where the node asks for none
+    paid: list[np.ndarray]  # the value by node; what a node that asks would pay isn't used
+
+    def leaf(self, tree: int, masks: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node of the tree where each coalition ends, after so many levels."""
+        asked = self.asked[tree]
+        node = np.ones(len(masks), np.intp)
+        for _ in range(len(asked).bit_length() - 2 if levels is None else levels):
+            player = asked[node]
+            node = np.where(player >= 0, 2 * node + ((masks >> np.maximum(player, 0)) & 1), node)
+        return node
+
+    def predict(self, masks: np.ndarray) -> np.ndarray:
+        return self.base + sum((self.paid[t][self.leaf(t, masks)] for t in range(len(self.asked))), np.zeros(len(masks)))
+
+    def leaves(self) -> list[tuple[float, int, int, float]]:
+        """(1, bits required, bits excluded, value) of each leaf."""
+        found = []
+
+        def descend(t: int, node: int, need: int, bar: int) -> None:
+            player = int(self.asked[t][node])
+            if player < 0:
+                found.append((1.0, need, bar, float(self.paid[t][node])))
+            else:
+                descend(t, 2 * node, need, bar | 1 << player)
+                descend(t, 2 * node + 1, need | 1 << player, bar)
+
+        for t in range(len(self.asked)):
+            descend(t, 1, 0, 0)
+        return found
+
+
+def boosted(samples: DataFrame, n: int, trees: int, depth: int, rate: float, penalty: float, scale: float) -> Trees:
+    """Second-order boosting of squared loss on samples (mask, u, w), `scale` times w being a sample's weight.
+
+    A level is one pass: tasks sum gradients and weights by node and player,
+    and the driver, from at most 2^depth by n sums, splits where the loss falls
+    most.  A leaf pays the Newton step -G / (H + penalty) times the rate.
+    """
+    (first,) = products(samples, lambda c: [(np.ones((len(c["u"]), 1)), np.stack([c["u"], np.ones(len(c["u"]))], axis=1))], [(1, 2)])
+    model = Trees(float(first[0, 0, 0] / first[0, 0, 1]) if first[0, 0, 1] else 0.0, [], [])
+    size = 1 << (depth + 1)
+    for t in range(trees):
+        model.asked.append(np.full(size, -1))
+        model.paid.append(np.zeros(size))
+        for level in range(depth):
+            seen = Trees(model.base, model.asked[:t], model.paid[:t])
+            here = Trees(0.0, [model.asked[t].copy()], [model.paid[t]])
+
+            def blocks(c, seen=seen, here=here, level=level):
+                node = np.eye(size)[here.leaf(0, c["mask"], level)]
+                with_one = np.hstack([bit_matrix(c["mask"], n), np.ones((len(node), 1))])
+                return [(node * (seen.predict(c["mask"]) - c["u"])[:, None], with_one), (node, with_one)]
+
+            gradient, weight = (scale * x[0] for x in products(samples, blocks, [(size, n + 1)] * 2))
+            reached = [k for k in range(1 << level, 2 << level) if weight[k, n] > 0]
+            for k in reached:
+                g1, h1, g, h = gradient[k, :n], weight[k, :n], gradient[k, n], weight[k, n]
+                g0, h0 = g - g1, h - h1
+                gain = np.where((h1 > 1e-9 * h) & (h0 > 1e-9 * h), g1**2 / (h1 + penalty) + g0**2 / (h0 + penalty) - g**2 / (h + penalty), 0.0)
+                best = int(np.argmax(gain))
+                if gain[best] > 1e-9 * g**2 / (h + penalty):
+                    model.asked[t][k] = best
+                    model.paid[t][2 * k], model.paid[t][2 * k + 1] = -rate * g0[best] / (h0[best] + penalty), -rate * g1[best] / (h1[best] + penalty)
+                if k == 1:
+                    model.paid[t][1] = -rate * g / (h + penalty)
+    return model
 
 
 def tree_semivalue(leaves, spec: Semivalue, n: int) -> np.ndarray:
@@ -524,38 +579,38 @@ def tree_semivalue(leaves, spec: Semivalue, n: int) -> np.ndarray:
     return out
 
 
-def _tree_values(game, spec: Semivalue, drawn: DataFrame, chance: np.ndarray, seed: int, trees: int, depth: int) -> np.ndarray:
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+def _tree_values(game, spec: Semivalue, drawn: DataFrame, chance: np.ndarray, scale: float, trees: int, depth: int, rate: float, penalty: float) -> np.ndarray:
     n = game.n
-    bits = drawn.select("mask", "s", "u", "w", *[F.expr(f"cast(getbit(mask, {i}) AS double)").alias(f"x{i}") for i in range(n)])
-    data = VectorAssembler(inputCols=[f"x{i}" for i in range(n)], outputCol="features").transform(bits).cache()
+    data = drawn.select("mask", "s", "u", "w").cache()
     try:
-        fitted = GBTRegressor(labelCol="u", maxIter=trees, maxDepth=depth, seed=seed, maxBins=2).fit(data)
-        leaves = _leaves(fitted.toDebugString)
-        residual = fitted.transform(data).select("mask", "s", (F.col("u") - F.col("prediction")).alias("u"), "w")
-        g = gram(residual, lambda c: np.hstack([np.ones((len(c["u"]), 1)), c["u"][:, None] * coefficients(spec, n, c["mask"], c["s"]) / chance[c["s"]][:, None]]), n + 1)[0]
+        model = boosted(data, n, trees, depth, rate, penalty, scale)
+
+        def rows(c):
+            left = (c["u"] - model.predict(c["mask"]))[:, None]
+            return [(np.hstack([np.ones((len(left), 1)), left * coefficients(spec, n, c["mask"], c["s"]) / chance[c["s"]][:, None]]), np.ones((len(left), 1)))]
+
+        (sums,) = products(data, rows, [(n + 1, 1)])
     finally:
         data.unpersist()
-    return tree_semivalue(leaves, spec, n) + g[0, 1:] / g[0, 0]
+    with clock.readout():
+        return tree_semivalue(model.leaves(), spec, n) + sums[0, 1:, 0] / sums[0, 0, 0]
 
 
-def tree_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, trees: int = 10, depth: int = 3) -> DataFrame:
+def tree_msr(game, spec: Semivalue, count: int | None = None, seed: int = 0, trees: int = 10, depth: int = 3, rate: float = 0.3, penalty: float = 1.0) -> DataFrame:
     """Boosted-tree surrogate with exact leaf semivalues, corrected by the mean residual over chance."""
     law = balanced_law(spec, game.n)
     drawn = _samples(game, Law({s: v for s, v in law.items() if v > 0}), game.n, count, seed, False)
-    return values_frame(game.spark, _tree_values(game, spec, drawn, coalition_chance(law, game.n), seed, trees, depth))
+    return values_frame(game.spark, _tree_values(game, spec, drawn, coalition_chance(law, game.n), float(count or 1 << game.n), trees, depth, rate, penalty))
 
 
-def trees_converged(game, spec: Semivalue, counts: list[int], seed: int = 0, paired: bool = False, trees: int = 10, depth: int = 3) -> DataFrame:
+def trees_converged(game, spec: Semivalue, counts: list[int], seed: int = 0, paired: bool = False, trees: int = 10, depth: int = 3, rate: float = 0.3, penalty: float = 1.0) -> DataFrame:
     """(ckpt, player, value): what tree_msr gives for each of the rising counts; samples are drawn and evaluated once, trees grown for each."""
     if paired:
         raise Unsupported("tree_msr draws no pairs")
     law = balanced_law(spec, game.n)
     drawn = worth(game, sample(game.spark, Law({s: v for s, v in law.items() if v > 0}), game.n, counts[-1], seed)).withColumn("w", F.lit(1.0)).cache()
     try:
-        values = [_tree_values(game, spec, drawn.where(F.col("k") < c), coalition_chance(law, game.n), seed, trees, depth) for c in counts]
+        values = [_tree_values(game, spec, drawn.where(F.col("k") < c), coalition_chance(law, game.n), 1.0, trees, depth, rate, penalty) for c in counts]
     finally:
         drawn.unpersist()
     return game.spark.createDataFrame([(k, i, float(v)) for k, row in enumerate(values) for i, v in enumerate(row)], "ckpt int, player int, value double")

@@ -308,7 +308,7 @@ add("group_strata_exact", on("event", lambda g: groups.strata_shapley(g, SHAPLEY
 add("group_strata_quotient", on("event", lambda g: groups.strata_shapley(g, SHAPLEY, [0, 3], threshold=2), 4), oracle.group_strata("event", [0, 3], 2))
 add("group_wrapper_msr", on("event", lambda g: groups.summed(est.estimate("msr", g, banzhaf(0.25), COUNT, SEED), [0, 3]), 5), f"SELECT round(sum(value), 5) AS value FROM ({oracle.rule('msr', 'event', banzhaf(0.25), COUNT, SEED, digits=12)}) WHERE player IN (0, 3)")
 
-# The sampled forms of the estimators that solve on the driver.  Trees have no SQL; they are tested against exact values.
+# The sampled forms of the estimators that solve on the driver.
 _SOLVED: dict[str, Callable] = {
     "kernel_shap": lambda g: regression.kernel_shap(g, SHAPLEY, COUNT, SEED),
     "kernel_shap_paired": lambda g: regression.kernel_shap(g, SHAPLEY, COUNT, SEED, True),
@@ -322,6 +322,7 @@ _SOLVED: dict[str, Callable] = {
     "regression_msr_unbiased": lambda g: regression.regression_msr(g, SHAPLEY, COUNT, SEED, True),
     "regression_msr_plain": lambda g: regression.regression_msr(g, SHAPLEY, COUNT, SEED, special=False),
     "tree_msr": lambda g: regression.tree_msr(g, SHAPLEY, COUNT, SEED),
+    "tree_msr_beta": lambda g: regression.tree_msr(g, beta(4, 1), COUNT, SEED, trees=4, depth=2),
     "two_stage": lambda g: regression.values_frame(g.spark, regression.TwoStage(g, SHAPLEY, seed=SEED).estimate(COUNT)),
     "two_stage_unpaired": lambda g: regression.values_frame(g.spark, regression.TwoStage(g, beta(4, 1), seed=SEED).estimate(COUNT)),
 }
@@ -334,6 +335,8 @@ _SOLVED_SQL: dict[str, str] = {
     "regression_msr": oracle.regression_msr("event", beta(4, 1), COUNT, SEED, False, False),
     "regression_msr_unbiased": oracle.regression_msr("event", SHAPLEY, COUNT, SEED, True, True),
     "regression_msr_plain": oracle.regression_msr("event", SHAPLEY, COUNT, SEED, False, True, special=False),
+    "tree_msr": oracle.tree_msr("event", SHAPLEY, COUNT, SEED),
+    "tree_msr_beta": oracle.tree_msr("event", beta(4, 1), COUNT, SEED, trees=4, depth=2),
     "two_stage": oracle.two_stage("event", SHAPLEY, COUNT, SEED),
     "two_stage_unpaired": oracle.two_stage("event", beta(4, 1), COUNT, SEED),
 }

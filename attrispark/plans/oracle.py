@@ -404,6 +404,28 @@ def without_replacement(law: dict[int, float], n: int, count: int, seed: int) ->
     return f"WITH m AS (SELECT range AS mask, bit_count(range)::int AS s, row_number() OVER (PARTITION BY bit_count(range) ORDER BY {order}) - 1 AS rank FROM range({1 << n}) m), p AS ({' UNION ALL '.join(picks)}) SELECT mask, s, round({share}, 8) AS chance FROM m JOIN p USING (s, rank)"
 
 
+def tree_msr(game: str, spec: Semivalue, count: int, seed: int, trees: int = 10, depth: int = 3, rate: float = 0.3, penalty: float = 1.0, digits: int = 2) -> str:
+    """Boosting level by level; every coalition goes through the trees with weight 0, so that what they stand for is summed, not read off leaves."""
+    n = PLAYERS[game]
+    law = balanced_law(spec, n)
+    q = by_size(coalition_chance(law, n).tolist())
+    parts = [f"{table(game)}, {samples(Law({s: v for s, v in law.items() if v > 0}), n, count, seed)}"]
+    parts.append("r0 AS MATERIALIZED (SELECT mask, u, 1e0 AS w, (SELECT avg(u) FROM smp JOIN util USING (mask)) AS f FROM smp JOIN util USING (mask) UNION ALL SELECT mask, u, 0e0, (SELECT avg(u) FROM smp JOIN util USING (mask)) FROM util)")
+    share = lambda g, h: f"({g}) ** 2 / ({h} + {penalty!r}::double)"
+    for t in range(trees):
+        parts.append(f"n{t}_0 AS (SELECT *, 1 AS node FROM r{t})")
+        for level in range(depth):
+            of = f"n{t}_{level}"
+            parts.append(f"g{t}_{level} AS (SELECT node, p.range::int AS i, sum(w * (f - u)) AS g, sum(w) AS h, sum(w * (f - u) * ((mask >> p.range::int) & 1)) AS g1, sum(w * ((mask >> p.range::int) & 1)) AS h1 FROM {of} CROSS JOIN range({n}) p GROUP BY 1, 2)")
+            parts.append(f"b{t}_{level} AS MATERIALIZED (SELECT node, i FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, i) AS o FROM (SELECT *, {share('g1', 'h1')} + {share('g - g1', 'h - h1')} - {share('g', 'h')} AS gain FROM g{t}_{level} WHERE node >= {1 << level} AND h1 > 1e-9 * h AND h - h1 > 1e-9 * h)) WHERE o = 1 AND gain > 0)")
+            parts.append(f"n{t}_{level + 1} AS MATERIALIZED (SELECT mask, u, w, f, CASE WHEN i IS NULL THEN node ELSE 2 * node + ((mask >> i) & 1) END AS node FROM {of} LEFT JOIN b{t}_{level} USING (node))")
+        parts.append(f"r{t + 1} AS MATERIALIZED (SELECT mask, u, w, f - {rate!r}::double * sum(w * (f - u)) OVER (PARTITION BY node) / (sum(w) OVER (PARTITION BY node) + {penalty!r}::double) AS f FROM n{t}_{depth})")
+    inside, outside = by_size(spec.p(n), first=1, column="bit_count(mask)"), by_size(spec.p(n), column="bit_count(mask)")
+    gamma = f"(CASE WHEN (mask >> p.range::int) & 1 = 1 THEN {inside} ELSE -{outside} END)"
+    chance = q.replace("CASE s ", "CASE bit_count(mask) ")
+    return f"WITH {', '.join(parts)} SELECT p.range::int AS player, round(sum(CASE WHEN w = 0 THEN {gamma} * f END) + avg(CASE WHEN w = 1 THEN {gamma} * (u - f) / {chance} END), {digits}) AS value FROM r{trees} CROSS JOIN range({n}) p GROUP BY 1"
+
+
 # All suppliers as players, by membership rows instead of masks.
 
 _SUPPLIERS = """sup AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS player FROM supplier), nn AS (SELECT count(*)::int AS n FROM sup),

@@ -250,3 +250,30 @@ def test_weights_of_very_many_players():
         low, high = spec.d(499), spec.d(501)
         assert max(abs(a - b) for a, b in zip(low, high, strict=False)) < 0.02
         assert all(np.isfinite(spec.p(3000)))
+
+
+# ------------------------------------------------------------------ boosted trees
+
+
+def test_boosted_trees(spark):
+    """Splits by the largest fall of the loss, Newton leaf weights, and leaves that add up to the prediction."""
+    rng = np.random.default_rng(2)
+    masks = rng.integers(0, 64, 300)
+    u = 3.0 * (masks & 1) - 2.0 * ((masks >> 3) & 1) * ((masks >> 4) & 1) + rng.normal(size=300) * 0.1
+    samples = spark.createDataFrame([(int(m), float(x), 1.0) for m, x in zip(masks, u, strict=True)], "mask bigint, u double, w double").repartition(4)
+    model = regression.boosted(samples, 6, 12, 3, 0.5, 1.0, 1.0)
+    assert model.base == pytest.approx(u.mean()) and model.asked[0][1] == 0
+    inside = (masks & 1) == 1
+    once = regression.boosted(samples, 6, 1, 1, 0.5, 1.0, 1.0)
+    assert once.paid[0][[2, 3]] == pytest.approx([0.5 * (u[at] - u.mean()).sum() / (at.sum() + 1) for at in (~inside, inside)])
+    assert np.abs(model.predict(masks) - u).mean() < 0.3
+    every = np.arange(64)
+    leaves = model.leaves()
+    summed = model.base + sum(v * ((every & need) == need) * ((every & bar) == 0) for _, need, bar, v in leaves)
+    assert model.predict(every) == pytest.approx(summed)
+    for spec in SPECS:
+        p = spec.p(6)
+        want = [sum(p[m.bit_count()] * (summed[m | 1 << i] - summed[m]) for m in range(64) if not m >> i & 1) for i in range(6)]
+        assert regression.tree_semivalue(leaves, spec, 6) == pytest.approx(want)
+    flat = regression.boosted(samples.withColumn("u", F.lit(2.0)), 6, 2, 2, 0.5, 1.0, 1.0)
+    assert flat.predict(every) == pytest.approx(np.full(64, 2.0))
