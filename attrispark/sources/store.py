@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 from hashlib import sha256
@@ -15,8 +19,19 @@ NULL = "\\N"
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, else the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that spark.checkpoint.dir names; only in local mode, where driver and executors are one process, a folder of this machine, removed when it ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="attrispark-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
+    return _LOCAL[0]
+
+
+_LOCAL: list[str] = []
 
 
 def save(table: DataFrame, path: str, form: str = "parquet") -> None:

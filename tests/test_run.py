@@ -186,3 +186,14 @@ def test_reports(spark):
     assert [r["value"] for r in flat] == [0.0, 0.0]
     gaps = spark.createDataFrame([(0, 1, 5.0)], "player int, ckpt int, value double")
     assert [r["value"] for r in trajectory.filled(gaps, ["player"], 3).orderBy("ckpt").collect()] == [0.0, 5.0, 5.0, 5.0]
+
+
+def test_shared_folders(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    session = lambda master, folder=None: SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: folder), sparkContext=SimpleNamespace(master=master))
+    assert store.shared(session("spark://a:1", "hdfs://b/c/")) == "hdfs://b/c"
+    assert store.shared(session("local[4]")) == store.shared(session("local"))
+    for master in ("spark://a:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            store.shared(session(master))
