@@ -27,7 +27,7 @@ END_ID = 1
 BUNDLE = 1 << 16
 BUNDLE_WITH_IDS = 1 << 12
 #: Words whose ids a worker remembers, and bytes of text whose words are looked up together.
-CACHE, TEXT_BYTES = 1_000_000, 8 << 20
+CACHE, TEXT_BYTES = 250_000, 6 << 20
 #: Words that the tokenizer is given in one string, and what stands between them: a special token, found before anything else.
 JOINED, BETWEEN = 1000, b"<|endoftext|>"
 
@@ -172,6 +172,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         fields.append(T.StructField("ids", T.BinaryType()))
 
     def cut(batches):
+        cl.release()
         for batch in batches:
             for at, texts in parts_of(batch.column(1)):
                 ids, bounds = token_ids(texts, tokenizer_path)
