@@ -17,17 +17,17 @@ def cumulative(parts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     return parts.select(*keys, "ckpt", *[F.sum(c).over(run).alias(c) for c in sums])
 
 
-def inclusion_trajectory(evaluated: DataFrame, n: int, interval: int) -> DataFrame:
-    """(player, ckpt, value): running difference of mean worth with and without each player.
+def inclusion_trajectory(evaluated: DataFrame, n: int, interval: int, keys: list[str] = ()) -> DataFrame:
+    """(keys, player, ckpt, value): running difference of mean worth with and without each player, of each run that the keys name.
 
     Partial sums are combined per checkpoint before anything is shuffled.
     """
-    spread = checkpoints(evaluated, interval).select("ckpt", "u", "mask", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("player"))
+    spread = checkpoints(evaluated, interval).select(*keys, "ckpt", "u", "mask", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("player"))
     inside = F.expr("getbit(mask, player) = 1")
-    parts = spread.groupBy("player", "ckpt").agg(*[F.sum(F.when(hit, what).otherwise(0.0)).alias(c) for c, hit, what in (("si", inside, F.col("u")), ("ci", inside, F.lit(1.0)), ("so", ~inside, F.col("u")), ("co", ~inside, F.lit(1.0)))])
-    run = cumulative(parts, ["player"], ["si", "ci", "so", "co"])
+    parts = spread.groupBy(*keys, "player", "ckpt").agg(*[F.sum(F.when(hit, what).otherwise(0.0)).alias(c) for c, hit, what in (("si", inside, F.col("u")), ("ci", inside, F.lit(1.0)), ("so", ~inside, F.col("u")), ("co", ~inside, F.lit(1.0)))])
+    run = cumulative(parts, [*keys, "player"], ["si", "ci", "so", "co"])
     mean = lambda s, c: F.coalesce(F.try_divide(F.col(s), F.col(c)), F.lit(0.0))
-    return run.select("player", "ckpt", (mean("si", "ci") - mean("so", "co")).alias("value"))
+    return run.select(*keys, "player", "ckpt", (mean("si", "ci") - mean("so", "co")).alias("value"))
 
 
 def mean_trajectory(deltas: DataFrame, interval: int, value: Column | str = "delta") -> DataFrame:

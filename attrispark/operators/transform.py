@@ -133,3 +133,25 @@ def table(game) -> DataFrame:
         return pa.table({"mask": pa.array((high[:, None] | low[None, :]).reshape(-1)), "u": pa.array(worths.reshape(-1))})
 
     return over_strips(game, run, "mask bigint, u double")
+
+
+def evaluate(game, masks: DataFrame) -> DataFrame:
+    """(mask, u) of the distinct masks asked for, looked up in the strips that hold them: no mask meets the terms one by one."""
+    n = game.n
+    parts, low, inner = strips(game)
+    strip_of = F.shiftright(F.col("mask").bitwiseAND(F.lit((1 << low) - 1).cast("bigint")), inner).cast("int")
+    asked = masks.select("mask").distinct().select(strip_of.alias("strip"), "mask")
+
+    def look(table, mine):
+        import pyarrow as pa
+
+        if not mine.num_rows:
+            return pa.table({"mask": pa.array([], pa.int64()), "u": pa.array([], pa.float64())})
+        worths = np.zeros((1 << (n - low), 1 << inner))
+        for high, v in zip(table.column("high").to_pylist(), table.column("v"), strict=True):
+            worths[high] = np.frombuffer(v.as_buffer(), np.float64)
+        spread(worths)
+        mask = mine.column("mask").to_numpy()
+        return pa.table({"mask": pa.array(mask), "u": pa.array(worths[mask >> low, mask & ((1 << inner) - 1)])})
+
+    return parts.groupBy("strip").cogroup(asked.groupBy("strip")).applyInArrow(look, "mask bigint, u double")

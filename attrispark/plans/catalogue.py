@@ -380,8 +380,10 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of three runs of the inclusion estimator against the exact Banzhaf values."""
     from functools import reduce
 
-    truth = exact.coefficients(games.event_user_day(spark, sf_dir), BANZHAF)
-    runs = reduce(DataFrame.unionByName, [_msr_trajectory(spark, sf_dir, seed).withColumn("run_idx", F.lit(i)) for i, seed in enumerate(_RUNS)])
+    game = games.event_user_day(spark, sf_dir)
+    drawn = reduce(DataFrame.unionByName, [est.sample(spark, _MSR, 5, COUNT, seed).withColumn("run_idx", F.lit(i)) for i, seed in enumerate(_RUNS)])
+    runs = trajectory.inclusion_trajectory(est.worth(game, drawn), 5, 50, ["run_idx"])
+    truth = exact.coefficients(game, BANZHAF)
     return report.errors(runs, truth, ["run_idx"]).withColumn("setting", F.lit("event")).withColumn("method", F.when(F.col("run_idx") < 2, "msr_a").otherwise("msr_b"))
 
 
@@ -488,6 +490,33 @@ _checkpointed("ame", beta(4, 2), lambda m: oracle.ame("event", beta(4, 2), m, SE
 _checkpointed("regression_msr_unbiased", SHAPLEY, lambda m: oracle.regression_msr("event", SHAPLEY, m, SEED, False, True), 2)
 
 
+add("run_checkpoints_two_stage", lambda spark, d: rounded(_two_stage_converged(spark, d), 2).select("ckpt", "evaluations", "player", "value"), " UNION ALL ".join(f"SELECT {k} AS ckpt, {c} AS evaluations, * FROM ({oracle.two_stage('event', beta(4, 1), c, SEED, pilot=87)})" for k, c in enumerate((150, 300, 450))))
+
+
+def _two_stage_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last budget sizes the pilot: a fifth of the 438 evaluations beside the boundary."""
+    from attrispark.plans.run import converge
+
+    return converge(games.event_user_day(spark, sf_dir), "two_stage", beta(4, 1), 90, 30, SEED)
+
+
+def _bound(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from attrispark.plans.run import run_group
+
+        return rounded(run_group(games.event_user_day(spark, sf_dir), name, SHAPLEY, 60, [0, 3], SEED), 2)
+
+    return query
+
+
+for _name, _sql in (
+    ("individual_regression_msr_unbiased", oracle.regression_msr("event", SHAPLEY, 300, SEED, True, True, digits=9)),
+    ("individual_regression_msr_unbiased_unpaired", oracle.regression_msr("event", SHAPLEY, 300, SEED, False, True, digits=9)),
+    ("individual_ofa_fixed", oracle.one_for_all("ofa_fixed", "event", SHAPLEY, 300, SEED, digits=9)),
+):
+    add(f"group_{_name}", _bound(_name), f"SELECT round(sum(value), 2) AS value FROM ({_sql}) WHERE player IN (0, 3)")
+
+
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attrispark.plans.run import run
 

@@ -271,7 +271,7 @@ def regression_msr(game: str, spec: Semivalue, count: int, seed: int, paired: bo
     return f"WITH {', '.join(parts)} SELECT player::int AS player, round(sum(m * v) / sum(m), {digits}) AS value FROM ({' UNION ALL '.join(pieces)}) GROUP BY 1"
 
 
-def two_stage(game: str, spec: Semivalue, count: int, seed: int, group: list[int] | None = None, folds: int = 10, fraction: float = 0.2, floor: float = 1e-8, least: int = 2, ridge: float = 1.0, digits: int = 2) -> str:
+def two_stage(game: str, spec: Semivalue, count: int, seed: int, group: list[int] | None = None, folds: int = 10, fraction: float = 0.2, floor: float = 1e-8, least: int = 2, ridge: float = 1.0, digits: int = 2, pilot: int | None = None) -> str:
     """Both stages: a pilot by the first law, the ridge fit, the second law from its residuals, then the fits across folds.
 
     What the surrogate stands for is summed over all coalitions here, not read off formulas.
@@ -280,7 +280,7 @@ def two_stage(game: str, spec: Semivalue, count: int, seed: int, group: list[int
     mask, w = sum(1 << i for i in group or []), g + 1
     paired = group is None and spec.symmetric
     left = max(2, count - 2 * n - 2)
-    pilot = max(2, int(left * fraction))
+    pilot = max(2, int(left * fraction)) if pilot is None else min(pilot, left)
     p = spec.p(n)
     cells = {}
     for s in range(2, n - 1):

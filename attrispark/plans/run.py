@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from attrispark.functions import clock
 from attrispark.functions.spec import Semivalue
 from attrispark.operators import estimators as est
-from attrispark.operators import exact, groups, regression
+from attrispark.operators import exact, groups, regression, transform
+from attrispark.sources import games
 
 
 @dataclass(frozen=True)
@@ -42,8 +43,14 @@ def _strata(name: str) -> Callable:
     return lambda game, spec, samples, seed, paired: est._strata_value(est.STRATA[name](game, spec, samples, seed, paired))
 
 
+def _exact(game, spec) -> DataFrame:
+    """By all coalitions: tabulated, or in strips where a game of terms has too many for a table."""
+    large = isinstance(game, games.TermsGame) and game.n > games.TABLE_PLAYERS
+    return transform.exact(game, spec) if large else exact.enumerated(game, spec)
+
+
 REGISTRY: dict[str, Entry] = {
-    "exact": Entry(lambda g, c, m, seed, paired: exact.enumerated(g, c)),
+    "exact": Entry(lambda g, c, m, seed, paired: _exact(g, c)),
     **{name: Entry(lambda g, c, m, seed, paired, name=name: est.estimate(name, g, c, m, seed, paired), (lambda n: 2) if rule.outside_law else (lambda n: 1)) for name, rule in est.RULES.items()},
     **{name: Entry(lambda g, c, m, seed, paired, name=name: est.estimate_marginal(name, g, c, m, seed, paired), lambda n: 2 * n) for name in est.MARGINAL},
     **{name: Entry(lambda g, c, m, seed, paired, name=name: est.one_for_all(name, g, c, m, seed, paired)) for name in est.OFA_SIZES},
@@ -77,11 +84,31 @@ def run(game, name: str, spec: Semivalue, per_player: int, seed: int = 0, paired
         stage = regression.TwoStage(game, spec, group=group, seed=seed)
         return stage.frame(stage.estimate(count))
     if name == "exact":
-        return exact.group_sum(game, spec, group)
+        large = isinstance(game, games.TermsGame) and game.n > games.TABLE_PLAYERS
+        return (transform.exact_group if large else exact.group_sum)(game, spec, group)
     exact.group_mask(group, game.n)
     return groups.summed(REGISTRY[name].run(game, spec, count, seed, paired), group)
 
 
+#: Estimators of a group's sum by name: a name of REGISTRY, and whether pairs are drawn (None: where the semivalue is symmetric).
+GROUP_NAMES: dict[str, tuple[str, bool | None]] = {
+    "two_stage": ("two_stage", None),
+    "individual_regression_msr_unbiased": ("regression_msr_unbiased", None),
+    "individual_regression_msr_unbiased_unpaired": ("regression_msr_unbiased", False),
+    "individual_ofa_fixed": ("ofa_fixed", False),
+}
+
+
+def run_group(game, name: str, spec: Semivalue, per_player: int, group: list[int], seed: int = 0) -> DataFrame:
+    """(value): the sum of a group's values, by its own two stages, by strata, or by an estimator of individual values bound to its options."""
+    if name == "strata":
+        return strata_group(game, spec, group, per_player, seed=seed)
+    if name not in GROUP_NAMES:
+        raise KeyError(f"no estimator of groups {name!r}; there are {', '.join(sorted([*GROUP_NAMES, 'strata']))}")
+    bound, pairs = GROUP_NAMES[name]
+    return run(game, bound, spec, per_player, seed, spec.symmetric if pairs is None else pairs, group)
+
+
 def converge(game, name: str, spec: Semivalue, per_player: int, every: int, seed: int = 0, paired: bool = False, group: list[int] | None = None) -> DataFrame:
     """(ckpt, evaluations[, player], value): the estimate after each `every` evaluations per player.
 
@@ -106,7 +133,7 @@ def converge(game, name: str, spec: Semivalue, per_player: int, every: int, seed
         frame = frame if group is None else frame.select("ckpt", "value")
     else:
         if name == "exact":
-            frame = exact.enumerated(game, spec).withColumn("ckpt", F.explode(F.sequence(F.lit(0), F.lit(len(counts) - 1)))).select("ckpt", "player", "value")
+            frame = _exact(game, spec).withColumn("ckpt", F.explode(F.sequence(F.lit(0), F.lit(len(counts) - 1)))).select("ckpt", "player", "value")
         elif name == "tree_msr":
             frame = regression.trees_converged(game, spec, counts, seed, paired)
         elif name in regression.FITS:

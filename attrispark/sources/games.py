@@ -117,6 +117,10 @@ class TermsGame:
             return asked.join(F.broadcast(self.table()), "mask")  # at most 4096 rows
         if (found := self.attach(asked)) is not None:
             return found
+        from attrispark.operators import transform
+
+        if self.n <= transform.MOST_PLAYERS:
+            return transform.evaluate(self, asked)
         chunks = ceil(self.terms.count() / SMALL_TERMS)
         ship(self.spark)
         blocks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))

@@ -199,12 +199,13 @@ def test_points_of_one_owner(spark):
         assert table[m] == fewer[m] == pytest.approx(hits / 20)
 
 
-def test_large_term_tables_are_met_in_chunks(spark, monkeypatch):
-    game = games.random_terms(spark, 20, 300, 9)
-    masks = est.sample(spark, est.Law(coin=0.7), 20, 50, 1)
+@pytest.mark.parametrize("n", [20, 35])
+def test_large_term_tables_are_met_in_strips_or_chunks(spark, monkeypatch, n):
+    game = games.random_terms(spark, n, 300, 9)
+    masks = est.sample(spark, est.Law(coin=0.7), n, 50, 1)
     whole = {r["mask"]: r["u"] for r in game.evaluate(masks).collect()}
     monkeypatch.setattr(games, "SMALL_TERMS", 40)
-    chunked = games.random_terms(spark, 20, 300, 9)
+    chunked = games.random_terms(spark, n, 300, 9)
     assert chunked.attach(masks) is None
     parts = {r["mask"]: r["u"] for r in chunked.evaluate(masks).collect()}
     assert whole.keys() == parts.keys()

@@ -4,7 +4,7 @@ import pytest
 from attrispark.functions.spec import BANZHAF, SHAPLEY, banzhaf
 from attrispark.operators import estimators, exact, report, trajectory
 from attrispark.operators.estimators import Unsupported
-from attrispark.plans.run import REGISTRY, converge, phases, run, samples_for, strata_group, timed
+from attrispark.plans.run import GROUP_NAMES, REGISTRY, converge, phases, run, run_group, samples_for, strata_group, timed
 from attrispark.sources import games, store
 from attrispark.sources.training import Training, trained_in_order, trained_on_tables, training_game
 
@@ -114,6 +114,20 @@ def test_groups_by_name(game):
     assert run(game, "arm", SHAPLEY, 50, seed=1, group=[0, 3]).first()["value"] == pytest.approx(parts[0] + parts[3])
 
 
+def test_bindings_of_groups(game):
+    want = exact.group_sum(game, SHAPLEY, [0, 3]).first()["value"]
+    for name in (*GROUP_NAMES, "strata"):
+        assert abs(run_group(game, name, SHAPLEY, 300, [3, 0], 2).first()["value"] - want) < 0.3
+    parts = {r["player"]: r["value"] for r in run(game, "regression_msr_unbiased", SHAPLEY, 40, 2).collect()}
+    assert run_group(game, "individual_regression_msr_unbiased_unpaired", SHAPLEY, 40, [0, 3], 2).first()["value"] == pytest.approx(parts[0] + parts[3])
+    for bad in (lambda: run_group(game, "msr", SHAPLEY, 10, [0]), lambda: converge(game, "nothing", SHAPLEY, 10, 5)):
+        with pytest.raises(KeyError):
+            bad()
+    for group in ([], [1, 1], [9]):
+        with pytest.raises(ValueError):
+            run_group(game, "individual_ofa_fixed", SHAPLEY, 10, group)
+
+
 def test_checkpoints_are_nested(game):
     rows = converge(game, "arm", SHAPLEY, 30, 10, seed=4).collect()
     assert sorted({(r["ckpt"], r["evaluations"]) for r in rows}) == [(0, 50), (1, 100), (2, 150)]

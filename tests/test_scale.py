@@ -171,10 +171,20 @@ def test_transform_over_all_coalitions(spark, monkeypatch, low, strip):
     for r in transform.by_size(game).collect():
         mine = [u for m, u in enumerate(worth) if m.bit_count() == r["s"]]
         assert (r["coalitions"], r["mean"], r["least"], r["most"]) == pytest.approx((len(mine), sum(mine) / len(mine), min(mine), max(mine)))
+    asked = [0, 1, 513, 1023, 700, 700]
+    found = transform.evaluate(game, spark.createDataFrame([(m,) for m in asked], "mask bigint")).collect()
+    assert {r["mask"]: r["u"] for r in found} == pytest.approx({m: worth[m] for m in asked}) and len(found) == 5
     with pytest.raises(ValueError):
         transform.exact(games.TermsGame(31, game.terms), SHAPLEY)
 
 
+def test_exact_values_by_name_beyond_a_table(spark):
+    game = games.random_terms(spark, 18, 60, 3)
+    want = vector(exact.closed_form(game, SHAPLEY))
+    assert vector(run(game, "exact", SHAPLEY, 1)) == pytest.approx(want)
+    assert run(game, "exact", SHAPLEY, 1, group=[2, 17]).first()["value"] == pytest.approx(want[[2, 17]].sum())
+
+
 # ------------------------------------------------------------------ many players
 
 
