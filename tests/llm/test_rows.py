@@ -549,3 +549,27 @@ def test_sections_of_one_wrapper_stay_together(spark):
     rows += [(100 + k, "http://same.example/", two.format(a=long(k), b="subscribe today", c="c")) for k in range(30)]
     got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert all(got[k] == f"{long(k)}\nclosing words {k}" and got[100 + k] == long(k) for k in range(30))
+
+
+def test_very_long_texts_of_rules_and_licences(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{int(x)}" for x in rng.integers(0, 3000, 300_000)]
+    lines = [" ".join(words[i : i + 40]) for i in range(0, len(words), 40)]
+    lines[5], lines[700] = lines[4], lines[4]
+    text = "\n".join(lines) + " # $"
+    rows = [(1, text, "en"), (2, text, "en"), (3, "x" * 2_000_000, "en"), (None, "few words", None), (None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").select("*", *[F.lit("z").alias(c) for c in ("id", "_t", "_lang", "digest", "license")])
+    got = {}
+    for r in divergence.quality_rules(table).collect():
+        got.setdefault(r["id"], []).append(r)
+    found = WORD.findall(text)
+    seen = collections.Counter(zip(found, found[1:], found[2:], strict=False))
+    covered = {k + j for k, t in enumerate(zip(found, found[1:], found[2:], strict=False)) if seen[t] > 1 for j in range(3)}
+    for i in (1, 2):
+        (r,) = got[i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(found), sum(map(len, found)), 2, 2, len(covered))
+    assert (got[3][0]["n_words"], got[3][0]["word_chars"]) == (1, 2_000_000)
+    assert len(got[None]) == 2 and all(r["base_failed"] and not r["kept"] for r in got[None])
+    name = next(iter(TEXTS))
+    long = spark.createDataFrame([(1, text), (2, TEXTS[name].replace(" ", "  " * 3000)), (3, None)], "doc_id bigint, text string").withColumn("license", F.lit("clash"))
+    assert {r["id"]: r["is_license"] for r in licenses.scan_licenses(long).collect()} == {1: False, 2: True, 3: False}
