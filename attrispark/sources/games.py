@@ -24,7 +24,7 @@ from attrispark.functions.ship import ship
 #: Up to so many players all coalitions are tabulated; beyond, only those asked for.
 TABLE_PLAYERS = 16
 #: Up to so many players that is done inside one row: each player's step names the array before it twice.
-ROW_PLAYERS = 6
+ROW_PLAYERS = 5
 #: Terms up to this number are sent to every task; more are met chunk by chunk.
 SMALL_TERMS = 200_000
 
