@@ -253,6 +253,25 @@ def test_a_game_of_many_players(spark, monkeypatch):
     assert np.abs(vector(many.estimate("msr", broad, BANZHAF, 600, 1)) - vector(many.closed_form(broad, BANZHAF))).max() < 4
 
 
+def test_terms_of_many_players_move_once_for_a_block_of_coalitions(spark, monkeypatch):
+    """Neither the shuffle partitions nor the number of words decide how often a term or a player is met."""
+    rng = np.random.default_rng(4)
+    rows = [(sorted(rng.choice(3000, 3, replace=False).tolist()), float(w)) for w in rng.normal(size=200)]
+    terms = spark.createDataFrame(rows, "members array<int>, w double")
+    samples = many.sample(spark, est.Law(coin=0.9), 3000, 20, 2)
+    whole = {r["k"]: r["u"] for r in wide.WideGame(3000, terms).attach(samples).collect()}
+    monkeypatch.setattr(wide, "SMALL_MEMBERS", 100)
+    plan = wide.WideGame(3000, terms).attach(samples)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # the coalitions by chunk; no term by block
+    for block in (wide.BLOCK, 3000 * 7):  # one block of coalitions, three
+        monkeypatch.setattr(wide, "BLOCK", block)
+        found = wide.WideGame(3000, terms).attach(samples)
+        assert found.columns == [*samples.columns, "u"]
+        got = found.collect()
+        assert {r["k"]: r["u"] for r in got} == pytest.approx(whole)
+        assert {r["k"]: (r["mask"], r["s"], r["t"]) for r in got} == {r["k"]: (r["mask"], r["s"], r["t"]) for r in samples.collect()}
+
+
 def test_weights_of_very_many_players():
     for spec in SPECS:
         assert sum(spec.d(3000)) == pytest.approx(1)
