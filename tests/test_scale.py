@@ -1,5 +1,6 @@
 """Many players, all coalitions of 25, Gram sums by strips, and trajectories from one pass."""
 
+import hashlib
 import time
 
 import numpy as np
@@ -272,6 +273,16 @@ def test_terms_of_many_players_move_once_for_a_block_of_coalitions(spark, monkey
         assert {r["k"]: (r["mask"], r["s"], r["t"]) for r in got} == {r["k"]: (r["mask"], r["s"], r["t"]) for r in samples.collect()}
 
 
+def test_a_set_of_very_many_players_is_drawn_in_one_pass(spark):
+    n = 20_000
+    drawn = many.sample(spark, est.Law({7: 1.0, 12_000: 1.0, n - 1: 1.0}), n, 12, 5)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan  # no word looks through all chosen players
+    for r in drawn.collect():
+        ranked = sorted(range(n), key=lambda i: hashlib.md5(f"{r['k']}:{i}:5".encode()).hexdigest())[: r["s"]]
+        assert {62 * j + i for j, m in enumerate(r["mask"]) for i in range(62) if m >> i & 1} == set(ranked)
+
+
 def test_weights_of_very_many_players():
     for spec in SPECS:
         assert sum(spec.d(3000)) == pytest.approx(1)
