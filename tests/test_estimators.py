@@ -199,6 +199,33 @@ def test_points_of_one_owner(spark):
         assert table[m] == fewer[m] == pytest.approx(hits / 20)
 
 
+def test_pairs_of_queries_and_points_are_not_moved(spark, monkeypatch):
+    """Points that a task can hold are ordered where a query is; ties, odd labels and distances come out as by ranges."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    x[:40] = x[40:80]
+    odd = {5: [float("nan"), 0.0, 0.0], 6: [None, 0.0, 0.0], 7: [float("inf"), 0.0, 0.0]}
+    kind = "array<float>, label string"
+    points = spark.createDataFrame([(3 * i % 301, odd.get(i, x[i].tolist()), None if i % 9 == 0 else str(i % 4)) for i in range(300)], f"player bigint, embedding {kind}").repartition(5)
+    queries = spark.createDataFrame([(1000 + i, x[7 * i].tolist(), str(i % 4)) for i in range(20)], f"query bigint, embedding {kind}")
+
+    def found():
+        ranks, values = games.knn_ranks(points, queries), games.knn_shapley(points, queries, 4)
+        plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (ranks, values)]
+        return plans, {tuple(r) for r in ranks.collect()}, {r["player"]: r["value"] for r in values.collect()}
+
+    plans, ranks, values = found()
+    assert not any("Window" in p or "CoGroup" in p for p in plans)
+    monkeypatch.setattr(games, "SMALL_POINTS", 10)
+    plans, by_range, summed = found()
+    assert all("Window" in p for p in plans)
+    assert len(ranks) == 300 * 20 and ranks == by_range
+    assert values == pytest.approx(summed)
+    monkeypatch.undo()
+    none = games.knn_shapley(points, queries.limit(0), 4), games.knn_ranks(points.limit(0), queries)
+    assert [d.count() for d in none] == [0, 0]
+
+
 @pytest.mark.parametrize("n", [20, 35])
 def test_large_term_tables_are_met_in_strips_or_chunks(spark, monkeypatch, n):
     game = games.random_terms(spark, n, 300, 9)
