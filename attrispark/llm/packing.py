@@ -9,6 +9,8 @@ than a global packing.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
 
@@ -31,12 +33,40 @@ CACHE, TEXT_BYTES = 250_000, 6 << 20
 #: Words that the tokenizer is given in one string, and what stands between them: a special token, found before anything else.
 JOINED, BETWEEN = 1000, b"<|endoftext|>"
 
-_ENDS = np.isin(np.arange(256), list(b".,;:!?"))
-_PLAIN = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+#: The only normalizer and split that the short way below stands for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_MARKS = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"))
+_DIGITS = np.isin(np.arange(256), list(b"0123456789"))
+_LETTERS = np.isin(np.arange(256), [*b"abcdefghijklmnopqrstuvwxyz", 0xC3, 0xC4, 0xC5])
+
+
+def _bytes(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words, and where each word begins among them (one more than there are words)."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset) if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Of each byte: whether it is of a to z, or of a letter from U+00C0 to U+017F whose small form is a single letter.
+
+    The first byte of a character says so too soon; its second one is right.
+    """
+    before = np.append(np.zeros(1, np.uint8), data)[:-1]
+    second = (before == 0xC3) & (data != 0x97) & (data != 0xB7) | (before == 0xC4) & (data != 0xB0) | (before == 0xC5)
+    return _LETTERS[data] | second
+
+
+def _any(where: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each word: whether any of its bytes is marked."""
+    found = np.zeros(len(offsets) - 1, bool)
+    found[np.searchsorted(offsets, np.flatnonzero(where), side="right") - 1] = True
+    return found
 
 
 class WordIds:
-    """Ids of words, by the number of each word met: number 0 has none, 1 has the closing id.
+    """Ids of words, by the number of each word met: number 0 is the empty one.
 
     The tokenizer drops white space and never joins characters across it, so a
     text's ids are those of its words one after the other.
@@ -48,20 +78,56 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(BETWEEN.decode())
+        self.short = self._short()
         self.clear()
 
+    def _short(self):
+        """The same model for words of small letters alone, which the normalizer and the split leave as they are; None for other kinds of tokenizers.
+
+        Neither keeps a cache: each word comes once.  A word's last id is one that ends with the model's suffix, and only that.
+        """
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        config = json.loads(self.tokenizer.to_str())
+        model = config["model"]
+        if config["normalizer"] != _NORMALIZER or config["pre_tokenizer"] != {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}:
+            return None
+        if model["type"] != "BPE" or {k for k, v in model.items() if v} != {"type", "vocab", "merges", "end_of_word_suffix"} or not all("<" in t["content"] for t in config["added_tokens"]):
+            return None
+        suffix = model["end_of_word_suffix"]
+        bpe = models.BPE(model["vocab"], [tuple(m) for m in model["merges"]], cache_capacity=0, end_of_word_suffix=suffix)
+        self.tokenizer.model = bpe
+        short = Tokenizer(bpe)
+        short.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.last[[i for token, i in model["vocab"].items() if token.endswith(suffix)]] = True
+        return short
+
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {b"": 0}
-        self.ids = np.array([END_ID], "<u4")
-        self.size = np.array([0, 1], np.int64)
-        self.start = np.array([0, 0], np.int64)
+        self.words = pa.array([b""], pa.large_binary())
+        self.ids = np.zeros(0, "<u4")
+        self.size = np.zeros(1, np.int64)
+        self.start = np.zeros(1, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: pa.LargeBinaryArray) -> None:
         """Gives each of the new words a number."""
+        data, offsets = _bytes(words)
+        long = _any(~_letters(data), offsets) | (self.short is None)
+        spelt, others = words.filter(pa.array(~long)), words.filter(pa.array(long))
         found, sizes = [], []
+        data, offsets = _bytes(spelt)
+        spaced = np.insert(data, offsets[1:], ord(" ")).tobytes()
+        bounds = [*range(0, len(spelt), JOINED), len(spelt)]
+        parts = [spaced[offsets[a] + a : offsets[b] + b - 1].decode().lower() for a, b in itertools.pairwise(bounds)]
+        for a, b, e in zip(bounds, bounds[1:], self.short.encode_batch_fast(parts) if parts else [], strict=False):
+            found.append(np.array(e.ids, "<u4"))
+            sizes.append(np.diff(np.flatnonzero(self.last[found[-1]]), prepend=-1))
+            if len(sizes[-1]) != b - a or sizes[-1].sum() != len(found[-1]):
+                raise ValueError("the tokenizer's words don't end with its suffix")
         plain = self.between is not None
-        loose = [w for w in words if not plain or b"<|" in w]
-        joined = [w for w in words if plain and b"<|" not in w]
+        listed = others.to_pylist()
+        loose = [not plain or b"<|" in w for w in listed]
+        joined = [w for w, x in zip(listed, loose, strict=True) if not x]
         parts = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([BETWEEN.join(p).decode() for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -70,51 +136,40 @@ class WordIds:
             sizes.append(np.diff(ends, prepend=-1, append=len(ids)) - 1)
             if len(sizes[-1]) != len(part):
                 raise ValueError("the tokenizer joins words across its special token")
-        for e in self.tokenizer.encode_batch_fast([w.decode() for w in loose], add_special_tokens=False):
+        for e in self.tokenizer.encode_batch_fast([w.decode() for w, x in zip(listed, loose, strict=True) if x], add_special_tokens=False):
             found.append(np.array(e.ids, "<u4"))
             sizes.append(np.array([len(e.ids)]))
-        base = len(self.size)
-        self.number.update(zip(joined + loose, range(base, base + len(words)), strict=True))
-        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        size = np.concatenate(sizes)
+        self.words = pa.concat_arrays([self.words, spelt, others.take(pa.array(np.argsort(loose, kind="stable")))])
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, *found])
 
-    def of(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, words: pa.LargeBinaryArray) -> np.ndarray:
         """Two numbers of each of the different words: its ids are those of the first, then those of the second.
 
         The tokenizer composes characters, then folds case.  Below U+0180
         nothing composes, so the order doesn't matter there; the names of
-        special tokens are matched before either.  A mark that ends a word
-        after an ASCII letter or digit is cut from it by the tokenizer itself.
+        special tokens are matched before either.  Marks that end a word after
+        a letter or digit are cut from it by the tokenizer itself.
         """
-        if len(self.number) > CACHE:
+        if len(self.words) > CACHE:
             self.clear()
-        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
-        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        odd = np.zeros(len(words), bool)  # words with far characters, or that may name a special token
-        odd_at = np.flatnonzero((data >= 0xC6) | (data == ord("<")))
-        odd[np.searchsorted(offsets, odd_at, side="right") - 1] = True
+        data, offsets = _bytes(words)
+        odd = _any((data >= 0xC6) | (data == ord("<")), offsets)  # words with far characters, or that may name a special token
         upper = (data >= ord("A")) & (data <= ord("Z")) & ~np.repeat(odd, np.diff(offsets))
         data = data + upper.astype(np.uint8) * np.uint8(32)
-        size = np.diff(offsets)
-        at = offsets[1:][size > 1]
-        cut = np.zeros(len(words), bool)
-        cut[size > 1] = _ENDS[data[at - 1]] & _PLAIN[data[at - 2]]
-        cut &= ~odd
-        begins, ends = offsets[:-1].tolist(), (offsets[1:] - cut).tolist()
-        raw = data.tobytes()
-        first = [raw[x:y] for x, y in zip(begins, ends, strict=True)]
-        marks = [bytes([c]) for c in np.unique(data[offsets[1:][cut] - 1]).tolist()]
-        if new := list(set(first).union(marks).difference(self.number)):
-            self.learn(new)
-        by_mark = np.zeros(256, np.int64)
-        for m in marks:
-            by_mark[m[0]] = self.number[m]
-        second = np.zeros(len(words), np.int64)
-        second[cut] = by_mark[data[offsets[1:][cut] - 1]]
-        return np.fromiter(map(self.number.__getitem__, first), np.int64, len(words)), second
+        other = np.flatnonzero(~_MARKS[data])
+        at = other[np.searchsorted(other, offsets[1:]) - 1] if len(other) else np.full(len(words), -1)  # the last byte that is no mark
+        cut = ~odd & (at >= offsets[:-1]) & (at < offsets[1:] - 1)
+        cut[cut] = (_letters(data) & (data < 0xC3) | _DIGITS[data])[at[cut]]
+        bounds = np.append(np.stack([offsets[:-1], np.where(cut, at + 1, offsets[1:])], axis=1).reshape(-1), offsets[-1])
+        halves = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * len(words), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        known = pc.index_in(halves.dictionary, value_set=self.words)
+        if known.null_count:
+            self.learn(halves.dictionary.filter(known.is_null()))
+            known = pc.index_in(halves.dictionary, value_set=self.words)
+        return known.to_numpy()[halves.indices.to_numpy()]
 
     def flat(self, numbers: np.ndarray) -> np.ndarray:
         return expand(self.ids, self.start[numbers], self.size[numbers])
@@ -137,9 +192,8 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     words = split.flatten().dictionary_encode()
     words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-    first, second = known.of(words.dictionary.cast(pa.large_binary()))
+    both = known.of(words.dictionary.cast(pa.large_binary()))
     # Of each different word: where its ids begin among those of all different words, and how many they are.
-    both = np.stack([first, second], axis=1).reshape(-1)
     distinct, size = known.flat(both), known.size[both].reshape(-1, 2).sum(axis=1)
     begin = np.cumsum(size) - size
     distinct, begin, size = np.append(distinct, np.uint32(END_ID)), np.append(begin, len(distinct)), np.append(size, 1)

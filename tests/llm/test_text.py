@@ -204,6 +204,36 @@ def test_word_tokens_equal_whole_text_tokens(text):
     assert packing.token_ids(pa.array([text]), tokenizer_path())[0].tolist() == [*want, packing.END_ID]
 
 
+def test_every_character_has_its_ids_among_letters_and_marks():
+    """Characters below U+0180 take the short way beside letters; the others, and those that change on the way, don't."""
+    from tokenizers import Tokenizer
+
+    frames = ["{}", "A{}b", "{}.", "é{}###", "a.{}", "x'{}", "İ{}"]
+    texts = [f.format(chr(c)) for c in [*range(0x250), 0x300, 0x307, 0x3A3, 0x1E9E, 0x212A, 0x3000] for f in frames]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    ids, bounds = packing.token_ids(pa.array(texts), tokenizer_path())
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_ID], text
+
+
+def test_words_of_letters_pass_by_normalizer_and_split(monkeypatch):
+    """Normalizing and splitting each word took most of the packing's time; words of letters need neither, marks at their end or not."""
+    known = packing.WordIds(tokenizer_path())
+    whole, given_to_it = known.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **how):
+            given_to_it.extend(texts)
+            return whole.encode_batch_fast(texts, **how)
+
+    known.tokenizer = Watched()
+    monkeypatch.setitem(packing._KNOWN, tokenizer_path(), known)
+    text = "Straße naïve ÉTÉ, Onorsh,%%% erings### über. 日本"
+    assert packing.token_ids(pa.array([text]), tokenizer_path())[0].tolist() == [*whole.encode(text, add_special_tokens=False).ids, packing.END_ID]
+    seen = "".join(given_to_it)
+    assert "日本" in seen and not any(w in seen for w in ("stra", "na", "onorsh", "erings", "ber"))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=9) | st.lists(st.integers(5, 15), max_size=9))
 def test_dominance_reduction_keeps_the_optimum(lengths):
