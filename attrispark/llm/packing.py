@@ -225,21 +225,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     if with_ids:
         fields.append(T.StructField("ids", T.BinaryType()))
 
+    def cut_batch(batch):
+        for at, texts in parts_of(batch.column(1)):
+            ids, bounds = token_ids(texts, tokenizer_path)
+            size = np.diff(bounds)
+            pieces = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(size[row] - start, capacity)
+            raw, begin = memoryview(ids).cast("B"), 4 * (bounds[row] + start)
+            spans = list(zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True))
+            crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in spans), np.int64, len(row))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), *([pa.array([raw[a:b].tobytes() for a, b in spans], pa.binary())] if with_ids else [])], names=[f.name for f in fields])
+
     def cut(batches):
         cl.release()
         for batch in batches:
-            for at, texts in parts_of(batch.column(1)):
-                ids, bounds = token_ids(texts, tokenizer_path)
-                size = np.diff(bounds)
-                pieces = -(-size // capacity)
-                row = np.repeat(np.arange(len(size)), pieces)
-                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = piece * capacity
-                length = np.minimum(size[row] - start, capacity)
-                raw, begin = memoryview(ids).cast("B"), 4 * (bounds[row] + start)
-                spans = list(zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True))
-                crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in spans), np.int64, len(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), *([pa.array([raw[a:b].tobytes() for a, b in spans], pa.binary())] if with_ids else [])], names=[f.name for f in fields])
+            yield from cut_batch(batch)
+        batch = None
+        cl.release()  # the worker stays, and what other tasks do comes on top of what it holds
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(cut, T.StructType(fields))
 
